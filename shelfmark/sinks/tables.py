@@ -42,7 +42,14 @@ def replace_partitions(df: DataFrame, table: str) -> Written:
     """Overwrite only the partitions of an existing table that df has rows for."""
     target = df.sparkSession.table(table)
     counted, seen = _observed(df.select(*target.columns))
-    counted.write.option("partitionOverwriteMode", "dynamic").insertInto(table, overwrite=True)
+    # a session setting: insertInto does not take it as a write option
+    conf, mode = df.sparkSession.conf, "spark.sql.sources.partitionOverwriteMode"
+    before = conf.get(mode)
+    conf.set(mode, "dynamic")
+    try:
+        counted.write.insertInto(table, overwrite=True)
+    finally:
+        conf.set(mode, before)
     return Written(table, seen.get["rows"], len(df.columns))
 
 
