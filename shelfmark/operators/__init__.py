@@ -3,7 +3,7 @@ from shelfmark.operators.keys import add_dense_key, surrogate_key, unique_rows
 from shelfmark.operators.lookup import attach_key, fits_broadcast
 from shelfmark.operators.ranking import amount_before, global_rank
 from shelfmark.operators.shares import share_of_total
-from shelfmark.operators.staging import stage, staging_root
+from shelfmark.operators.staging import drop_staged, stage, staging_root
 from shelfmark.operators.trends import previous_year
 
 __all__ = [
@@ -12,6 +12,7 @@ __all__ = [
     "aggregate_via",
     "amount_before",
     "attach_key",
+    "drop_staged",
     "fits_broadcast",
     "global_rank",
     "previous_year",

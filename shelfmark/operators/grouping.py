@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmark.functions.measures import Measure
-from shelfmark.operators.lookup import BROADCAST_ROWS, fits_broadcast
+from shelfmark.operators.lookup import BROADCAST_BYTES, fits_broadcast
 
 
 def aggregate(
@@ -40,7 +40,7 @@ def aggregate_via(
     keys: Sequence[str],
     measures: Mapping[str, Measure],
     distinct: Mapping[str, str],
-    max_broadcast_rows: int = BROADCAST_ROWS,
+    max_broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Like :func:`aggregate` over ``fact LEFT JOIN dim``, keys taken from both sides.
 
@@ -48,7 +48,7 @@ def aggregate_via(
     one the fact is first aggregated by the join key, and only those partial
     results are shuffled to the dimension and merged.
     """
-    if fits_broadcast(dim, max_broadcast_rows):
+    if fits_broadcast(dim, max_broadcast_bytes):
         return aggregate(fact.join(F.broadcast(dim), on, "left"), keys, measures, distinct)
 
     own = [k for k in keys if k not in dim.columns]

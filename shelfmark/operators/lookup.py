@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from shelfmark.operators.keys import surrogate_key
 
-# Narrow (business key, surrogate key) tables up to this many rows are broadcast.
-BROADCAST_ROWS = 500_000
+# A frame is broadcast if its rows, unpacked, take at most this many bytes.
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 @dataclass(frozen=True)
@@ -24,9 +24,21 @@ class Dimension:
     attributes: tuple[str, ...]
 
 
-def fits_broadcast(df: DataFrame, max_rows: int) -> bool:
-    """Whether df has at most max_rows rows; counts no further than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def unpacked_bytes(df: DataFrame) -> int:
+    """Size of the rows in memory: text as long as it is, 16 bytes for any other value.
+
+    One distributed sum; nothing is collected but the result.
+    """
+    text = [c for c, kind in df.dtypes if kind == "string"]
+    fixed = 16 * (1 + len(df.columns))
+    lengths = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)).cast("long") for c in text]
+    row = sum(lengths, F.lit(fixed).cast("long"))
+    return df.agg(F.sum(row)).first()[0] or 0
+
+
+def fits_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether df was measured to be small enough for every executor to hold."""
+    return unpacked_bytes(df) <= max_bytes
 
 
 def versioned_keys(rows: DataFrame, dim: Dimension) -> DataFrame:
@@ -56,7 +68,7 @@ def attach_key(
     method: str = "inline",
     null_safe: bool = False,
     own_key: Column | None = None,
-    max_broadcast_rows: int = BROADCAST_ROWS,
+    max_broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Add ``dim.key`` to fact rows that carry the dimension's column names.
 
@@ -92,10 +104,11 @@ def attach_key(
         keys = versioned_keys(rows, dim)
     else:
         keys = first_keys(rows, dim).where("_n > 1").drop("_n")
-    # 0 rows: nothing to look up; few: broadcast; else shuffle join, skew split by AQE
-    if fits_broadcast(keys, 0):
+    # none: nothing to look up; few: broadcast; else shuffle join, skew split by AQE
+    size = unpacked_bytes(keys)
+    if size == 0:
         return fact
-    if fits_broadcast(keys, max_broadcast_rows):
+    if size <= max_broadcast_bytes:
         keys = F.broadcast(keys)
     found = _left_lookup(fact, keys, dim, null_safe, "_found")
     return found.withColumn(dim.key, F.coalesce("_found", dim.key)).drop("_found")

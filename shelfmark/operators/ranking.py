@@ -57,7 +57,7 @@ def global_rank(
     ``ranks`` maps value column -> rank column. ``df`` is read several times, so
     hand in a staged frame.
     """
-    if df.limit(single_task_rows + 1).count() <= single_task_rows:
+    if df.count() <= single_task_rows:
         for value, name in ranks.items():
             by_value = Window.orderBy(F.desc_nulls_last(value))
             df = df.withColumn(name, F.rank().over(by_value))

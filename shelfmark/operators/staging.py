@@ -13,15 +13,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_local_root: dict[str, str] = {}
+
+
 def staging_root(spark: SparkSession) -> str:
     """Folder for this application's staged tables."""
+    app = spark.sparkContext.applicationId
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="shelfmark-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return f"{shared.rstrip('/')}/shelfmark-{spark.sparkContext.applicationId}"
+            raise RuntimeError("start Spark with spark.checkpoint.dir on a folder all executors share")
+        shared = _local_root.setdefault(app, "") or tempfile.mkdtemp(prefix="shelfmark-")
+        _local_root[app] = shared
+    return f"{shared.rstrip('/')}/shelfmark-{app}"
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -30,3 +34,9 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     # the schema is known: no footer is read to infer it
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Remove what this application staged. Frames built on it are then unreadable."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(staging_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

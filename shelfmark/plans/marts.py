@@ -30,7 +30,7 @@ from shelfmark.operators import (
     share_of_total,
     stage,
 )
-from shelfmark.operators.lookup import BROADCAST_ROWS
+from shelfmark.operators.lookup import BROADCAST_BYTES
 from shelfmark.plans.schema import LOWEST_TIER, LTV_TIERS
 
 Tables = Mapping[str, DataFrame]
@@ -182,7 +182,7 @@ def _place_measures() -> dict[str, Measure]:
     }
 
 
-def regional_summary(t: Tables, max_broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def regional_summary(t: Tables, max_broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Measures per region and manager; a region with two managers counts for each."""
     managers = t["dim_regional_manager"].select("manager_name", F.col("region").alias("_region"))
     places = t["dim_geography"].select("geography_key", "region")
@@ -194,7 +194,7 @@ def regional_summary(t: Tables, max_broadcast_rows: int = BROADCAST_ROWS) -> Dat
         ["region", "manager_name"],
         _place_measures(),
         _PLACE_COUNTS,
-        max_broadcast_rows,
+        max_broadcast_bytes,
     )
     return by_region.select(
         "region",
@@ -213,7 +213,7 @@ def regional_summary(t: Tables, max_broadcast_rows: int = BROADCAST_ROWS) -> Dat
 
 
 def category_trends(
-    t: Tables, strict_year: bool = False, max_broadcast_rows: int = BROADCAST_ROWS
+    t: Tables, strict_year: bool = False, max_broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """Measures per quarter and sub-category, with change against the year before."""
     quarterly = aggregate_via(
@@ -228,7 +228,7 @@ def category_trends(
             "avg_profit_margin": averaged("profit_margin"),
         },
         {"total_orders": "order_id"},
-        max_broadcast_rows,
+        max_broadcast_bytes,
     )
     return previous_year(
         quarterly,
@@ -295,7 +295,7 @@ def shipping_analysis(t: Tables) -> DataFrame:
 
 
 def state_performance(
-    t: Tables, max_broadcast_rows: int = BROADCAST_ROWS, **ranking
+    t: Tables, max_broadcast_bytes: int = BROADCAST_BYTES, **ranking
 ) -> DataFrame:
     """Measures, density ratios and revenue place per state."""
     by_state = aggregate_via(
@@ -309,7 +309,7 @@ def state_performance(
             "last_order_date": greatest("date"),
         },
         _PLACE_COUNTS,
-        max_broadcast_rows,
+        max_broadcast_bytes,
     ).select(
         "country",
         "state",

@@ -12,7 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.functions import days_label, mean, money_label, percent, percent_label, ratio
+from shelfmark.functions import days_label, mean, money_label, percent, percent_label
+from shelfmark.operators import share_of_total, stage
 
 
 def rounded(col: Column | str, digits: int | None) -> Column:
@@ -202,15 +203,10 @@ def segments(
 
 
 def segment_share(customers: DataFrame) -> DataFrame:
-    """Percent of customers per segment (slices of a pie).
-
-    The total is the customer count, read without grouping.
-    """
-    everyone = customers.agg(F.count(F.lit(1))).scalar()
+    """Percent of customers per segment (slices of a pie)."""
     counted = customers.groupBy("segment").agg(F.count(F.lit(1)).alias("customer_count"))
-    return counted.withColumn(
-        "share_pct", F.round(ratio("customer_count", everyone) * 100, 1)
-    )
+    shares = share_of_total(stage(counted, "segments"), {"customer_count": "share_pct"})
+    return shares.withColumn("share_pct", F.round("share_pct", 1))
 
 
 def ltv_tiers(

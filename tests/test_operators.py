@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import random
 
 import pytest
@@ -12,6 +13,8 @@ from shelfmark.operators import (
     aggregate,
     aggregate_via,
     attach_key,
+    drop_staged,
+    fits_broadcast,
     global_rank,
     previous_year,
     share_of_total,
@@ -20,7 +23,8 @@ from shelfmark.operators import (
     surrogate_key,
     unique_rows,
 )
-from shelfmark.operators.lookup import Dimension
+from shelfmark.operators import staging
+from shelfmark.operators.lookup import Dimension, unpacked_bytes
 
 DIM = Dimension("dim", "dim_key", ("id",), ("id", "label"))
 
@@ -124,10 +128,10 @@ def test_inline_lookup_equals_the_join(spark, lookup, null_safe):
     results = [
         rows(
             attach_key(fact, dim, DIM, lookup=lookup, method=method, null_safe=null_safe,
-                       max_broadcast_rows=limit),
+                       max_broadcast_bytes=limit),
             "id", "line", "dim_key",
         )
-        for method, limit in (("join", 10), ("inline", 10), ("inline", 1))
+        for method, limit in (("join", 10), ("inline", 10_000), ("inline", 1))
     ]
     assert results[0] == results[1] == results[2]
     two = [r for r in results[0] if r[0] == "two"]
@@ -205,7 +209,38 @@ def test_aggregate_moves_narrow_distinct_columns(spark):
     assert "Expand" not in plan
 
 
-@pytest.mark.parametrize("limit", [0, 100])
+def test_aggregate_parts_are_joined_where_they_are(spark):
+    _, df = _sales(spark)
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        got = aggregate(stage(df, "sales"), ["place", "year"], _measures(), COUNTS)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(threshold, before)
+    # one exchange for the measures, two per distinct count, none for the joins
+    assert plan.count("Exchange hashpartitioning") == 5
+    assert plan.count("SortMergeJoin") == 2
+
+
+def test_broadcast_size_is_measured(spark):
+    df = spark.sql("SELECT * FROM VALUES ('abc', 1), (NULL, 2) t(s, n)")
+    assert unpacked_bytes(df) == 2 * 48 + 3
+    assert unpacked_bytes(df.where("n > 5")) == 0
+    assert fits_broadcast(df, 99) and not fits_broadcast(df, 98)
+
+
+def test_dropped_stage_is_gone(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(staging, "staging_root", lambda _: str(tmp_path / "app"))
+    stage(spark.range(3), "numbers")
+    assert len(os.listdir(tmp_path / "app")) == 1
+    drop_staged(spark)
+    assert not os.path.exists(tmp_path / "app")
+
+
+
+@pytest.mark.parametrize("limit", [0, 10_000])
 def test_aggregate_via_dimension_both_ways(spark, limit):
     data, df = _sales(spark)
     # place "a" lies in two regions, "gone" and NULL in none
@@ -213,7 +248,7 @@ def test_aggregate_via_dimension_both_ways(spark, limit):
     dim = spark.createDataFrame(
         [(p, r) for p, all_r in regions.items() for r in all_r], "place string, region string"
     )
-    got = aggregate_via(df, dim, "place", ["year", "region"], _measures(), COUNTS, max_broadcast_rows=limit)
+    got = aggregate_via(df, dim, "place", ["year", "region"], _measures(), COUNTS, max_broadcast_bytes=limit)
     expected = _expected(data, lambda r: [(r[1], g) for g in regions.get(r[0], [None])])
     found = _as_dict(got, ["year", "region"])
     assert found.keys() == expected.keys()
