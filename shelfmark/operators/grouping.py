@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,82 +15,107 @@ from shelfmark.functions.measures import Measure
 from shelfmark.operators.lookup import BROADCAST_BYTES, fits_broadcast
 
 
+@dataclass(frozen=True)
+class Lookup:
+    """Group attributes found through a key: ``rows LEFT JOIN dim ON rows.on = dim.on``."""
+
+    on: str
+    dim: DataFrame
+
+    @property
+    def attributes(self) -> list[str]:
+        return [c for c in self.dim.columns if c != self.on]
+
+
 def aggregate(
     rows: DataFrame,
     keys: Sequence[str],
     measures: Mapping[str, Measure],
     distinct: Mapping[str, str],
+    lookups: Sequence[Lookup] = (),
+    max_broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Group rows by keys: measures, and a count of distinct values per ``distinct`` entry.
 
     One aggregate over both would send the wide measure buffers through the
     exchange that separates the distinct values (and, with two distinct
     columns, expand every row first). Here the measures shrink to the groups
-    before their only exchange, and each distinct count moves two narrow
-    columns. The results share the partitioning of the keys, so putting them
+    before their only exchange, and each distinct count moves narrow rows. The
+    results share the partitioning of the group columns, so putting them
     together moves nothing.
+
+    Keys may be attributes of lookup dimensions. A dimension measured to be
+    small is broadcast as (key, group number): fact rows are grouped by an
+    integer, and the attributes join the finished groups. For a larger one the
+    measures are first aggregated by the lookup key and only these partial
+    results are shuffled to the dimension; the distinct counts shuffle narrow
+    rows to it, where AQE splits a skewed key.
     """
-    rows, stand_ins = _with_stand_ins(rows, keys)
-    out = rows.groupBy(*stand_ins).agg(*[m.whole.alias(n) for n, m in measures.items()])
-    return _restored(_with_distinct(out, rows, stand_ins, distinct), keys, stand_ins)
+    small, large = [], []
+    for lookup in lookups:
+        fits = fits_broadcast(lookup.dim, max_broadcast_bytes)
+        (small if fits else large).append(lookup)
+
+    labels: dict[str, DataFrame] = {}
+    for i, lookup in enumerate(small):
+        number = f"_group{i}"
+        numbered = _numbered(lookup, number)
+        rows = rows.join(F.broadcast(numbered.select(lookup.on, number)), lookup.on, "left")
+        rows = rows.withColumn(number, F.coalesce(number, F.lit(0)))
+        labels[number] = numbered.select(number, *lookup.attributes).where(F.col(number) > 0).distinct()
+
+    plain = [k for k in keys if not any(k in lookup.attributes for lookup in small)]
+    if large:
+        found = {k for lookup in large for k in lookup.attributes}
+        before = [*labels, *[lookup.on for lookup in large], *[k for k in plain if k not in found]]
+        parts = {f"_{n}_{i}": p for n, m in measures.items() for i, p in enumerate(m.parts)}
+        reduced = rows.groupBy(*before).agg(*[p.alias(n) for n, p in parts.items()])
+        results = {
+            n: m.merge(*[F.col(f"_{n}_{i}") for i in range(len(m.parts))])
+            for n, m in measures.items()
+        }
+        measured, stand_ins = _with_stand_ins(_joined(reduced, large), plain)
+        rows, _ = _with_stand_ins(_joined(rows, large), plain)
+    else:
+        rows, stand_ins = _with_stand_ins(rows, plain)
+        measured, results = rows, {n: m.whole for n, m in measures.items()}
+
+    groups = [*labels, *stand_ins]
+    out = measured.groupBy(*groups).agg(*[c.alias(n) for n, c in results.items()])
+    for name, column in distinct.items():
+        counts = rows.groupBy(*groups).agg(F.count_distinct(column).alias(name))
+        out = out.join(counts, groups)  # both sides hold every group once
+    for number, attributes in labels.items():
+        out = out.join(F.broadcast(attributes), number, "left")  # no larger than the dimension
+    for i, key in enumerate(plain):
+        out = out.withColumn(key, F.when(~F.col(f"_null{i}"), F.col(f"_key{i}")))
+    return out.select(*keys, *measures, *distinct)
 
 
-def aggregate_via(
-    fact: DataFrame,
-    dim: DataFrame,
-    on: str,
-    keys: Sequence[str],
-    measures: Mapping[str, Measure],
-    distinct: Mapping[str, str],
-    max_broadcast_bytes: int = BROADCAST_BYTES,
-) -> DataFrame:
-    """Like :func:`aggregate` over ``fact LEFT JOIN dim``, keys taken from both sides.
+def _numbered(lookup: Lookup, name: str) -> DataFrame:
+    """A small dimension with a number per combination of its attributes.
 
-    A dimension checked to be small is broadcast to the fact rows. For a larger
-    one the fact is first aggregated by the join key, and only those partial
-    results are shuffled to the dimension and merged.
+    All attributes NULL is group 0, where rows without a match belong too.
     """
-    if fits_broadcast(dim, max_broadcast_bytes):
-        return aggregate(fact.join(F.broadcast(dim), on, "left"), keys, measures, distinct)
-
-    own = [k for k in keys if k not in dim.columns]
-    parts = {f"_{n}_{i}": p for n, m in measures.items() for i, p in enumerate(m.parts)}
-    reduced = fact.groupBy(on, *own).agg(*[p.alias(n) for n, p in parts.items()])
-    joined, stand_ins = _with_stand_ins(reduced.join(dim, on, "left"), keys)
-    merged = joined.groupBy(*stand_ins).agg(
-        *[
-            m.merge(*[F.col(f"_{n}_{i}") for i in range(len(m.parts))]).alias(n)
-            for n, m in measures.items()
-        ]
-    )
-    rows, _ = _with_stand_ins(fact.join(dim, on, "left"), keys)
-    return _restored(_with_distinct(merged, rows, stand_ins, distinct), keys, stand_ins)
+    known = reduce(Column.__or__, [F.col(c).isNotNull() for c in lookup.attributes])
+    number = F.dense_rank().over(Window.orderBy(*lookup.attributes))
+    return lookup.dim.withColumn(name, F.when(known, number).otherwise(0))
 
 
-def _with_distinct(
-    out: DataFrame, rows: DataFrame, stand_ins: list[str], distinct: Mapping[str, str]
-) -> DataFrame:
-    for name, column in distinct.items():
-        counts = rows.groupBy(*stand_ins).agg(F.count_distinct(column).alias(name))
-        out = out.join(counts, stand_ins)  # both sides hold every group once
-    return out
+def _joined(rows: DataFrame, lookups: Sequence[Lookup]) -> DataFrame:
+    for lookup in lookups:
+        rows = rows.join(lookup.dim, lookup.on, "left")
+    return rows
 
 
 def _with_stand_ins(rows: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """Per key a never-NULL value and a NULL flag: groups that plain equality can join."""
     added: dict[str, Column] = {}
     for i, key in enumerate(keys):
-        blank = F.lit(_blank(rows.schema[key].dataType)).cast(rows.schema[key].dataType)
-        added[f"_key{i}"] = F.coalesce(F.col(key), blank)
+        kind = rows.schema[key].dataType
+        added[f"_key{i}"] = F.coalesce(F.col(key), F.lit(_blank(kind)).cast(kind))
         added[f"_null{i}"] = F.isnull(F.col(key))
-    return rows.withColumns(added), list(added)
-
-
-def _restored(df: DataFrame, keys: Sequence[str], stand_ins: list[str]) -> DataFrame:
-    named = [
-        F.when(~F.col(f"_null{i}"), F.col(f"_key{i}")).alias(key) for i, key in enumerate(keys)
-    ]
-    return df.select(*named, *[c for c in df.columns if c not in stand_ins])
+    return rows.withColumns(added) if added else rows, list(added)
 
 
 def _blank(kind: T.DataType) -> object:

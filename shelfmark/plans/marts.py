@@ -2,8 +2,8 @@
 
 Facts are reduced before they meet a large dimension: where the mart's grain is
 a dimension key, the aggregate runs on the key and the attributes join the
-result; where it is a coarser attribute, ``aggregate_via`` decides by the
-checked size of the dimension.
+result; where it is a coarser attribute, the aggregate decides by the measured
+size of the dimension.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from shelfmark.functions.measures import (
     summed,
 )
 from shelfmark.operators import (
+    Lookup,
     aggregate,
-    aggregate_via,
     global_rank,
     previous_year,
     share_of_total,
@@ -38,9 +38,8 @@ Tables = Mapping[str, DataFrame]
 
 def monthly_sales(t: Tables) -> DataFrame:
     """Measures per year and month."""
-    dated = _with_date(t["fact_sales"], t["dim_date"], "year", "month", "month_name")
     by_month = aggregate(
-        dated.withColumn("_discounted", F.col("revenue") * F.col("discount")),
+        t["fact_sales"].withColumn("_discounted", F.col("revenue") * F.col("discount")),
         ["year", "month", "month_name"],
         {
             "total_revenue": summed("revenue"),
@@ -53,6 +52,7 @@ def monthly_sales(t: Tables) -> DataFrame:
             "total_discount_amount": summed("_discounted"),
         },
         {"total_orders": "order_id"},
+        [_ordered_in(t, "year", "month", "month_name")],
     )
     return by_month.select(
         "year",
@@ -187,13 +187,12 @@ def regional_summary(t: Tables, max_broadcast_bytes: int = BROADCAST_BYTES) -> D
     managers = t["dim_regional_manager"].select("manager_name", F.col("region").alias("_region"))
     places = t["dim_geography"].select("geography_key", "region")
     owned = places.join(managers, F.col("region") == F.col("_region"), "left").drop("_region")
-    by_region = aggregate_via(
+    by_region = aggregate(
         t["fact_sales"],
-        owned,
-        "geography_key",
         ["region", "manager_name"],
         _place_measures(),
         _PLACE_COUNTS,
+        [Lookup("geography_key", owned)],
         max_broadcast_bytes,
     )
     return by_region.select(
@@ -216,10 +215,9 @@ def category_trends(
     t: Tables, strict_year: bool = False, max_broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """Measures per quarter and sub-category, with change against the year before."""
-    quarterly = aggregate_via(
-        _with_date(t["fact_sales"], t["dim_date"], "year", "quarter"),
-        t["dim_product"].select("product_key", "category", "sub_category"),
-        "product_key",
+    items = t["dim_product"].select("product_key", "category", "sub_category")
+    quarterly = aggregate(
+        t["fact_sales"],
         ["year", "quarter", "category", "sub_category"],
         {
             "total_revenue": summed("revenue"),
@@ -228,6 +226,7 @@ def category_trends(
             "avg_profit_margin": averaged("profit_margin"),
         },
         {"total_orders": "order_id"},
+        [_ordered_in(t, "year", "quarter"), Lookup("product_key", items)],
         max_broadcast_bytes,
     )
     return previous_year(
@@ -264,9 +263,7 @@ def shipping_analysis(t: Tables) -> DataFrame:
     ordered = _with_date(t["fact_sales"], t["dim_date"], "date").withColumnRenamed("date", "_from")
     shipped = _with_date(ordered, t["dim_date"], "date", on="ship_date_key")
     by_mode = aggregate(
-        shipped.withColumn("_days", F.datediff("date", "_from")).join(
-            modes, "ship_mode_key", "left"
-        ),
+        shipped.withColumn("_days", F.datediff("date", "_from")),
         ["ship_mode", "ship_mode_description"],
         {
             "total_revenue": summed("revenue"),
@@ -278,6 +275,7 @@ def shipping_analysis(t: Tables) -> DataFrame:
             "avg_profit_margin": averaged("profit_margin"),
         },
         {"total_orders": "order_id"},
+        [Lookup("ship_mode_key", modes)],
     ).select(
         "ship_mode",
         "ship_mode_description",
@@ -298,10 +296,9 @@ def state_performance(
     t: Tables, max_broadcast_bytes: int = BROADCAST_BYTES, **ranking
 ) -> DataFrame:
     """Measures, density ratios and revenue place per state."""
-    by_state = aggregate_via(
+    places = t["dim_geography"].select("geography_key", "country", "state", "region")
+    by_state = aggregate(
         _with_date(t["fact_sales"], t["dim_date"], "date"),
-        t["dim_geography"].select("geography_key", "country", "state", "region"),
-        "geography_key",
         ["country", "state", "region"],
         {
             **_place_measures(),
@@ -309,6 +306,7 @@ def state_performance(
             "last_order_date": greatest("date"),
         },
         _PLACE_COUNTS,
+        [Lookup("geography_key", places)],
         max_broadcast_bytes,
     ).select(
         "country",
@@ -333,6 +331,11 @@ def state_performance(
     return global_rank(staged, {"total_revenue": "state_revenue_rank"}, **ranking)
 
 
+def _ordered_in(t: Tables, *attributes: str) -> Lookup:
+    dates = t["dim_date"].select(F.col("date_key").alias("order_date_key"), *attributes)
+    return Lookup("order_date_key", dates)
+
+
 def _with_date(
     fact: DataFrame, dates: DataFrame, *attributes: str, on: str = "order_date_key"
 ) -> DataFrame:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,9 +10,9 @@ from retail import rows
 
 from shelfmark.functions.measures import averaged, counted_units, greatest, least, summed
 from shelfmark.operators import (
+    Lookup,
     add_dense_key,
     aggregate,
-    aggregate_via,
     attach_key,
     drop_staged,
     fits_broadcast,
@@ -241,21 +242,42 @@ def test_dropped_stage_is_gone(spark, tmp_path, monkeypatch):
 
 
 @pytest.mark.parametrize("limit", [0, 10_000])
-def test_aggregate_via_dimension_both_ways(spark, limit):
+def test_aggregate_over_lookups_both_ways(spark, limit):
     data, df = _sales(spark)
-    # place "a" lies in two regions, "gone" and NULL in none
-    regions = {"hot": ["west"], "a": ["west", "east"], "b": ["east"]}
-    dim = spark.createDataFrame(
-        [(p, r) for p, all_r in regions.items() for r in all_r], "place string, region string"
+    # place "a" lies in two regions, "dull" in an unnamed one, "gone" and NULL in none
+    data = [("dull" if r[2] == "o7" else r[0], *r[1:]) for r in data]
+    df = spark.createDataFrame(data, df.schema)
+    regions = {"hot": ["west"], "a": ["west", "east"], "b": ["east"], "dull": [None]}
+    places = spark.createDataFrame(
+        [(p, r, r and r[0]) for p, found in regions.items() for r in found],
+        "place string, region string, short string",
     )
-    got = aggregate_via(df, dim, "place", ["year", "region"], _measures(), COUNTS, max_broadcast_bytes=limit)
-    expected = _expected(data, lambda r: [(r[1], g) for g in regions.get(r[0], [None])])
-    found = _as_dict(got, ["year", "region"])
-    assert found.keys() == expected.keys()
+    eras = spark.createDataFrame([(1, "old"), (2, "new")], "year int, era string")
+    got = aggregate(
+        df,
+        ["era", "region", "year"],
+        _measures(),
+        COUNTS,
+        [Lookup("place", places.drop("short")), Lookup("year", eras)],
+        max_broadcast_bytes=limit,
+    )
+    era = {1: "old", 2: "new", None: None}
+    expected = _expected(data, lambda r: [(era[r[1]], g, r[1]) for g in regions.get(r[0], [None])])
+    found = _as_dict(got, ["era", "region", "year"])
+    assert found.keys() == expected.keys() and got.count() == len(expected)
     for key, figures in found.items():
         assert figures == pytest.approx(expected[key])
 
 
+def test_small_lookup_groups_by_number(spark):
+    _, df = _sales(spark)
+    places = spark.createDataFrame([("a", "west"), ("hot", "east")], "place string, region string")
+    got = aggregate(stage(df, "sales"), ["region"], {"units": counted_units("n")}, {"orders": "order_id"}, [Lookup("place", places)])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # the distinct exchange carries a number, not the region
+    assert re.search(r"hashpartitioning\(_group0#\d+, order_id#", plan)
+
+
 def test_stage_writes_below_the_named_folder(spark):
     root = staging_root(spark)
     assert root.startswith(spark.conf.get("spark.checkpoint.dir"))
