@@ -78,41 +78,57 @@ def ingest_folder(
     return tables, report
 
 
-def build_star(raw: Mapping[str, DataFrame], sink: Sink, **fact_options) -> dict[str, DataFrame]:
-    """Dimensions first, then the facts that look keys up in the written dimensions.
+def star_plans(
+    raw: Mapping[str, DataFrame],
+    star: Mapping[str, DataFrame],
+    lookup: str = "as_is",
+    method: str = "inline",
+    null_safe_geography: bool = False,
+) -> dict[str, Callable[[], DataFrame]]:
+    """Table name -> plan, dimensions first. The facts look keys up in ``star``.
 
     ``raw`` holds ``orders``, ``people`` and ``returns``.
     """
-    orders = dims.conform_orders(raw["orders"])
-    star: dict[str, DataFrame] = {}
 
-    def write(name: str, df: DataFrame) -> None:
-        star[name] = sink("silver", name, df)
-
-    write("dim_customer", dims.dim_customer(orders))
-    write("dim_product", dims.dim_product(orders))
-    write("dim_geography", dims.dim_geography(orders))
-    write("dim_ship_mode", dims.dim_ship_mode(orders))
-    write("dim_date", dims.dim_date(orders))
-    write("dim_regional_manager", dims.dim_regional_manager(raw["people"]))
-    write("fact_sales", facts.fact_sales(orders, star, **fact_options))
-    returned_options = {k: v for k, v in fact_options.items() if k in ("lookup", "method")}
-    write("fact_returns", facts.fact_returns(orders, raw["returns"], star, **returned_options))
+    def orders() -> DataFrame:
+        return dims.conform_orders(raw["orders"])
+
+    return {
+        "dim_customer": lambda: dims.dim_customer(orders()),
+        "dim_product": lambda: dims.dim_product(orders()),
+        "dim_geography": lambda: dims.dim_geography(orders()),
+        "dim_ship_mode": lambda: dims.dim_ship_mode(orders()),
+        "dim_date": lambda: dims.dim_date(orders()),
+        "dim_regional_manager": lambda: dims.dim_regional_manager(raw["people"]),
+        "fact_sales": lambda: facts.fact_sales(
+            orders(), star, lookup, method, null_safe_geography
+        ),
+        "fact_returns": lambda: facts.fact_returns(
+            orders(), raw["returns"], star, lookup, method
+        ),
+    }
+
+
+def build_star(raw: Mapping[str, DataFrame], sink: Sink, **options) -> dict[str, DataFrame]:
+    """Write the star schema; options as for :func:`star_plans`."""
+    star: dict[str, DataFrame] = {}
+    for name, plan in star_plans(raw, star, **options).items():
+        star[name] = sink("silver", name, plan())
     return star
 
 
 def build_marts(star: Mapping[str, DataFrame], sink: Sink, **ltv_options) -> dict[str, DataFrame]:
-    """All seven marts; ``ltv_options`` set the customer tiers."""
+    """Write all seven marts; ``ltv_options`` set the customer tiers."""
     plans = {
-        "agg_monthly_sales": marts.monthly_sales(star),
-        "agg_customer_lifetime_value": marts.customer_lifetime_value(star, **ltv_options),
-        "agg_product_performance": marts.product_performance(star),
-        "agg_regional_summary": marts.regional_summary(star),
-        "agg_category_trends": marts.category_trends(star),
-        "agg_shipping_analysis": marts.shipping_analysis(star),
-        "agg_state_performance": marts.state_performance(star),
+        "agg_monthly_sales": marts.monthly_sales,
+        "agg_customer_lifetime_value": lambda t: marts.customer_lifetime_value(t, **ltv_options),
+        "agg_product_performance": marts.product_performance,
+        "agg_regional_summary": marts.regional_summary,
+        "agg_category_trends": marts.category_trends,
+        "agg_shipping_analysis": marts.shipping_analysis,
+        "agg_state_performance": marts.state_performance,
     }
-    return {name: sink("gold", name, plan) for name, plan in plans.items()}
+    return {name: sink("gold", name, plan(star)) for name, plan in plans.items()}
 
 
 def _escaped(path: str) -> str:

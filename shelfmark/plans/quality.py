@@ -41,14 +41,19 @@ def table_inventory(layers: Mapping[str, Mapping[str, DataFrame]]) -> DataFrame:
 def duplicate_keys(
     dims: Mapping[str, DataFrame], dimensions: Iterable[Dimension] = LINE_DIMENSIONS
 ) -> DataFrame:
-    """Business keys that own more than one dimension row."""
+    """Business keys that own more than one dimension row, as text."""
     return _union(
         dims[d.table]
-        .groupBy(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in d.business])
-                 .alias("business_key"), *d.business)
+        .groupBy(*d.business)
         .agg(F.count(F.lit(1)).alias("versions"))
         .where("versions > 1")
-        .select(F.lit(d.table).alias("dimension"), "business_key", "versions")
+        .select(
+            F.lit(d.table).alias("dimension"),
+            F.concat_ws(
+                "|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in d.business]
+            ).alias("business_key"),
+            "versions",
+        )
         for d in dimensions
     )
 

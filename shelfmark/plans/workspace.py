@@ -1,22 +1,42 @@
-"""Raw and star tables of a source folder, staged once per application."""
+"""Raw and star tables of a source folder, staged on first use."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfmark.operators import stage
-from shelfmark.plans.pipeline import build_star
+from shelfmark.plans.pipeline import star_plans
 from shelfmark.sources import raw_orders, raw_people, raw_returns
 
 SOURCE_TABLES = ("lineitem", "orders", "customer", "nation", "region", "part", "supplier")
 
 
+class StagedTables(Mapping[str, DataFrame]):
+    """Tables by name; a table is computed and written when first asked for."""
+
+    def __init__(self, plans: dict[str, Callable[[], DataFrame]]):
+        self.plans = plans
+        self.written: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.written:
+            self.written[name] = stage(self.plans[name](), name)
+        return self.written[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.plans)
+
+    def __len__(self) -> int:
+        return len(self.plans)
+
+
 @dataclass(frozen=True)
 class Workspace:
-    raw: dict[str, DataFrame]
-    star: dict[str, DataFrame]
+    raw: StagedTables
+    star: StagedTables
 
 
 _open: dict[tuple, Workspace] = {}
@@ -31,19 +51,19 @@ def open_workspace(spark: SparkSession, folder: str) -> Workspace:
     """
     key = (spark.sparkContext.applicationId, folder, _state(spark, folder))
     if key not in _open:
-        _open[key] = build_workspace(spark, folder)
+        raw = StagedTables(
+            {
+                "orders": lambda: raw_orders(spark, folder),
+                "people": lambda: raw_people(spark, folder),
+                "returns": lambda: raw_returns(spark, folder),
+            }
+        )
+        star = StagedTables({})
+        star.plans.update(star_plans(raw, star))
+        _open[key] = Workspace(raw, star)
     return _open[key]
 
 
-def build_workspace(spark: SparkSession, folder: str) -> Workspace:
-    raw = {
-        "orders": stage(raw_orders(spark, folder), "raw_orders"),
-        "people": stage(raw_people(spark, folder), "raw_people"),
-        "returns": stage(raw_returns(spark, folder), "raw_returns"),
-    }
-    return Workspace(raw, build_star(raw, lambda layer, name, df: stage(df, name)))
-
-
 def _state(spark: SparkSession, folder: str) -> tuple:
     """(file, size, modification time) of the source files; a listing, no job."""
     hadoop = spark._jvm.org.apache.hadoop.fs

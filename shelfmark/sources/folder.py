@@ -15,7 +15,6 @@ def discover(spark: SparkSession, folder: str) -> DataFrame:
     Only the listing is read: file content is a column that is not selected.
     """
     files = spark.read.format("binaryFile").load(folder).select("path", "length")
-    # paths arrive URL-encoded only for reserved characters of the scheme; names are the last part
     name = F.element_at(F.split("path", "/"), -1)
     suffix = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
     kind = F.lit("unsupported")

@@ -19,6 +19,9 @@ def spark(tmp_path_factory):
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "6g")
         .config("spark.sql.shuffle.partitions", "3")
+        # tiny inputs: compiling each plan would take longer than running it;
+        # parity.py and bench.py run with code generation
+        .config("spark.sql.codegen.wholeStage", "false")
         .config("spark.default.parallelism", "2")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints")))
