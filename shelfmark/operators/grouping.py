@@ -34,6 +34,7 @@ def aggregate(
     distinct: Mapping[str, str],
     lookups: Sequence[Lookup] = (),
     max_broadcast_bytes: int = BROADCAST_BYTES,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Group rows by keys: measures, and a count of distinct values per ``distinct`` entry.
 
@@ -50,7 +51,11 @@ def aggregate(
     measures are first aggregated by the lookup key and only these partial
     results are shuffled to the dimension; the distinct counts shuffle narrow
     rows to it, where AQE splits a skewed key.
+
+    ``counted`` gives the rows for the distinct counts, if ``rows`` has joins
+    that only the measures need.
     """
+    counted = rows if counted is None else counted
     small, large = [], []
     for lookup in lookups:
         fits = fits_broadcast(lookup.dim, max_broadcast_bytes)
@@ -60,8 +65,8 @@ def aggregate(
     for i, lookup in enumerate(small):
         number = f"_group{i}"
         numbered = _numbered(lookup, number)
-        rows = rows.join(F.broadcast(numbered.select(lookup.on, number)), lookup.on, "left")
-        rows = rows.withColumn(number, F.coalesce(number, F.lit(0)))
+        rows = _with_group(rows, numbered, lookup.on, number)
+        counted = _with_group(counted, numbered, lookup.on, number)
         labels[number] = numbered.select(number, *lookup.attributes).where(F.col(number) > 0).distinct()
 
     plain = [k for k in keys if not any(k in lookup.attributes for lookup in small)]
@@ -75,15 +80,16 @@ def aggregate(
             for n, m in measures.items()
         }
         measured, stand_ins = _with_stand_ins(_joined(reduced, large), plain)
-        rows, _ = _with_stand_ins(_joined(rows, large), plain)
+        counted = _joined(counted, large)
     else:
-        rows, stand_ins = _with_stand_ins(rows, plain)
-        measured, results = rows, {n: m.whole for n, m in measures.items()}
+        results = {n: m.whole for n, m in measures.items()}
+        measured, stand_ins = _with_stand_ins(rows, plain)
+    counted, _ = _with_stand_ins(counted, plain)
 
     groups = [*labels, *stand_ins]
     out = measured.groupBy(*groups).agg(*[c.alias(n) for n, c in results.items()])
     for name, column in distinct.items():
-        counts = rows.groupBy(*groups).agg(F.count_distinct(column).alias(name))
+        counts = counted.groupBy(*groups).agg(F.count_distinct(column).alias(name))
         out = out.join(counts, groups)  # both sides hold every group once
     for number, attributes in labels.items():
         out = out.join(F.broadcast(attributes), number, "left")  # no larger than the dimension
@@ -102,6 +108,11 @@ def _numbered(lookup: Lookup, name: str) -> DataFrame:
     return lookup.dim.withColumn(name, F.when(known, number).otherwise(0))
 
 
+def _with_group(rows: DataFrame, numbered: DataFrame, on: str, name: str) -> DataFrame:
+    joined = rows.join(F.broadcast(numbered.select(on, name)), on, "left")
+    return joined.withColumn(name, F.coalesce(name, F.lit(0)))
+
+
 def _joined(rows: DataFrame, lookups: Sequence[Lookup]) -> DataFrame:
     for lookup in lookups:
         rows = rows.join(lookup.dim, lookup.on, "left")

@@ -91,6 +91,7 @@ def customer_lifetime_value(
             "avg_discount_received": averaged("discount"),
         },
         {"total_orders": "order_id"},
+        counted=t["fact_sales"],
     )
     # orders returned, not return rows
     returned = t["fact_returns"].groupBy("customer_key").agg(
@@ -276,6 +277,7 @@ def shipping_analysis(t: Tables) -> DataFrame:
         },
         {"total_orders": "order_id"},
         [Lookup("ship_mode_key", modes)],
+        counted=t["fact_sales"],
     ).select(
         "ship_mode",
         "ship_mode_description",
@@ -308,6 +310,7 @@ def state_performance(
         _PLACE_COUNTS,
         [Lookup("geography_key", places)],
         max_broadcast_bytes,
+        counted=t["fact_sales"],
     ).select(
         "country",
         "state",
