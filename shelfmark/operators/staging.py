@@ -7,25 +7,20 @@ the optimizer true sizes, and outlives lost executors.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-_local_root: dict[str, str] = {}
+def staging_root(spark: SparkSession, folder: str | None = None) -> str:
+    """Folder for this application's staged tables.
 
-
-def staging_root(spark: SparkSession) -> str:
-    """Folder for this application's staged tables."""
-    app = spark.sparkContext.applicationId
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("start Spark with spark.checkpoint.dir on a folder all executors share")
-        shared = _local_root.setdefault(app, "") or tempfile.mkdtemp(prefix="shelfmark-")
-        _local_root[app] = shared
-    return f"{shared.rstrip('/')}/shelfmark-{app}"
+    ``folder``, else the session's ``spark.checkpoint.dir``, else its warehouse:
+    places that every executor shares.
+    """
+    shared = folder or spark.conf.get("spark.checkpoint.dir", None)
+    shared = shared or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staging"
+    return f"{shared.rstrip('/')}/shelfmark-{spark.sparkContext.applicationId}"
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
