@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import quality, sql
+from shelfmark.llm import chat, mixing, quality, sharding, sql, urls
 from shelfmark.llm.text import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,10 +19,37 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_measures(documents(spark, folder)).select(*OP1_COLUMNS)
 
 
+def op2_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """16 shards of equal row counts along a Hilbert curve through source, language and size."""
+    return sharding.shard_documents(documents(spark, folder))
+
+
+def op7_chat_collapse(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns of maximal conversations as chat markup."""
+    return chat.collapse_and_render(spark.read.parquet(f"{folder}/conversations.parquet"))
+
+
+def op9_flow_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """Words that a mix at target weights takes of each document."""
+    out = mixing.mix(documents(spark, folder))
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict on every page by rules and listed URLs."""
+    return urls.judge_pages(spark.read.parquet(f"{folder}/pages.parquet"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_hilbert_shards": op2_hilbert_shards,
+    "op7_chat_collapse": op7_chat_collapse,
+    "op9_flow_mix": op9_flow_mix,
+    "op10_url_filter": op10_url_filter,
 }
 
 ORACLE: dict[str, str] = {
     "op1_quality_rules": sql.OP1,
+    "op7_chat_collapse": sql.OP7,
+    "op10_url_filter": sql.OP10,
 }

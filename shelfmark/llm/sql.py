@@ -64,3 +64,47 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND coalesce(ok, true) AS kept
 FROM b LEFT JOIN fine USING (doc_id)
 """
+
+OP7 = """
+WITH t AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS at_, role, text
+    FROM conversations
+), c AS (
+    SELECT conv_id, list(ROW(role, text) ORDER BY at_) AS turns, count(*) AS n FROM t GROUP BY conv_id
+), maximal AS (
+    SELECT min(conv_id) AS conv_id, n, turns FROM c GROUP BY n, turns
+), kept AS (
+    SELECT m.conv_id, m.n FROM maximal m
+    WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.n > m.n AND c.turns[1] = m.turns[1] AND c.turns[1:m.n] = m.turns)
+)
+SELECT conv_id, at_ AS at, n AS n_turns,
+       '<|im_start|>' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10)
+       AS rendered
+FROM t JOIN kept USING (conv_id)
+"""
+
+_HOST = "translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PATH = "regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+
+OP10 = rf"""
+WITH rules(rule_host, rule_path, verdict) AS (
+    VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+           ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+), p AS (
+    SELECT page_id, {_HOST} AS host, {_PATH} AS path, row_number() OVER () AS row_no FROM pages
+), k AS (
+    SELECT *, regexp_replace(host, '^(www|m|blog)\.', '') || regexp_replace(path, '(\.html?|/+)$', '') AS key FROM p
+), listed AS (
+    SELECT DISTINCT key FROM k
+    WHERE list_has_any(string_split(host, '.'), ['ads-track', 'adult-x']) AND host <> ''
+), fit AS (
+    SELECT row_no, rule_host || rule_path AS rule, verdict,
+           row_number() OVER (PARTITION BY row_no ORDER BY length(rule_host || rule_path) DESC) AS place
+    FROM k JOIN rules
+      ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+)
+SELECT page_id, host, path, fit.rule,
+       coalesce(fit.verdict, CASE WHEN host <> '' AND key IN (SELECT key FROM listed) THEN 'block' ELSE 'allow' END)
+       AS verdict
+FROM k LEFT JOIN fit ON fit.row_no = k.row_no AND place = 1
+"""
