@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import chat, mixing, quality, sharding, sql, urls
+from shelfmark.llm import chat, decontaminate, mixing, quality, sharding, sql, toxicity, urls
 from shelfmark.llm.text import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,17 @@ def op2_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, folder))
 
 
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity scores of all documents from the labels that are not held out."""
+    return toxicity.toxicity(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
+def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document that lie in windows of benchmark items."""
+    items = spark.read.parquet(f"{folder}/benchmark.parquet")
+    return decontaminate.contamination(documents(spark, folder), items).drop("text_hash")
+
+
 def op7_chat_collapse(spark: SparkSession, folder: str) -> DataFrame:
     """Turns of maximal conversations as chat markup."""
     return chat.collapse_and_render(spark.read.parquet(f"{folder}/conversations.parquet"))
@@ -43,6 +54,8 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_hilbert_shards": op2_hilbert_shards,
+    "op3_toxicity": op3_toxicity,
+    "op6_decontaminate": op6_decontaminate,
     "op7_chat_collapse": op7_chat_collapse,
     "op9_flow_mix": op9_flow_mix,
     "op10_url_filter": op10_url_filter,
@@ -50,6 +63,7 @@ QUERIES: dict[str, Query] = {
 
 ORACLE: dict[str, str] = {
     "op1_quality_rules": sql.OP1,
+    "op6_decontaminate": sql.OP6,
     "op7_chat_collapse": sql.OP7,
     "op10_url_filter": sql.OP10,
 }

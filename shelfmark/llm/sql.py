@@ -108,3 +108,30 @@ SELECT page_id, host, path, fit.rule,
        AS verdict
 FROM k LEFT JOIN fit ON fit.row_no = k.row_no AND place = 1
 """
+
+_TOKENS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP6 = f"""
+WITH items AS (
+    SELECT item_id, {_TOKENS} AS w FROM benchmark
+), windows AS (
+    SELECT DISTINCT item_id, array_to_string(w[i:i + n - 1], ' ') AS win, n
+    FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i
+          FROM items WHERE len(w) > 0)
+), d AS (
+    SELECT doc_id, {_TOKENS} AS w FROM documents
+), occurrences AS (
+    SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS win
+    FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+          FROM d CROSS JOIN (SELECT DISTINCT n FROM windows))
+), met AS (
+    SELECT doc_id, i, o.n, item_id FROM occurrences o JOIN windows w ON o.win = w.win AND o.n = w.n
+), hit AS (
+    SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM met) GROUP BY 1
+), ids AS (
+    SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS ids FROM met GROUP BY 1
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(ids), 0) AS n_items,
+       sha256(array_to_string(coalesce(ids, []), ',')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
+"""

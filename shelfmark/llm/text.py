@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,3 +33,32 @@ def window_hashes(tokens: Column, k: int) -> Column:
 
 def documents(spark, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
+
+
+class WordHashes(dict):
+    """64-bit hashes of words as bytes; remembers some, of a task."""
+
+    most = 400_000
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) >= self.most:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+    def of(self, found: Sequence[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, found), dtype=np.uint64, count=len(found))
+
+
+def run_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
+    """64-bit hash of every run of k hashes."""
+    n = len(hashes) - k + 1
+    if n <= 0:
+        return np.empty(0, dtype=np.uint64)
+    out = np.full(n, 0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64, dtype=np.uint64)
+    for i in range(k):
+        out = (out ^ hashes[i : i + n]) * np.uint64(0xD6E8FEB86659FD93)
+        out ^= out >> np.uint64(32)
+    return out
