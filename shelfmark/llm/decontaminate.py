@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.text import WordHashes, run_hashes
+from shelfmark.llm.text import WordHashes, bit_filter, in_filter, run_hashes
 from shelfmark.operators import stage
 
 WINDOW = 10  # words of an item that make a hit; a shorter item is one window
@@ -70,18 +70,6 @@ def prefix_tokens(windows: DataFrame) -> DataFrame:
     return ranked.select("words", "n", "k", "items", "rarest.h", "rarest.place")
 
 
-def _filter_bits(prefixes: DataFrame) -> np.ndarray:
-    """One bit per prefix shingle. Words of the bit map, 2 ** (LOG_BITS - 6) rows at most, come back."""
-    bit = F.shiftrightunsigned("h", 64 - LOG_BITS)
-    rows = prefixes.select(bit.alias("bit")).select(
-        F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, CAST(bit & 63 AS INT))").alias("mask")
-    )
-    out = np.zeros(1 << (LOG_BITS - 6), dtype=np.int64)
-    for row in rows.groupBy("word").agg(F.bit_or("mask").alias("mask")).collect():
-        out[row["word"]] = row["mask"]
-    return out.view(np.uint64)
-
-
 def text_hash() -> Column:
     return F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_hash")
 
@@ -103,9 +91,7 @@ def scan(docs: DataFrame, bits: np.ndarray, sizes: list[int], window: int = WIND
                 hashes = known.of(found)
                 for k in sizes:
                     h = run_hashes(hashes, k)
-                    bit = h >> np.uint64(64 - LOG_BITS)
-                    there = (bits[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)
-                    for at in np.flatnonzero(there).tolist():
+                    for at in np.flatnonzero(in_filter(h, bits, LOG_BITS)).tolist():
                         begin = max(0, at - (window - k))
                         around = b" ".join(found[begin : at + window]).decode("utf-8")
                         hits.append((int(h[at : at + 1].view(np.int64)[0]), k, at, begin, around))
@@ -151,7 +137,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     windows = stage(item_windows(items, window), "windows")
     prefixes = stage(prefix_tokens(windows), "prefixes")
     sizes = sorted(r[0] for r in prefixes.select("k").distinct().collect())  # 1 to 5
-    scanned = scan(docs, _filter_bits(prefixes), sizes, window)
+    scanned = scan(docs, bit_filter(prefixes, LOG_BITS), sizes, window)
     scanned = stage(scanned.withColumn("row_", F.monotonically_increasing_id()), "scanned")
 
     places = scanned.where(F.size("hits") > 0).select("row_", "n_words", F.explode("hits").alias("hit"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import chat, decontaminate, mixing, quality, sharding, sql, toxicity, urls
+from shelfmark.llm import chat, decontaminate, licenses, mixing, quality, sharding, sql, toxicity, urls
 from shelfmark.llm.text import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,11 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
 
 
+def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """License notices in documents."""
+    return licenses.license_matches(documents(spark, folder))
+
+
 def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """Words of every document that lie in windows of benchmark items."""
     items = spark.read.parquet(f"{folder}/benchmark.parquet")
@@ -55,6 +60,7 @@ QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_hilbert_shards": op2_hilbert_shards,
     "op3_toxicity": op3_toxicity,
+    "op4_license_scan": op4_license_scan,
     "op6_decontaminate": op6_decontaminate,
     "op7_chat_collapse": op7_chat_collapse,
     "op9_flow_mix": op9_flow_mix,

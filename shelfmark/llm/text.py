@@ -20,15 +20,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def words(text: Column) -> Column:
     """Runs of anything but ASCII white space; none for NULL."""
-    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
     none = F.array().cast("array<string>")
-    return F.when(trimmed == "", none).otherwise(F.split(trimmed, f"{SPACE}+"))
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
+    return let(trimmed, lambda t: F.when(t == "", none).otherwise(F.split(t, f"{SPACE}+")))
 
 
 def window_hashes(tokens: Column, k: int) -> Column:
     """64-bit hash of every run of k tokens, in order."""
-    starts = F.slice(tokens, 1, F.greatest(F.size(tokens) - (k - 1), F.lit(0)))
-    return F.transform(starts, lambda _, i: F.xxhash64(F.slice(tokens, i + 1, k)))
+
+    def over(found: Column) -> Column:
+        starts = F.slice(found, 1, F.greatest(F.size(found) - (k - 1), F.lit(0)))
+        return F.transform(starts, lambda _, i: F.xxhash64(F.slice(found, i + 1, k)))
+
+    return let(tokens, over)
 
 
 def documents(spark, folder: str) -> DataFrame:
@@ -62,3 +66,21 @@ def run_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
         out = (out ^ hashes[i : i + n]) * np.uint64(0xD6E8FEB86659FD93)
         out ^= out >> np.uint64(32)
     return out
+
+
+def bit_filter(hashes: DataFrame, log_bits: int) -> np.ndarray:
+    """A bit per top bits of column ``h``; 2 ** (log_bits - 6) rows at most come back, whatever is in it."""
+    bit = F.shiftrightunsigned("h", 64 - log_bits)
+    rows = hashes.select(bit.alias("bit")).select(
+        F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, CAST(bit & 63 AS INT))").alias("mask")
+    )
+    out = np.zeros(1 << (log_bits - 6), dtype=np.int64)
+    for row in rows.groupBy("word").agg(F.bit_or("mask").alias("mask")).collect():
+        out[row["word"]] = row["mask"]
+    return out.view(np.uint64)
+
+
+def in_filter(hashes: np.ndarray, bits: np.ndarray, log_bits: int) -> np.ndarray:
+    """Whether each hash (unsigned) may be in the filter."""
+    bit = hashes >> np.uint64(64 - log_bits)
+    return (bits[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
