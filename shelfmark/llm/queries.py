@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import chat, decontaminate, licenses, mixing, quality, sharding, sql, toxicity, urls
+from shelfmark.llm import chat, decontaminate, jaccard, licenses, mixing, quality, sharding, sql, toxicity, urls
 from shelfmark.llm.text import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,11 @@ def op7_chat_collapse(spark: SparkSession, folder: str) -> DataFrame:
     return chat.collapse_and_render(spark.read.parquet(f"{folder}/conversations.parquet"))
 
 
+def op8_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents linked by a 3-word shingle similarity of 0.9."""
+    return jaccard.near_duplicate_classes(documents(spark, folder))
+
+
 def op9_flow_mix(spark: SparkSession, folder: str) -> DataFrame:
     """Words that a mix at target weights takes of each document."""
     out = mixing.mix(documents(spark, folder))
@@ -63,6 +68,7 @@ QUERIES: dict[str, Query] = {
     "op4_license_scan": op4_license_scan,
     "op6_decontaminate": op6_decontaminate,
     "op7_chat_collapse": op7_chat_collapse,
+    "op8_ngram_join": op8_ngram_join,
     "op9_flow_mix": op9_flow_mix,
     "op10_url_filter": op10_url_filter,
 }

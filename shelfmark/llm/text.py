@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,3 +85,10 @@ def in_filter(hashes: np.ndarray, bits: np.ndarray, log_bits: int) -> np.ndarray
     """Whether each hash (unsigned) may be in the filter."""
     bit = hashes >> np.uint64(64 - log_bits)
     return (bits[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+
+
+def long_lists(arrays: Sequence[np.ndarray]) -> pa.Array:
+    """An Arrow list of 64-bit numbers per array."""
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    values = np.concatenate([*arrays, np.empty(0, dtype=np.int64)] if not arrays else arrays).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int64()))
