@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import chat, decontaminate, jaccard, licenses, mixing, quality, sharding, sql, toxicity, urls
+from shelfmark.llm import chat, decontaminate, jaccard, licenses, mixing, quality, repeats, sharding, sql, toxicity, urls
 from shelfmark.llm.text import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,11 @@ def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.license_matches(documents(spark, folder))
 
 
+def op5_repeated_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes left of every document without 50-byte strings of earlier documents."""
+    return repeats.remove_repeats(documents(spark, folder))
+
+
 def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """Words of every document that lie in windows of benchmark items."""
     items = spark.read.parquet(f"{folder}/benchmark.parquet")
@@ -66,6 +71,7 @@ QUERIES: dict[str, Query] = {
     "op2_hilbert_shards": op2_hilbert_shards,
     "op3_toxicity": op3_toxicity,
     "op4_license_scan": op4_license_scan,
+    "op5_repeated_bytes": op5_repeated_bytes,
     "op6_decontaminate": op6_decontaminate,
     "op7_chat_collapse": op7_chat_collapse,
     "op8_ngram_join": op8_ngram_join,

@@ -75,9 +75,9 @@ def bit_filter(hashes: DataFrame, log_bits: int) -> np.ndarray:
     rows = hashes.select(bit.alias("bit")).select(
         F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, CAST(bit & 63 AS INT))").alias("mask")
     )
+    found = rows.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
     out = np.zeros(1 << (log_bits - 6), dtype=np.int64)
-    for row in rows.groupBy("word").agg(F.bit_or("mask").alias("mask")).collect():
-        out[row["word"]] = row["mask"]
+    out[found.column("word").to_numpy()] = found.column("mask").to_numpy()
     return out.view(np.uint64)
 
 
