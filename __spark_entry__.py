@@ -19,6 +19,12 @@ from shelfmark.plans import reports as r  # noqa: E402
 from shelfmark.plans.workspace import Workspace, open_workspace  # noqa: E402
 from shelfmark.sources import raw_orders, raw_people, raw_returns  # noqa: E402
 
+try:  # the subpackage and the pipeline are optional, and only together
+    import corpus_pipeline
+    from shelfmark.llm import queries as llm
+except ImportError:
+    llm = corpus_pipeline = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 # Tier floors that spread the customers of the given tables over all four tiers.
@@ -408,6 +414,19 @@ def _shipping_reports() -> dict[str, Query]:
     }
 
 
+def _llm_queries() -> dict[str, Query]:
+    if llm is None:
+        return {}
+    return {**llm.QUERIES, "pipeline": corpus_pipeline.run}
+
+
+def _llm_oracle() -> dict[str, str]:
+    if llm is None:
+        return {}
+    pipeline = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return {**llm.ORACLE, **pipeline}
+
+
 def queries() -> dict[str, Query]:
     """All queries: (spark, folder of the tables) -> DataFrame."""
     return {
@@ -418,9 +437,10 @@ def queries() -> dict[str, Query]:
         **_product_reports(),
         **_category_reports(),
         **_shipping_reports(),
+        **_llm_queries(),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """Expected result per query as SQL over the same tables."""
-    return dict(oracle.QUERIES)
+    return {**oracle.QUERIES, **_llm_oracle()}
