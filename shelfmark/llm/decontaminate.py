@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.text import WordHashes, bit_filter, in_filter, run_hashes
+from shelfmark.llm.text import bit_filter, in_filter, run_hashes, word_hashes
 from shelfmark.operators import stage
 
 WINDOW = 10  # words of an item that make a hit; a shorter item is one window
@@ -20,9 +21,14 @@ _TABLE = bytes(
 )
 
 
+def spaced(text: str | None) -> bytes:
+    """The text with A-Z lower-cased and all but letters, digits and characters beyond ASCII blank."""
+    return text.encode("utf-8").translate(_TABLE) if text else b""
+
+
 def tokens(text: str | None) -> list[bytes]:
     """Words of ASCII letters, digits and all other characters beyond ASCII; A-Z lower-cased."""
-    return text.encode("utf-8").translate(_TABLE).split() if text else []
+    return spaced(text).split()
 
 
 def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -33,7 +39,6 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     """
 
     def cut(batches):
-        known = WordHashes()
         for pdf in batches:
             rows = []
             for item, text in zip(pdf["item_id"], pdf["text"], strict=True):
@@ -42,7 +47,7 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
                     continue
                 size = min(window, len(found))
                 k = min(SHINGLE, size)
-                hashes = run_hashes(known.of(found), k).view(np.int64)
+                hashes = run_hashes(word_hashes([spaced(text)])[0], k).view(np.int64)
                 for at in range(len(found) - size + 1):
                     text_ = b" ".join(found[at : at + size]).decode("utf-8")
                     rows.append((item, text_, size, k, hashes[at : at + size - k + 1].tolist()))
@@ -82,28 +87,34 @@ def scan(docs: DataFrame, bits: np.ndarray, sizes: list[int], window: int = WIND
     """
 
     def run(batches):
-        known = WordHashes()
-        for pdf in batches:
-            out = []
-            for text in pdf["text"]:
-                found = tokens(text)
-                hits = []
-                hashes = known.of(found)
+        kind = pa.list_(
+            pa.struct([("h", pa.int64()), ("k", pa.int32()), ("at", pa.int32()), ("begin", pa.int32()), ("around", pa.string())])
+        )
+        for batch in batches:
+            texts = [spaced(text) for text in batch.column("text").to_pylist()]
+            sizes_of, rows = [], []
+            for text, hashes in zip(texts, word_hashes(texts), strict=True):
+                hits, found = [], None
                 for k in sizes:
                     h = run_hashes(hashes, k)
                     for at in np.flatnonzero(in_filter(h, bits, LOG_BITS)).tolist():
+                        found = text.split() if found is None else found
                         begin = max(0, at - (window - k))
                         around = b" ".join(found[begin : at + window]).decode("utf-8")
-                        hits.append((int(h[at : at + 1].view(np.int64)[0]), k, at, begin, around))
-                out.append((len(found), hits))
-            found = pd.DataFrame(out, columns=["n_words", "hits"], index=pdf.index)
-            yield pd.concat([pdf[["doc_id", "text_hash"]], found], axis=1)
+                        number = int(h[at : at + 1].view(np.int64)[0])
+                        hits.append({"h": number, "k": k, "at": at, "begin": begin, "around": around})
+                sizes_of.append(len(hashes))
+                rows.append(hits)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes_of, pa.int64()), pa.array(rows, kind)],
+                ["doc_id", "text_hash", "n_words", "hits"],
+            )
 
     schema = (
         "doc_id long, text_hash string, n_words long, "
         "hits array<struct<h: long, k: int, at: int, begin: int, around: string>>"
     )
-    return docs.select("doc_id", "text", text_hash()).mapInPandas(run, schema)
+    return docs.select("doc_id", "text", text_hash()).mapInArrow(run, schema)
 
 
 def _covered(spans: Column) -> Column:

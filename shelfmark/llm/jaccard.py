@@ -8,60 +8,66 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.components import components
-from shelfmark.llm.text import WordHashes, bit_filter, in_filter, long_lists, run_hashes
+from shelfmark.llm.text import bit_filter, in_filter, long_lists, release, run_hashes, word_hashes
 from shelfmark.operators import stage
 
 N_GRAM = 3
 PERCENT = 90  # of the union
 COUNTERS = 18  # log2 of the counters that tell rare n-grams from frequent ones
+SAMPLED = 2  # log2: of so many n-grams one is counted exactly
+STEPS = (2, 16, 128, 1024)  # classes of exact counts
 FRAGMENTS = 4  # cuts of the global order
-LOG_BITS = 23
+LOG_BITS = (26, 23)  # of filters: 8 MB and 1 MB, whatever is in them
+WIDTH = 4  # size bands span so many steps of the smallest ratio of sizes that can link
 SALTS = 16
 CHUNK = 4096
-WIDTH = 4  # size bands span so many steps of the smallest ratio of sizes that can link
 
 
-class Sets:
+def gram_sets(texts: pa.Array, n: int) -> tuple[list[np.ndarray], list[str]]:
     """n-gram sets of texts as sorted distinct 64-bit hashes, and their 128-bit digests."""
+    import xxhash
 
-    def __init__(self, n: int = N_GRAM):
-        self.n, self.known = n, WordHashes()
-
-    def of(self, text: str | None) -> np.ndarray:
-        found = text.encode("utf-8").lower().split() if text else []  # both know ASCII only
-        if not found:
-            return np.empty(0, dtype=np.uint64)
-        return np.unique(run_hashes(self.known.of(found), min(self.n, len(found))))
-
-    def all(self, texts: pa.Array) -> tuple[list[np.ndarray], list[str]]:
-        import xxhash
-
-        found = [self.of(text) for text in texts.to_pylist()]
-        return found, [xxhash.xxh3_128_hexdigest(x.tobytes()) for x in found]
+    lowered = [text.encode("utf-8").lower() if text else b"" for text in texts.to_pylist()]  # ASCII alone
+    found = [np.unique(run_hashes(h, min(n, len(h)))) if len(h) else h for h in word_hashes(lowered)]
+    return found, [xxhash.xxh3_128_hexdigest(x.tobytes()) for x in found]
 
 
 class Order:
     """The global n-gram order: by class of rarity, then by hash; and its cuts.
 
-    The class is the binary magnitude of the counter an n-gram falls into, so
-    n-grams much more frequent than a counter's usual load come last. Any fixed
-    order gives the same links; this one keeps frequent n-grams out of prefixes.
+    A fixed fraction of all n-grams, chosen by hash, is counted exactly, and
+    comes first: those of one document, then those of more and more. The others
+    follow by the binary magnitude of a counter they share. Any fixed order
+    gives the same links; this one leaves prefixes with n-grams that no other
+    document has, wherever there are some.
     """
 
-    def __init__(self, counters: np.ndarray, fragments: int):
-        self.shift = np.uint64(64 - COUNTERS)
-        self.classes = np.floor(np.log2(np.maximum(counters, 1))).astype(np.int8)
-        mass = np.bincount(self.classes, counters, 64)
+    def __init__(self, counters: np.ndarray, frequent: list[np.ndarray], fragments: int):
+        self.shared = np.floor(np.log2(np.maximum(counters, 1))).astype(np.int64) + len(frequent) + 1
+        self.frequent, self.fragments = frequent, fragments
+        mass = np.bincount(self.shared, counters, 128)
         self.before, self.mass = np.cumsum(mass) - mass, mass
-        self.total, self.fragments = max(mass.sum(), 1), fragments
+        self.total = max(mass.sum(), 1)
+
+    def classes(self, hashes: np.ndarray) -> np.ndarray:
+        """0: in one document for sure."""
+        out = self.shared[(hashes >> np.uint64(64 - COUNTERS)).astype(np.int64)]
+        counted = np.flatnonzero((hashes & np.uint64((1 << SAMPLED) - 1)) == 0)
+        exact = hashes[counted]
+        kind = np.zeros(len(counted), dtype=np.int64)
+        for i, bits in enumerate(self.frequent):
+            kind += in_filter(exact, bits, LOG_BITS[min(i, 1)])
+        out[counted] = kind
+        return out
 
     def sorted(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The hashes in global order, with their classes."""
-        kind = self.classes[(hashes >> self.shift).astype(np.int64)]
+        kind = self.classes(hashes)
         at = np.lexsort((hashes, kind))
         return hashes[at], kind[at]
 
     def fragment(self, hashes: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """Cuts of the order into shares of about equal weight; the counted n-grams are in the first."""
         place = self.before[kind] + self.mass[kind] * (hashes.astype(np.float64) / 2.0**64)
         return np.minimum(place * self.fragments / self.total, self.fragments - 1).astype(np.int64)
 
@@ -70,11 +76,11 @@ def summaries(docs: DataFrame, n: int) -> DataFrame:
     """Per document its set size, the digest of its set and a hash of its text; per task the n-gram counters."""
 
     def run(batches):
-        sets, counters = Sets(n), np.zeros(1 << COUNTERS, dtype=np.int64)
+        counters = np.zeros(1 << COUNTERS, dtype=np.int64)
         names = ["doc_id", "text_no", "n", "digest", "chunk", "counts"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int64())]
         for batch in batches:
-            found, digests = sets.all(batch.column("text"))
+            found, digests = gram_sets(batch.column("text"), n)
             top = np.concatenate([*found, np.empty(0, dtype=np.uint64)]) >> np.uint64(64 - COUNTERS)
             counters += np.bincount(top.astype(np.int64), minlength=1 << COUNTERS)
             columns = [
@@ -96,48 +102,66 @@ def summaries(docs: DataFrame, n: int) -> DataFrame:
     )
 
 
-def global_order(summary: DataFrame, fragments: int = FRAGMENTS) -> Order:
-    """Adds up the counters; 2 ** COUNTERS numbers come back."""
+def counted_grams(docs: DataFrame, n: int) -> DataFrame:
+    """h, times: documents that hold each of the n-grams that are counted exactly."""
+
+    def run(batches):
+        for batch in batches:
+            found, _ = gram_sets(batch.column("text"), n)
+            every = np.concatenate([*found, np.empty(0, dtype=np.uint64)])
+            h, times = np.unique(every[(every & np.uint64((1 << SAMPLED) - 1)) == 0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(times)], ["h", "times"])
+
+    each = docs.select("text").mapInArrow(run, "h long, times long")
+    return each.groupBy("h").agg(F.sum("times").alias("times")).where(F.col("times") >= STEPS[0])
+
+
+def global_order(summary: DataFrame, docs: DataFrame, n: int, fragments: int = FRAGMENTS) -> Order:
+    """Adds up the counters, and marks frequent n-grams in filters; both are of fixed size."""
     each = summary.where("chunk IS NOT NULL").select("chunk", F.posexplode("counts").alias("at", "n"))
-    totals = each.groupBy((F.col("chunk") * CHUNK + F.col("at")).alias("i")).agg(F.sum("n").alias("n"))
-    packed = totals.groupBy(F.floor(F.col("i") / CHUNK).alias("chunk")).agg(
-        F.collect_list(F.struct("i", "n")).alias("c")
-    )
+    totals = each.groupBy((F.col("chunk") * CHUNK + F.col("at")).alias("i")).agg(F.sum("n").alias("n")).toArrow()
     counters = np.zeros(1 << COUNTERS)
-    for row in packed.collect():
-        for i, n in row["c"]:
-            counters[i] = n
-    return Order(counters, fragments)
+    counters[totals.column("i").to_numpy()] = totals.column("n").to_numpy()
+    several = stage(counted_grams(docs, n), "frequent")
+    frequent = [
+        bit_filter(several.where(F.col("times") >= step), LOG_BITS[min(i, 1)]) for i, step in enumerate(STEPS)
+    ]
+    return Order(counters, frequent, fragments)
 
 
 def prefixes(docs: DataFrame, order: Order, n: int, percent: int) -> DataFrame:
-    """digest, prefix: the first n - ceil(percent * n / 100) + 1 n-grams of each set in global order."""
+    """digest, places, prefix: the first n - ceil(percent * n / 100) + 1 n-grams of each set in global order.
+
+    Without those that no other document has; ``places`` says where the rest stand.
+    """
 
     def run(batches):
-        sets = Sets(n)
         for batch in batches:
-            digests, firsts = [], []
-            for found, digest in zip(*sets.all(batch.column("text")), strict=True):
-                if len(found):
+            digests, places, firsts = [], [], []
+            for found, digest in zip(*gram_sets(batch.column("text"), n), strict=True):
+                found, kind = order.sorted(found)
+                size = len(found) + percent * len(found) // -100 + 1 if len(found) else 0
+                at = np.flatnonzero(kind[:size])
+                if len(at):
                     digests.append(digest)
-                    firsts.append(order.sorted(found)[0][: len(found) + percent * len(found) // -100 + 1])
+                    places.append(at)
+                    firsts.append(found[at])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(digests, pa.string()), long_lists(firsts)], ["digest", "prefix"]
+                [pa.array(digests, pa.string()), long_lists(places), long_lists(firsts)], ["digest", "places", "prefix"]
             )
 
-    return docs.select("text").mapInArrow(run, "digest string, prefix array<long>")
+    return docs.select("text").mapInArrow(run, "digest string, places array<long>, prefix array<long>")
 
 
 def segments(docs: DataFrame, wanted: np.ndarray, order: Order, n: int) -> DataFrame:
     """digest, fragments, parts: the sets of wanted texts, cut by the global order."""
 
     def run(batches):
-        sets = Sets(n)
         for batch in batches:
             hashes = batch.column("text_no").to_numpy(zero_copy_only=False).view(np.uint64)
-            may = batch.filter(pa.array(in_filter(hashes, wanted, LOG_BITS)))
+            may = batch.filter(pa.array(in_filter(hashes, wanted, LOG_BITS[0])))
             digests, fragments, parts = [], [], []
-            for found, digest in zip(*sets.all(may.column("text")), strict=True):
+            for found, digest in zip(*gram_sets(may.column("text"), n), strict=True):
                 found, kind = order.sorted(found)
                 cut = order.fragment(found, kind)
                 for f in np.unique(cut).tolist():
@@ -235,11 +259,16 @@ def near_duplicate_classes(docs: DataFrame, n: int = N_GRAM, percent: int = PERC
         F.min("doc_id").alias("first"), F.min("text_no").alias("text_no"), F.count(F.lit(1)).alias("members")
     )
     classes = stage(classes.withColumn("class_id", F.monotonically_increasing_id()), "classes")
-    order = global_order(summary)
+    order = global_order(summary, docs, n)
+
+    release(docs.sparkSession)
 
-    firsts = prefixes(docs, order, n, percent).groupBy("digest").agg(F.first("prefix").alias("prefix"))
-    firsts = stage(firsts.join(classes, "digest").select("class_id", "first", "n", "prefix"), "prefixes")
-    tokens = firsts.select("class_id", "first", "n", F.posexplode("prefix").alias("place", "token"))
+    firsts = prefixes(docs, order, n, percent).dropDuplicates(["digest"])
+    firsts = stage(firsts.join(classes, "digest").select("class_id", "first", "n", "places", "prefix"), "prefixes")
+    zipped = F.explode(F.arrays_zip("places", "prefix")).alias("x")
+    tokens = firsts.select("class_id", "first", "n", zipped).select(
+        "class_id", "first", "n", F.col("x.places").alias("place"), F.col("x.prefix").alias("token")
+    )
     buckets = _bucketed(tokens, percent)
 
     least = F.min(F.struct("first", "class_id", "n")).alias("least")
@@ -251,10 +280,12 @@ def near_duplicate_classes(docs: DataFrame, n: int = N_GRAM, percent: int = PERC
 
     involved = classes.join(members.select("class_id").distinct(), "class_id", "left_semi")
     involved = stage(involved.select("class_id", "digest", "text_no"), "involved")
-    wanted = bit_filter(involved.select(F.col("text_no").alias("h")), LOG_BITS)
+    wanted = bit_filter(involved.select(F.col("text_no").alias("h")), LOG_BITS[0])
     parts = segments(docs, wanted, order, n).groupBy("digest", "fragment").agg(F.first("part").alias("part"))
     parts = stage(parts.join(involved, "digest").select("class_id", "fragment", "part"), "segments")
 
+    release(docs.sparkSession)
+
     links = stage(linked(_pairs_with(members, leaders, percent), parts, percent), "links")
     labels = components(links)
     left, second = _open_buckets(members, labels)

@@ -5,16 +5,15 @@ Sampled suffixes, named by sorting, and induction of the rest from them, level b
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.text import bit_filter, in_filter
+from shelfmark.llm.text import bit_filter, eights, in_filter, mixed, release
 from shelfmark.operators import stage
 
 LENGTH = 50  # bytes of a repeated string
@@ -26,37 +25,19 @@ CHUNK = 1 << 20  # bytes that a task works on at once; longer texts are cut with
 PLACE_BITS = 22  # enough for a place in a chunk
 SALTS = 16
 NONE = np.uint64(2**64 - 1)
-_MUL = tuple(
-    np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
-)
-
-
-def _eights(data: np.ndarray) -> np.ndarray:
-    """The eight bytes from every place on, as one number; zeros beyond the end."""
-    n = len(data)
-    padded = np.concatenate([data, np.zeros(16, dtype=np.uint8)])
-    out = np.empty(n, dtype=np.uint64)
-    for r in range(8):
-        m = (n - r + 7) // 8
-        out[r::8] = padded[r : r + 8 * m].view("<u8")[:m]
-    return out
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * _MUL[3]
-    return h ^ (h >> np.uint64(29))
+_MUL = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
-def _gram_hash(eights: np.ndarray, at: np.ndarray | slice, length: int, seed: int = 0) -> np.ndarray:
+def _gram_hash(words: np.ndarray, at: np.ndarray | slice, length: int, seed: int = 0) -> np.ndarray:
     """Hash of the ``length`` bytes from each place."""
     steps = [*range(0, length - 8, 8), length - 8]
     if isinstance(at, slice):
-        words = [eights[at.start + s : at.stop + s] for s in steps]
+        found = [words[at.start + s : at.stop + s] for s in steps]
     else:
-        words = [eights[at + s] for s in steps]
-    h = np.full(len(words[0]), (length * 2 + 1) * (seed * 2 + 0x51ED27), dtype=np.uint64)
-    for i, word in enumerate(words):
-        h = _mix(h ^ (word * _MUL[i % 3]))
+        found = [words[at + s] for s in steps]
+    h = np.full(len(found[0]), (length * 2 + 1) * (seed * 2 + 0x51ED27), dtype=np.uint64)
+    for i, word in enumerate(found):
+        h = mixed(h ^ (word * _MUL[i % 3]))
     return h
 
 
@@ -87,7 +68,7 @@ class Chunk:
         ends = np.cumsum(sizes)
         self.starts = ends - sizes
         data = np.frombuffer(b"".join(p[3] for p in pieces) + bytes(2 * LENGTH), dtype=np.uint8)
-        self.eights = _eights(data)
+        self.eights = eights(data)
         total = int(ends[-1])
         grams = _gram_hash(self.eights, slice(0, total), GRAM)
         low_bits = np.uint64((1 << PLACE_BITS) - 1)
@@ -122,16 +103,16 @@ class Chunk:
             mine, at, first, last = of[some], at[some], first[some], last[some]
             key = _gram_hash(self.eights, at - near, LENGTH - (far - near))
             content = _gram_hash(self.eights, first, LENGTH, 1) * _MUL[0]
-            content = _mix(content ^ _gram_hash(self.eights, last, LENGTH, 2))
+            content = mixed(content ^ _gram_hash(self.eights, last, LENGTH, 2))
             shape = ((at - first) * 64 + (last - first)).astype(np.uint64)
-            out.append((mine, key, _mix(content ^ (shape * _MUL[1])), first, last))
+            out.append((mine, key, mixed(content ^ (shape * _MUL[1])), first, last))
         names = ("sample", "key", "content", "first", "last")
         return {n: np.concatenate([o[i] for o in out]) for i, n in enumerate(names)}
 
 
 def _mark(key: np.ndarray, content: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Filter hash of one document's unit. Spark builds the filters, with the same steps."""
-    return _mix(key ^ (content * _MUL[0]) ^ (doc.astype(np.int64).view(np.uint64) * _MUL[1]))
+    return mixed(key ^ (content * _MUL[0]) ^ (doc.astype(np.int64).view(np.uint64) * _MUL[1]))
 
 
 def _pieces(batch: pa.RecordBatch, firsts: np.ndarray) -> Iterator[list[tuple[int, int, int, bytes]]]:
@@ -220,14 +201,6 @@ def _first_marks(rows: DataFrame) -> DataFrame:
     return rows.select("key", "content", "lo").mapInArrow(run, "h long")
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove shuffle files of plans that are no longer referred to."""
-    gc.collect()
-    jvm = getattr(spark, "_jvm", None)
-    if jvm is not None:
-        jvm.System.gc()
-
-
 def resolve(units: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What is decided at a level, and what the next one has to look at.
 

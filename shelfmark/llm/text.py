@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The ASCII white space that separates words.
@@ -40,21 +41,52 @@ def documents(spark, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
-class WordHashes(dict):
-    """64-bit hashes of words as bytes; remembers some, of a task."""
-
-    most = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on, as one number; zeros beyond the end."""
+    n = len(data)
+    padded = np.concatenate([data, np.zeros(16, dtype=np.uint8)])
+    out = np.empty(n, dtype=np.uint64)
+    for r in range(8):
+        m = (n - r + 7) // 8
+        out[r::8] = padded[r : r + 8 * m].view("<u8")[:m]
+    return out
 
-        if len(self) >= self.most:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
 
-    def of(self, found: Sequence[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, found), dtype=np.uint64, count=len(found))
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
+
+
+def _hashed(texts: Sequence[bytes]) -> list[np.ndarray]:
+    data = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
+    blank = np.zeros(256, dtype=bool)
+    blank[list(BLANKS.encode())] = True
+    edges = np.flatnonzero(np.diff(np.append(True, blank[data]).view(np.int8)))
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    words_ = eights(data)
+    out = mixed(sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    rest, done = np.arange(len(starts)), 0
+    while len(rest):
+        left = np.minimum(sizes[rest] - done, 8).astype(np.uint64)
+        cut = np.uint64(2**64 - 1) >> (np.uint64(64) - np.uint64(8) * left)
+        word = words_[starts[rest] + done] & cut
+        out[rest] = mixed(out[rest] ^ (word * np.uint64(0xC2B2AE3D27D4EB4F)))
+        done += 8
+        rest = rest[sizes[rest] > done]
+    ends = np.cumsum([len(x) + 1 for x in texts])
+    return np.split(out, np.searchsorted(starts, ends[:-1]))
+
+
+def word_hashes(texts: Sequence[bytes], at_once: int = 1 << 20) -> list[np.ndarray]:
+    """64-bit hash of every word (parted by ASCII white space) of each text, some bytes of text at once."""
+    out, part, size = [], [], 0
+    for text in texts:
+        part.append(text)
+        size += len(text)
+        if size >= at_once:
+            out += _hashed(part)
+            part, size = [], 0
+    return out + _hashed(part) if part else out
 
 
 def run_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -92,3 +124,11 @@ def long_lists(arrays: Sequence[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
     values = np.concatenate([*arrays, np.empty(0, dtype=np.int64)] if not arrays else arrays).view(np.int64)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int64()))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove shuffle files of plans that are no longer referred to."""
+    gc.collect()
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is not None:
+        jvm.System.gc()
