@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.text import bit_filter, in_filter, run_hashes, word_hashes
+from shelfmark.llm.text import bit_filter, in_filter, run_hashes, slices, word_hashes
 from shelfmark.operators import stage
 
 WINDOW = 10  # words of an item that make a hit; a shorter item is one window
@@ -90,7 +90,7 @@ def scan(docs: DataFrame, bits: np.ndarray, sizes: list[int], window: int = WIND
         kind = pa.list_(
             pa.struct([("h", pa.int64()), ("k", pa.int32()), ("at", pa.int32()), ("begin", pa.int32()), ("around", pa.string())])
         )
-        for batch in batches:
+        for batch in slices(batches):
             texts = [spaced(text) for text in batch.column("text").to_pylist()]
             sizes_of, rows = [], []
             for text, hashes in zip(texts, word_hashes(texts), strict=True):

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.components import components
-from shelfmark.llm.text import bit_filter, in_filter, long_lists, release, run_hashes, word_hashes
+from shelfmark.llm.text import bit_filter, in_filter, long_lists, release, run_hashes, slices, word_hashes
 from shelfmark.operators import stage
 
 N_GRAM = 3
@@ -19,6 +19,9 @@ STEPS = (2, 16, 128, 1024)  # classes of exact counts
 FRAGMENTS = 4  # cuts of the global order
 LOG_BITS = (26, 23)  # of filters: 8 MB and 1 MB, whatever is in them
 WIDTH = 4  # size bands span so many steps of the smallest ratio of sizes that can link
+HEAVY = 32  # members of a bucket from which on its classes are compared in blocks
+BLOCK = 256  # classes of a block
+COLUMNS = 4096  # n-grams of a partial overlap count in a block
 SALTS = 16
 CHUNK = 4096
 
@@ -79,7 +82,7 @@ def summaries(docs: DataFrame, n: int) -> DataFrame:
         counters = np.zeros(1 << COUNTERS, dtype=np.int64)
         names = ["doc_id", "text_no", "n", "digest", "chunk", "counts"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int64())]
-        for batch in batches:
+        for batch in slices(batches):
             found, digests = gram_sets(batch.column("text"), n)
             top = np.concatenate([*found, np.empty(0, dtype=np.uint64)]) >> np.uint64(64 - COUNTERS)
             counters += np.bincount(top.astype(np.int64), minlength=1 << COUNTERS)
@@ -106,7 +109,7 @@ def counted_grams(docs: DataFrame, n: int) -> DataFrame:
     """h, times: documents that hold each of the n-grams that are counted exactly."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found, _ = gram_sets(batch.column("text"), n)
             every = np.concatenate([*found, np.empty(0, dtype=np.uint64)])
             h, times = np.unique(every[(every & np.uint64((1 << SAMPLED) - 1)) == 0], return_counts=True)
@@ -136,7 +139,7 @@ def prefixes(docs: DataFrame, order: Order, n: int, percent: int) -> DataFrame:
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             digests, places, firsts = [], [], []
             for found, digest in zip(*gram_sets(batch.column("text"), n), strict=True):
                 found, kind = order.sorted(found)
@@ -157,7 +160,7 @@ def segments(docs: DataFrame, wanted: np.ndarray, order: Order, n: int) -> DataF
     """digest, fragments, parts: the sets of wanted texts, cut by the global order."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             hashes = batch.column("text_no").to_numpy(zero_copy_only=False).view(np.uint64)
             may = batch.filter(pa.array(in_filter(hashes, wanted, LOG_BITS[0])))
             digests, fragments, parts = [], [], []
@@ -239,10 +242,10 @@ def near_duplicate_classes(docs: DataFrame, n: int = N_GRAM, percent: int = PERC
     3. Three rounds of candidates. Sets that share a prefix shingle and a size
        band are a bucket. First each member is compared with the bucket's
        class of smallest doc_id; then, where a bucket still holds several components,
-       with a leader chosen by hash per bucket; then all pairs of members of
-       different components that are left, which decides every possible link.
-       A group of near copies costs its size in the first rounds, not its
-       square.
+       with a leader chosen by hash per bucket. What is still open is compared
+       in full, which decides every possible link: pairs of different components
+       in small buckets, and families - classes that large buckets connect - block
+       by block inside tasks, which give back no more links than classes.
     4. The global order is cut into fragments; a pair's common shingles are
        counted in each apart and summed.
 
@@ -292,7 +295,13 @@ def near_duplicate_classes(docs: DataFrame, n: int = N_GRAM, percent: int = PERC
     links = stage(links.union(linked(_pairs_with(left, second, percent), parts, percent)), "links")
     labels = components(links)
     left, _ = _open_buckets(left.drop("label"), labels)
-    links = stage(links.union(linked(_cross_pairs(left, percent), parts, percent)), "links")
+    sizes = left.groupBy("token", "band").agg(F.count(F.lit(1)).alias("members"), F.min("class_id").alias("least"))
+    sizes = stage(sizes, "sizes")
+    heavy = left.join(sizes.where(F.col("members") >= HEAVY), ["token", "band"])
+    families = components(heavy.select(F.col("class_id").alias("a"), F.col("least").alias("b")).distinct())
+    light = left.join(sizes.where(F.col("members") < HEAVY).select("token", "band"), ["token", "band"], "left_semi")
+    found = linked(_cross_pairs(light, percent), parts, percent)
+    links = stage(links.union(found).union(_family_links(left, families, parts, percent)), "links")
     return _with_components(rows, classes, components(links))
 
 
@@ -312,19 +321,94 @@ def _open_buckets(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, Dat
 
 
 def _cross_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """All pairs of one bucket in different components that sizes and places do not rule out."""
+    """All pairs of one small bucket in different components that sizes and places do not rule out."""
     x = members.select("token", "band", *[F.col(c).alias(f"{c}_x") for c in ("class_id", "n", "place", "label")])
     y = members.select("token", "band", *[F.col(c).alias(f"{c}_y") for c in ("class_id", "n", "place", "label")])
     # common ones lie before this token in both sets, or from it on
     most = F.least("place_x", "place_y") + F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
     needed = F.ceil(percent * (F.col("n_x") + F.col("n_y")) / F.lit(100 + percent))
+    fit = 100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")
     met = x.join(y, ["token", "band"]).where(
-        (F.col("class_id_x") < F.col("class_id_y")) & (F.col("label_x") != F.col("label_y")) & (most >= needed)
+        (F.col("class_id_x") < F.col("class_id_y")) & (F.col("label_x") != F.col("label_y")) & (most >= needed) & fit
     )
-    pairs = met.select(
+    return met.select(
         F.col("class_id_x").alias("a"), F.col("class_id_y").alias("b"), F.col("n_x").alias("na"), F.col("n_y").alias("nb")
+    ).distinct()
+
+
+def _block_links(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Links between two blocks of a family, or inside one, that connect what labels do not."""
+        table = table.combine_chunks()
+        ids, sizes, labels, blocks = (table.column(c).to_numpy() for c in ("class_id", "n", "label", "block"))
+        lists = table.column("grams").combine_chunks()
+        if isinstance(lists, pa.ChunkedArray):
+            lists = lists.chunk(0)
+        rows = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
+        _, grams, times = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        several = np.cumsum(times > 1) - 1  # n-grams of one class add nothing
+        rows, grams = rows[times[grams] > 1], several[grams[times[grams] > 1]]
+        at = np.argsort(grams, kind="stable")
+        rows, grams = rows[at], grams[at]
+        common = np.zeros((len(ids), len(ids)), dtype=np.float32)
+        for begin in range(0, int(grams[-1]) + 1 if len(grams) else 0, COLUMNS):
+            low, high = np.searchsorted(grams, (begin, begin + COLUMNS))
+            part = np.zeros((len(ids), COLUMNS), dtype=np.float32)
+            part[rows[low:high], grams[low:high] - begin] = 1
+            common += part @ part.T
+        common = np.rint(common).astype(np.int64)
+        link = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
+        if blocks.min() != blocks.max():
+            link &= blocks[:, None] != blocks[None, :]
+        a, b = np.nonzero(np.triu(link, 1))
+        root = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        out = []
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            p, q = find(labels[x]), find(labels[y])
+            if p != q:
+                root[p] = q
+                out.append((ids[x], ids[y]))
+        columns = [pa.array([int(o[i]) for o in out], pa.int64()) for i in (0, 1)]
+        return pa.Table.from_arrays(columns, ["a", "b"])
+
+    return run
+
+
+def _family_links(members: DataFrame, families: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Links between classes of a family: blocks of classes, compared two by two.
+
+    A family of m classes makes about (m / BLOCK) ** 2 / 2 tasks' work. Common
+    n-grams are counted per cut of the order of n-grams, and summed.
+    """
+    sizes = families.groupBy("label").agg(F.count(F.lit(1)).alias("m"))
+    block = F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")
+    placed = (
+        families.join(sizes.withColumnRenamed("label", "family"), F.col("label") == F.col("family"))
+        .select(F.col("id").alias("class_id"), "family", F.ceil(F.col("m") / BLOCK).alias("blocks"))
+        .withColumn("block", block)
+    )
+    known = members.groupBy("class_id").agg(F.first("n").alias("n"), F.first("label").alias("label"))
+    grams = parts.join(families.select(F.col("id").alias("class_id")), "class_id", "left_semi")
+    grams = grams.groupBy("class_id").agg(F.flatten(F.collect_list("part")).alias("grams"))
+    rows = placed.join(known, "class_id").join(grams, "class_id")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select(
+        "family",
+        F.least("block", "other").alias("low"),
+        F.greatest("block", "other").alias("high"),
+        "class_id",
+        "n",
+        "label",
+        "block",
+        "grams",
     )
-    return pairs.where(_sizes_fit(percent)).distinct()
+    return rows.groupBy("family", "low", "high").applyInArrow(_block_links(percent), "a long, b long")
 
 
 def _with_components(rows: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.text import bit_filter, eights, in_filter, mixed, release
+from shelfmark.llm.text import bit_filter, eights, in_filter, mixed, release, slices
 from shelfmark.operators import stage
 
 LENGTH = 50  # bytes of a repeated string
@@ -140,7 +140,7 @@ def sample_keys(texts: DataFrame, firsts: np.ndarray) -> DataFrame:
     """key, n: the grams of sampled suffixes, each once per document and task's chunk."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             for pieces in _pieces(batch, firsts):
                 chunk = Chunk(pieces)
                 pairs = np.unique(np.stack([chunk.key, chunk.doc[chunk.piece].view(np.uint64)]), axis=1)
@@ -159,7 +159,7 @@ def level_units(texts: DataFrame, firsts: np.ndarray, level: int, wanted: np.nda
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             for pieces in _pieces(batch, firsts):
                 chunk = Chunk(pieces)
                 every = np.arange(len(chunk.at))
@@ -276,7 +276,7 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     )
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for text, cuts in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 data = (text or "").encode("utf-8")

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import gc
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,6 +90,17 @@ def word_hashes(texts: Sequence[bytes], at_once: int = 1 << 20) -> list[np.ndarr
     return out + _hashed(part) if part else out
 
 
+def slices(batches: Iterable[pa.RecordBatch], at_once: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches with about so many bytes of text, so that a task's memory does not follow the batch size."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+        number = np.cumsum(sizes.astype(np.int64) + 64) // at_once
+        cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(sizes)]
+        for begin, end in zip(cuts, cuts[1:], strict=False):
+            if end > begin or len(sizes) == 0:
+                yield batch.slice(begin, end - begin)
+
+
 def run_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     """64-bit hash of every run of k hashes."""
     n = len(hashes) - k + 1
