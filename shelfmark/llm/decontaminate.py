@@ -97,7 +97,7 @@ def scan(docs: DataFrame, bits: np.ndarray, sizes: list[int], window: int = WIND
                 hits, found = [], None
                 for k in sizes:
                     h = run_hashes(hashes, k)
-                    for at in np.flatnonzero(in_filter(h, bits, LOG_BITS)).tolist():
+                    for at in np.flatnonzero(in_filter(h, bits)).tolist():
                         found = text.split() if found is None else found
                         begin = max(0, at - (window - k))
                         around = b" ".join(found[begin : at + window]).decode("utf-8")

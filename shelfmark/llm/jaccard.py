@@ -59,7 +59,7 @@ class Order:
         exact = hashes[counted]
         kind = np.zeros(len(counted), dtype=np.int64)
         for i, bits in enumerate(self.frequent):
-            kind += in_filter(exact, bits, LOG_BITS[min(i, 1)])
+            kind += in_filter(exact, bits)
         out[counted] = kind
         return out
 
@@ -162,7 +162,7 @@ def segments(docs: DataFrame, wanted: np.ndarray, order: Order, n: int) -> DataF
     def run(batches):
         for batch in slices(batches):
             hashes = batch.column("text_no").to_numpy(zero_copy_only=False).view(np.uint64)
-            may = batch.filter(pa.array(in_filter(hashes, wanted, LOG_BITS[0])))
+            may = batch.filter(pa.array(in_filter(hashes, wanted)))
             digests, fragments, parts = [], [], []
             for found, digest in zip(*gram_sets(may.column("text"), n), strict=True):
                 found, kind = order.sorted(found)

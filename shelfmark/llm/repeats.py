@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.text import bit_filter, eights, in_filter, mixed, release, slices
+from shelfmark.llm.text import bit_filter, drop_tables, eights, in_filter, mixed, release, slices
 from shelfmark.operators import stage
 
 LENGTH = 50  # bytes of a repeated string
@@ -21,6 +21,8 @@ GRAM = 20  # bytes of the suffix prefix that samples are chosen by
 REACH = LENGTH - GRAM + 1  # a string of LENGTH bytes has this many grams, one sample at least
 LEVELS = (32, 16, 1)  # windows of a unit, level by level
 LOG_BITS = 26  # filters of 8 MB, whatever is in them
+SHARED_BITS = 27  # and of 16 MB
+RUN = 2_000_000  # grams that a task sorts at once
 CHUNK = 1 << 20  # bytes that a task works on at once; longer texts are cut with overlaps
 PLACE_BITS = 22  # enough for a place in a chunk
 SALTS = 16
@@ -118,7 +120,7 @@ def _mark(key: np.ndarray, content: np.ndarray, doc: np.ndarray) -> np.ndarray:
 def _pieces(batch: pa.RecordBatch, firsts: np.ndarray) -> Iterator[list[tuple[int, int, int, bytes]]]:
     """The batch's first copies in lists of about CHUNK bytes."""
     hashes = batch.column("mark").to_numpy(zero_copy_only=False).view(np.uint64)
-    batch = batch.filter(pa.array(in_filter(hashes, firsts, LOG_BITS)))
+    batch = batch.filter(pa.array(in_filter(hashes, firsts)))
     out, size = [], 0
     for doc, tag, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tag", "text")), strict=True):
         data = text.encode("utf-8")
@@ -136,18 +138,57 @@ def _longs(*columns: np.ndarray) -> list[pa.Array]:
     return [pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64)) for c in columns]
 
 
-def sample_keys(texts: DataFrame, firsts: np.ndarray) -> DataFrame:
-    """key, n: the grams of sampled suffixes, each once per document and task's chunk."""
+def shared_samples(texts: DataFrame, firsts: np.ndarray) -> np.ndarray:
+    """A filter of the grams of sampled suffixes that several documents have.
 
-    def run(batches):
+    A task sorts its grams, each once per document, marks those it has seen
+    twice in the lowest bit, and sends them as one row per bucket of the order.
+    A bucket is sorted once more and gives its stretch of the filter. Buckets
+    follow the shuffle partitions; a frequent gram comes once per task's run.
+    """
+    partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    log_buckets = min(max(9, (16 * partitions - 1).bit_length()), SHARED_BITS - 6)
+    one = np.uint64(1)
+
+    def packed(keys: list[np.ndarray]) -> pa.RecordBatch:
+        found, times = np.unique(np.concatenate(keys) & ~one, return_counts=True)
+        found |= (times > 1).astype(np.uint64)
+        edges = np.arange(1, 1 << log_buckets, dtype=np.uint64) << np.uint64(64 - log_buckets)
+        ends = np.append(np.searchsorted(found, edges), len(found))
+        offsets = pa.py_buffer((np.append(0, ends) * 8).astype(np.int32).tobytes())
+        blobs = pa.Array.from_buffers(pa.binary(), len(ends), [None, offsets, pa.py_buffer(found.tobytes())])
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(len(ends)), pa.int32()), blobs], ["bucket", "keys"])
+
+    def send(batches):
+        keys, size = [], 0
         for batch in slices(batches):
             for pieces in _pieces(batch, firsts):
                 chunk = Chunk(pieces)
-                pairs = np.unique(np.stack([chunk.key, chunk.doc[chunk.piece].view(np.uint64)]), axis=1)
-                keys, n = np.unique(pairs[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays(_longs(keys, n), ["key", "n"])
-
-    return texts.mapInArrow(run, "key long, n long")
+                own = mixed(chunk.key ^ (chunk.doc[chunk.piece].view(np.uint64) * _MUL[0]))
+                keys.append(chunk.key[np.unique(own, return_index=True)[1]])
+                size += len(keys[-1])
+                if size >= RUN:
+                    yield packed(keys)
+                    keys, size = [], 0
+        if keys:
+            yield packed(keys)
+
+    def meet(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        keys = np.sort(np.frombuffer(b"".join(table.column("keys").to_pylist()), dtype=np.uint64))
+        plain = keys & ~one
+        shared = np.append(plain[1:][plain[1:] == plain[:-1]], plain[(keys & one) == 1])
+        bits = np.zeros(1 << (SHARED_BITS - log_buckets), dtype=bool)
+        bits[(shared >> np.uint64(64 - SHARED_BITS)).astype(np.int64) - bucket * len(bits)] = True
+        return pa.table({"bucket": pa.array([bucket], pa.int32()), "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    stretches = (
+        texts.mapInArrow(send, "bucket int, keys binary").groupBy("bucket").applyInArrow(meet, "bucket int, bits binary")
+    ).toArrow()
+    out = np.zeros((1 << log_buckets, (1 << (SHARED_BITS - log_buckets)) // 8), dtype=np.uint8)
+    for bucket, bits in zip(stretches.column("bucket").to_pylist(), stretches.column("bits").to_pylist(), strict=True):
+        out[bucket] = np.frombuffer(bits, dtype=np.uint8)
+    return out.reshape(-1).view(np.uint64)
 
 
 def level_units(texts: DataFrame, firsts: np.ndarray, level: int, wanted: np.ndarray) -> DataFrame:
@@ -164,13 +205,13 @@ def level_units(texts: DataFrame, firsts: np.ndarray, level: int, wanted: np.nda
                 chunk = Chunk(pieces)
                 every = np.arange(len(chunk.at))
                 if level == 0:
-                    every = every[in_filter(chunk.key, wanted, LOG_BITS)]
+                    every = every[in_filter(chunk.key, wanted)]
                     found = chunk.units(LEVELS[0], every, 1)
                 else:
                     before = LEVELS[level - 1]
                     outer = chunk.units(before, every, -(-REACH // before))
                     marks = _mark(outer["key"], outer["content"], chunk.doc[chunk.piece[outer["sample"]]])
-                    open_ = in_filter(marks, wanted, LOG_BITS)
+                    open_ = in_filter(marks, wanted)
                     samples = outer["sample"][open_]
                     part = (chunk.at[samples] - outer["last"][open_]) // before
                     inner = chunk.units(LEVELS[level], np.unique(samples), -(-REACH // LEVELS[level]))
@@ -201,7 +242,7 @@ def _first_marks(rows: DataFrame) -> DataFrame:
     return rows.select("key", "content", "lo").mapInArrow(run, "h long")
 
 
-def resolve(units: DataFrame) -> tuple[DataFrame, DataFrame]:
+def resolve(units: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What is decided at a level, and what the next one has to look at.
 
     Decided: units whose content a smaller document has (all their windows
@@ -222,7 +263,7 @@ def resolve(units: DataFrame) -> tuple[DataFrame, DataFrame]:
     ragged = named.groupBy("key").agg(
         F.min("content").alias("a"), F.max("content").alias("b"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
     ).where("a <> b AND lo < hi")
-    return stage(spans, "spans"), named.join(ragged.select("key"), "key", "left_semi")
+    return stage(spans, "spans"), named.join(ragged.select("key"), "key", "left_semi"), named
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -246,17 +287,16 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         F.col("doc_id").alias("doc"), "tag", F.lit(0).cast("long").alias("begin"), F.col("n").cast("long").alias("length")
     )
     found = [stage(copies, "spans")]
-    counted = sample_keys(texts, firsts).groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
-    wanted = bit_filter(counted.select(F.col("key").alias("h")), LOG_BITS)
-    del counted
+    wanted = shared_samples(texts, firsts)
     for level in range(len(LEVELS)):
         release(spark)
         units = stage(level_units(texts, firsts, level, wanted), "units")
-        spans, left = resolve(units)
+        spans, left, named = resolve(units)
         found.append(spans)
         if level + 1 < len(LEVELS):
             wanted = bit_filter(_first_marks(left), LOG_BITS)
-        del units, left
+        drop_tables(spark, [units, named])
+        del units, left, named
     release(spark)
     out = found[0]
     for spans in found[1:]:

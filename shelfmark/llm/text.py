@@ -125,9 +125,9 @@ def bit_filter(hashes: DataFrame, log_bits: int) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def in_filter(hashes: np.ndarray, bits: np.ndarray, log_bits: int) -> np.ndarray:
+def in_filter(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """Whether each hash (unsigned) may be in the filter."""
-    bit = hashes >> np.uint64(64 - log_bits)
+    bit = hashes >> np.uint64(64 - (len(bits).bit_length() + 5))
     return (bits[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
 
 
@@ -144,3 +144,11 @@ def release(spark: SparkSession) -> None:
     jvm = getattr(spark, "_jvm", None)
     if jvm is not None:
         jvm.System.gc()
+
+
+def drop_tables(spark: SparkSession, frames: Iterable[DataFrame]) -> None:
+    """Remove staged tables that nothing reads any more."""
+    for frame in frames:
+        for file in frame.inputFiles()[:1]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
