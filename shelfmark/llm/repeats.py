@@ -19,12 +19,13 @@ from shelfmark.operators import stage
 LENGTH = 50  # bytes of a repeated string
 GRAM = 20  # bytes of the suffix prefix that samples are chosen by
 REACH = LENGTH - GRAM + 1  # a string of LENGTH bytes has this many grams, one sample at least
-LEVELS = (32, 16, 1)  # windows of a unit, level by level
+LEVELS = (32, 4, 1)  # windows of a unit, level by level
 LOG_BITS = 26  # filters of 8 MB, whatever is in them
 SHARED_BITS = 27  # and of 16 MB
 RUN = 2_000_000  # grams that a task sorts at once
-CHUNK = 1 << 20  # bytes that a task works on at once; longer texts are cut with overlaps
-PLACE_BITS = 22  # enough for a place in a chunk
+CHUNK = 1 << 16  # bytes that a task lays end to end: arrays that stay in the processor's cache
+PIECE = 1 << 20  # longer texts are cut, with overlaps
+PLACE_BITS = 22  # enough for a place in a chunk, of one piece at least
 SALTS = 16
 NONE = np.uint64(2**64 - 1)
 _MUL = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -124,8 +125,8 @@ def _pieces(batch: pa.RecordBatch, firsts: np.ndarray) -> Iterator[list[tuple[in
     out, size = [], 0
     for doc, tag, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tag", "text")), strict=True):
         data = text.encode("utf-8")
-        for begin in range(0, max(len(data) - LENGTH + 1, 0), CHUNK):
-            out.append((doc, tag, begin, data[begin : begin + CHUNK + LENGTH - 1]))
+        for begin in range(0, max(len(data) - LENGTH + 1, 0), PIECE):
+            out.append((doc, tag, begin, data[begin : begin + PIECE + LENGTH - 1]))
             size += len(out[-1][3])
             if size >= CHUNK:
                 yield out

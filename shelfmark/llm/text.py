@@ -78,7 +78,7 @@ def _hashed(texts: Sequence[bytes]) -> list[np.ndarray]:
     return np.split(out, np.searchsorted(starts, ends[:-1]))
 
 
-def word_hashes(texts: Sequence[bytes], at_once: int = 1 << 20) -> list[np.ndarray]:
+def word_hashes(texts: Sequence[bytes], at_once: int = 1 << 16) -> list[np.ndarray]:
     """64-bit hash of every word (parted by ASCII white space) of each text, some bytes of text at once."""
     out, part, size = [], [], 0
     for text in texts:
