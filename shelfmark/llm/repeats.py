@@ -10,7 +10,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm.text import bit_filter, drop_tables, eights, in_filter, mixed, release, slices
@@ -19,10 +19,12 @@ from shelfmark.operators import stage
 LENGTH = 50  # bytes of a repeated string
 GRAM = 20  # bytes of the suffix prefix that samples are chosen by
 REACH = LENGTH - GRAM + 1  # a string of LENGTH bytes has this many grams, one sample at least
-LEVELS = (32, 4, 1)  # windows of a unit, level by level
+HEAVY = 10_000  # contents of one key from which on its windows go through a shuffle of their own
+RECORD = np.dtype([("key", "<u8"), ("doc", "<i8"), ("place", "<i8"), ("near", "u1"), ("far", "u1"), ("around", "u1", 80)])
 LOG_BITS = 26  # filters of 8 MB, whatever is in them
 SHARED_BITS = 27  # and of 16 MB
 RUN = 2_000_000  # grams that a task sorts at once
+RECORDS = 100_000  # and records
 CHUNK = 1 << 16  # bytes that a task lays end to end: arrays that stay in the processor's cache
 PIECE = 1 << 20  # longer texts are cut, with overlaps
 PLACE_BITS = 22  # enough for a place in a chunk, of one piece at least
@@ -71,7 +73,7 @@ class Chunk:
         ends = np.cumsum(sizes)
         self.starts = ends - sizes
         data = np.frombuffer(b"".join(p[3] for p in pieces) + bytes(2 * LENGTH), dtype=np.uint8)
-        self.eights = eights(data)
+        self.eights, self.data = eights(data), np.append(np.zeros(REACH - 1, dtype=np.uint8), data)
         total = int(ends[-1])
         grams = _gram_hash(self.eights, slice(0, total), GRAM)
         low_bits = np.uint64((1 << PLACE_BITS) - 1)
@@ -87,31 +89,33 @@ class Chunk:
         self.piece = np.searchsorted(ends, self.at, side="right")
         self.key = grams[self.at]
 
-    def units(self, width: int, of: np.ndarray, split: int) -> dict[str, np.ndarray]:
-        """Windows of the samples ``of``, in units of up to ``width`` by distance to the sample.
-
-        ``split`` parts of each sample are looked at. A unit's key is the hash of
-        the bytes that all its possible windows share; its content the hash of
-        all bytes of those it has.
-        """
-        out: list[tuple[np.ndarray, ...]] = []
-        for part in range(split):
-            near, far = part * width, min(part * width + width, REACH) - 1
-            if near > far:
-                break
-            at = self.at[of]
-            first = np.maximum(self.first[of], at - far)
-            last = np.minimum(self.last[of], at - near)
-            some = last >= first
-            mine, at, first, last = of[some], at[some], first[some], last[some]
-            key = _gram_hash(self.eights, at - near, LENGTH - (far - near))
-            content = _gram_hash(self.eights, first, LENGTH, 1) * _MUL[0]
-            content = mixed(content ^ _gram_hash(self.eights, last, LENGTH, 2))
-            shape = ((at - first) * 64 + (last - first)).astype(np.uint64)
-            out.append((mine, key, mixed(content ^ (shape * _MUL[1])), first, last))
-        names = ("sample", "key", "content", "first", "last")
-        return {n: np.concatenate([o[i] for o in out]) for i, n in enumerate(names)}
-
+    def content(self) -> np.ndarray:
+        """Hash of all bytes of each sample's windows, and of where they are about it."""
+        whole = _gram_hash(self.eights, self.first, LENGTH, 1) * _MUL[0]
+        whole = mixed(whole ^ _gram_hash(self.eights, self.last, LENGTH, 2))
+        shape = ((self.at - self.first) * 64 + (self.last - self.first)).astype(np.uint64)
+        return mixed(whole ^ (shape * _MUL[1]))
+
+    def places(self, at: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Places in the texts."""
+        return at - self.starts[self.piece[of]] + self.offset[self.piece[of]]
+
+    def marks(self) -> np.ndarray:
+        return _mark(self.key, self.content(), self.doc[self.piece])
+
+    def only(self, some: np.ndarray) -> None:
+        """Forget all other samples."""
+        self.at, self.first, self.last = self.at[some], self.first[some], self.last[some]
+        self.piece, self.key = self.piece[some], self.key[some]
+
+    def records(self) -> np.ndarray:
+        """Each sample with the bytes that its windows may take."""
+        out = np.zeros(len(self.at), dtype=RECORD)
+        out["key"], out["doc"] = self.key, self.doc[self.piece]
+        out["place"] = (self.places(self.at, np.arange(len(self.at))) << 26) | self.tag[self.piece]
+        out["near"], out["far"] = self.at - self.last, self.at - self.first
+        out["around"] = self.data[self.at[:, None] + np.arange(REACH - 1 + LENGTH)[None, :]]
+        return out
 
 def _mark(key: np.ndarray, content: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Filter hash of one document's unit. Spark builds the filters, with the same steps."""
@@ -139,6 +143,21 @@ def _longs(*columns: np.ndarray) -> list[pa.Array]:
     return [pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64)) for c in columns]
 
 
+def _log_buckets(spark: SparkSession) -> int:
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(max(9, (16 * partitions - 1).bit_length()), SHARED_BITS - 6)
+
+
+def _packed(rows: np.ndarray, keys: np.ndarray, log_buckets: int) -> pa.RecordBatch:
+    """Rows that are sorted by key, as one value of bytes per bucket of the keys' order."""
+    edges = np.arange(1, 1 << log_buckets, dtype=np.uint64) << np.uint64(64 - log_buckets)
+    ends = np.append(np.searchsorted(keys, edges), len(keys))
+    offsets = pa.py_buffer((np.append(0, ends) * rows.dtype.itemsize).astype(np.int32).tobytes())
+    blobs = pa.Array.from_buffers(pa.binary(), len(ends), [None, offsets, pa.py_buffer(rows.tobytes())])
+    some = np.flatnonzero(np.diff(np.append(0, ends)))
+    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), blobs.take(pa.array(some))], ["bucket", "packed"])
+
+
 def shared_samples(texts: DataFrame, firsts: np.ndarray) -> np.ndarray:
     """A filter of the grams of sampled suffixes that several documents have.
 
@@ -147,18 +166,12 @@ def shared_samples(texts: DataFrame, firsts: np.ndarray) -> np.ndarray:
     A bucket is sorted once more and gives its stretch of the filter. Buckets
     follow the shuffle partitions; a frequent gram comes once per task's run.
     """
-    partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    log_buckets = min(max(9, (16 * partitions - 1).bit_length()), SHARED_BITS - 6)
+    log_buckets = _log_buckets(texts.sparkSession)
     one = np.uint64(1)
 
     def packed(keys: list[np.ndarray]) -> pa.RecordBatch:
         found, times = np.unique(np.concatenate(keys) & ~one, return_counts=True)
-        found |= (times > 1).astype(np.uint64)
-        edges = np.arange(1, 1 << log_buckets, dtype=np.uint64) << np.uint64(64 - log_buckets)
-        ends = np.append(np.searchsorted(found, edges), len(found))
-        offsets = pa.py_buffer((np.append(0, ends) * 8).astype(np.int32).tobytes())
-        blobs = pa.Array.from_buffers(pa.binary(), len(ends), [None, offsets, pa.py_buffer(found.tobytes())])
-        return pa.RecordBatch.from_arrays([pa.array(np.arange(len(ends)), pa.int32()), blobs], ["bucket", "keys"])
+        return _packed(found | (times > 1).astype(np.uint64), found, log_buckets)
 
     def send(batches):
         keys, size = [], 0
@@ -176,7 +189,7 @@ def shared_samples(texts: DataFrame, firsts: np.ndarray) -> np.ndarray:
 
     def meet(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
-        keys = np.sort(np.frombuffer(b"".join(table.column("keys").to_pylist()), dtype=np.uint64))
+        keys = np.sort(np.frombuffer(b"".join(table.column("packed").to_pylist()), dtype=np.uint64))
         plain = keys & ~one
         shared = np.append(plain[1:][plain[1:] == plain[:-1]], plain[(keys & one) == 1])
         bits = np.zeros(1 << (SHARED_BITS - log_buckets), dtype=bool)
@@ -184,7 +197,7 @@ def shared_samples(texts: DataFrame, firsts: np.ndarray) -> np.ndarray:
         return pa.table({"bucket": pa.array([bucket], pa.int32()), "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
     stretches = (
-        texts.mapInArrow(send, "bucket int, keys binary").groupBy("bucket").applyInArrow(meet, "bucket int, bits binary")
+        texts.mapInArrow(send, "bucket int, packed binary").groupBy("bucket").applyInArrow(meet, "bucket int, bits binary")
     ).toArrow()
     out = np.zeros((1 << log_buckets, (1 << (SHARED_BITS - log_buckets)) // 8), dtype=np.uint8)
     for bucket, bits in zip(stretches.column("bucket").to_pylist(), stretches.column("bits").to_pylist(), strict=True):
@@ -192,43 +205,116 @@ def shared_samples(texts: DataFrame, firsts: np.ndarray) -> np.ndarray:
     return out.reshape(-1).view(np.uint64)
 
 
-def level_units(texts: DataFrame, firsts: np.ndarray, level: int, wanted: np.ndarray) -> DataFrame:
-    """key, content, doc, place: the units of a level.
+def units(texts: DataFrame, firsts: np.ndarray, shared: np.ndarray) -> DataFrame:
+    """key, content, doc, place: the samples whose key several documents may have, with their windows.
 
-    At level 0 of samples whose key passes the filter ``wanted``; further on
-    within units of the level before that pass it. Place packs the first window,
-    the number of windows and the document's tag.
+    Place packs the first window, the number of windows and the document's tag.
     """
 
     def run(batches):
         for batch in slices(batches):
             for pieces in _pieces(batch, firsts):
                 chunk = Chunk(pieces)
-                every = np.arange(len(chunk.at))
-                if level == 0:
-                    every = every[in_filter(chunk.key, wanted)]
-                    found = chunk.units(LEVELS[0], every, 1)
-                else:
-                    before = LEVELS[level - 1]
-                    outer = chunk.units(before, every, -(-REACH // before))
-                    marks = _mark(outer["key"], outer["content"], chunk.doc[chunk.piece[outer["sample"]]])
-                    open_ = in_filter(marks, wanted)
-                    samples = outer["sample"][open_]
-                    part = (chunk.at[samples] - outer["last"][open_]) // before
-                    inner = chunk.units(LEVELS[level], np.unique(samples), -(-REACH // LEVELS[level]))
-                    inner_part = (chunk.at[inner["sample"]] - inner["last"]) // before
-                    inside = np.isin(inner["sample"] * 64 + inner_part, samples * 64 + part)
-                    found = {n: c[inside] for n, c in inner.items()}
-                piece = chunk.piece[found["sample"]]
-                first = found["first"] - chunk.starts[piece] + chunk.offset[piece]
-                place = (first << 31) | ((found["last"] - found["first"]) << 26) | chunk.tag[piece]
+                chunk.only(in_filter(chunk.key, shared))
+                first = chunk.places(chunk.first, np.arange(len(chunk.at)))
+                place = (first << 31) | ((chunk.last - chunk.first) << 26) | chunk.tag[chunk.piece]
                 yield pa.RecordBatch.from_arrays(
-                    _longs(found["key"], found["content"], chunk.doc[piece], place), ["key", "content", "doc", "place"]
+                    _longs(chunk.key, chunk.content(), chunk.doc[chunk.piece], place),
+                    ["key", "content", "doc", "place"],
                 )
 
     return texts.mapInArrow(run, "key long, content long, doc long, place long")
 
 
+def _repeating(records: np.ndarray) -> np.ndarray:
+    """Per record and distance to the sample, whether a smaller document has the window. Compares bytes."""
+    out = np.zeros((len(records), REACH), dtype=bool)
+    padded = np.zeros((len(records), 56), dtype=np.uint8)
+    for distance in range(REACH):
+        mine = np.flatnonzero((records["near"] <= distance) & (distance <= records["far"]))
+        if len(mine) < 2:
+            continue
+        window = padded[: len(mine)]
+        window[:, :LENGTH] = records["around"][mine, REACH - 1 - distance :][:, :LENGTH]
+        words = window.view("<u8")
+        h = words[:, 0] * _MUL[1]
+        for i in range(1, words.shape[1]):
+            h = mixed(h ^ words[:, i] * _MUL[i % 3])
+        doc = records["doc"][mine]
+        order = np.lexsort((doc, h))
+        words, doc = words[order], doc[order]
+        starts = np.append(True, (words[1:] != words[:-1]).any(axis=1))
+        first = doc[starts][np.cumsum(starts) - 1]
+        out[mine[order], distance] = doc > first
+    return out
+
+
+def open_spans(texts: DataFrame, firsts: np.ndarray, open_: np.ndarray) -> DataFrame:
+    """Spans within the open samples: windows that a smaller document has.
+
+    Samples that pass the filter go, with the bytes about them, to the bucket of
+    their key, where windows are sorted distance by distance.
+    """
+    log_buckets = _log_buckets(texts.sparkSession)
+
+    def packed(records: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate(records)
+        rows = rows[np.argsort(rows["key"], kind="stable")]
+        return _packed(rows, rows["key"], log_buckets)
+
+    def send(batches):
+        records, size = [], 0
+        for batch in slices(batches):
+            for pieces in _pieces(batch, firsts):
+                chunk = Chunk(pieces)
+                chunk.only(in_filter(chunk.marks(), open_))
+                records.append(chunk.records())
+                size += len(records[-1])
+                if size >= RECORDS:
+                    yield packed(records)
+                    records, size = [], 0
+        if records:
+            yield packed(records)
+
+    def meet(table: pa.Table) -> pa.Table:
+        records = np.frombuffer(b"".join(table.column("packed").to_pylist()), dtype=RECORD)
+        found = _repeating(records)
+        edge = np.zeros((len(records), 1), dtype=np.int8)
+        steps = np.diff(np.hstack([edge, found.view(np.int8), edge]), axis=1)
+        row, near = np.nonzero(steps == 1)
+        far = np.nonzero(steps == -1)[1] - 1
+        place = records["place"][row]
+        begin = (place >> 26) - far
+        return pa.table(
+            _longs(records["doc"][row], place & ((1 << 26) - 1), begin, far - near + LENGTH),
+            names=["doc", "tag", "begin", "length"],
+        )
+
+    sent = texts.mapInArrow(send, "bucket int, packed binary")
+    return sent.groupBy("bucket").applyInArrow(meet, "doc long, tag long, begin long, length long")
+
+
+def heavy_spans(texts: DataFrame, firsts: np.ndarray, open_: np.ndarray) -> DataFrame:
+    """The same for samples of keys with very many contents, as rows: one per window, and a join."""
+
+    def run(batches):
+        for batch in slices(batches):
+            for pieces in _pieces(batch, firsts):
+                chunk = Chunk(pieces)
+                chunk.only(in_filter(chunk.marks(), open_))
+                times = chunk.last - chunk.first + 1
+                of = np.repeat(np.arange(len(times)), times)
+                window = np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times) + chunk.first[of]
+                one, two = (_gram_hash(chunk.eights, window, LENGTH, seed) for seed in (1, 2))
+                columns = (one, two, chunk.doc[chunk.piece[of]], chunk.tag[chunk.piece[of]], chunk.places(window, of))
+                yield pa.RecordBatch.from_arrays(_longs(*columns), ["one", "two", "doc", "tag", "begin"])
+
+    windows = stage(texts.mapInArrow(run, "one long, two long, doc long, tag long, begin long"), "windows")
+    least = windows.groupBy("one", "two").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi")
+    spans = windows.join(least, ["one", "two"]).where("doc > lo")
+    return spans.select("doc", "tag", "begin", F.lit(LENGTH).cast("long").alias("length"))
+
+
 def _first_marks(rows: DataFrame) -> DataFrame:
     """h: ``_mark`` of (key, content, lo)."""
 
@@ -243,28 +329,29 @@ def _first_marks(rows: DataFrame) -> DataFrame:
     return rows.select("key", "content", "lo").mapInArrow(run, "h long")
 
 
-def resolve(units: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """What is decided at a level, and what the next one has to look at.
+def resolve(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is decided, and what has to be looked at window by window.
 
-    Decided: units whose content a smaller document has (all their windows
+    Decided: samples whose content a smaller document has (all their windows
     repeat). Open: per content its first document, where one key has several
-    contents - they may still share some windows. A key with a single content
-    shares no window with anything else.
+    contents, which may share some windows; with the number of contents. A key
+    with a single content shares no window with anything else.
     """
-    named = stage(
-        units.groupBy("key", "content").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")), "named"
-    )
+    named = found.groupBy("key", "content").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+    named = stage(named, "named")
     copied = named.where("lo < hi").select("key", "content", "lo")
-    spans = units.join(copied, ["key", "content"]).where("doc > lo").select(
+    spans = found.join(copied, ["key", "content"]).where("doc > lo").select(
         "doc",
         F.expr("place & 67108863").alias("tag"),
         F.shiftright("place", 31).alias("begin"),
         F.expr("(shiftright(place, 26) & 31) + 50").alias("length"),
     )
     ragged = named.groupBy("key").agg(
-        F.min("content").alias("a"), F.max("content").alias("b"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
-    ).where("a <> b AND lo < hi")
-    return stage(spans, "spans"), named.join(ragged.select("key"), "key", "left_semi"), named
+        F.count(F.lit(1)).alias("contents"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
+    )
+    ragged = ragged.where("contents > 1 AND lo < hi").select("key", "contents")
+    spans = stage(spans, "spans")
+    return spans, stage(named.join(ragged, "key").select("key", "content", "lo", "contents"), "open")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -288,16 +375,20 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         F.col("doc_id").alias("doc"), "tag", F.lit(0).cast("long").alias("begin"), F.col("n").cast("long").alias("length")
     )
     found = [stage(copies, "spans")]
-    wanted = shared_samples(texts, firsts)
-    for level in range(len(LEVELS)):
-        release(spark)
-        units = stage(level_units(texts, firsts, level, wanted), "units")
-        spans, left, named = resolve(units)
-        found.append(spans)
-        if level + 1 < len(LEVELS):
-            wanted = bit_filter(_first_marks(left), LOG_BITS)
-        drop_tables(spark, [units, named])
-        del units, left, named
+    shared = shared_samples(texts, firsts)
+    release(spark)
+    sampled = stage(units(texts, firsts, shared), "units")
+    spans, left = resolve(sampled)
+    found.append(spans)
+    drop_tables(spark, [sampled])
+    release(spark)
+
+    def marks(where: str) -> np.ndarray:
+        return bit_filter(_first_marks(left.where(where)), LOG_BITS)
+
+    found.append(stage(open_spans(texts, firsts, marks(f"contents < {HEAVY}")), "spans"))
+    if not left.where(f"contents >= {HEAVY}").isEmpty():
+        found.append(stage(heavy_spans(texts, firsts, marks(f"contents >= {HEAVY}")), "spans"))
     release(spark)
     out = found[0]
     for spans in found[1:]:
