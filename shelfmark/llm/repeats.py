@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm.text import bit_filter, drop_tables, eights, in_filter, mixed, release, slices
+from shelfmark.llm.text import bit_filter, drop_tables, eights, filter_bits, in_filter, mixed, release, slices
 from shelfmark.operators import stage
 
 LENGTH = 50  # bytes of a repeated string
@@ -193,7 +193,8 @@ def shared_samples(texts: DataFrame, firsts: np.ndarray) -> np.ndarray:
         plain = keys & ~one
         shared = np.append(plain[1:][plain[1:] == plain[:-1]], plain[(keys & one) == 1])
         bits = np.zeros(1 << (SHARED_BITS - log_buckets), dtype=bool)
-        bits[(shared >> np.uint64(64 - SHARED_BITS)).astype(np.int64) - bucket * len(bits)] = True
+        for place in filter_bits(shared, SHARED_BITS):
+            bits[place.astype(np.int64) - bucket * len(bits)] = True
         return pa.table({"bucket": pa.array([bucket], pa.int32()), "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
     stretches = (
@@ -249,7 +250,7 @@ def _repeating(records: np.ndarray) -> np.ndarray:
     return out
 
 
-def open_spans(texts: DataFrame, firsts: np.ndarray, open_: np.ndarray) -> DataFrame:
+def open_spans(texts: DataFrame, firsts: np.ndarray, shared: np.ndarray, open_: np.ndarray) -> DataFrame:
     """Spans within the open samples: windows that a smaller document has.
 
     Samples that pass the filter go, with the bytes about them, to the bucket of
@@ -267,6 +268,7 @@ def open_spans(texts: DataFrame, firsts: np.ndarray, open_: np.ndarray) -> DataF
         for batch in slices(batches):
             for pieces in _pieces(batch, firsts):
                 chunk = Chunk(pieces)
+                chunk.only(in_filter(chunk.key, shared))
                 chunk.only(in_filter(chunk.marks(), open_))
                 records.append(chunk.records())
                 size += len(records[-1])
@@ -294,13 +296,14 @@ def open_spans(texts: DataFrame, firsts: np.ndarray, open_: np.ndarray) -> DataF
     return sent.groupBy("bucket").applyInArrow(meet, "doc long, tag long, begin long, length long")
 
 
-def heavy_spans(texts: DataFrame, firsts: np.ndarray, open_: np.ndarray) -> DataFrame:
+def heavy_spans(texts: DataFrame, firsts: np.ndarray, shared: np.ndarray, open_: np.ndarray) -> DataFrame:
     """The same for samples of keys with very many contents, as rows: one per window, and a join."""
 
     def run(batches):
         for batch in slices(batches):
             for pieces in _pieces(batch, firsts):
                 chunk = Chunk(pieces)
+                chunk.only(in_filter(chunk.key, shared))
                 chunk.only(in_filter(chunk.marks(), open_))
                 times = chunk.last - chunk.first + 1
                 of = np.repeat(np.arange(len(times)), times)
@@ -386,9 +389,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     def marks(where: str) -> np.ndarray:
         return bit_filter(_first_marks(left.where(where)), LOG_BITS)
 
-    found.append(stage(open_spans(texts, firsts, marks(f"contents < {HEAVY}")), "spans"))
+    found.append(stage(open_spans(texts, firsts, shared, marks(f"contents < {HEAVY}")), "spans"))
     if not left.where(f"contents >= {HEAVY}").isEmpty():
-        found.append(stage(heavy_spans(texts, firsts, marks(f"contents >= {HEAVY}")), "spans"))
+        found.append(stage(heavy_spans(texts, firsts, shared, marks(f"contents >= {HEAVY}")), "spans"))
     release(spark)
     out = found[0]
     for spans in found[1:]:

@@ -114,10 +114,16 @@ def run_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
 
 
 def bit_filter(hashes: DataFrame, log_bits: int) -> np.ndarray:
-    """A bit per top bits of column ``h``; 2 ** (log_bits - 6) rows at most come back, whatever is in it."""
+    """Two bits per hash (column ``h``), both in the word that its top bits name.
+
+    2 ** (log_bits - 6) rows at most come back, whatever is in it.
+    """
     bit = F.shiftrightunsigned("h", 64 - log_bits)
-    rows = hashes.select(bit.alias("bit")).select(
-        F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, CAST(bit & 63 AS INT))").alias("mask")
+    rows = hashes.select("h", bit.alias("bit")).select(
+        F.shiftright("bit", 6).alias("word"),
+        F.expr("shiftleft(1L, CAST(bit & 63 AS INT)) | shiftleft(1L, CAST(shiftrightunsigned(h, 7) & 63 AS INT))").alias(
+            "mask"
+        ),
     )
     found = rows.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
     out = np.zeros(1 << (log_bits - 6), dtype=np.int64)
@@ -125,10 +131,17 @@ def bit_filter(hashes: DataFrame, log_bits: int) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def filter_bits(hashes: np.ndarray, log_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the two bits of each hash (unsigned)."""
+    first = hashes >> np.uint64(64 - log_bits)
+    return first, (first & ~np.uint64(63)) | ((hashes >> np.uint64(7)) & np.uint64(63))
+
+
 def in_filter(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """Whether each hash (unsigned) may be in the filter."""
-    bit = hashes >> np.uint64(64 - (len(bits).bit_length() + 5))
-    return (bits[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+    first, second = filter_bits(hashes, len(bits).bit_length() + 5)
+    word = bits[(first >> np.uint64(6)).astype(np.int64)]
+    return (word >> (first & np.uint64(63))) & (word >> (second & np.uint64(63))) & np.uint64(1) == 1
 
 
 def long_lists(arrays: Sequence[np.ndarray]) -> pa.Array:
