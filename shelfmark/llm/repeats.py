@@ -87,7 +87,7 @@ class Chunk:
         stops = np.append(begins[1:], len(sampled)) if len(begins) else begins
         self.at, self.first, self.last = sampled[begins], windows[begins], windows[stops - 1]
         self.piece = np.searchsorted(ends, self.at, side="right")
-        self.key = grams[self.at]
+        self.key = mixed(grams[self.at] * _MUL[2])  # sampled hashes are low ones; keys are spread evenly
 
     def content(self) -> np.ndarray:
         """Hash of all bytes of each sample's windows, and of where they are about it."""
