@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.text import bit_filter, in_filter, run_hashes, slices, word_hashes
+from shelfmark.llm.text import bit_filter, in_filter, run_hashes, slices, small_batches, word_hashes
 from shelfmark.operators import stage
 
 WINDOW = 10  # words of an item that make a hit; a shorter item is one window
@@ -145,6 +145,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     many items are one window, and all their ids are found. Other columns of
     both tables are not read.
     """
+    small_batches(docs.sparkSession)
     windows = stage(item_windows(items, window), "windows")
     prefixes = stage(prefix_tokens(windows), "prefixes")
     sizes = sorted(r[0] for r in prefixes.select("k").distinct().collect())  # 1 to 5

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.components import components
-from shelfmark.llm.text import bit_filter, in_filter, long_lists, release, run_hashes, slices, word_hashes
+from shelfmark.llm.text import bit_filter, in_filter, long_lists, release, run_hashes, slices, small_batches, word_hashes
 from shelfmark.operators import stage
 
 N_GRAM = 3
@@ -256,6 +256,7 @@ def near_duplicate_classes(docs: DataFrame, n: int = N_GRAM, percent: int = PERC
     equal sets under one doc_id. A NULL doc_id has the component of its class,
     NULL if no row there has a doc_id. Other columns of docs are not read.
     """
+    small_batches(docs.sparkSession)
     summary = stage(summaries(docs, n), "summaries")
     rows = summary.where("chunk IS NULL").select("doc_id", "n", "digest", "text_no")
     classes = rows.where("n > 0").groupBy("n", "digest").agg(

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm.text import bit_filter, drop_tables, eights, filter_bits, in_filter, mixed, release, slices
+from shelfmark.llm.text import bit_filter, drop_tables, eights, filter_bits, in_filter, mixed, release, slices, small_batches
 from shelfmark.operators import stage
 
 LENGTH = 50  # bytes of a repeated string
@@ -360,6 +360,7 @@ def resolve(found: DataFrame) -> tuple[DataFrame, DataFrame]:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc, tag, begin, length of byte spans whose windows occur in a document with a smaller doc_id."""
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.where("doc_id IS NOT NULL AND octet_length(text) >= 50").select(
         "doc_id", "text", text_tag(F.col("text")).alias("tag"), F.xxhash64("doc_id", "text").alias("mark")
     )

@@ -165,3 +165,14 @@ def drop_tables(spark: SparkSession, frames: Iterable[DataFrame]) -> None:
         for file in frame.inputFiles()[:1]:
             path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Hand texts to Python in batches of at most so many rows, for this session.
+
+    The default of 10,000 rows is meant for narrow rows; as texts they take
+    buffers of up to 100 MB on either side of every task. A smaller setting stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))

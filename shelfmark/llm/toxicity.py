@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.decontaminate import tokens
+from shelfmark.llm.text import small_batches
 from shelfmark.operators import stage
 
 PER_CLASS = 6_000  # labelled documents of each class to fit on, the first by a hash of doc_id
@@ -178,6 +179,7 @@ def train(
     carry weight. Classes count by their shares among all labels. Without
     labels of both classes every score is 0.
     """
+    small_batches(docs.sparkSession)
     rows = stage(training_rows(docs, labels, per_class), "labelled")
     names = vocabulary(rows)
     if not names:
