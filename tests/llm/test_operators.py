@@ -1,0 +1,351 @@
+"""Operators on small tables with nulls, empty texts, ties, repeated rows and clashing columns."""
+
+from __future__ import annotations
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from shelfmark.llm import (
+    chat,
+    decontaminate,
+    jaccard,
+    licenses,
+    mixing,
+    quality,
+    repeats,
+    sharding,
+    toxicity,
+    urls,
+)
+
+SCHEMA = (
+    "doc_id long, text string, lang string, source string, n_chars long, n_words long, digest string, row_ long, "
+    "class_id long, shard int, spans string"
+)
+
+
+def _texts() -> list[str | None]:
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 6))) for _ in range(400)]
+
+    def prose(n: int) -> list[str]:
+        return rng.choices(vocabulary, k=n)
+
+    base, passage = prose(200), " ".join(prose(60))
+    copies = []
+    for _ in range(45):  # near copies, more than a heavy bucket takes
+        other = list(base)
+        for at in rng.sample(range(200), rng.randint(0, 6)):
+            other[at] = rng.choice(vocabulary)
+        copies.append(" ".join(other))
+    shared = [f"{' '.join(prose(30))} {passage} {' '.join(prose(20))}" for _ in range(5)]
+    plain = [" ".join(prose(rng.randint(1, 120))) for _ in range(20)]
+    odd = [None, "", "  \n\t", "one", "Two words", "a\nb\n\na\nb", "é ü \U0001f600 x", "###  $$$ &&& <> ||| %%% ** # $ %"]
+    long_one = " ".join(prose(6000))
+    return [*copies, *shared, *plain, *odd, *odd, copies[3], copies[3].upper(), long_one, long_one + " tail"]
+
+
+def _rows() -> list[tuple]:
+    rows = [
+        (i, t, ("en", None, "fr")[i % 3], ("b", "a", "a", None, "a")[i % 5], 0, 1, "x", 2, 3, 4, "y")
+        for i, t in enumerate(_texts())
+    ]
+    return [*rows, rows[2], rows[2]]  # repeated rows
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return _rows()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def _words(text):
+    return re.findall(r"[^\x20\x09-\x0d]+", text or "")
+
+
+def _alnum(text):
+    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lowered)
+
+
+def test_quality_measures(docs, rows):
+    got = Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed)
+                  for r in quality.quality_measures(docs).collect())
+    expected = Counter()
+    for row in rows:
+        text, found = row[1] or "", _words(row[1])
+        windows = [tuple(found[i : i + 5]) for i in range(len(found) - 4)]
+        times = Counter(windows)
+        hit = {i + k for i, w in enumerate(windows) if times[w] > 1 for k in range(5)}
+        lines = [x for x in text.split("\n") if _words(x)]
+        n = len(found)
+        expected[
+            (row[0], n, sum(map(len, found)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)),
+             len(hit), n < 10 or 100 * len(hit) > 20 * n)
+        ] += 1
+    assert got == expected
+
+
+def test_quality_rejects_what_is_odd_for_its_group(spark):
+    fine = [(i, " ".join(f"word{(i * 7 + k) % 50}" for k in range(40)), "en", "a") for i in range(120)]
+    junk = [(900, " ".join(f"w{k}$$" for k in range(40)), "en", "a"), (901, " ".join(f"W{k}XYZ" for k in range(40)), "en", "a")]
+    # symbols are usual in source b: the same text is kept there
+    code = [(1000 + i, " ".join(f"w{k + i}$$" for k in range(40)), "en", "b") for i in range(120)]
+    docs = spark.createDataFrame([*fine, *junk, *code], "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id: r.kept for r in quality.quality_measures(docs).collect()}
+    assert not kept[900] and not kept[901]
+    assert all(kept[i] for i, *_ in [*fine, *code])
+    left = quality.quality_filter(docs)
+    assert left.columns == docs.columns
+    assert {r.doc_id for r in left.collect()} == {i for i, k in kept.items() if k}
+
+
+def test_hilbert_curve_visits_neighbours():
+    for dims, bits in ((2, 4), (3, 3), (4, 2)):
+        grid = np.array(list(itertools.product(range(1 << bits), repeat=dims)))
+        place = sharding.hilbert_index(grid, bits)
+        assert sorted(place) == list(range(len(grid)))
+        assert (np.abs(np.diff(grid[np.argsort(place)], axis=0)).sum(axis=1) == 1).all()
+
+
+def test_shards(docs, rows):
+    got = sharding.shard_documents(docs).collect()
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter(
+        (r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in rows
+    )
+    slots = {}
+    for r in got:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert set(slots) == set(range(16))
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    ends = [(min(r.hilbert for r in got if r.shard == s), max(r.hilbert for r in got if r.shard == s)) for s in range(16)]
+    assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:], strict=False))
+
+
+def test_license_notices(spark):
+    text = licenses.TEMPLATES
+    rows = [
+        (1, f"{'some words before. ' * 30}{text['GPL-3.0']} {'and after ' * 9}"),
+        (2, text["MIT"].upper()),
+        (3, "Released under a licence of our own"),
+        (4, None),
+        (5, ""),
+        (6, text["BSD"].replace("binary", "object")),  # 5 of 19 shingles lost
+        (7, text["BSD"].replace("met", "fulfilled")),  # one lost
+        (2, text["MIT"].upper()),
+    ]
+    got = licenses.license_matches(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = Counter((r.doc_id, r.license) for r in got)
+    assert found == {(1, "GPL-3.0"): 1, (2, "MIT"): 2, (7, "BSD"): 1}
+    where = next(r for r in got if r.doc_id == 1)
+    assert (where.first_word, where.last_word, where.containment) == (90, 101, 1.0)
+
+
+def test_counterfactual_penalty_frees_group_names(spark):
+    rng = random.Random(3)
+    filler = [f"f{i}" for i in range(60)]
+
+    def line(*extra):
+        return " ".join([*rng.choices(filler, k=12), *extra])
+
+    rows = []
+    for i in range(400):
+        if i % 2:
+            rows.append((i, line("horrid"), 1) if i % 4 == 1 else (i, line("women", "horrid"), 1))
+        else:
+            rows.append((i, line(), 0))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(1000, line("women")), (1001, None), (1002, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    free = toxicity.train(docs, labels, swap_penalty=0.0).weights
+    held = toxicity.train(docs, labels, swap_penalty=100.0).weights
+    assert free["=women"] > 0.5
+    assert abs(held["=women"]) < 0.2 * free["=women"]
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, labels, swap_penalty=100.0).collect()}
+    assert got[1000].predicted == 0 and got[1001].score == got[1002].score
+    assert all(got[i].predicted == y for i, _, y in rows)
+    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, *_ in rows)
+
+
+def test_toxicity_without_labels(spark, docs):
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert {r.predicted for r in toxicity.toxicity(docs, none).collect()} == {0}
+
+
+def _kept(rows):
+    first = {}
+    for doc, text in sorted((r[0], r[1] or "") for r in rows):
+        data = text.encode()
+        for i in range(len(data) - 49):
+            first.setdefault(data[i : i + 50], doc)
+    out = Counter()
+    for row in rows:
+        data = (row[1] or "").encode()
+        gone = bytearray(len(data))
+        for i in range(len(data) - 49):
+            if first[data[i : i + 50]] < row[0]:
+                gone[i : i + 50] = b"\1" * 50
+        rest = bytes(b for b, g in zip(data, gone, strict=True) if not g)
+        runs = len(re.findall(rb"\x01+", bytes(gone)))
+        out[(row[0], len(data), sum(gone), runs, hashlib.sha256(rest).hexdigest())] += 1
+    return out
+
+
+@pytest.mark.parametrize("heavy", [repeats.HEAVY, 3])
+def test_repeated_bytes(docs, rows, monkeypatch, heavy):
+    monkeypatch.setattr(repeats, "HEAVY", heavy)
+    monkeypatch.setattr(repeats, "PIECE", 3000)  # the long texts are cut
+    assert Counter(map(tuple, repeats.remove_repeats(docs).collect())) == _kept(rows)
+
+
+def test_contamination(spark, docs, rows):
+    base = _words(rows[0][1])
+    items = [(1, " ".join(base[20:45])), (2, "one"), (3, None), (4, ""), (5, " ".join(base[20:45])), (6, "two WORDS"), (10, "x" * 9)]
+    table = spark.createDataFrame([(i, t, 0) for i, t in items], "item_id long, text string, n_words int")
+    expected = Counter()
+    for row in rows:
+        found, hit, ids = _alnum(row[1]), set(), set()
+        for item, text in items:
+            w = _alnum(text)
+            n = min(10, len(w))
+            for at in range(len(w) - n + 1 if n else 0):
+                for i in range(len(found) - n + 1):
+                    if found[i : i + n] == w[at : at + n]:
+                        hit |= set(range(i, i + n))
+                        ids.add(str(item))
+        digest = hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
+        expected[(row[0], len(found), len(hit), len(ids), digest, bool(hit))] += 1
+    got = decontaminate.contamination(docs, table).drop("text_hash")
+    assert Counter(map(tuple, got.collect())) == expected
+    clean = decontaminate.drop_contaminated(docs, table)
+    assert clean.columns == docs.columns
+    assert Counter(r.doc_id for r in clean.collect()) == Counter(k[0] for k, n in expected.items() for _ in range(n) if not k[5])
+
+
+def test_chat(spark):
+    talks = {
+        1: [("user", "a"), ("assistant", "b")],
+        2: [("user", "a"), ("assistant", "b"), ("user", "c")],
+        3: [("user", "a"), ("assistant", "b"), ("user", "c")],
+        4: [("user", "b"), ("assistant", "a")],
+        5: [("user", None)],
+        6: [("user", ""), (None, "z")],
+    }
+    rows = [(c, k, r, t, "u") for c, turns in talks.items() for k, (r, t) in enumerate(turns)]
+    got = chat.collapse_and_render(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, at string"))
+    kept = Counter(r.conv_id for r in got.collect())
+    assert kept == {2: 3, 4: 2, 5: 1, 6: 2}
+    assert next(r.rendered for r in got.collect() if r.conv_id == 6 and r.at == 2) == "<|im_start|>unknown\nz<|im_end|>\n"
+
+
+def _components(rows):
+    sets = {}
+    for doc, text, *_ in rows:
+        found = (text or "").encode().lower().split()
+        n = min(3, len(found))
+        sets[doc] = {tuple(found[i : i + n]) for i in range(len(found) - n + 1)} if n else set()
+    group = {d: d for d in sets}
+
+    def find(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        common = len(sets[a] & sets[b])
+        if sets[a] and sets[b] and 100 * common >= 90 * (len(sets[a]) + len(sets[b]) - common):
+            low, high = sorted((find(a), find(b)))
+            group[high] = low
+    return Counter((r[0], len(sets[r[0]]), find(r[0])) for r in rows)
+
+
+@pytest.mark.parametrize("heavy", [jaccard.HEAVY, 3, 10_000])
+def test_ngram_join(docs, rows, monkeypatch, heavy):
+    monkeypatch.setattr(jaccard, "HEAVY", heavy)
+    monkeypatch.setattr(jaccard, "BLOCK", 7)
+    expected = _components(rows)
+    assert Counter(map(tuple, jaccard.near_duplicate_classes(docs).collect())) == expected
+    if heavy == jaccard.HEAVY:
+        left = jaccard.keep_one_of_each(docs)
+        assert left.columns == docs.columns
+        assert {r.doc_id for r in left.collect()} == {d for d, _, c in expected if d == c}
+
+
+def test_flow_prefers_fresh_words():
+    # pattern 0 is in both sources, 1 and 2 in one each
+    flow = mixing.least_cost_flow({0: 10, 1: 10, 2: 10}, [(0, 0, 20), (0, 1, 20), (1, 0, 20), (2, 1, 20)], [15, 15])
+    drawn = Counter()
+    for (p, _), x in flow.items():
+        drawn[p] += x
+    assert drawn == {0: 10, 1: 10, 2: 10}
+
+
+def test_targets():
+    assert mixing.targets([10, 10, 10], [5, 2, 1]) == [20.0, 50 / 3, 25 / 3]
+    assert mixing.targets([], []) == []
+
+
+def test_mix(docs, rows):
+    got = mixing.mix(docs).collect()
+    assert Counter((r.doc_id, r.size) for r in got) == Counter((r[0], len(_words(r[1]))) for r in rows)
+    assert all(0 <= r.taken <= 2 * r.size for r in got)
+    taken = Counter()
+    for r in got:
+        taken[r.source] += r.taken
+    assert all(abs(taken[s] - t) <= 1 for s, t in {r.source: r.target for r in got}.items())
+    again = mixing.mix(docs.repartition(5)).collect()
+    key = [(r.doc_id, r.taken) for r in got if r.doc_id != 2]
+    assert Counter(key) == Counter((r.doc_id, r.taken) for r in again if r.doc_id != 2)
+    mixed = mixing.mix_documents(docs)
+    assert mixed.columns == docs.columns and mixed.count() > 0
+
+
+def test_urls(spark):
+    pages = [
+        (1, "https://www.example.com/en/1"), (2, "https://m.example.com/en/1"), (3, "http://a.net/es/x?y"),
+        (4, "http://ads-track.example.org/p.html"), (5, "http://www.ads-track.example.org/p/#z"), (6, None),
+        (7, "no scheme"), (8, "HTTP://EXAMPLE.COM"), (9, "http://net/fr"), (2, "https://m.example.com/en/1"),
+    ]
+    table = spark.createDataFrame([(i, u, "mine") for i, u in pages], "page_id long, url string, host string")
+    got = Counter((r.page_id, r.host, r.path, r.rule, r.verdict) for r in urls.judge_pages(table).collect())
+    assert got == Counter([
+        (1, "www.example.com", "/en/1", "www.example.com/en/", "allow"),
+        (2, "m.example.com", "/en/1", "example.com/en/", "block"),
+        (2, "m.example.com", "/en/1", "example.com/en/", "block"),
+        (3, "a.net", "/es/x", "net/es/", "block"),
+        (4, "ads-track.example.org", "/p.html", None, "block"),
+        (5, "www.ads-track.example.org", "/p/", None, "block"),
+        (6, "", "", None, "allow"),
+        (7, "", "", None, "allow"),
+        (8, "example.com", "", None, "allow"),
+        (9, "net", "/fr", None, "allow"),
+    ])
+
+
+def test_empty_tables(spark, none):
+    items = spark.createDataFrame([], "item_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    turns = spark.createDataFrame([], "conv_id long, turn int, role string, text string")
+    pages = spark.createDataFrame([], "page_id long, url string")
+    for out in (
+        quality.quality_measures(none), sharding.shard_documents(none), toxicity.toxicity(none, labels),
+        licenses.license_matches(none), repeats.remove_repeats(none), decontaminate.contamination(none, items),
+        chat.collapse_and_render(turns), jaccard.near_duplicate_classes(none), mixing.mix(none), urls.judge_pages(pages),
+    ):
+        assert out.count() == 0
