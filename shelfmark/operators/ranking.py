@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from shelfmark.operators.staging import stage
 
-# Up to this many (checked) rows one task ranks them; beyond it, slices do.
-SINGLE_TASK_ROWS = 1_000_000
-
 
 def amount_before(
     df: DataFrame,
@@ -49,7 +46,6 @@ def amount_before(
 def global_rank(
     df: DataFrame,
     ranks: dict[str, str],
-    single_task_rows: int = SINGLE_TASK_ROWS,
     slices: int | None = None,
 ) -> DataFrame:
     """Add competition ranks, highest value first, equal values sharing a rank, NULL last.
@@ -57,11 +53,6 @@ def global_rank(
     ``ranks`` maps value column -> rank column. ``df`` is read several times, so
     hand in a staged frame.
     """
-    if df.count() <= single_task_rows:
-        for value, name in ranks.items():
-            by_value = Window.orderBy(F.desc_nulls_last(value))
-            df = df.withColumn(name, F.rank().over(by_value))
-        return df
     for value, name in ranks.items():
         # one row per distinct value: rows tied on one value weigh as one
         counts = df.groupBy(F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("_rows"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from shelfmark.functions.naming import clean_name, require_distinct
-from shelfmark.plans import dims, facts, marts
+from shelfmark.plans import dims, facts, marts, quality
 from shelfmark.sources import discover, read_csv, read_workbooks, sheet_table, sheets
 
 # (layer, table name, frame) -> the frame as written
@@ -110,9 +110,17 @@ def star_plans(
 
 
 def build_star(raw: Mapping[str, DataFrame], sink: Sink, **options) -> dict[str, DataFrame]:
-    """Write the star schema; options as for :func:`star_plans`."""
+    """Write the star schema; options as for :func:`star_plans`.
+
+    Raises ValueError if two rows of a dimension share a surrogate key (hashes
+    may clash); ``add_dense_key`` with ``method="join"`` is the way around.
+    """
     star: dict[str, DataFrame] = {}
     for name, plan in star_plans(raw, star, **options).items():
+        if name == "fact_sales":  # the line dimensions are written, no fact is
+            clashes = quality.key_clashes(star).limit(3).collect()
+            if clashes:
+                raise ValueError(f"surrogate keys on several rows: {clashes}")
         star[name] = sink("silver", name, plan())
     return star
 

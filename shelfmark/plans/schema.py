@@ -69,23 +69,3 @@ SALES_COLUMNS = (
     "profit_margin",
 )
 RETURN_COLUMNS = ("return_key", "order_id", "order_date_key", "customer_key", "product_key")
-
-SILVER_TABLES = (
-    "dim_customer",
-    "dim_product",
-    "dim_geography",
-    "dim_ship_mode",
-    "dim_date",
-    "dim_regional_manager",
-    "fact_sales",
-    "fact_returns",
-)
-GOLD_TABLES = (
-    "agg_monthly_sales",
-    "agg_customer_lifetime_value",
-    "agg_product_performance",
-    "agg_regional_summary",
-    "agg_category_trends",
-    "agg_shipping_analysis",
-    "agg_state_performance",
-)

@@ -77,8 +77,7 @@ def test_unknown_customer_is_one_group_without_returns(spark):
     assert row.total_returns == 0
 
 
-@pytest.mark.parametrize("single", [0, 1000])
-def test_product_ranks_and_returns(spark, single):
+def test_product_ranks_and_returns(spark):
     lines = orders(
         spark,
         line("a", 50.0, product_id="p1"),
@@ -88,7 +87,7 @@ def test_product_ranks_and_returns(spark, single):
         line("d", None, product_id="p5"),
     )
     t = star(spark, lines, (("Yes", "a"), ("Yes", "a"), ("Yes", "c")))
-    got = marts.product_performance(t, single_task_rows=single, slices=3)
+    got = marts.product_performance(t, slices=3)
     ranks = dict((r[0], r[1:]) for r in rows(got, "product_id", "revenue_rank", "total_returns", "return_rate"))
     assert ranks == {
         "p1": (2, 2, 2.0),  # return rows, so two for one order

@@ -63,14 +63,13 @@ def _ranked(values):
     return {v: present.index(v) + 1 if v is not None else len(present) + 1 for v in set(values)}
 
 
-@pytest.mark.parametrize("single", [0, 10_000])
-def test_global_rank_both_ways(spark, single):
+def test_global_rank(spark):
     rng = random.Random(2)
     # a third of all rows on one value, further ties, and NULLs
     values = [5.0] * 100 + [None] * 3 + [float(rng.randrange(40)) for _ in range(200)]
     rng.shuffle(values)
     df = spark.createDataFrame([(i, v, -(v or 0.0)) for i, v in enumerate(values)], "i int, v double, w double")
-    got = global_rank(df, {"v": "rank_v", "w": "rank_w"}, single_task_rows=single, slices=6)
+    got = global_rank(df, {"v": "rank_v", "w": "rank_w"}, slices=6)
     expected = _ranked(values)
     negated = _ranked([-(v or 0.0) for v in values])
     found = got.select("i", "v", "rank_v", "w", "rank_w").collect()
@@ -81,7 +80,7 @@ def test_global_rank_both_ways(spark, single):
 
 def test_sliced_rank_has_no_whole_table_task(spark):
     df = stage(spark.range(5000).select(F.col("id").cast("double").alias("v")), "t")
-    plan = global_rank(df, {"v": "r"}, single_task_rows=0, slices=4)
+    plan = global_rank(df, {"v": "r"}, slices=4)
     text = plan._jdf.queryExecution().executedPlan().toString()
     # the only single-partition step is the one over the slice starts
     assert text.count("SinglePartition") == 1

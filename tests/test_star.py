@@ -212,3 +212,15 @@ def test_folder_of_layers_is_idempotent(spark, tmp_path):
         results.append([(layer, w.table, w.rows, w.columns) for layer, w in sink.log])
     assert results[0] == results[1]
     assert len(results[0]) == 15
+
+
+def test_a_key_clash_stops_the_build(spark, monkeypatch):
+    from shelfmark.plans import pipeline
+
+    forged = spark.sql("SELECT 7L AS customer_key UNION ALL SELECT 7L")
+    fine = spark.sql("SELECT 1L AS product_key, 1L AS geography_key, 1L AS ship_mode_key")
+    names = ("dim_product", "dim_geography", "dim_ship_mode")
+    plans = {"dim_customer": lambda: forged, **{n: lambda: fine for n in names}, "fact_sales": lambda: fine}
+    monkeypatch.setattr(pipeline, "star_plans", lambda raw, star: plans)
+    with pytest.raises(ValueError, match="surrogate keys"):
+        pipeline.build_star({}, lambda layer, name, df: df)
