@@ -12,6 +12,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from shelfmark.llm import (
     chat,
     decontaminate,
@@ -287,6 +288,39 @@ def test_ngram_join(docs, rows, monkeypatch, heavy):
         assert {r.doc_id for r in left.collect()} == {d for d, _, c in expected if d == c}
 
 
+def _near_groups(texts, words, percent):
+    """The smallest index reachable over near texts, for every text; brute force."""
+    sets = []
+    for text in texts:
+        found = (text or "").encode().lower().split()
+        n = min(words, len(found))
+        sets.append({tuple(found[i : i + n]) for i in range(len(found) - n + 1)} if n else set())
+    group = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        common = len(sets[a] & sets[b])
+        if sets[a] and sets[b] and 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
+            low, high = sorted((group[a], group[b]))
+            group = [low if g == high else g for g in group]
+    return group
+
+
+def test_pipeline_drops_what_is_near_at_five_words(spark):
+    rng = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    texts = []
+    for base in range(12):
+        text = rng.choices(vocabulary, k=200)
+        for k in range(8):  # k changed words
+            other = list(text)
+            for at in rng.sample(range(200), k):
+                other[at] = f"new{base}x{k}x{at}"
+            texts.append(" ".join(other))
+    expected = {i for i, g in enumerate(_near_groups(texts, 5, 80)) if i == g}
+    assert expected < {i for i, g in enumerate(_near_groups(texts, 3, 90)) if i == g}  # the two differ here
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert Counter(r.doc_id for r in corpus_pipeline.ngram_join(spark, docs, "").collect()) == Counter(expected)
+
+
 def test_flow_prefers_fresh_words():
     # pattern 0 is in both sources, 1 and 2 in one each
     flow = mixing.least_cost_flow({0: 10, 1: 10, 2: 10}, [(0, 0, 20), (0, 1, 20), (1, 0, 20), (2, 1, 20)], [15, 15])
