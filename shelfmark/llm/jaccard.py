@@ -256,11 +256,19 @@ def near_duplicate_classes(docs: DataFrame, n: int = N_GRAM, percent: int = PERC
     equal sets under one doc_id. A NULL doc_id has the component of its class,
     NULL if no row there has a doc_id. Other columns of docs are not read.
     """
+    return _with_components(*_near_classes(docs, n, percent))
+
+
+def _near_classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, n, digest, text_no), their classes, and the label of every linked class."""
     small_batches(docs.sparkSession)
     summary = stage(summaries(docs, n), "summaries")
     rows = summary.where("chunk IS NULL").select("doc_id", "n", "digest", "text_no")
     classes = rows.where("n > 0").groupBy("n", "digest").agg(
-        F.min("doc_id").alias("first"), F.min("text_no").alias("text_no"), F.count(F.lit(1)).alias("members")
+        F.min("doc_id").alias("first"),
+        F.min("text_no").alias("text_no"),
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_no")).alias("least"),
+        F.count(F.lit(1)).alias("members"),
     )
     classes = stage(classes.withColumn("class_id", F.monotonically_increasing_id()), "classes")
     order = global_order(summary, docs, n)
@@ -303,7 +311,7 @@ def near_duplicate_classes(docs: DataFrame, n: int = N_GRAM, percent: int = PERC
     light = left.join(sizes.where(F.col("members") < HEAVY).select("token", "band"), ["token", "band"], "left_semi")
     found = linked(_cross_pairs(light, percent), parts, percent)
     links = stage(links.union(found).union(_family_links(left, families, parts, percent)), "links")
-    return _with_components(rows, classes, components(links))
+    return rows, classes, components(links)
 
 
 def _open_buckets(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -412,11 +420,16 @@ def _family_links(members: DataFrame, families: DataFrame, parts: DataFrame, per
     return rows.groupBy("family", "low", "high").applyInArrow(_block_links(percent), "a long, b long")
 
 
-def _with_components(rows: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per row the smallest doc_id of the classes its own is connected with; salts spread a large class."""
-    labelled = classes.join(labels, F.col("class_id") == F.col("id"), "left").withColumn(
+def _labelled(classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """classes with their label, the smallest class_id of the component."""
+    return classes.join(labels, F.col("class_id") == F.col("id"), "left").withColumn(
         "label", F.coalesce("label", "class_id")
     )
+
+
+def _with_components(rows: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Per row the smallest doc_id of the classes its own is connected with; salts spread a large class."""
+    labelled = _labelled(classes, labels)
     smallest = labelled.groupBy("label").agg(F.min("first").alias("component"))
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
     one = F.array(F.pmod(F.xxhash64("first"), F.lit(SALTS)).cast("int"))  # its only row has this salt
@@ -430,11 +443,36 @@ def _with_components(rows: DataFrame, classes: DataFrame, labels: DataFrame) ->
 
 
 def keep_one_of_each(docs: DataFrame, n: int = N_GRAM, percent: int = PERCENT) -> DataFrame:
-    """docs without those whose component holds a smaller doc_id; documents without words stay.
+    """One row of docs per component, and every row without words.
 
-    Rows with an equal doc_id stay or go together.
+    The row of smallest doc_id (NULL last), of these that of smallest text hash,
+    of these that of smallest hash of its other columns (but maps); rows equal
+    in all that are equal, and one stays. Rows of one doc_id with different
+    texts are apart.
     """
-    found = near_duplicate_classes(docs, n, percent)
-    gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("gone_")).distinct()
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    return named.join(gone, F.col("doc.doc_id") == F.col("gone_"), "left_anti").select("doc.*")
+    rows, classes, labels = _near_classes(docs, n, percent)
+    chosen = _labelled(classes, labels).groupBy("label").agg(F.min("least").alias("least"))
+    chosen = chosen.select(F.col("least.doc_id").alias("doc_id_"), F.col("least.text_no").alias("text_no_"))
+    times = rows.where("n > 0").groupBy("doc_id", "text_no").agg(F.count(F.lit(1)).alias("times"))
+    same = F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("text_no") == F.col("text_no_"))
+    # what a key's rows come to: none stays, or one of several
+    keys = times.join(chosen, same, "left").where("text_no_ IS NULL OR times > 1")
+    keys = stage(keys.select("doc_id", "text_no", F.col("text_no_").isNotNull().alias("stays")), "keys")
+
+    others = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    named = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
+        F.xxhash64("text").alias("text_no_"),
+        F.xxhash64(*others).alias("rest"),
+        F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt_"),
+    )
+    salted = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = F.col("doc.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("text_no_") == F.col("text_no"))
+    met = met & (F.col("salt_") == F.col("salt"))
+    left = named.join(salted, met, "left_anti").select("doc")
+    repeated = salted.where("stays")
+    if repeated.isEmpty():
+        return left.select("doc.*")
+    several = named.join(repeated, met, "left_semi")
+    once = several.groupBy("doc.doc_id", "text_no_").agg(F.min_by("doc", "rest").alias("doc"))
+    return left.union(once.select("doc")).select("doc.*")

@@ -321,6 +321,31 @@ def test_pipeline_drops_what_is_near_at_five_words(spark):
     assert Counter(r.doc_id for r in corpus_pipeline.ngram_join(spark, docs, "").collect()) == Counter(expected)
 
 
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    rng = random.Random(9)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    a, b, c, d, e = (rng.choices(vocabulary, k=200) for _ in range(5))
+
+    def near(words):
+        return " ".join([*words[:-1], "changed"])
+
+    a, b, c, d, e = (" ".join(x) for x in (a, b, c, d, e))
+    rows = [
+        *[(1, a, "s")] * 40, (2, near(a.split()), "s"),  # repeated rows, one near copy
+        (None, b, "s"), (None, b, "s"), (None, near(b.split()), "s"),  # no doc_id at all
+        (3, c, "s"), (4, near(c.split()), "s"), (4, d, "s"),  # 4: one text has a smaller copy, one is clean
+        (5, e, "t"), (5, e, "s"), (None, e, "s"),
+        (6, "", "s"), (6, "", "s"), (None, None, "s"),  # without words
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    left = corpus_pipeline.ngram_join(spark, docs, "")
+    assert left.columns == docs.columns
+    got = Counter((r.doc_id, r.text) for r in left.collect())
+    of_b = {t: got.pop((None, t), 0) for t in (b, near(b.split()))}
+    assert sum(of_b.values()) == 1
+    assert got == {(1, a): 1, (3, c): 1, (4, d): 1, (5, e): 1, (6, ""): 2, (None, None): 1}
+
+
 def test_flow_prefers_fresh_words():
     # pattern 0 is in both sources, 1 and 2 in one each
     flow = mixing.least_cost_flow({0: 10, 1: 10, 2: 10}, [(0, 0, 20), (0, 1, 20), (1, 0, 20), (2, 1, 20)], [15, 15])
