@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.running import sums_before
@@ -90,6 +90,22 @@ def least_cost_flow(
         width *= 2
 
 
+def passes_over(texts: Sequence[tuple[int, int]], drawn: int, most: int) -> tuple[int, int, int]:
+    """Whole passes over texts that ``drawn`` words make, words left, and words of the next pass.
+
+    ``texts``: (copies, words of the texts with so many copies, each once). A
+    text takes part in ``most * copies`` passes.
+    """
+    passes, width = 0, sum(once for _, once in texts)
+    for copies, once in sorted(texts):
+        whole = most * copies - passes
+        if drawn < whole * width:
+            return passes + drawn // width, drawn % width, width
+        drawn -= whole * width
+        passes, width = most * copies, width - once
+    return passes, 0, 0
+
+
 def _path(spare, need, flow, capacity, of_pattern, of_source) -> list[int] | None:
     """A shortest way pattern, source, pattern, ... source with room all along."""
     came: dict[tuple[str, int], tuple[str, int] | None] = {("p", p): None for p, x in spare.items() if x > 0}
@@ -131,8 +147,12 @@ def mix(
     graph of at most ``max_patterns`` shared patterns; the rest of the shared
     texts flow as if their sources were apart, which changes no quota. Its
     solution says how many words a source draws from a pattern: whole passes over
-    the documents, then documents in the order of a seeded hash; the last one in
-    that order may be drawn in part.
+    its texts, each text once a pass and at most ``most`` times a row, then texts
+    in a seeded order of the pattern's, which goes round. Each source goes on
+    where the one before ended, so texts of a pattern are all drawn once before
+    any is drawn again, from whatever source; the last one may be drawn in part.
+    A text's draws go to its rows in the source in turn, in the order of a
+    seeded hash of doc_id. The driver holds a number per arc and number of copies.
     """
     spark = docs.sparkSession
     size = F.size(words(F.col("text"))).cast("long")
@@ -158,8 +178,9 @@ def mix(
     rows = rows.join(F.broadcast(quotas), F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
 
     per_text = rows.groupBy("text_hash", "source_no").agg(
-        F.sum("size").alias("words"), F.max("size").alias("once")
+        F.max("size").alias("once"), F.count(F.lit(1)).alias("copies"), F.min("row_").alias("row_")
     )
+    per_text = stage(per_text, "mix")
     shared = (
         per_text.groupBy("text_hash")
         .agg(F.sort_array(F.collect_list("source_no")).alias("pattern"), F.max("once").alias("once"))
@@ -176,56 +197,71 @@ def mix(
     numbered = spark.createDataFrame(
         [(list(k), v) for k, v in numbers.items()], "pattern array<int>, pattern_no int"
     )
-    known = shared.join(F.broadcast(numbered), "pattern").select(  # at most max_patterns rows
-        "text_hash", "pattern_no", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    )
-    rows = rows.withColumn("salt", F.pmod("row_", F.lit(SALTS)).cast("int"))
-    rows = rows.join(known, ["text_hash", "salt"], "left")
-    rows = rows.withColumn("pattern_no", F.coalesce("pattern_no", "source_no")).drop("salt")
-    rows = stage(rows, "mix")
+    known = shared.join(F.broadcast(numbered), "pattern").select("text_hash", "pattern_no")  # at most max_patterns rows
+    texts = per_text.join(known, "text_hash", "left")
+    texts = stage(texts.withColumn("pattern_no", F.coalesce("pattern_no", "source_no")), "mix")
 
-    edges = rows.groupBy("pattern_no", "source_no").agg(F.sum("size").alias("words")).collect()
-    edges = sorted((e["pattern_no"], e["source_no"], e["words"]) for e in edges)
-    alone = (
-        rows.where(F.col("pattern_no") < len(sized))  # texts of one source
-        .groupBy("pattern_no", "text_hash")
-        .agg(F.max("size").alias("once"))
-        .groupBy("pattern_no")
-        .agg(F.sum("once").alias("unique"))
-        .collect()
-    )
-    unique = {r["pattern_no"]: r["unique"] for r in alone}
+    arcs: dict[tuple[int, int], list[tuple[int, int]]] = {}  # (copies, words of the texts that have so many)
+    for r in texts.groupBy("pattern_no", "source_no", "copies").agg(F.sum("once").alias("once")).collect():
+        arcs.setdefault((r["pattern_no"], r["source_no"]), []).append((r["copies"], r["once"]))
+    unique = {p: sum(once for _, once in found) for (p, _), found in arcs.items() if p < len(sized)}
     unique |= {numbers[tuple(r["pattern"])]: r["unique"] for r in top}
-    ids = sorted({p for p, _, _ in edges})
+    edges = sorted(arcs)
     flow = least_cost_flow(
-        {p: max(unique[p], 1) for p in ids},
-        [(p, s, most * w) for p, s, w in edges],
+        {p: max(unique[p], 1) for p in sorted({p for p, _ in edges})},
+        [(p, s, most * sum(k * once for k, once in arcs[p, s])) for p, s in edges],
         [int(t) for t in wanted],
     )
 
-    plan, begin = [], 0
-    for number, (p, s, w) in enumerate(edges):
-        drawn = flow[p, s]
-        passes = min(drawn // w, most) if w else 0
-        plan.append((p, s, number, begin, passes, drawn - passes * w))
-        begin += w
+    plan, begin, drawn_before = [], 0, dict.fromkeys(unique, 0)
+    for number, (p, s) in enumerate(edges):
+        passes, rest, width = passes_over(arcs[p, s], flow[p, s], most)
+        start = 0
+        if passes < most and width:  # all sources of the pattern go round the same texts
+            start = drawn_before[p] % width
+            drawn_before[p] += rest
+        plan.append((p, s, number, begin, passes, start, rest, width))
+        begin += width
     plan = spark.createDataFrame(
-        plan, "pattern_no int, source_no int, edge int, begin long, passes long, rest long"
+        plan,
+        "pattern_no int, source_no int, edge int, begin long, passes long, start long, rest long, width long",
     )
     # as many rows as the flow graph has arcs
-    rows = rows.join(F.broadcast(plan), ["pattern_no", "source_no"])
-    order = [F.col("edge"), F.xxhash64(F.lit(seed), "text_hash", "doc_id"), F.col("row_")]
-    placed = sums_before(rows, order, {"before": F.col("size")})
-    part = F.least(F.greatest(F.col("rest") - (F.col("before") - F.col("begin")), F.lit(0)), F.col("size"))
-    return placed.select(
-        "doc_id",
-        "size",
-        "source_size",
-        "target",
-        (F.col("passes") * F.col("size") + part).cast("long").alias("taken"),
-        "text_hash",
-        "source",
+    texts = texts.join(F.broadcast(plan), ["pattern_no", "source_no"])
+    goes_on = most * F.col("copies") > F.col("passes")
+    order = [F.col("edge"), F.xxhash64(F.lit(seed), "text_hash"), F.col("text_hash")]
+    texts = sums_before(texts, order, {"before": F.when(goes_on, F.col("once")).otherwise(0)})
+    at = F.col("before") - F.col("begin")
+
+    def overlap(low: Column, high: Column) -> Column:
+        return F.greatest(F.least(high, at + F.col("once")) - F.greatest(low, at), F.lit(0))
+
+    end = F.col("start") + F.col("rest")
+    part = overlap(F.col("start"), F.least(end, F.col("width"))) + overlap(F.lit(0), end - F.col("width"))
+    drawn = F.least("passes", most * F.col("copies")) * F.col("once") + F.when(goes_on, part).otherwise(0)
+    texts = stage(texts.select("text_hash", "source_no", "copies", "row_", drawn.alias("drawn")), "mix")
+
+    by_text = [F.col("text_hash"), F.col("source_no")]
+    several = sums_before(texts.where("copies > 1"), by_text, {"first": F.col("copies")})
+    texts = texts.where("copies = 1").withColumn("first", F.lit(0).cast("long")).unionByName(several)
+    # a text of one row meets it alone; salts spread the rows of the others
+    one, every = F.array(F.pmod("row_", F.lit(SALTS))), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
+    salted = texts.withColumn("salt", F.explode(F.when(F.col("copies") > 1, every).otherwise(one))).drop("row_")
+    rows = rows.withColumn("salt", F.pmod("row_", F.lit(SALTS))).join(salted, ["text_hash", "source_no", "salt"])
+    rows = stage(rows, "mix")
+
+    order = [*by_text, F.xxhash64(F.lit(seed), "doc_id"), F.col("row_")]
+    copied = sums_before(rows.where("copies > 1"), order, {"at": F.lit(1).cast("long")})
+    copied = copied.withColumns({"copy": F.col("at") - F.col("first"), "uses": F.expr("if(size > 0, drawn div size, 0)")})
+    turn = F.col("uses") % F.col("copies")
+    taken = F.expr("uses div copies") * F.col("size") + (
+        F.when(F.col("copy") < turn, F.col("size"))
+        .when(F.col("copy") == turn, F.col("drawn") - F.col("uses") * F.col("size"))
+        .otherwise(0)
     )
+    out = ("doc_id", "size", "source_size", "target", "taken", "text_hash", "source")
+    alone = rows.where("copies = 1").withColumn("taken", F.col("drawn"))
+    return alone.select(*out).union(copied.withColumn("taken", taken.cast("long")).select(*out))
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:

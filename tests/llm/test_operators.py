@@ -375,6 +375,36 @@ def test_mix(docs, rows):
     assert mixed.columns == docs.columns and mixed.count() > 0
 
 
+def _uses(docs, **options):
+    """Times each text is taken, and per row."""
+    rows = [r for r in mixing.mix(docs, **options).collect() if r.size]
+    assert all(0 <= r.taken <= 2 * r.size for r in rows)
+    drawn, size = Counter(), {r.text_hash: r.size for r in rows}
+    for r in rows:
+        drawn[r.text_hash] += r.taken
+    for source, target in {r.source: r.target for r in rows}.items():
+        assert abs(sum(r.taken for r in rows if r.source == source) - target) <= 1
+    return sorted(drawn[t] / n for t, n in size.items())
+
+
+def test_mix_takes_every_text_before_any_again(spark):
+    schema = "doc_id long, text string, source string"
+    texts = [" ".join(f"w{i}x{k}" for k in range(8 + i % 5)) for i in range(61)]
+    # a third of the rows copies of one text
+    rows = [(i, t, "a") for i, t in enumerate(texts)] + [(100 + i, texts[0], "a") for i in range(30)]
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    uses = _uses(docs, weights=(1,), share=0.8)
+    assert uses[0] >= 1 and uses[-1] <= 2
+    uses = _uses(docs, weights=(1,), share=1.9)  # all texts twice, and the copied one as often as needed
+    assert uses[0] == uses[-2] == 2 < uses[-1]
+    # two sources of the same texts that draw half each, and one and a half times each
+    rows = [(i, t, "ab"[j]) for i, t in enumerate(texts) for j in range(2)]
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    assert min(_uses(docs, weights=(1,), share=0.5)) > 0.9 and max(_uses(docs, weights=(1,), share=0.5)) <= 1
+    uses = _uses(docs, weights=(2, 1), share=0.75)
+    assert uses[0] >= 1 and uses[-1] <= 2
+
+
 def test_urls(spark):
     pages = [
         (1, "https://www.example.com/en/1"), (2, "https://m.example.com/en/1"), (3, "http://a.net/es/x?y"),
