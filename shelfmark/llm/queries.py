@@ -6,7 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import chat, decontaminate, jaccard, licenses, mixing, quality, repeats, sharding, sql, toxicity, urls
+from shelfmark.llm import (
+    chat,
+    decontaminate,
+    jaccard,
+    licenses,
+    mixing,
+    periods,
+    phrases,
+    quality,
+    repeats,
+    sharding,
+    simhash,
+    sql,
+    toxicity,
+    urls,
+)
 from shelfmark.llm.text import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +81,21 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge_pages(spark.read.parquet(f"{folder}/pages.parquet"))
 
 
+def op11_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose fingerprints differ in four bits at most."""
+    return simhash.near_fingerprints(documents(spark, folder))
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Periodic runs of words in every document, and digests of the texts without their repetitions."""
+    return periods.run_digests(documents(spark, folder))
+
+
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The 2,000 strongest phrases of every language."""
+    return phrases.collocations(documents(spark, folder))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_hilbert_shards": op2_hilbert_shards,
@@ -77,6 +107,9 @@ QUERIES: dict[str, Query] = {
     "op8_ngram_join": op8_ngram_join,
     "op9_flow_mix": op9_flow_mix,
     "op10_url_filter": op10_url_filter,
+    "op11_simhash": op11_simhash,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE: dict[str, str] = {
@@ -84,4 +117,5 @@ ORACLE: dict[str, str] = {
     "op6_decontaminate": sql.OP6,
     "op7_chat_collapse": sql.OP7,
     "op10_url_filter": sql.OP10,
+    "op13_collocations": sql.OP13,
 }

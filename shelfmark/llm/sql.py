@@ -135,3 +135,38 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(ids)
        sha256(array_to_string(coalesce(ids, []), ',')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
+
+OP13 = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang,
+           unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), w AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), totals AS (
+    SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang
+), occurrences AS (
+    SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+    FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w CROSS JOIN range(1, 6) AS ks(k))
+), f AS (
+    SELECT lang, phrase, k, count(*) AS a FROM occurrences GROUP BY ALL HAVING count(*) >= 100
+), held AS (
+    SELECT DISTINCT lang, a, unnest([array_to_string(p[:k - 1], ' '), array_to_string(p[2:], ' ')]) AS phrase
+    FROM (SELECT lang, a, k, string_split(phrase, ' ') AS p FROM f WHERE k > 2)
+), cuts AS (
+    SELECT lang, phrase, a, c, array_to_string(p[:c], ' ') AS x, array_to_string(p[c + 1:], ' ') AS y
+    FROM (SELECT lang, phrase, a, string_split(phrase, ' ') AS p, unnest(range(1, k)) AS c
+          FROM f ANTI JOIN held USING (lang, phrase, a) WHERE k > 1)
+), scored AS (
+    SELECT cuts.lang, cuts.phrase, cuts.a, c, x.a AS l, y.a AS r, t.n,
+           ((1000::HUGEINT * cuts.a * t.n) // (x.a::HUGEINT * y.a))::BIGINT AS score
+    FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = cuts.x
+    JOIN f y ON y.lang = cuts.lang AND y.phrase = cuts.y JOIN totals t ON t.lang = cuts.lang
+), lowest AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+       phrase, a, l, r, n, score
+FROM lowest QUALIFY rank <= 2000
+"""

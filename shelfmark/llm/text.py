@@ -38,6 +38,11 @@ def window_hashes(tokens: Column, k: int) -> Column:
     return let(tokens, over)
 
 
+def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """df but for columns of these names, in any case."""
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in names])
+
+
 def documents(spark, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
@@ -58,15 +63,11 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _hashed(texts: Sequence[bytes]) -> list[np.ndarray]:
-    data = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
-    blank = np.zeros(256, dtype=bool)
-    blank[list(BLANKS.encode())] = True
-    edges = np.flatnonzero(np.diff(np.append(True, blank[data]).view(np.int8)))
-    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+def span_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hash of the bytes of each span."""
     words_ = eights(data)
     out = mixed(sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    rest, done = np.arange(len(starts)), 0
+    rest, done = np.flatnonzero(sizes > 0), 0
     while len(rest):
         left = np.minimum(sizes[rest] - done, 8).astype(np.uint64)
         cut = np.uint64(2**64 - 1) >> (np.uint64(64) - np.uint64(8) * left)
@@ -74,6 +75,16 @@ def _hashed(texts: Sequence[bytes]) -> list[np.ndarray]:
         out[rest] = mixed(out[rest] ^ (word * np.uint64(0xC2B2AE3D27D4EB4F)))
         done += 8
         rest = rest[sizes[rest] > done]
+    return out
+
+
+def _hashed(texts: Sequence[bytes]) -> list[np.ndarray]:
+    data = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
+    blank = np.zeros(256, dtype=bool)
+    blank[list(BLANKS.encode())] = True
+    edges = np.flatnonzero(np.diff(np.append(True, blank[data]).view(np.int8)))
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    out = span_hashes(data, starts, sizes)
     ends = np.cumsum([len(x) + 1 for x in texts])
     return np.split(out, np.searchsorted(starts, ends[:-1]))
 
