@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import sys
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,17 +14,23 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import oracle  # noqa: E402
 from shelfmark.functions import clean_expr  # noqa: E402
+from shelfmark.operators import staging_root  # noqa: E402
 from shelfmark.operators.lookup import Dimension  # noqa: E402
 from shelfmark.plans import dims, facts, marts, quality  # noqa: E402
 from shelfmark.plans import reports as r  # noqa: E402
+from shelfmark.plans.gold import MARTS, MONTH, GoldStore, with_month  # noqa: E402
 from shelfmark.plans.workspace import Workspace, open_workspace  # noqa: E402
+from shelfmark.sinks import FolderSink  # noqa: E402
 from shelfmark.sources import raw_orders, raw_people, raw_returns  # noqa: E402
 
+llm = corpus_pipeline = None
 try:  # the subpackage and the pipeline are optional, and only together
     import corpus_pipeline
     from shelfmark.llm import queries as llm
-except ImportError:
-    llm = corpus_pipeline = None
+except ModuleNotFoundError as missing:
+    # anything else that is missing is a fault
+    if missing.name not in ("corpus_pipeline", "shelfmark.llm"):
+        raise
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,11 +72,15 @@ def _comparable(df: DataFrame) -> DataFrame:
 
 def _from(build: Callable[[Workspace], DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _comparable(build(open_workspace(spark, sf_dir)))
+        return _comparable(build(_workspace(spark, sf_dir)))
 
     return run
 
 
+def _workspace(spark: SparkSession, sf_dir: str) -> Workspace:
+    return open_workspace(spark, sf_dir, tiers=TIERS)
+
+
 def _tables(build: Callable[[SparkSession, str], DataFrame]) -> Query:
     return lambda spark, sf_dir: _comparable(build(spark, sf_dir))
 
@@ -81,9 +92,9 @@ def _orders(ws: Workspace) -> DataFrame:
     return dims.conform_orders(ws.raw["orders"])
 
 
-def _fact_sales(ws: Workspace) -> DataFrame:
+def _fact_sales(ws: Workspace, **options) -> DataFrame:
     """The fact with the business keys its surrogate keys stand for."""
-    sales = facts.fact_sales(_orders(ws), ws.star)
+    sales = facts.fact_sales(_orders(ws), ws.star, **options)
     for table, key, shown in (
         ("dim_customer", "customer_key", "customer_id"),
         ("dim_product", "product_key", "product_id"),
@@ -94,8 +105,8 @@ def _fact_sales(ws: Workspace) -> DataFrame:
     return sales.drop("sales_key")
 
 
-def _fact_returns(ws: Workspace) -> DataFrame:
-    returned = facts.fact_returns(_orders(ws), ws.raw["returns"], ws.star)
+def _fact_returns(ws: Workspace, **options) -> DataFrame:
+    returned = facts.fact_returns(_orders(ws), ws.raw["returns"], ws.star, **options)
     customers = ws.star["dim_customer"].select("customer_key", "customer_id")
     products = ws.star["dim_product"].select("product_key", "product_id")
     return (
@@ -114,32 +125,17 @@ def _clean_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- marts
 
 
-def _monthly(ws: Workspace) -> DataFrame:
-    return marts.monthly_sales(ws.star)
-
-
-def _ltv(ws: Workspace) -> DataFrame:
-    return marts.customer_lifetime_value(ws.star, tiers=TIERS)
-
-
-def _products(ws: Workspace) -> DataFrame:
-    return marts.product_performance(ws.star)
-
-
-def _unranked(ws: Workspace) -> DataFrame:
-    return marts.product_sales(ws.star)
+def _stored(name: str) -> Callable[[Workspace], DataFrame]:
+    return lambda ws: ws.gold[name]
 
 
-def _regions(ws: Workspace) -> DataFrame:
-    return marts.regional_summary(ws.star)
-
-
-def _trends(ws: Workspace) -> DataFrame:
-    return marts.category_trends(ws.star)
-
-
-def _modes(ws: Workspace) -> DataFrame:
-    return marts.shipping_analysis(ws.star)
+# what the reports read
+_monthly = _stored("agg_monthly_sales")
+_ltv = _stored("agg_customer_lifetime_value")
+_products = _stored("agg_product_performance")
+_regions = _stored("agg_regional_summary")
+_trends = _stored("agg_category_trends")
+_modes = _stored("agg_shipping_analysis")
 
 
 def _on(mart: Callable[[Workspace], DataFrame], report: Callable[..., DataFrame], **options) -> Query:
@@ -147,12 +143,7 @@ def _on(mart: Callable[[Workspace], DataFrame], report: Callable[..., DataFrame]
 
 
 def _by_year(ws: Workspace) -> DataFrame:
-    ordered = ws.star["dim_date"].join(
-        ws.star["fact_sales"].select(F.col("order_date_key").alias("date_key")).distinct(),
-        "date_key",
-        "left_semi",
-    )
-    return r.monthly_by_year(_monthly(ws), r.calendar_years(ordered))
+    return r.monthly_by_year(_monthly(ws), r.calendar_years(_monthly(ws)))
 
 
 def _counters(ws: Workspace) -> DataFrame:
@@ -167,7 +158,7 @@ def _monthly_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
                round(total_revenue, 2) AS total_revenue, round(total_profit, 2) AS total_profit
         FROM {agg_monthly_sales} AS m ORDER BY m.year, m.month
     """
-    return r.run_sql(spark, text, {"agg_monthly_sales": _monthly(open_workspace(spark, sf_dir))})
+    return r.run_sql(spark, text, {"agg_monthly_sales": _workspace(spark, sf_dir).gold["agg_monthly_sales"]})
 
 
 _MONEY = ("total_revenue", "total_profit")
@@ -176,7 +167,7 @@ _TREND = ("year", "quarter", "category", *_MONEY, "avg_profit_margin")
 
 
 def _inventory(ws: Workspace) -> DataFrame:
-    return quality.table_inventory({"bronze": ws.raw, "silver": ws.star})
+    return quality.table_inventory({"bronze": ws.raw, "silver": ws.star, "gold": ws.gold})
 
 
 def _shared_labels(ws: Workspace) -> DataFrame:
@@ -198,16 +189,24 @@ def _star_queries() -> dict[str, Query]:
         "dim_regional_manager": _from(lambda ws: dims.dim_regional_manager(ws.raw["people"])),
         "fact_sales": _from(_fact_sales),
         "fact_returns": _from(_fact_returns),
-        "monthly_sales": _from(_monthly),
-        "customer_ltv": _from(_ltv),
-        "product_performance": _from(_products),
-        "regional_summary": _from(_regions),
-        "category_trends": _from(_trends),
+        "fact_sales_unique": _from(lambda ws: _fact_sales(ws, lookup="unique")),
+        "fact_sales_joined": _from(lambda ws: _fact_sales(ws, method="join")),
+        "fact_sales_null_safe": _from(lambda ws: _fact_sales(ws, null_safe_geography=True)),
+        "fact_returns_joined": _from(lambda ws: _fact_returns(ws, method="join")),
+        "monthly_sales": _from(lambda ws: marts.monthly_sales(ws.star)),
+        "customer_ltv": _from(lambda ws: marts.customer_lifetime_value(ws.star, tiers=TIERS)),
+        "product_performance": _from(lambda ws: marts.product_performance(ws.star)),
+        "regional_summary": _from(lambda ws: marts.regional_summary(ws.star)),
+        "category_trends": _from(lambda ws: marts.category_trends(ws.star)),
         "category_trends_strict": _from(
             lambda ws: marts.category_trends(ws.star, strict_year=True)
         ),
-        "shipping_analysis": _from(_modes),
+        "shipping_analysis": _from(lambda ws: marts.shipping_analysis(ws.star)),
         "state_performance": _from(lambda ws: marts.state_performance(ws.star)),
+        # as with dimensions too large to broadcast
+        "regional_summary_large": _from(lambda ws: marts.regional_summary(ws.star, max_broadcast_bytes=0)),
+        "category_trends_large": _from(lambda ws: marts.category_trends(ws.star, max_broadcast_bytes=0)),
+        "state_performance_large": _from(lambda ws: marts.state_performance(ws.star, max_broadcast_bytes=0)),
         "table_inventory": _from(_inventory),
         "dq_duplicate_keys": _from(lambda ws: quality.duplicate_keys(ws.star)),
         "dq_shared_labels": _from(_shared_labels),
@@ -217,6 +216,70 @@ def _star_queries() -> dict[str, Query]:
     }
 
 
+# --- marts merged from stored state
+
+_stores: dict[int, GoldStore] = {}
+
+
+def _store(ws: Workspace) -> GoldStore:
+    """State of all marts over the workspace's star schema, written once."""
+    if id(ws) not in _stores:
+        spark = ws.star["fact_sales"].sparkSession
+        store = GoldStore(spark, f"{staging_root(spark)}/gold-{uuid.uuid4().hex}")
+        store.refresh(ws.star)
+        _stores.clear()
+        _stores[id(ws)] = store
+    return _stores[id(ws)]
+
+
+def _merged(name: str, **options) -> Query:
+    return _from(lambda ws: _store(ws).mart(name, ws.star, **options))
+
+
+def _replaced(ws: Workspace) -> DataFrame:
+    """Months by state that first saw half of the orders, and then the odd months as they are.
+
+    The even months have no late orders: all of theirs are there from the start.
+    """
+    fact = with_month(ws.star["fact_sales"])
+    spark = fact.sparkSession
+    early = fact.where((F.col(MONTH) % 2 == 0) | (F.col("order_id") % 2 == 0))
+    sink = FolderSink(spark, f"{staging_root(spark)}/late-{uuid.uuid4().hex}", {"fact_sales": [MONTH]})
+    store = GoldStore(spark, f"{sink.root}/gold", {"agg_monthly_sales": MARTS["agg_monthly_sales"]})
+    store.refresh({**ws.star, "fact_sales": sink("silver", "fact_sales", early)})
+    late = fact.where(F.col(MONTH) % 2 == 1)
+    star = {**ws.star, "fact_sales": sink.replace("silver", "fact_sales", late)}
+    odd = [m[0] for m in late.select(MONTH).distinct().collect()]  # one row per month
+    store.refresh(star, odd)
+    return store.mart("agg_monthly_sales", star)
+
+
+def _yearly_orders(ws: Workspace) -> DataFrame:
+    return _store(ws).distinct_counts("agg_monthly_sales", "total_orders", ["year"])
+
+
+def _category_orders(ws: Workspace) -> DataFrame:
+    """Orders per category: each once, beside the sum over sub-categories and quarters."""
+    exact = _store(ws).distinct_counts("agg_category_trends", "total_orders", ["category"])
+    summed = _trends(ws).groupBy("category").agg(F.sum("total_orders").alias("summed_orders"))
+    return exact.join(summed, "category")
+
+
+def _gold_queries() -> dict[str, Query]:
+    return {
+        "gold_monthly_sales": _merged("agg_monthly_sales"),
+        "gold_customer_ltv": _merged("agg_customer_lifetime_value", tiers=TIERS),
+        "gold_product_performance": _merged("agg_product_performance"),
+        "gold_regional_summary": _merged("agg_regional_summary"),
+        "gold_category_trends": _merged("agg_category_trends"),
+        "gold_shipping_analysis": _merged("agg_shipping_analysis"),
+        "gold_state_performance": _merged("agg_state_performance"),
+        "gold_replaced_months": _from(_replaced),
+        "report_yearly_orders": _from(_yearly_orders),
+        "report_category_orders": _from(_category_orders),
+    }
+
+
 def _monthly_reports() -> dict[str, Query]:
     int_year = {"text_year": False, "short_names": False}
     brief = ("total_orders", "avg_profit_margin", "avg_discount")
@@ -323,7 +386,7 @@ def _product_reports() -> dict[str, Query]:
     unscaled = {"as_percent": False}
 
     def top(n: int, keep: Sequence[str], **options) -> Query:
-        return _on(_unranked, r.products, n=n, keep=keep, **options)
+        return _on(_products, r.products, n=n, keep=keep, **options)
 
     def ranked(keep: Sequence[str], **options) -> Query:
         return _on(_products, r.products, n=20, keep=keep, by_rank=True, **options)
@@ -349,7 +412,7 @@ def _product_reports() -> dict[str, Query]:
             money=None,
             **unscaled,
         ),
-        "report_top_return_rate": _on(_unranked, r.worst_return_rates),
+        "report_top_return_rate": _on(_products, r.worst_return_rates),
     }
 
 
@@ -431,6 +494,7 @@ def queries() -> dict[str, Query]:
     """All queries: (spark, folder of the tables) -> DataFrame."""
     return {
         **_star_queries(),
+        **_gold_queries(),
         **_monthly_reports(),
         **_region_reports(),
         **_customer_reports(),

@@ -298,9 +298,36 @@ SELECT country, state, region, total_cost, total_customers, total_units_sold, av
        avg_order_value, profit_to_cost_ratio, state_revenue_rank, {_M}
 FROM state_sales""")
 
+# ---------------------------------------------------------------- marts merged from state, other plans
+
+for _name in (
+    "monthly_sales",
+    "customer_ltv",
+    "product_performance",
+    "regional_summary",
+    "category_trends",
+    "shipping_analysis",
+    "state_performance",
+):
+    Q[f"gold_{_name}"] = Q[_name]
+Q["gold_replaced_months"] = Q["monthly_sales"]
+for _name in ("regional_summary", "category_trends", "state_performance"):
+    Q[f"{_name}_large"] = Q[_name]
+# business keys of the given tables own one dimension row each
+for _name in ("fact_sales_unique", "fact_sales_joined", "fact_sales_null_safe"):
+    Q[_name] = Q["fact_sales"]
+Q["fact_returns_joined"] = Q["fact_returns"]
+Q["report_yearly_orders"] = over("flat", """
+SELECT CAST(year(order_date) AS INTEGER) AS year, count(DISTINCT order_id) AS total_orders FROM flat GROUP BY 1""")
+Q["report_category_orders"] = over("category_trends", """
+SELECT category, total_orders, summed_orders
+FROM (SELECT category, count(DISTINCT order_id) AS total_orders FROM flat GROUP BY category)
+JOIN (SELECT category, CAST(sum(total_orders) AS BIGINT) AS summed_orders FROM category_trends GROUP BY category)
+  USING (category)""")
+
 # ---------------------------------------------------------------- checks
 
-Q["table_inventory"] = "WITH " + ",\n".join([FLAT, RETURNED, RETURN_ROWS, MANAGERS]) + """
+Q["table_inventory"] = "WITH " + ",\n".join([FLAT, LINES, RETURNED, RETURN_ROWS, MANAGERS, MONTHLY, LTV, PRODUCT, REGIONAL, CATEGORY_BASE, CATEGORY, SHIPPING, STATE]) + """
 SELECT * FROM (
   SELECT 'bronze' AS layer, 'orders' AS "table", 'FACT' AS kind, count(*) AS rows, 20 AS columns FROM lineitem
   UNION ALL SELECT 'bronze', 'people', 'FACT', count(*), 2 FROM managers
@@ -316,7 +343,14 @@ SELECT * FROM (
     FROM (SELECT order_date FROM flat UNION SELECT ship_date FROM flat)
   UNION ALL SELECT 'silver', 'dim_regional_manager', 'DIMENSION', count(*), 3 FROM managers
   UNION ALL SELECT 'silver', 'fact_sales', 'FACT', count(*), 14 FROM flat
-  UNION ALL SELECT 'silver', 'fact_returns', 'FACT', count(*), 5 FROM return_rows)"""
+  UNION ALL SELECT 'silver', 'fact_returns', 'FACT', count(*), 5 FROM return_rows
+  UNION ALL SELECT 'gold', 'agg_monthly_sales', 'FACT', count(*), 14 FROM monthly
+  UNION ALL SELECT 'gold', 'agg_customer_lifetime_value', 'FACT', count(*), 16 FROM ltv
+  UNION ALL SELECT 'gold', 'agg_product_performance', 'FACT', count(*), 15 FROM product
+  UNION ALL SELECT 'gold', 'agg_regional_summary', 'FACT', count(*), 12 FROM regional
+  UNION ALL SELECT 'gold', 'agg_category_trends', 'FACT', count(*), 13 FROM category_trends
+  UNION ALL SELECT 'gold', 'agg_shipping_analysis', 'FACT', count(*), 12 FROM shipping
+  UNION ALL SELECT 'gold', 'agg_state_performance', 'FACT', count(*), 18 FROM state_sales)"""
 Q["dq_duplicate_keys"] = over("flat", """
 SELECT 'dim_customer' AS dimension, CAST(customer_id AS VARCHAR) AS business_key, count(*) AS versions
 FROM (SELECT DISTINCT customer_id, customer_name, segment FROM flat)

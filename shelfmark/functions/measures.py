@@ -62,7 +62,8 @@ def band(col: str, floors: Sequence[tuple[str, float]], default: str) -> Column:
 class Measure:
     """An aggregate that can be taken in one step, or in parts that are merged later.
 
-    ``parts`` are aggregates over rows; ``merge`` aggregates the parts' columns.
+    ``parts`` are aggregates over rows; ``merge`` aggregates the parts' columns,
+    which may be kept in a table until then.
     """
 
     whole: Column

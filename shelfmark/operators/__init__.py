@@ -1,4 +1,4 @@
-from shelfmark.operators.grouping import Lookup, aggregate
+from shelfmark.operators.grouping import Grouping, Lookup, aggregate
 from shelfmark.operators.keys import add_dense_key, surrogate_key, unique_rows
 from shelfmark.operators.lookup import attach_key, fits_broadcast
 from shelfmark.operators.ranking import amount_before, global_rank
@@ -7,6 +7,7 @@ from shelfmark.operators.staging import drop_staged, stage, staging_root
 from shelfmark.operators.trends import previous_year
 
 __all__ = [
+    "Grouping",
     "Lookup",
     "add_dense_key",
     "aggregate",

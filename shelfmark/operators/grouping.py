@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +27,29 @@ class Lookup:
         return [c for c in self.dim.columns if c != self.on]
 
 
+@dataclass(frozen=True)
+class Grouping:
+    """What :func:`aggregate` works on: rows, keys, measures, distinct counts and lookups."""
+
+    rows: DataFrame
+    keys: Sequence[str]
+    measures: Mapping[str, Measure]
+    distinct: Mapping[str, str]
+    lookups: Sequence[Lookup] = ()
+    counted: DataFrame | None = None
+
+    def aggregated(self, max_broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+        return aggregate(
+            self.rows,
+            self.keys,
+            self.measures,
+            self.distinct,
+            self.lookups,
+            max_broadcast_bytes,
+            self.counted,
+        )
+
+
 def aggregate(
     rows: DataFrame,
     keys: Sequence[str],
@@ -46,8 +69,8 @@ def aggregate(
     together moves nothing.
 
     Keys may be attributes of lookup dimensions. A dimension measured to be
-    small is broadcast as (key, group number): fact rows are grouped by an
-    integer, and the attributes join the finished groups. For a larger one the
+    small is broadcast as (key, group name): fact rows are grouped by two
+    numbers, and the attributes join the finished groups. For a larger one the
     measures are first aggregated by the lookup key and only these partial
     results are shuffled to the dimension; the distinct counts shuffle narrow
     rows to it, where AQE splits a skewed key.
@@ -61,18 +84,19 @@ def aggregate(
         fits = fits_broadcast(lookup.dim, max_broadcast_bytes)
         (small if fits else large).append(lookup)
 
-    labels: dict[str, DataFrame] = {}
+    labels: dict[tuple[str, str], DataFrame] = {}
     for i, lookup in enumerate(small):
-        number = f"_group{i}"
-        numbered = _numbered(lookup, number)
-        rows = _with_group(rows, numbered, lookup.on, number)
-        counted = _with_group(counted, numbered, lookup.on, number)
-        labels[number] = numbered.select(number, *lookup.attributes).where(F.col(number) > 0).distinct()
+        name = (f"_group{i}", f"_check{i}")
+        named = _named(lookup, name)
+        rows = _with_group(rows, named, lookup.on, name)
+        counted = _with_group(counted, named, lookup.on, name)
+        labels[name] = named.select(*name, *lookup.attributes).distinct()
 
+    names = [c for name in labels for c in name]
     plain = [k for k in keys if not any(k in lookup.attributes for lookup in small)]
     if large:
         found = {k for lookup in large for k in lookup.attributes}
-        before = [*labels, *[lookup.on for lookup in large], *[k for k in plain if k not in found]]
+        before = [*names, *[lookup.on for lookup in large], *[k for k in plain if k not in found]]
         parts = {f"_{n}_{i}": p for n, m in measures.items() for i, p in enumerate(m.parts)}
         reduced = rows.groupBy(*before).agg(*[p.alias(n) for n, p in parts.items()])
         results = {
@@ -86,31 +110,36 @@ def aggregate(
         measured, stand_ins = _with_stand_ins(rows, plain)
     counted, _ = _with_stand_ins(counted, plain)
 
-    groups = [*labels, *stand_ins]
+    groups = [*names, *stand_ins]
     out = measured.groupBy(*groups).agg(*[c.alias(n) for n, c in results.items()])
     for name, column in distinct.items():
         counts = counted.groupBy(*groups).agg(F.count_distinct(column).alias(name))
         out = out.join(counts, groups)  # both sides hold every group once
-    for number, attributes in labels.items():
-        out = out.join(F.broadcast(attributes), number, "left")  # no larger than the dimension
+    for name, attributes in labels.items():
+        out = out.join(F.broadcast(attributes), list(name), "left")  # no larger than the dimension
     for i, key in enumerate(plain):
         out = out.withColumn(key, F.when(~F.col(f"_null{i}"), F.col(f"_key{i}")))
     return out.select(*keys, *measures, *distinct)
 
 
-def _numbered(lookup: Lookup, name: str) -> DataFrame:
-    """A small dimension with a number per combination of its attributes.
+def _named(lookup: Lookup, name: tuple[str, str]) -> DataFrame:
+    """A small dimension with 128 bits that stand for the combination of its attributes.
 
-    All attributes NULL is group 0, where rows without a match belong too.
+    Computed row by row: nothing is sorted or gathered to give out numbers. All
+    attributes NULL is (0, 0), where rows without a match belong too.
     """
     known = reduce(Column.__or__, [F.col(c).isNotNull() for c in lookup.attributes])
-    number = F.dense_rank().over(Window.orderBy(*lookup.attributes))
-    return lookup.dim.withColumn(name, F.when(known, number).otherwise(0))
+    parts = [p for c in lookup.attributes for p in (F.isnull(c), F.col(c))]
+    seeds = ([], [F.lit("check")])
+    zero = F.lit(0).cast("long")
+    return lookup.dim.withColumns(
+        {n: F.when(known, F.xxhash64(*seed, *parts)).otherwise(zero) for n, seed in zip(name, seeds, strict=True)}
+    )
 
 
-def _with_group(rows: DataFrame, numbered: DataFrame, on: str, name: str) -> DataFrame:
-    joined = rows.join(F.broadcast(numbered.select(on, name)), on, "left")
-    return joined.withColumn(name, F.coalesce(name, F.lit(0)))
+def _with_group(rows: DataFrame, named: DataFrame, on: str, name: tuple[str, str]) -> DataFrame:
+    joined = rows.join(F.broadcast(named.select(on, *name)), on, "left")
+    return joined.withColumns({n: F.coalesce(n, F.lit(0).cast("long")) for n in name})
 
 
 def _joined(rows: DataFrame, lookups: Sequence[Lookup]) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from shelfmark.operators.staging import stage
 
+MOST_SLICES = 256  # of a rank: more would only lengthen the plan
+
 
 def amount_before(
     df: DataFrame,
@@ -52,13 +54,33 @@ def global_rank(
 
     ``ranks`` maps value column -> rank column. ``df`` is read several times, so
     hand in a staged frame.
+
+    One pass takes quantile sketches of all measures; their cut points deal
+    each measure's distinct values (with the number of rows that have them)
+    into slices. A slice adds up its own rows, and a table of one row per slice
+    says what precedes it. Cut points are plain numbers in the plan, so slices
+    are the same on every read and nothing is written in between.
     """
+    n = min(slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MOST_SLICES)
+    shares = [i / n for i in range(1, n)]
+    cuts = [F.percentile_approx(v, shares, 100 * n).alias(name) for v, name in ranks.items()]
+    found = df.agg(*cuts).first() if n > 1 else {}  # n numbers a measure
     for value, name in ranks.items():
-        # one row per distinct value: rows tied on one value weigh as one
+        points = sorted(set(found[name] or [])) if n > 1 else []
+        column = F.col("_value")
+        # values above all cut points are in slice 0, NULL is in one of its own
+        above = [F.when(column <= F.lit(p), 1).otherwise(0) for p in points]
+        place = sum(above, F.lit(0))
+        place = F.when(column.isNull(), len(points) + 1).otherwise(place)
         counts = df.groupBy(F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("_rows"))
-        before = amount_before(
-            counts, [F.desc_nulls_last("_value")], weight="_rows", name="_before", slices=slices
-        )
-        places = before.select("_value", (F.col("_before") + 1).cast("int").alias(name))
+        counts = counts.withColumn("_slice", place)
+        starts = counts.groupBy("_slice").agg(F.sum("_rows").alias("_all"))
+        earlier_slices = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        starts = starts.select("_slice", F.coalesce(F.sum("_all").over(earlier_slices), F.lit(0)).alias("_start"))
+        earlier = Window.partitionBy("_slice").orderBy(F.desc_nulls_last("_value"))
+        earlier = earlier.rowsBetween(Window.unboundedPreceding, -1)
+        places = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+        places = places.join(F.broadcast(starts), "_slice")  # n + 1 rows at most
+        places = places.select("_value", (F.col("_start") + F.col("_before") + 1).cast("int").alias(name))
         df = df.join(places, F.col(value).eqNullSafe(F.col("_value")), "left").drop("_value")
     return df

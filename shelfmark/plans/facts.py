@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import date_key, ratio
 from shelfmark.operators import attach_key, surrogate_key
+from shelfmark.operators.bloom import might_contain
 from shelfmark.plans.schema import (
     CUSTOMER,
     LINE_DIMENSIONS,
@@ -63,20 +64,22 @@ def fact_returns(
 ) -> DataFrame:
     """One row per return and distinct line of the returned order.
 
-    A return of an unknown order stays, with NULL keys. Found and lost returns
-    are computed apart: an inner join lets the adaptive skew split work on the
-    side where one order may own very many lines; an outer join would not.
+    A return of an unknown order stays, with NULL keys. A Bloom filter of the
+    returned order ids, sized from the returns, lets (about) only their lines
+    into the shuffle. These meet the returns by order id, and their distinct
+    lines are taken where they then are; a return says how often it was made, so
+    repeated ones do not multiply lines before. Returns that met none are found
+    against the same rows. Inner and anti join leave the line side to the
+    adaptive skew split; an outer join could not split the order with many lines.
     """
-    returned = returns.where(F.col("returned") == "Yes").select("order_id")
+    returned = returns.where(F.col("returned") == "Yes").groupBy("order_id").agg(F.count(F.lit(1)).alias("_times"))
 
     own = {dim.key: f"_{dim.key}" for dim in (CUSTOMER, PRODUCT)}
-    lines = orders.groupBy("order_id", "customer_id", "product_id", "order_date", "region").agg(
-        *[
-            F.min(surrogate_key(dim.attributes)).alias(own[dim.key])
-            for dim in (CUSTOMER, PRODUCT)
-        ]
-    )
-    found = lines.join(returned, "order_id")
+    may = orders.where(might_contain(returns.where(F.col("returned") == "Yes"), "order_id", F.col("order_id")))
+    columns = ("order_id", "customer_id", "product_id", "order_date", "region")
+    lines = may.select(*columns, *[surrogate_key(dim.attributes).alias(own[dim.key]) for dim in (CUSTOMER, PRODUCT)])
+    met = lines.join(returned, "order_id")
+    found = met.groupBy(*columns, "_times").agg(*[F.min(k).alias(k) for k in own.values()])
     for dim in (CUSTOMER, PRODUCT):
         found = attach_key(
             found,
@@ -87,12 +90,11 @@ def fact_returns(
             own_key=F.col(own[dim.key]),
         )
     columns = [c for c in RETURN_COLUMNS if c != "return_key"]
-    found = found.withColumn("order_date_key", date_key("order_date")).select(*columns)
+    found = found.withColumn("order_date_key", date_key("order_date")).select(*columns, "_times")
 
-    known = orders.select("order_id").distinct()
     empty = {c: F.lit(None).cast(found.schema[c].dataType) for c in columns if c != "order_id"}
-    lost = returned.join(known, "order_id", "left_anti").withColumns(empty).select(*columns)
+    lost = returned.join(met.select("order_id"), "order_id", "left_anti").withColumns(empty)
+    every = found.unionByName(lost.select(*columns, "_times"))
+    every = every.withColumn("_times", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
 
-    return found.unionByName(lost).select(
-        (F.monotonically_increasing_id() + 1).alias("return_key"), *columns
-    )
+    return every.select((F.monotonically_increasing_id() + 1).alias("return_key"), *columns)

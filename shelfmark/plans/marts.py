@@ -23,8 +23,8 @@ from shelfmark.functions.measures import (
     summed,
 )
 from shelfmark.operators import (
+    Grouping,
     Lookup,
-    aggregate,
     global_rank,
     previous_year,
     share_of_total,
@@ -36,9 +36,8 @@ from shelfmark.plans.schema import LOWEST_TIER, LTV_TIERS
 Tables = Mapping[str, DataFrame]
 
 
-def monthly_sales(t: Tables) -> DataFrame:
-    """Measures per year and month."""
-    by_month = aggregate(
+def months(t: Tables) -> Grouping:
+    return Grouping(
         t["fact_sales"].withColumn("_discounted", F.col("revenue") * F.col("discount")),
         ["year", "month", "month_name"],
         {
@@ -54,6 +53,15 @@ def monthly_sales(t: Tables) -> DataFrame:
         {"total_orders": "order_id"},
         [_ordered_in(t, "year", "month", "month_name")],
     )
+
+
+def monthly_sales(t: Tables, by_month: DataFrame | None = None) -> DataFrame:
+    """Measures per year and month.
+
+    As with the other marts, finished groups may be handed in; they are
+    aggregated from the fact otherwise.
+    """
+    by_month = months(t).aggregated() if by_month is None else by_month
     return by_month.select(
         "year",
         "month",
@@ -72,13 +80,8 @@ def monthly_sales(t: Tables) -> DataFrame:
     )
 
 
-def customer_lifetime_value(
-    t: Tables,
-    tiers: Sequence[tuple[str, float]] = LTV_TIERS,
-    lowest: str = LOWEST_TIER,
-) -> DataFrame:
-    """Spend, frequency, returns, tenure and tier per customer row."""
-    spend = aggregate(
+def customers(t: Tables) -> Grouping:
+    return Grouping(
         _with_date(t["fact_sales"], t["dim_date"], "date"),
         ["customer_key"],
         {
@@ -93,6 +96,16 @@ def customer_lifetime_value(
         {"total_orders": "order_id"},
         counted=t["fact_sales"],
     )
+
+
+def customer_lifetime_value(
+    t: Tables,
+    tiers: Sequence[tuple[str, float]] = LTV_TIERS,
+    lowest: str = LOWEST_TIER,
+    spend: DataFrame | None = None,
+) -> DataFrame:
+    """Spend, frequency, returns, tenure and tier per customer row."""
+    spend = customers(t).aggregated() if spend is None else spend
     # orders returned, not return rows
     returned = t["fact_returns"].groupBy("customer_key").agg(
         F.count_distinct("order_id").alias("_returns")
@@ -123,9 +136,8 @@ def customer_lifetime_value(
     )
 
 
-def product_sales(t: Tables) -> DataFrame:
-    """Measures and returns per product row, without the ranks."""
-    sold = aggregate(
+def products(t: Tables) -> Grouping:
+    return Grouping(
         t["fact_sales"],
         ["product_key"],
         {
@@ -137,6 +149,11 @@ def product_sales(t: Tables) -> DataFrame:
         },
         {"total_orders": "order_id"},
     )
+
+
+def product_sales(t: Tables, sold: DataFrame | None = None) -> DataFrame:
+    """Measures and returns per product row, without the ranks."""
+    sold = products(t).aggregated() if sold is None else sold
     # return rows, not orders
     returned = t["fact_returns"].groupBy("product_key").agg(
         F.count("return_key").alias("_returns")
@@ -162,9 +179,9 @@ def product_sales(t: Tables) -> DataFrame:
     )
 
 
-def product_performance(t: Tables, **ranking) -> DataFrame:
+def product_performance(t: Tables, sold: DataFrame | None = None, **ranking) -> DataFrame:
     """Product measures with their place by revenue and by profit."""
-    staged = stage(product_sales(t), "product_sales")
+    staged = stage(product_sales(t, sold), "product_sales")
     ranks = {"total_revenue": "revenue_rank", "total_profit": "profit_rank"}
     return global_rank(staged, ranks, **ranking)
 
@@ -183,19 +200,27 @@ def _place_measures() -> dict[str, Measure]:
     }
 
 
-def regional_summary(t: Tables, max_broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Measures per region and manager; a region with two managers counts for each."""
-    managers = t["dim_regional_manager"].select("manager_name", F.col("region").alias("_region"))
+def regions(t: Tables) -> Grouping:
     places = t["dim_geography"].select("geography_key", "region")
-    owned = places.join(managers, F.col("region") == F.col("_region"), "left").drop("_region")
-    by_region = aggregate(
-        t["fact_sales"],
-        ["region", "manager_name"],
-        _place_measures(),
-        _PLACE_COUNTS,
-        [Lookup("geography_key", owned)],
-        max_broadcast_bytes,
+    return Grouping(
+        t["fact_sales"], ["region"], _place_measures(), _PLACE_COUNTS, [Lookup("geography_key", places)]
     )
+
+
+def regional_summary(
+    t: Tables, max_broadcast_bytes: int = BROADCAST_BYTES, by_region: DataFrame | None = None
+) -> DataFrame:
+    """Measures per region and manager; a region with two managers counts for each.
+
+    Managers join the finished regions. A manager listed n times for a region
+    meets each of its lines n times, so sums count n-fold.
+    """
+    by_region = regions(t).aggregated(max_broadcast_bytes) if by_region is None else by_region
+    managers = t["dim_regional_manager"].select("manager_name", F.col("region").alias("_region"))
+    managers = managers.groupBy("manager_name", "_region").agg(F.count(F.lit(1)).alias("_times"))
+    by_region = by_region.join(managers, F.col("region") == F.col("_region"), "left")
+    sums = ("total_revenue", "total_profit", "total_cost", "total_units_sold")
+    by_region = by_region.withColumns({c: F.col(c) * F.coalesce("_times", F.lit(1)) for c in sums})
     return by_region.select(
         "region",
         "manager_name",
@@ -212,12 +237,9 @@ def regional_summary(t: Tables, max_broadcast_bytes: int = BROADCAST_BYTES) -> D
     )
 
 
-def category_trends(
-    t: Tables, strict_year: bool = False, max_broadcast_bytes: int = BROADCAST_BYTES
-) -> DataFrame:
-    """Measures per quarter and sub-category, with change against the year before."""
+def categories(t: Tables) -> Grouping:
     items = t["dim_product"].select("product_key", "category", "sub_category")
-    quarterly = aggregate(
+    return Grouping(
         t["fact_sales"],
         ["year", "quarter", "category", "sub_category"],
         {
@@ -228,8 +250,17 @@ def category_trends(
         },
         {"total_orders": "order_id"},
         [_ordered_in(t, "year", "quarter"), Lookup("product_key", items)],
-        max_broadcast_bytes,
     )
+
+
+def category_trends(
+    t: Tables,
+    strict_year: bool = False,
+    max_broadcast_bytes: int = BROADCAST_BYTES,
+    quarterly: DataFrame | None = None,
+) -> DataFrame:
+    """Measures per quarter and sub-category, with change against the year before."""
+    quarterly = categories(t).aggregated(max_broadcast_bytes) if quarterly is None else quarterly
     return previous_year(
         quarterly,
         ["quarter", "category", "sub_category"],
@@ -255,15 +286,11 @@ def category_trends(
     )
 
 
-def shipping_analysis(t: Tables) -> DataFrame:
-    """Measures, delivery days and shares per ship mode.
-
-    Shares of orders refer to the sum of the modes' order counts.
-    """
+def ship_modes(t: Tables) -> Grouping:
     modes = t["dim_ship_mode"].select("ship_mode_key", "ship_mode", "ship_mode_description")
     ordered = _with_date(t["fact_sales"], t["dim_date"], "date").withColumnRenamed("date", "_from")
     shipped = _with_date(ordered, t["dim_date"], "date", on="ship_date_key")
-    by_mode = aggregate(
+    return Grouping(
         shipped.withColumn("_days", F.datediff("date", "_from")),
         ["ship_mode", "ship_mode_description"],
         {
@@ -278,7 +305,16 @@ def shipping_analysis(t: Tables) -> DataFrame:
         {"total_orders": "order_id"},
         [Lookup("ship_mode_key", modes)],
         counted=t["fact_sales"],
-    ).select(
+    )
+
+
+def shipping_analysis(t: Tables, by_mode: DataFrame | None = None) -> DataFrame:
+    """Measures, delivery days and shares per ship mode.
+
+    Shares of orders refer to the sum of the modes' order counts.
+    """
+    by_mode = ship_modes(t).aggregated() if by_mode is None else by_mode
+    by_mode = by_mode.select(
         "ship_mode",
         "ship_mode_description",
         "total_revenue",
@@ -294,12 +330,9 @@ def shipping_analysis(t: Tables) -> DataFrame:
     return share_of_total(stage(by_mode, "ship_modes"), shares)
 
 
-def state_performance(
-    t: Tables, max_broadcast_bytes: int = BROADCAST_BYTES, **ranking
-) -> DataFrame:
-    """Measures, density ratios and revenue place per state."""
+def states(t: Tables) -> Grouping:
     places = t["dim_geography"].select("geography_key", "country", "state", "region")
-    by_state = aggregate(
+    return Grouping(
         _with_date(t["fact_sales"], t["dim_date"], "date"),
         ["country", "state", "region"],
         {
@@ -309,9 +342,19 @@ def state_performance(
         },
         _PLACE_COUNTS,
         [Lookup("geography_key", places)],
-        max_broadcast_bytes,
         counted=t["fact_sales"],
-    ).select(
+    )
+
+
+def state_performance(
+    t: Tables,
+    max_broadcast_bytes: int = BROADCAST_BYTES,
+    by_state: DataFrame | None = None,
+    **ranking,
+) -> DataFrame:
+    """Measures, density ratios and revenue place per state."""
+    by_state = states(t).aggregated(max_broadcast_bytes) if by_state is None else by_state
+    by_state = by_state.select(
         "country",
         "state",
         "region",

@@ -125,9 +125,9 @@ def build_star(raw: Mapping[str, DataFrame], sink: Sink, **options) -> dict[str,
     return star
 
 
-def build_marts(star: Mapping[str, DataFrame], sink: Sink, **ltv_options) -> dict[str, DataFrame]:
-    """Write all seven marts; ``ltv_options`` set the customer tiers."""
-    plans = {
+def mart_plans(**ltv_options) -> dict[str, Callable[[Mapping[str, DataFrame]], DataFrame]]:
+    """Table name -> plan over a star schema; ``ltv_options`` set the customer tiers."""
+    return {
         "agg_monthly_sales": marts.monthly_sales,
         "agg_customer_lifetime_value": lambda t: marts.customer_lifetime_value(t, **ltv_options),
         "agg_product_performance": marts.product_performance,
@@ -136,7 +136,11 @@ def build_marts(star: Mapping[str, DataFrame], sink: Sink, **ltv_options) -> dic
         "agg_shipping_analysis": marts.shipping_analysis,
         "agg_state_performance": marts.state_performance,
     }
-    return {name: sink("gold", name, plan(star)) for name, plan in plans.items()}
+
+
+def build_marts(star: Mapping[str, DataFrame], sink: Sink, **ltv_options) -> dict[str, DataFrame]:
+    """Write all seven marts."""
+    return {name: sink("gold", name, plan(star)) for name, plan in mart_plans(**ltv_options).items()}
 
 
 def _escaped(path: str) -> str:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfmark.operators import stage
-from shelfmark.plans.pipeline import star_plans
+from shelfmark.plans.pipeline import mart_plans, star_plans
 from shelfmark.sources import raw_orders, raw_people, raw_returns
 
 SOURCE_TABLES = ("lineitem", "orders", "customer", "nation", "region", "part", "supplier")
@@ -37,20 +38,25 @@ class StagedTables(Mapping[str, DataFrame]):
 class Workspace:
     raw: StagedTables
     star: StagedTables
+    gold: StagedTables
 
 
 _open: dict[tuple, Workspace] = {}
 
 
-def open_workspace(spark: SparkSession, folder: str) -> Workspace:
-    """The flat raw tables and the star schema over the tables of a folder.
+def open_workspace(spark: SparkSession, folder: str, **ltv_options) -> Workspace:
+    """The flat raw tables, the star schema and the marts over the tables of a folder.
 
     The line-grain join and the key lookups are the expensive part of every
-    mart and report, so their result is written once and shared. Changed source
-    files give a new workspace.
+    mart, and the marts that of every report, so each is written once and
+    shared: a report is one scan of a stored mart. Changed source files give
+    a new workspace.
     """
-    key = (spark.sparkContext.applicationId, folder, _state(spark, folder))
+    options = tuple(sorted(ltv_options.items()))
+    key = (spark.sparkContext.applicationId, folder, options, _state(spark, folder))
     if key not in _open:
+        for old in [k for k in _open if k[0] != key[0] or k[:3] == key[:3]]:
+            del _open[old]  # another application's, or built on files that have changed
         raw = StagedTables(
             {
                 "orders": lambda: raw_orders(spark, folder),
@@ -60,7 +66,8 @@ def open_workspace(spark: SparkSession, folder: str) -> Workspace:
         )
         star = StagedTables({})
         star.plans.update(star_plans(raw, star))
-        _open[key] = Workspace(raw, star)
+        gold = StagedTables({name: partial(plan, star) for name, plan in mart_plans(**ltv_options).items()})
+        _open[key] = Workspace(raw, star, gold)
     return _open[key]
 
 

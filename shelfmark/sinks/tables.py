@@ -83,15 +83,31 @@ class TableSink:
 
 @dataclass
 class FolderSink:
-    """Writes each layer's tables as Parquet below a folder."""
+    """Writes each layer's tables as Parquet below a folder.
+
+    Tables named in ``partition_by`` are partitioned by those columns;
+    :meth:`replace` then rewrites only the partitions that a frame has rows for.
+    """
 
     spark: SparkSession
     root: str
+    partition_by: Mapping[str, Sequence[str]] = field(default_factory=dict)
     log: list[tuple[str, Written]] = field(default_factory=list)
 
     def __call__(self, layer: str, name: str, df: DataFrame) -> DataFrame:
+        return self._saved(layer, name, df, "static")
+
+    def replace(self, layer: str, name: str, df: DataFrame) -> DataFrame:
+        """The table after its partitions in df are replaced."""
+        if not self.partition_by.get(name):
+            raise ValueError(f"{name} has no partitions to replace")
+        return self._saved(layer, name, df, "dynamic")
+
+    def _saved(self, layer: str, name: str, df: DataFrame, mode: str) -> DataFrame:
         path = f"{self.root.rstrip('/')}/{layer}/{name}"
-        counted, seen = _observed(df)
-        counted.write.mode("overwrite").parquet(path)
+        by = self.partition_by.get(name, ())
+        counted, seen = _observed(_rebalanced(df, by))
+        writer = counted.write.mode("overwrite").option("partitionOverwriteMode", mode)
+        (writer.partitionBy(*by) if by else writer).parquet(path)
         self.log.append((layer, Written(name, seen.get["rows"], len(df.columns))))
         return self.spark.read.schema(df.schema).parquet(path)
