@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.operators.ranking import amount_before
 
+KEY_BITS = 64  # of a surrogate key; fewer make clashes, for tests
+
 
 def surrogate_key(columns: Sequence[Column | str]) -> Column:
     """64-bit key that depends on the attribute values alone.
@@ -17,10 +19,26 @@ def surrogate_key(columns: Sequence[Column | str]) -> Column:
     compute the key of its dimension row without a join. The NULL flags keep
     ``(a, NULL)`` apart from ``(NULL, a)``. Two rows may share a key by chance
     (about n*n / 2**65); ``quality.key_clashes`` finds them, and
-    :func:`add_dense_key` is the collision-free alternative.
+    :func:`settled_keys` gives all but one of them another.
     """
     parts = [p for c in columns for p in (F.isnull(c), c)]
-    return F.xxhash64(*parts)
+    return F.shiftrightunsigned(F.xxhash64(*parts), 64 - KEY_BITS) if KEY_BITS < 64 else F.xxhash64(*parts)
+
+
+def settled_keys(rows: DataFrame, key: str, attributes: Sequence[str]) -> DataFrame:
+    """rows with other keys for rows that share one: the smallest by its attributes keeps it.
+
+    Only the rows of clashing keys are ordered, key by key. New keys may clash
+    again, as rarely as any; check the result and repeat.
+    """
+    clashing = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select(key)
+    order = Window.partitionBy(key).orderBy(*[F.asc_nulls_first(c) for c in attributes])
+    place = F.row_number().over(order)
+    parts = [p for c in attributes for p in (F.isnull(c), c)]
+    other = F.xxhash64(F.lit("again"), key, place, *parts)
+    met = rows.join(clashing, key, "left_semi").withColumn("_new", F.when(place == 1, F.col(key)).otherwise(other))
+    met = met.withColumn(key, F.col("_new")).select(*rows.columns)
+    return rows.join(clashing, key, "left_anti").select(*rows.columns).unionByName(met)
 
 
 def add_dense_key(df: DataFrame, name: str, order: Sequence[str], slices: int | None = None) -> DataFrame:

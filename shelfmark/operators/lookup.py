@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.operators.keys import surrogate_key
+from shelfmark.operators.statistics import known_bytes, row_bytes
 
 # A frame is broadcast if its rows, unpacked, take at most this many bytes.
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -25,37 +26,49 @@ class Dimension:
 
 
 def unpacked_bytes(df: DataFrame) -> int:
-    """Size of the rows in memory: text as long as it is, 16 bytes for any other value.
-
-    One distributed sum; nothing is collected but the result.
-    """
-    text = [c for c, kind in df.dtypes if kind == "string"]
-    fixed = 16 * (1 + len(df.columns))
-    lengths = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)).cast("long") for c in text]
-    row = sum(lengths, F.lit(fixed).cast("long"))
-    return df.agg(F.sum(row)).first()[0] or 0
+    """Size of the rows in memory. One distributed sum; nothing is collected but the result."""
+    return df.agg(F.sum(row_bytes(df))).first()[0] or 0
 
 
 def fits_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Whether df was measured to be small enough for every executor to hold."""
-    return unpacked_bytes(df) <= max_bytes
+    """Whether df is small enough for every executor to hold.
+
+    Known without a job where it narrows a table that was measured when it
+    was written, and that is small enough; else df is measured.
+    """
+    known = known_bytes(df)
+    return (known is not None and known <= max_bytes) or unpacked_bytes(df) <= max_bytes
 
 
 def versioned_keys(rows: DataFrame, dim: Dimension) -> DataFrame:
-    """(business key, surrogate key) of business keys that own several dimension rows."""
-    several = rows.groupBy(*dim.business).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    """(business key, surrogate key) where a fact row cannot compute the key by itself.
+
+    Business keys that own several dimension rows, or one whose key had to be
+    replaced because it clashed.
+    """
+    several = rows.groupBy(*dim.business).agg(
+        F.count(F.lit(1)).alias("_n"), F.max(_replaced(dim)).alias("_odd")
+    )
+    several = several.where("_n > 1 OR _odd")
     several = several.select(*[F.col(c).alias(f"_b{i}") for i, c in enumerate(dim.business)])
     return rows.select(*dim.business, dim.key).join(
         several, _same(dim.business, several, null_safe=True), "left_semi"
     )
 
 
+def _replaced(dim: Dimension) -> Column:
+    return F.col(dim.key) != surrogate_key(dim.attributes)
+
+
 def first_keys(rows: DataFrame, dim: Dimension) -> DataFrame:
-    """One surrogate key per business key: that of the smallest attributes."""
+    """One surrogate key per business key: that of the smallest attributes; ``_n`` > 1 where it must be looked up."""
     smallest = F.min(F.struct(*[F.col(c) for c in dim.attributes], F.col(dim.key)))
     return (
         rows.groupBy(*dim.business)
-        .agg(smallest.alias("_first"), F.count(F.lit(1)).alias("_n"))
+        .agg(
+            smallest.alias("_first"),
+            (F.when(F.max(_replaced(dim)), 2).otherwise(F.count(F.lit(1)))).alias("_n"),
+        )
         .select(*dim.business, F.col(f"_first.{dim.key}").alias(dim.key), "_n")
     )
 
@@ -98,9 +111,8 @@ def attach_key(
         own = F.when(_all_known(dim.business), own)
     fact = fact.withColumn(dim.key, own)
     if set(dim.business) == set(dim.attributes):
-        return fact
-
-    if lookup == "as_is":
+        keys = rows.where(_replaced(dim)).select(*dim.business, dim.key)
+    elif lookup == "as_is":
         keys = versioned_keys(rows, dim)
     else:
         keys = first_keys(rows, dim).where("_n > 1").drop("_n")

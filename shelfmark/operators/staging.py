@@ -11,6 +11,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shelfmark.operators.statistics import observed, remember
+
 
 def staging_root(spark: SparkSession, folder: str | None = None) -> str:
     """Folder for this application's staged tables.
@@ -23,10 +25,15 @@ def staging_root(spark: SparkSession, folder: str | None = None) -> str:
     return f"{shared.rstrip('/')}/shelfmark-{spark.sparkContext.applicationId}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write df once and return the written copy."""
+def stage(df: DataFrame, label: str, measured: bool = False) -> DataFrame:
+    """Write df once and return the written copy; ``measured`` counts its bytes on the way."""
     path = f"{staging_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if measured:
+        counted, seen = observed(df)
+        counted.write.parquet(path)
+        remember(path, seen)
+    else:
+        df.write.parquet(path)
     # the schema is known: no footer is read to infer it
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions import calendar_columns
 from shelfmark.operators import surrogate_key
 from shelfmark.operators.lookup import Dimension
+from shelfmark.sources.rejects import read_date
 from shelfmark.plans.schema import (
     CONFORMED,
     CUSTOMER,
@@ -22,11 +23,29 @@ from shelfmark.plans.schema import (
 )
 
 
-def conform_orders(raw: DataFrame) -> DataFrame:
-    """Star-schema column names; text dates become timestamps (unreadable ones NULL)."""
+DATES = ("order_date", "ship_date")
+
+
+def conform_orders(raw: DataFrame, formats: Sequence[str] = ()) -> DataFrame:
+    """Star-schema column names; text dates become timestamps by the first format that fits.
+
+    Unreadable ones are NULL here; ``unread_dates`` counts them.
+    """
     renamed = raw.withColumnsRenamed(CONFORMED)
-    text_dates = [c for c, t in renamed.dtypes if c in ("order_date", "ship_date") and t == "string"]
-    return renamed.withColumns({c: F.col(c).try_cast("timestamp") for c in text_dates})
+    text_dates = [c for c, t in renamed.dtypes if c in DATES and t == "string"]
+    return renamed.withColumns({c: read_date(F.col(c), formats) for c in text_dates})
+
+
+def unread_dates(raw: DataFrame, formats: Sequence[str] = ()) -> DataFrame:
+    """(date_column, present, unread) of the dates of raw orders, from one pass."""
+    kinds = dict(raw.dtypes)
+    parts = []
+    for c in DATES:
+        text = kinds[c] == "string"
+        there = F.col(c).isNotNull() & (F.btrim(F.col(c)) != "") if text else F.col(c).isNotNull()
+        unread = there & read_date(F.col(c), formats).isNull() if text else F.lit(False)
+        parts.append(F.struct(F.lit(c).alias("date_column"), F.count_if(there).alias("present"), F.count_if(unread).alias("unread")))
+    return raw.agg(F.array(*parts).alias("parts")).select(F.inline("parts"))
 
 
 def distinct_dimension(orders: DataFrame, dim: Dimension) -> DataFrame:

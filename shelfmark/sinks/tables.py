@@ -5,9 +5,15 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.operators.statistics import forget, observed, remember
+
+
+# rows of many sheets in one table: each sheet reads its own partition
+PARTITIONS = {"workbook_rows": ("file", "sheet")}
+
 
 @dataclass(frozen=True)
 class Written:
@@ -30,7 +36,7 @@ def materialize(
     per partition, and a partition that holds much of the data is split over
     tasks by AQE.
     """
-    counted, seen = _observed(_rebalanced(df, partition_by))
+    counted, seen = observed(_rebalanced(df, partition_by))
     writer = counted.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -41,7 +47,7 @@ def materialize(
 def replace_partitions(df: DataFrame, table: str) -> Written:
     """Overwrite only the partitions of an existing table that df has rows for."""
     target = df.sparkSession.table(table)
-    counted, seen = _observed(df.select(*target.columns))
+    counted, seen = observed(df.select(*target.columns))
     # a session setting: insertInto does not take it as a write option
     conf, mode = df.sparkSession.conf, "spark.sql.sources.partitionOverwriteMode"
     before = conf.get(mode)
@@ -53,11 +59,6 @@ def replace_partitions(df: DataFrame, table: str) -> Written:
     return Written(table, seen.get["rows"], len(df.columns))
 
 
-def _observed(df: DataFrame) -> tuple[DataFrame, Observation]:
-    seen = Observation()
-    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
-
-
 def _rebalanced(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.hint("rebalance", *[F.col(c) for c in by]) if by else df
 
@@ -68,7 +69,7 @@ class TableSink:
 
     spark: SparkSession
     schemas: Mapping[str, str]
-    partition_by: Mapping[str, Sequence[str]] = field(default_factory=dict)
+    partition_by: Mapping[str, Sequence[str]] = field(default_factory=lambda: dict(PARTITIONS))
     log: list[tuple[str, Written]] = field(default_factory=list)
 
     def __call__(self, layer: str, name: str, df: DataFrame) -> DataFrame:
@@ -91,7 +92,7 @@ class FolderSink:
 
     spark: SparkSession
     root: str
-    partition_by: Mapping[str, Sequence[str]] = field(default_factory=dict)
+    partition_by: Mapping[str, Sequence[str]] = field(default_factory=lambda: dict(PARTITIONS))
     log: list[tuple[str, Written]] = field(default_factory=list)
 
     def __call__(self, layer: str, name: str, df: DataFrame) -> DataFrame:
@@ -106,8 +107,12 @@ class FolderSink:
     def _saved(self, layer: str, name: str, df: DataFrame, mode: str) -> DataFrame:
         path = f"{self.root.rstrip('/')}/{layer}/{name}"
         by = self.partition_by.get(name, ())
-        counted, seen = _observed(_rebalanced(df, by))
+        counted, seen = observed(_rebalanced(df, by))
         writer = counted.write.mode("overwrite").option("partitionOverwriteMode", mode)
         (writer.partitionBy(*by) if by else writer).parquet(path)
+        if mode == "static":
+            remember(path, seen)
+        else:  # a replaced partition says nothing about the whole
+            forget(path)
         self.log.append((layer, Written(name, seen.get["rows"], len(df.columns))))
         return self.spark.read.schema(df.schema).parquet(path)

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmark.functions.naming import clean_name, require_distinct
-from shelfmark.sources.xlsx import sheet_rows
+from shelfmark.operators.staging import stage
+from shelfmark.sources.xlsx import packages_of_sheets, sheet_rows
 
 ROWS_SCHEMA = T.StructType(
     [
@@ -28,7 +29,9 @@ ROWS_SCHEMA = T.StructType(
         T.StructField("cells", T.ArrayType(T.StringType())),
     ]
 )
+_PACKED = "file string, sheet string, package binary"
 _CHUNK = 2_000
+WORKBOOK_ROWS = "workbook_rows"  # the table of rows, partitioned by file and sheet where a sink can
 
 # Cell kinds from narrow to wide, and the column type they ask for.
 _TYPE_OF_KINDS = {
@@ -43,17 +46,28 @@ _TYPE_OF_KINDS = {
 def read_workbooks(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Rows (file, sheet, row_no, kinds, cells) of all sheets of the workbooks.
 
-    Row 0 of a sheet is its header. One workbook is one task, which holds the
-    file and a chunk of rows.
+    Row 0 of a sheet is its header. First the packages are taken apart: one row
+    per sheet, with its part of the package still compressed, and what all
+    sheets need (strings and styles). These rows are written, then dealt one to
+    a task, which unpacks its sheet alone and holds a chunk of rows.
     """
     files = spark.read.format("binaryFile").load(list(paths)).select("path", "content")
-    return files.mapInPandas(_parse, ROWS_SCHEMA)
+    packed = stage(files.mapInPandas(_take_apart, _PACKED), "sheets")
+    n = packed.count()  # one row per sheet
+    return packed.repartition(max(n, 1)).mapInPandas(_parse, ROWS_SCHEMA)
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _take_apart(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"], strict=True):
-            rows = ((path, *row) for row in sheet_rows(io.BytesIO(content)))
+            for sheet, package in packages_of_sheets(content):
+                yield pd.DataFrame([(path, sheet, package)], columns=["file", "sheet", "package"])
+
+
+def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for path, package in zip(batch["file"], batch["package"], strict=True):
+            rows = ((path, *row) for row in sheet_rows(io.BytesIO(package)))
             while chunk := list(itertools.islice(rows, _CHUNK)):
                 yield pd.DataFrame(chunk, columns=ROWS_SCHEMA.names)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import io
 import posixpath
 import re
 import zipfile
@@ -13,30 +14,56 @@ from xml.etree import ElementTree
 # XML namespaces and built-in date formats of the file format.
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL_ID = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+_COMMON = ("xl/workbook.xml", "xl/_rels/workbook.xml.rels", "xl/styles.xml", "xl/sharedStrings.xml")
 _DATE_FORMATS = frozenset([*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)])
 
 Row = tuple[str, int, list[str | None], list[str | None]]
 
 
+def packages_of_sheets(content: bytes) -> Iterator[tuple[str, bytes]]:
+    """(sheet, package with only that sheet's cells) for each sheet of a workbook.
+
+    Parts are unpacked and packed again one after the other; no cell is parsed.
+    """
+    with zipfile.ZipFile(io.BytesIO(content)) as package:
+        book = ElementTree.fromstring(package.read("xl/workbook.xml"))
+        of_sheet = {s.get("name"): _part_of(package, s) for s in book.iter(f"{_MAIN}sheet")}
+        common = [n for n in _COMMON if n in package.namelist()]
+        for sheet, part in of_sheet.items():
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as one:
+                for name in (*common, part):
+                    if name in package.namelist():
+                        one.writestr(name, package.read(name))
+            yield sheet, out.getvalue()
+
+
+def _part_of(package: zipfile.ZipFile, sheet: ElementTree.Element) -> str:
+    """Name of the part with the sheet's cells."""
+    targets = {
+        r.get("Id"): r.get("Target")
+        for r in ElementTree.fromstring(package.read("xl/_rels/workbook.xml.rels"))
+    }
+    return posixpath.normpath(posixpath.join("/xl", targets[sheet.get(_REL_ID)])).lstrip("/")
+
+
 def sheet_rows(stream: IO[bytes]) -> Iterator[Row]:
-    """(sheet, row number, cell kinds, cell texts) of each non-blank row.
+    """(sheet, row number, cell kinds, cell texts) of each non-blank row, of the sheets that are there.
 
     Kinds are int, float, bool, date, text, or None for an empty or error cell.
     """
     with zipfile.ZipFile(stream) as package:
         book = ElementTree.fromstring(package.read("xl/workbook.xml"))
-        targets = {
-            r.get("Id"): r.get("Target")
-            for r in ElementTree.fromstring(package.read("xl/_rels/workbook.xml.rels"))
-        }
         settings = book.find(f"{_MAIN}workbookPr")
         from_1904 = settings is not None and settings.get("date1904") in ("1", "true")
         epoch = dt.datetime(1904, 1, 1) if from_1904 else dt.datetime(1899, 12, 30)
         strings = _shared_strings(package)
         date_styles = _date_styles(package)
         for sheet in book.iter(f"{_MAIN}sheet"):
-            target = posixpath.normpath(posixpath.join("/xl", targets[sheet.get(_REL_ID)]))
-            with package.open(target.lstrip("/")) as part:
+            name = _part_of(package, sheet)
+            if name not in package.namelist():  # in another package
+                continue
+            with package.open(name) as part:
                 row_no = 0
                 for row in _elements(part, "row"):
                     cells = [_cell(c, strings, date_styles, epoch) for c in row.iter(f"{_MAIN}c")]

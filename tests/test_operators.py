@@ -273,8 +273,8 @@ def test_small_lookup_groups_by_number(spark):
     places = spark.createDataFrame([("a", "west"), ("hot", "east")], "place string, region string")
     got = aggregate(stage(df, "sales"), ["region"], {"units": counted_units("n")}, {"orders": "order_id"}, [Lookup("place", places)])
     plan = got._jdf.queryExecution().executedPlan().toString()
-    # the distinct exchange carries a number, not the region
-    assert re.search(r"hashpartitioning\(_group0#\d+, order_id#", plan)
+    # the distinct exchange carries numbers, not the region
+    assert re.search(r"hashpartitioning\(_group0#\d+L, _check0#\d+L, order_id#", plan)
 
 
 def test_stage_writes_below_the_named_folder(spark):

@@ -4,13 +4,14 @@ import datetime as dt
 
 import pytest
 import workbooks
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from retail import rows
 from workbooks import Styled
 
 from shelfmark.plans.pipeline import ingest_folder
 from shelfmark.sinks import FolderSink, TableSink, materialize, replace_partitions
-from shelfmark.sources import discover, read_csv, read_workbooks, sheet_table, sheets
+from shelfmark.sources import Rejected, discover, read_csv, read_workbooks, sheet_table, sheets
 
 
 @pytest.fixture
@@ -163,3 +164,55 @@ def test_partitions_are_replaced(spark):
     assert rows(spark.table("t_sink.parts"), "x", "y") == [(1, 2020), (2, 2020), (9, 2021)]
     plan = spark.table("t_sink.parts").where("y = 2021")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(y" in plan
+
+
+def test_one_task_a_sheet_and_one_partition_a_table(spark, tmp_path):
+    path = tmp_path / "Many.xlsx"
+    book = {f"S {i}": [["a", "b"], *[[i, f"text {i}.{k}"] for k in range(i + 1)]] for i in range(5)}
+    workbooks.write(path, book)
+    cells = read_workbooks(spark, [str(path)])
+    assert cells.rdd.getNumPartitions() == 5
+    by_task = cells.groupBy(F.spark_partition_id()).agg(F.count_distinct("sheet").alias("n")).collect()
+    assert [r.n for r in by_task] == [1] * 5
+    sink = FolderSink(spark, str(tmp_path / "out"))
+    stored = sink("staging", "workbook_rows", cells)
+    for sheet in sheets(stored).collect():
+        table = sheet_table(stored, sheet.file, sheet.sheet, sheet.columns)
+        i = int(sheet.sheet[2:])
+        assert rows(table) == sorted((i, f"text {i}.{k}") for k in range(i + 1))
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert "isnotnull(sheet" in plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+
+
+def test_dates_by_format_and_rejects(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "orders.csv").write_text("id,order_date,ship_date\n1,11/8/2016,2016-11-11\n2,,12.11.2016\n3,8/31/2017,\n")
+    formats = {"orders": {"order_date": ("M/d/yyyy",), "ship_date": ("d.M.yyyy",)}}
+    tables, report = ingest_folder(spark, str(source), FolderSink(spark, str(tmp_path / "a")), dates=formats)
+    got = tables["orders"].select("id", F.date_format("order_date", "yyyyMMdd"), F.date_format("ship_date", "yyyyMMdd"))
+    assert rows(got) == [(1, "20161108", "20161111"), (2, None, "20161112"), (3, "20170831", None)]
+    assert report[0].rejected == {}
+    unread = {"orders": {"order_date": (), "ship_date": ("d.M.yyyy",)}}
+    with pytest.raises(Rejected, match="2 x order_date"):
+        ingest_folder(spark, str(source), FolderSink(spark, str(tmp_path / "b")), dates=unread)
+    tables, report = ingest_folder(
+        spark, str(source), FolderSink(spark, str(tmp_path / "c")), dates=unread, on_reject="keep"
+    )
+    assert report[0].rejected == {"order_date": 2} and tables["orders"].where("order_date IS NULL").count() == 3
+    with pytest.raises(ValueError, match="no such date columns"):
+        ingest_folder(spark, str(source), FolderSink(spark, str(tmp_path / "d")), dates={"orders": {"day": ()}})
+
+
+def test_rows_that_do_not_fit_a_schema(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "t.csv").write_text("Store ID,Opened\n7,2020-01-01\nseven,2020-01-02\n8,2020-01-03,extra\n9,\n")
+    schema = {"t": T.StructType.fromDDL("store_id int, opened date")}
+    with pytest.raises(Rejected, match="2 x row"):
+        ingest_folder(spark, str(source), FolderSink(spark, str(tmp_path / "a")), schema)
+    tables, report = ingest_folder(
+        spark, str(source), FolderSink(spark, str(tmp_path / "b")), schema, on_reject="keep"
+    )
+    assert report[0].rejected == {"row": 2}
+    assert tables["t"].columns == ["store_id", "opened"] and tables["t"].count() == 4
