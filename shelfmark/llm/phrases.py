@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -10,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm.text import bit_filter, in_filter, mixed, slices, small_batches, span_hashes
-from shelfmark.operators import stage
+from shelfmark.llm.text import bit_filter, in_filter, mixed, release, slices, small_batches, span_hashes
+from shelfmark.operators import stage, staging_root
 
 LONGEST = 5  # words of a phrase
 LEAST = 100  # occurrences of a phrase
@@ -21,7 +22,8 @@ BREAKS = ".,;:!?\n\x0b\x0c\r"
 BLANKS = " \t"
 NO_LANGUAGE = "und"
 # Words of a language join the frontier by rising frequency, up to these shares of all its words.
-FRONTIER = (1 / 8, 1 / 2, 1)
+FRONTIER = (1 / 4, 1)
+PHRASES = "lang string, phrase string, n long, k int"
 LOG_BITS = 23  # filters of 1 MB, whatever is in them
 AT_ONCE = 1 << 21  # bytes of text whose phrases a task counts at once
 _MUL = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
@@ -139,10 +141,11 @@ def grown(docs: DataFrame, k: int, band: Band, shorter: np.ndarray | None, least
     its end, where its last word does. Filters may pass more, all of it or
     none of a phrase's occurrences, so counts are exact.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((band, shorter))
+    # plain arrays: tasks need no copy of this package to read them
+    sent = docs.sparkSession.sparkContext.broadcast((band.frequent, band.new, band.before, shorter))
 
     def run(batches):
-        band, shorter = sent.value
+        frequent_, new_, before_, shorter_ = sent.value
         for batch in slices(batches, AT_ONCE):
             words = _words(batch)
             n = len(words.h) - k + 1
@@ -150,16 +153,16 @@ def grown(docs: DataFrame, k: int, band: Band, shorter: np.ndarray | None, least
                 continue
             last = slice(k - 1, k - 1 + n)
             ok = words.piece[:n] == words.piece[last]
-            frequent = in_filter(words.h, band.frequent)
+            frequent = in_filter(words.h, frequent_)
             for i in range(k):
                 ok &= frequent[i : i + n]
-            new = in_filter(words.h, band.new)
+            new = in_filter(words.h, new_)
             ok &= new[:n] | new[last]
-            if band.before is not None:
-                old = in_filter(words.h, band.before)
+            if before_ is not None:
+                old = in_filter(words.h, before_)
                 ok &= ~(old[:n] | old[last])
-            if shorter is not None:
-                known = in_filter(words.phrases(k - 1), shorter)
+            if shorter_ is not None:
+                known = in_filter(words.phrases(k - 1), shorter_)
                 ok &= (known[:n] | ~new[:n]) & (known[1:] | ~new[last])
             yield words.counted(k, np.flatnonzero(ok))
 
@@ -252,7 +255,10 @@ def collocations(docs: DataFrame, best: int = BEST, least: int = LEAST, longest:
     words = stage(word_counts(docs), "words")
     single = words.where(F.col("n") >= least)
     frequent = _phrase_filter(spark, single)
-    known = [single.withColumn("k", F.lit(1))]
+    # all that is counted goes to one folder: one scan, however many steps it took
+    known = f"{staging_root(spark)}/phrases-{uuid.uuid4().hex}"
+    single.withColumn("k", F.lit(1)).write.parquet(known)
+    phrases = spark.read.schema(PHRASES).parquet
     before = waiting = joined = None
     for share in FRONTIER:
         limits = stage(_limits(words, single, share), "limits")
@@ -264,19 +270,14 @@ def collocations(docs: DataFrame, best: int = BEST, least: int = LEAST, longest:
         band = Band(frequent, _phrase_filter(spark, joined), before)
         shorter = None
         for k in range(2, longest + 1):
-            known.append(stage(grown(docs, k, band, shorter, least), "phrases"))
-            some = known[-1]
-            for step in known[:-1]:
-                some = some.union(step.where(f"k = {k}"))
-            shorter = _phrase_filter(spark, some)
-        phrases = known[0]
-        for step in known[1:]:
-            phrases = phrases.union(step)
+            grown(docs, k, band, shorter, least).write.mode("append").parquet(known)
+            if k < longest:
+                shorter = _phrase_filter(spark, phrases(known).where(F.col("k") == k))
         reached = joined.groupBy("lang").agg(F.max("n").alias("upto"))
         limits = limits.drop("upto").join(reached, "lang", "left")
         limits = stage(limits.withColumn("upto", F.coalesce("upto", F.lit(0).cast("long"))), "limits")
         order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-        ranked = scored(phrases, limits, longest).withColumn("rank", F.row_number().over(order).cast("long"))
+        ranked = scored(phrases(known), limits, longest).withColumn("rank", F.row_number().over(order).cast("long"))
         ranked = stage(ranked.where(F.col("rank") <= best), "ranked")
         last = ranked.where(F.col("rank") == best).select("lang", F.col("score").alias("last"))
         bound = F.floor(F.lit(1000) * F.col("total") / (F.col("upto") + 1))
@@ -285,4 +286,5 @@ def collocations(docs: DataFrame, best: int = BEST, least: int = LEAST, longest:
         if waiting.isEmpty():
             break
         before = band.new
+        release(spark)
     return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -54,7 +54,7 @@ def _rows():
     return rows + [rows[3]] * 3
 
 
-@pytest.mark.parametrize(("best", "least", "frontier"), [(2_000, 3, (1 / 8, 1 / 2, 1)), (5, 3, (1 / 16, 1 / 4, 1)), (1, 20, (1,))])
+@pytest.mark.parametrize(("best", "least", "frontier"), [(2_000, 3, phrases.FRONTIER), (5, 3, (1 / 16, 1 / 4, 1)), (1, 20, (1,))])
 def test_collocations_equal_a_count_of_everything(spark, monkeypatch, best, least, frontier):
     monkeypatch.setattr(phrases, "FRONTIER", frontier)
     rows = _rows()
