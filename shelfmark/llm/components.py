@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from shelfmark.operators import stage
@@ -12,7 +12,8 @@ def components(links: DataFrame) -> DataFrame:
     """(id, label): the smallest id reachable over links (a, b), for every linked id.
 
     Every round takes the smallest label among neighbours, then the label of
-    that label, so the distance covered doubles; each round is written.
+    that label, so the distance covered doubles. A round is one written table;
+    how many labels changed is counted in the same pass.
     """
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = stage(both.where("a <> b").distinct(), "edges")
@@ -26,14 +27,13 @@ def components(links: DataFrame) -> DataFrame:
         best = labels.join(near, F.col("id") == F.col("a")).select(
             "id", "label", F.least("label", "near").alias("best")
         )
-        best = stage(best, "labels")
-        ahead = best.select(F.col("id").alias("best"), F.col("best").alias("far"))
-        moved = stage(
-            best.join(ahead, "best").select(
-                "id", F.least("best", "far").alias("label"), (F.col("label") > F.least("best", "far")).alias("moved")
-            ),
-            "labels",
+        # what the best label's own id was labelled with before this round
+        ahead = labels.select(F.col("id").alias("best"), F.col("label").alias("far"))
+        seen = Observation()
+        moved = best.join(ahead, "best").select(
+            "id", F.least("best", "far").alias("label"), (F.col("label") > F.least("best", "far")).alias("moved")
         )
-        labels = moved.select("id", "label")
-        if moved.where("moved").isEmpty():
+        counted = moved.observe(seen, F.count_if("moved").alias("moved")).select("id", "label")
+        labels = stage(counted, "labels")
+        if not seen.get["moved"]:
             return labels

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,16 +46,14 @@ class Order:
     document has, wherever there are some.
     """
 
-    def __init__(self, counters: np.ndarray, frequent: list[np.ndarray], fragments: int):
-        self.shared = np.floor(np.log2(np.maximum(counters, 1))).astype(np.int64) + len(frequent) + 1
-        self.frequent, self.fragments = frequent, fragments
-        mass = np.bincount(self.shared, counters, 128)
+    def __init__(self, shared: np.ndarray, mass: np.ndarray, frequent: list[np.ndarray], fragments: int):
+        self.shared, self.frequent, self.fragments = shared, frequent, fragments
         self.before, self.mass = np.cumsum(mass) - mass, mass
         self.total = max(mass.sum(), 1)
 
     def classes(self, hashes: np.ndarray) -> np.ndarray:
         """0: in one document for sure."""
-        out = self.shared[(hashes >> np.uint64(64 - COUNTERS)).astype(np.int64)]
+        out = self.shared[(hashes >> np.uint64(64 - COUNTERS)).astype(np.int64)].astype(np.int64)
         counted = np.flatnonzero((hashes & np.uint64((1 << SAMPLED) - 1)) == 0)
         exact = hashes[counted]
         kind = np.zeros(len(counted), dtype=np.int64)
@@ -119,8 +118,8 @@ def counted_grams(docs: DataFrame, n: int) -> DataFrame:
     return each.groupBy("h").agg(F.sum("times").alias("times")).where(F.col("times") >= STEPS[0])
 
 
-def global_order(summary: DataFrame, docs: DataFrame, n: int, fragments: int = FRAGMENTS) -> Order:
-    """Adds up the counters, and marks frequent n-grams in filters; both are of fixed size."""
+def global_order(summary: DataFrame, docs: DataFrame, n: int, fragments: int = FRAGMENTS) -> tuple:
+    """What makes an ``Order``: adds up the counters, and marks frequent n-grams in filters, all of fixed size."""
     each = summary.where("chunk IS NOT NULL").select("chunk", F.posexplode("counts").alias("at", "n"))
     totals = each.groupBy((F.col("chunk") * CHUNK + F.col("at")).alias("i")).agg(F.sum("n").alias("n")).toArrow()
     counters = np.zeros(1 << COUNTERS)
@@ -129,20 +128,23 @@ def global_order(summary: DataFrame, docs: DataFrame, n: int, fragments: int = F
     frequent = [
         bit_filter(several.where(F.col("times") >= step), LOG_BITS[min(i, 1)]) for i, step in enumerate(STEPS)
     ]
-    return Order(counters, frequent, fragments)
+    magnitude = np.floor(np.log2(np.maximum(counters, 1))).astype(np.uint8)
+    shared = magnitude + np.uint8(len(frequent) + 1)  # classes, below 128
+    return shared, np.bincount(shared, counters, 128), frequent, fragments
 
 
-def prefixes(docs: DataFrame, order: Order, n: int, percent: int) -> DataFrame:
+def prefixes(docs: DataFrame, order: Broadcast, n: int, percent: int) -> DataFrame:
     """digest, places, prefix: the first n - ceil(percent * n / 100) + 1 n-grams of each set in global order.
 
     Without those that no other document has; ``places`` says where the rest stand.
     """
 
     def run(batches):
+        known = Order(*order.value)
         for batch in slices(batches):
             digests, places, firsts = [], [], []
             for found, digest in zip(*gram_sets(batch.column("text"), n), strict=True):
-                found, kind = order.sorted(found)
+                found, kind = known.sorted(found)
                 size = len(found) + percent * len(found) // -100 + 1 if len(found) else 0
                 at = np.flatnonzero(kind[:size])
                 if len(at):
@@ -156,17 +158,18 @@ def prefixes(docs: DataFrame, order: Order, n: int, percent: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "digest string, places array<long>, prefix array<long>")
 
 
-def segments(docs: DataFrame, wanted: np.ndarray, order: Order, n: int) -> DataFrame:
+def segments(docs: DataFrame, wanted: Broadcast, order: Broadcast, n: int) -> DataFrame:
     """digest, fragments, parts: the sets of wanted texts, cut by the global order."""
 
     def run(batches):
+        known = Order(*order.value)
         for batch in slices(batches):
             hashes = batch.column("text_no").to_numpy(zero_copy_only=False).view(np.uint64)
-            may = batch.filter(pa.array(in_filter(hashes, wanted)))
+            may = batch.filter(pa.array(in_filter(hashes, wanted.value)))
             digests, fragments, parts = [], [], []
             for found, digest in zip(*gram_sets(may.column("text"), n), strict=True):
-                found, kind = order.sorted(found)
-                cut = order.fragment(found, kind)
+                found, kind = known.sorted(found)
+                cut = known.fragment(found, kind)
                 for f in np.unique(cut).tolist():
                     digests.append(digest)
                     fragments.append(f)
@@ -271,7 +274,9 @@ def _near_classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, Dat
         F.count(F.lit(1)).alias("members"),
     )
     classes = stage(classes.withColumn("class_id", F.monotonically_increasing_id()), "classes")
-    order = global_order(summary, docs, n)
+    # sent once for both passes over the texts; the filters in it are of fixed size
+    context = docs.sparkSession.sparkContext
+    order = context.broadcast(global_order(summary, docs, n))
 
     release(docs.sparkSession)
 
@@ -292,9 +297,12 @@ def _near_classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, Dat
 
     involved = classes.join(members.select("class_id").distinct(), "class_id", "left_semi")
     involved = stage(involved.select("class_id", "digest", "text_no"), "involved")
-    wanted = bit_filter(involved.select(F.col("text_no").alias("h")), LOG_BITS[0])
+    wanted = context.broadcast(bit_filter(involved.select(F.col("text_no").alias("h")), LOG_BITS[0]))
     parts = segments(docs, wanted, order, n).groupBy("digest", "fragment").agg(F.first("part").alias("part"))
     parts = stage(parts.join(involved, "digest").select("class_id", "fragment", "part"), "segments")
+    for sent in (order, wanted):  # what follows reads written tables
+        sent.destroy()
+    del order, wanted
 
     release(docs.sparkSession)
 
