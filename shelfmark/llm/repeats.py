@@ -20,7 +20,9 @@ LENGTH = 50  # bytes of a repeated string
 GRAM = 20  # bytes of the suffix prefix that samples are chosen by
 REACH = LENGTH - GRAM + 1  # a string of LENGTH bytes has this many grams, one sample at least
 HEAVY = 10_000  # contents of one key from which on its windows go through a shuffle of their own
-RECORD = np.dtype([("key", "<u8"), ("doc", "<i8"), ("place", "<i8"), ("near", "u1"), ("far", "u1"), ("around", "u1", 80)])
+RECORD = np.dtype(
+    [("key", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("place", "<i8"), ("near", "u1"), ("far", "u1"), ("around", "u1", 80)]
+)
 LOG_BITS = 26  # filters of 8 MB, whatever is in them
 SHARED_BITS = 27  # and of 16 MB
 RUN = 2_000_000  # grams that a task sorts at once
@@ -29,6 +31,7 @@ CHUNK = 1 << 16  # bytes that a task lays end to end: arrays that stay in the pr
 PIECE = 1 << 20  # longer texts are cut, with overlaps
 PLACE_BITS = 22  # enough for a place in a chunk, of one piece at least
 SALTS = 16
+ALWAYS = 0x5EED5EED5EED  # mark of rows that the filter of first copies passes
 NONE = np.uint64(2**64 - 1)
 _MUL = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -112,7 +115,7 @@ class Chunk:
         """Each sample with the bytes that its windows may take."""
         out = np.zeros(len(self.at), dtype=RECORD)
         out["key"], out["doc"] = self.key, self.doc[self.piece]
-        out["place"] = (self.places(self.at, np.arange(len(self.at))) << 26) | self.tag[self.piece]
+        out["tag"], out["place"] = self.tag[self.piece], self.places(self.at, np.arange(len(self.at)))
         out["near"], out["far"] = self.at - self.last, self.at - self.first
         out["around"] = self.data[self.at[:, None] + np.arange(REACH - 1 + LENGTH)[None, :]]
         return out
@@ -207,9 +210,9 @@ def shared_samples(texts: DataFrame, firsts: np.ndarray) -> np.ndarray:
 
 
 def units(texts: DataFrame, firsts: np.ndarray, shared: np.ndarray) -> DataFrame:
-    """key, content, doc, place: the samples whose key several documents may have, with their windows.
+    """key, content, doc, tag, place: the samples whose key several documents may have, with their windows.
 
-    Place packs the first window, the number of windows and the document's tag.
+    Place packs the first window and the number of windows.
     """
 
     def run(batches):
@@ -218,13 +221,13 @@ def units(texts: DataFrame, firsts: np.ndarray, shared: np.ndarray) -> DataFrame
                 chunk = Chunk(pieces)
                 chunk.only(in_filter(chunk.key, shared))
                 first = chunk.places(chunk.first, np.arange(len(chunk.at)))
-                place = (first << 31) | ((chunk.last - chunk.first) << 26) | chunk.tag[chunk.piece]
+                place = (first << 5) | (chunk.last - chunk.first)
                 yield pa.RecordBatch.from_arrays(
-                    _longs(chunk.key, chunk.content(), chunk.doc[chunk.piece], place),
-                    ["key", "content", "doc", "place"],
+                    _longs(chunk.key, chunk.content(), chunk.doc[chunk.piece], chunk.tag[chunk.piece], place),
+                    ["key", "content", "doc", "tag", "place"],
                 )
 
-    return texts.mapInArrow(run, "key long, content long, doc long, place long")
+    return texts.mapInArrow(run, "key long, content long, doc long, tag long, place long")
 
 
 def _repeating(records: np.ndarray) -> np.ndarray:
@@ -285,10 +288,9 @@ def open_spans(texts: DataFrame, firsts: np.ndarray, shared: np.ndarray, open_:
         steps = np.diff(np.hstack([edge, found.view(np.int8), edge]), axis=1)
         row, near = np.nonzero(steps == 1)
         far = np.nonzero(steps == -1)[1] - 1
-        place = records["place"][row]
-        begin = (place >> 26) - far
+        begin = records["place"][row] - far
         return pa.table(
-            _longs(records["doc"][row], place & ((1 << 26) - 1), begin, far - near + LENGTH),
+            _longs(records["doc"][row], records["tag"][row], begin, far - near + LENGTH),
             names=["doc", "tag", "begin", "length"],
         )
 
@@ -345,9 +347,9 @@ def resolve(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     copied = named.where("lo < hi").select("key", "content", "lo")
     spans = found.join(copied, ["key", "content"]).where("doc > lo").select(
         "doc",
-        F.expr("place & 67108863").alias("tag"),
-        F.shiftright("place", 31).alias("begin"),
-        F.expr("(shiftright(place, 26) & 31) + 50").alias("length"),
+        "tag",
+        F.shiftright("place", 5).alias("begin"),
+        F.expr("(place & 31) + 50").alias("length"),
     )
     ragged = named.groupBy("key").agg(
         F.count(F.lit(1)).alias("contents"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
@@ -357,20 +359,59 @@ def resolve(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     return spans, stage(named.join(ragged, "key").select("key", "content", "lo", "contents"), "open")
 
 
+def _once(texts: DataFrame, repeated: DataFrame) -> DataFrame:
+    """One row of each text whose mark is in ``repeated``.
+
+    Rows that a filter of the marks lets through are grouped; a task keeps one
+    text of each before anything is sent, so a row on a third of the table costs
+    one text a task.
+    """
+    bits = bit_filter(repeated.select(F.col("mark").alias("h")), LOG_BITS)
+
+    def run(batches):
+        for batch in batches:
+            hashes = batch.column("mark").to_numpy(zero_copy_only=False).view(np.uint64)
+            yield batch.filter(pa.array(in_filter(hashes, bits)))
+
+    may = texts.mapInArrow(run, texts.schema)
+    groups = may.groupBy("doc_id", "tag", "mark").agg(F.first("text").alias("text"))
+    return groups.join(repeated.select("mark"), "mark", "left_semi").select(*texts.columns)
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc, tag, begin, length of byte spans whose windows occur in a document with a smaller doc_id."""
+    """doc, tag, begin, length of byte spans whose windows occur in a document with a smaller doc_id.
+
+    One set of spans per doc_id and text (``tag`` tells texts of one doc_id
+    apart, by 64 bits), however many rows repeat it. Rows without a doc_id, and
+    texts that are NULL or under 50 bytes, have no spans and give none to others.
+    Spans of one text may overlap. Texts are cut into pieces with overlaps, so
+    their length is not bounded. An empty table has none.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.where("doc_id IS NOT NULL AND octet_length(text) >= 50").select(
         "doc_id", "text", text_tag(F.col("text")).alias("tag"), F.xxhash64("doc_id", "text").alias("mark")
     )
+    digest = F.md5(F.col("text").cast("binary")).alias("digest")
     whole = stage(
-        texts.select("doc_id", "tag", "mark", F.md5(F.col("text").cast("binary")).alias("digest"), F.octet_length("text").alias("n")),
+        texts.select("doc_id", "tag", "mark", digest, F.octet_length("text").alias("n"))
+        .groupBy("doc_id", "tag", "mark", "digest", "n")
+        .agg(F.count(F.lit(1)).alias("times")),
         "texts",
     )
-    classes = whole.groupBy("digest", "n").agg(F.min_by("mark", "doc_id").alias("mark"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    classes = stage(classes, "classes")
-    firsts = bit_filter(classes.select(F.col("mark").alias("h")), LOG_BITS)
+    first = F.min_by(F.struct("mark", "times"), "doc_id")
+    classes = whole.groupBy("digest", "n").agg(
+        first.alias("first"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")
+    )
+    classes = stage(classes.select("digest", "n", "first.*", "lo", "hi"), "classes")
+    repeated = classes.where("times > 1")
+    marks = classes.where("times = 1").select(F.col("mark").alias("h"))
+    if not repeated.isEmpty():
+        one = stage(_once(texts, repeated), "once")
+        always = F.lit(ALWAYS).cast("long")
+        texts = texts.union(one.withColumn("mark", always))
+        marks = marks.union(one.select(always.alias("h")).limit(1))
+    firsts = bit_filter(marks, LOG_BITS)
     salted = classes.where("lo < hi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     copies = whole.withColumn("salt", F.pmod("mark", F.lit(SALTS)).cast("int")).join(
         salted.select("digest", "n", "salt", "lo"), ["digest", "n", "salt"]
@@ -401,12 +442,20 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 
 def text_tag(text: Column) -> Column:
-    """26 bits that tell texts of one doc_id apart."""
-    return F.xxhash64(text, F.lit(7)).bitwiseAND(F.lit((1 << 26) - 1).cast("long"))
+    """64 bits that tell texts of one doc_id apart."""
+    return F.xxhash64(text, F.lit(7))
 
 
 def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and ``kept`` bytes) per row of docs."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and ``kept`` bytes) per row of docs.
+
+    A byte goes if a 50-byte string that covers it also starts in a document
+    with a smaller doc_id; strings do not cross documents. ``n_spans`` counts
+    maximal removed runs. A NULL text is empty. Rows with a NULL doc_id keep all
+    bytes. Repeated rows have equal results; different texts under one doc_id
+    are compared with smaller doc_ids only, not with each other. An empty table
+    gives an empty one. Other columns are not read.
+    """
     spans = repeated_spans(docs).groupBy(F.col("doc").alias("doc_"), F.col("tag").alias("tag_")).agg(
         F.sort_array(F.collect_list(F.struct("begin", "length"))).alias("spans")
     )
