@@ -18,13 +18,15 @@ SEEDS = (3, 11)  # two independent 64-bit hashes
 def prefix_hashes(turns: DataFrame) -> DataFrame:
     """Per turn: conv_id, at (from 1), role, text, and the rolling hashes p0, p1 of the turns up to it.
 
-    Turns are in the order of turn, role, text. A rolling hash is the sum of the
+    Turns are in the order of turn, role, text; a turn that is logged again, equal
+    in all of these, is one turn. A rolling hash is the sum of the
     hashes of (place, role, text), so any number of tasks can share one long
     conversation: sums over the whole sorted table, less what came before the
     conversation. NULL roles and texts differ from empty ones; rows with NULL
     conv_id are one conversation.
     """
-    rows = turns.select("conv_id", "turn", "role", "text", F.monotonically_increasing_id().alias("row_"))
+    rows = turns.select("conv_id", "turn", "role", "text").distinct()
+    rows = rows.withColumn("row_", F.monotonically_increasing_id())
     order = [F.col(c) for c in ("conv_id", "turn", "role", "text", "row_")]
     placed = stage(sums_before(rows, order, {"rank": F.lit(1).cast("long")}), "turns")
     begins = placed.groupBy("conv_id").agg(F.min("rank").alias("begin"))
@@ -87,7 +89,8 @@ def collapse_and_render(turns: DataFrame) -> DataFrame:
 
     One row per turn, to be joined in the order of ``at``: a conversation may be
     of any length. A NULL role is rendered as ``unknown``, a NULL text as empty.
-    Other columns are not read.
+    Repeated rows count once, so a conversation that was logged twice is still
+    one snapshot. An empty table gives an empty one. Other columns are not read.
     """
     hashed = stage(prefix_hashes(turns), "prefixes")
     kept = _with_conversation(hashed, maximal(hashed))

@@ -141,7 +141,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     the document (position and length bound) and equal its words there.
 
     NULL and empty texts have no words. Repeated rows, and rows with NULL
-    doc_id, have a result each. With no items nothing is hit. Equal windows of
+    doc_id, have a result each. An item with a NULL item_id hits like any other
+    but has no id to count or list, so n_items may be 0 beside hits. Repeated
+    items count once. With no items nothing is hit; no documents give no rows. Equal windows of
     many items are one window, and all their ids are found. Other columns of
     both tables are not read.
     """

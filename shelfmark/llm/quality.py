@@ -19,27 +19,36 @@ WINDOW = 5  # words of a window in the repetition rule
 SALTS = 32  # the rows of one language and source are spread over so many join keys
 
 
+SPREAD = 6  # quartile distances from a quartile to the cutoff
+PRIOR = 10  # documents that a language's cutoff weighs in its sources', and that of all in a language's
+
+
 @dataclass(frozen=True)
 class Rule:
-    """Reject above ``median + max(spread * (median - lower decile), least)``.
+    """Reject what lies beyond ``upper quartile + SPREAD * (upper - lower quartile)``.
 
-    The measure is ``1000 * part / whole``, cut to an integer. ``least`` is the
-    smallest distance from the median that counts as odd.
+    The measure is ``1000 * part / whole``, cut to an integer; ``low`` looks
+    below the lower quartile instead. ``least`` is the smallest quartile distance
+    that is reckoned with, a bin or so. A text is rejected only for ``excess``
+    more of the part (or fewer) than the cutoff leaves it, so that a few
+    characters do not decide on a short one.
     """
 
     part: str
     whole: str
-    spread: int
     least: int
+    excess: int
+    low: bool = False
 
 
-# symbols a word, capitals a character, punctuation marks a word
+# symbols a word, capitals a character, punctuation marks a word, characters a word
 RULES: Mapping[str, Rule] = {
-    "symbols": Rule("n_symbols", "n_words", spread=8, least=250),
-    "capitals": Rule("n_capitals", "word_chars", spread=8, least=300),
-    "marks": Rule("n_marks", "n_words", spread=8, least=1200),
+    "symbols": Rule("n_symbols", "n_words", least=5, excess=8),
+    "capitals": Rule("n_capitals", "word_chars", least=1, excess=8),
+    "marks": Rule("n_marks", "n_words", least=5, excess=8),
+    "long_words": Rule("word_chars", "n_words", least=32, excess=40),
+    "short_words": Rule("word_chars", "n_words", least=32, excess=40, low=True),
 }
-MIN_GROUP = 100  # a group with fewer documents uses the sketch of its language, or of all
 
 
 def repeated_words(tokens: Column, k: int = WINDOW) -> Column:
@@ -117,12 +126,19 @@ def sketches(rows: DataFrame, rules: Mapping[str, Rule] = RULES) -> DataFrame:
     )
 
 
-def cutoffs(sketch: DataFrame, rules: Mapping[str, Rule] = RULES, min_group: int = MIN_GROUP) -> DataFrame:
-    """(lang, source, cut_<rule>...) from sketches; small groups read merged ones."""
+def cutoffs(sketch: DataFrame, rules: Mapping[str, Rule] = RULES) -> DataFrame:
+    """(lang, source, cut_<rule>...) from sketches.
+
+    Sketches merge to languages and to all; the cutoffs of a language lean on
+    those of all, and a source's on its language's, with the weight of PRIOR
+    documents. So a small group has nearly its language's cutoffs, a large one
+    its own, and no size switches between them.
+    """
+    none = F.lit(None).cast("string")
     levels = F.array(
         F.struct(F.lit(0).alias("level"), F.col("lang").alias("l"), F.col("source").alias("s")),
-        F.struct(F.lit(1).alias("level"), F.col("lang").alias("l"), F.lit(None).cast("string").alias("s")),
-        F.struct(F.lit(2).alias("level"), F.lit(None).cast("string").alias("l"), F.lit(None).cast("string").alias("s")),
+        F.struct(F.lit(1).alias("level"), F.col("lang").alias("l"), none.alias("s")),
+        F.struct(F.lit(2).alias("level"), none.alias("l"), none.alias("s")),
     )
     merged = (
         sketch.select("rule", "edge", "n", F.explode(levels).alias("g"))
@@ -132,36 +148,37 @@ def cutoffs(sketch: DataFrame, rules: Mapping[str, Rule] = RULES, min_group: int
     group = Window.partitionBy("level", "lang", "source", "rule")  # the bins of one sketch
     upto = group.orderBy("edge").rowsBetween(Window.unboundedPreceding, 0)
     ranked = merged.withColumns({"upto": F.sum("n").over(upto), "total": F.sum("n").over(group)})
-    least = F.element_at(F.create_map(*[F.lit(x) for n, r in rules.items() for x in (n, r.least)]), F.col("rule"))
-    spread = F.element_at(F.create_map(*[F.lit(x) for n, r in rules.items() for x in (n, r.spread)]), F.col("rule"))
+
+    def of_rule(field: str) -> Column:
+        return F.element_at(F.create_map(*[F.lit(x) for n, r in rules.items() for x in (n, getattr(r, field))]), F.col("rule"))
+
+    spread = SPREAD * F.greatest(F.col("high") - F.col("low"), of_rule("least"))
+    cut = F.when(of_rule("low"), F.greatest(F.col("low") - spread, F.lit(0))).otherwise(F.col("high") + spread)
     fences = (
         ranked.groupBy("level", "lang", "source", "rule")
         .agg(
-            F.min(F.when(2 * F.col("upto") >= F.col("total"), F.col("edge"))).alias("mid"),
-            F.min(F.when(10 * F.col("upto") >= F.col("total"), F.col("edge"))).alias("low"),
+            F.min(F.when(4 * F.col("upto") >= F.col("total"), F.col("edge"))).alias("low"),
+            F.min(F.when(4 * F.col("upto") >= 3 * F.col("total"), F.col("edge"))).alias("high"),
             F.first("total").alias("total"),
         )
-        .withColumn("cut", F.col("mid") + F.greatest(spread * (F.col("mid") - F.col("low")), least))
-        .groupBy("level", "lang", "source")
-        .agg(
-            F.first("total").alias("n"),
-            *[F.max(F.when(F.col("rule") == n, F.col("cut"))).alias(f"cut_{n}") for n in rules],
-        )
+        .select("level", F.col("lang").alias("l"), F.col("source").alias("s"), "rule", "total", cut.alias("cut"))
     )
-    cuts = F.struct(*[f"cut_{n}" for n in rules])
-    have = fences.select("level", F.col("lang").alias("l"), F.col("source").alias("s"), "n", cuts.alias("cuts"))
     want = sketch.select("lang", "source").distinct().select("lang", "source", F.explode(levels).alias("g"))
     same = (
         (F.col("g.level") == F.col("level"))
         & F.col("g.l").eqNullSafe(F.col("l"))
         & F.col("g.s").eqNullSafe(F.col("s"))
     )
-    return (
-        want.join(have, same)
-        .where((F.col("n") >= min_group) | (F.col("level") == 2))
-        .groupBy("lang", "source")
-        .agg(F.min_by("cuts", "level").alias("c"))
-        .select("lang", "source", "c.*")
+    found = want.join(fences, same).groupBy("lang", "source", "rule")
+    found = found.agg(
+        *[F.max(F.when(F.col("level") == i, F.col(c))).alias(f"{c}{i}") for i in range(3) for c in ("cut", "total")]
+    )
+    leaning = F.expr(f"(total1 * cut1 + {PRIOR} * cut2) div (total1 + {PRIOR})")
+    found = found.withColumn("cut1", leaning).withColumn(
+        "cut", F.expr(f"(total0 * cut0 + {PRIOR} * cut1) div (total0 + {PRIOR})")
+    )
+    return found.groupBy("lang", "source").agg(
+        *[F.max(F.when(F.col("rule") == n, F.col("cut"))).alias(f"cut_{n}") for n in rules]
     )
 
 
@@ -173,7 +190,7 @@ def judged(rows: DataFrame, cuts: DataFrame, rules: Mapping[str, Rule] = RULES)
     """
     salted = cuts.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = salted.withColumnsRenamed({"lang": "lang_", "source": "source_"})
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("key", "n_words", "word_chars"), F.lit(SALTS)).cast("int"))
+    rows = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
     joined = rows.join(
         salted,
         (F.col("salt") == F.col("salt_"))
@@ -183,7 +200,9 @@ def judged(rows: DataFrame, cuts: DataFrame, rules: Mapping[str, Rule] = RULES)
     ).drop("salt", "salt_", "lang_", "source_")
     fine = ~F.col("base_failed")
     for name, rule in rules.items():
-        fine = fine & F.coalesce(_permille(rule) <= F.col(f"cut_{name}"), F.lit(True))
+        beyond = 1000 * F.col(rule.part) - F.col(f"cut_{name}") * F.col(rule.whole)
+        beyond = -beyond if rule.low else beyond
+        fine = fine & F.coalesce(beyond <= 1000 * rule.excess, F.lit(True))
     return joined.withColumn("kept", fine)
 
 
@@ -192,10 +211,11 @@ def quality_measures(docs: DataFrame) -> DataFrame:
 
     NULL and empty texts have no words and fail the base rules. Repeated rows
     are judged one by one, alike. A NULL language or source is a group of its
-    own. Other columns of ``docs``, whatever their names, are not read.
+    own. Texts of any length are measured whole. An empty table gives an empty
+    one. Other columns of ``docs``, whatever their names, are not read.
     """
     rows = measured(docs).select(
-        F.col("doc.doc_id").alias("key"),
+        F.col("doc.doc_id").alias("doc_id"),
         F.col("doc.lang").alias("lang"),
         F.col("doc.source").alias("source"),
         *BASE,
@@ -203,13 +223,15 @@ def quality_measures(docs: DataFrame) -> DataFrame:
         "n_marks",
     )
     rows = stage(rows, "quality")  # numbers only; the texts are read once
-    out = judged(rows, cutoffs(sketches(rows)))
-    return out.withColumnRenamed("key", "doc_id").drop("lang", "source")
+    return judged(rows, cutoffs(sketches(rows))).drop("lang", "source")
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
-    """The rows of docs that pass all rules, with their columns."""
+    """The rows of docs that pass all rules, with their columns; edge cases as in ``quality_measures``.
+
+    The measures are written beside the rows, so that texts are measured once.
+    """
     named = ("doc", F.col("doc.lang").alias("lang"), F.col("doc.source").alias("source"))
-    rows = measured(docs).select(*named, F.col("doc.doc_id").alias("key"), *BASE, "n_capitals", "n_marks")
-    sketch = stage(sketches(rows.drop("doc", "key")), "sketches")
+    rows = stage(measured(docs).select(*named, *BASE, "n_capitals", "n_marks"), "measured")
+    sketch = sketches(rows.drop("doc"))
     return judged(rows, cutoffs(sketch)).where("kept").select("doc.*")

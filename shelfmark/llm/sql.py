@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from shelfmark.llm.quality import MIN_GROUP, RULES
+from shelfmark.llm.quality import PRIOR, RULES, SPREAD
 
 _VALUES = ", ".join(
-    f"ROW('{n}', coalesce(1000 * {r.part} // nullif({r.whole}, 0), 0), {r.spread}, {r.least})" for n, r in RULES.items()
+    f"ROW('{n}', coalesce(1000 * {r.part} // nullif({r.whole}, 0), 0), {r.part}, {r.whole}, {r.least}, {r.excess}, {r.low})"
+    for n, r in RULES.items()
 )
 
 OP1 = rf"""
@@ -36,29 +37,33 @@ WITH t AS (
 ), v AS (
     SELECT doc_id, lang, source, base_failed, unnest([{_VALUES}]) AS r FROM b
 ), x AS (
-    SELECT doc_id, lang, source, base_failed, r[1] AS rule, r[2] AS v, r[3] AS spread, r[4] AS least,
+    SELECT doc_id, lang, source, base_failed, r[1] AS rule, r[3] AS part, r[4] AS whole, r[5] AS least,
+           r[6] AS excess, r[7] AS low,
            r[2] - r[2] % (1::BIGINT << greatest(length(bin(r[2])) - 6, 0)) AS edge
     FROM v
 ), g AS (
-    SELECT 0 AS level, lang, source, rule, edge, spread, least FROM x WHERE NOT base_failed
-    UNION ALL SELECT 1, lang, NULL, rule, edge, spread, least FROM x WHERE NOT base_failed
-    UNION ALL SELECT 2, NULL, NULL, rule, edge, spread, least FROM x WHERE NOT base_failed
+    SELECT 0 AS level, lang, source, rule, edge, least, low FROM x WHERE NOT base_failed
+    UNION ALL SELECT 1, lang, NULL, rule, edge, least, low FROM x WHERE NOT base_failed
+    UNION ALL SELECT 2, NULL, NULL, rule, edge, least, low FROM x WHERE NOT base_failed
 ), f AS (
-    SELECT level, lang, source, rule, count(*) AS n,
-           quantile_disc(edge, 0.5) + greatest(any_value(spread) * (quantile_disc(edge, 0.5) - quantile_disc(edge, 0.1)),
-                                              any_value(least)) AS cut
-    FROM g GROUP BY ALL
+    SELECT level, lang, source, rule, n,
+           CASE WHEN low THEN greatest(q1 - {SPREAD} * greatest(q3 - q1, least), 0)
+                ELSE q3 + {SPREAD} * greatest(q3 - q1, least) END AS cut
+    FROM (SELECT level, lang, source, rule, count(*) AS n, any_value(least) AS least, any_value(low) AS low,
+                 quantile_disc(edge, 0.25) AS q1, quantile_disc(edge, 0.75) AS q3 FROM g GROUP BY ALL)
 ), judged AS (
-    SELECT x.doc_id, x.rule, x.v,
-           CASE WHEN f0.n >= {MIN_GROUP} THEN f0.cut WHEN f1.n >= {MIN_GROUP} THEN f1.cut ELSE f2.cut END AS cut
+    SELECT x.doc_id, x.rule,
+           CASE WHEN x.low THEN (f0.n * f0.cut + {PRIOR} * ((f1.n * f1.cut + {PRIOR} * f2.cut) // (f1.n + {PRIOR})))
+                                // (f0.n + {PRIOR}) * x.whole - 1000 * x.part <= 1000 * x.excess
+                ELSE 1000 * x.part - (f0.n * f0.cut + {PRIOR} * ((f1.n * f1.cut + {PRIOR} * f2.cut) // (f1.n + {PRIOR})))
+                                // (f0.n + {PRIOR}) * x.whole <= 1000 * x.excess END AS ok
     FROM x
-    LEFT JOIN f f0 ON f0.level = 0 AND f0.rule = x.rule AND f0.lang IS NOT DISTINCT FROM x.lang
+    JOIN f f0 ON f0.level = 0 AND f0.rule = x.rule AND f0.lang IS NOT DISTINCT FROM x.lang
                   AND f0.source IS NOT DISTINCT FROM x.source
-    LEFT JOIN f f1 ON f1.level = 1 AND f1.rule = x.rule AND f1.lang IS NOT DISTINCT FROM x.lang
-    LEFT JOIN f f2 ON f2.level = 2 AND f2.rule = x.rule
-    WHERE f0.n IS NOT NULL
+    JOIN f f1 ON f1.level = 1 AND f1.rule = x.rule AND f1.lang IS NOT DISTINCT FROM x.lang
+    JOIN f f2 ON f2.level = 2 AND f2.rule = x.rule
 ), fine AS (
-    SELECT doc_id, bool_and(v <= cut) AS ok FROM judged GROUP BY doc_id
+    SELECT doc_id, bool_and(ok) AS ok FROM judged GROUP BY doc_id
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND coalesce(ok, true) AS kept
@@ -68,7 +73,7 @@ FROM b LEFT JOIN fine USING (doc_id)
 OP7 = """
 WITH t AS (
     SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS at_, role, text
-    FROM conversations
+    FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations)
 ), c AS (
     SELECT conv_id, list(ROW(role, text) ORDER BY at_) AS turns, count(*) AS n FROM t GROUP BY conv_id
 ), maximal AS (
@@ -91,12 +96,18 @@ WITH rules(rule_host, rule_path, verdict) AS (
     VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
            ('net', '/es/', 'block'), ('net', '/fr/', 'block')
 ), p AS (
-    SELECT page_id, {_HOST} AS host, {_PATH} AS path, row_number() OVER () AS row_no FROM pages
+    SELECT page_id, {_HOST} AS host, {_PATH} AS path, row_number() OVER () AS row_no,
+           nullif(list_last(string_split(split_part(html, '</article>', 1), '<article>')), '') AS body,
+           contains(html, '</article>') AND contains(split_part(html, '</article>', 1), '<article>') AS has_body
+    FROM (SELECT page_id, url, html::VARCHAR AS html FROM pages)
 ), k AS (
-    SELECT *, regexp_replace(host, '^(www|m|blog)\.', '') || regexp_replace(path, '(\.html?|/+)$', '') AS key FROM p
+    SELECT *, regexp_replace(host, '^(www|m|blog)\.', '') || regexp_replace(path, '(\.html?|/+)$', '') AS key,
+           list_has_any(string_split(host, '.'),
+                        ['ads-track', 'adult-x', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm']) AS known
+    FROM p
 ), listed AS (
     SELECT DISTINCT key FROM k
-    WHERE list_has_any(string_split(host, '.'), ['ads-track', 'adult-x']) AND host <> ''
+    WHERE host <> '' AND (known OR (has_body AND body IN (SELECT body FROM k WHERE known AND has_body AND body IS NOT NULL)))
 ), fit AS (
     SELECT row_no, rule_host || rule_path AS rule, verdict,
            row_number() OVER (PARTITION BY row_no ORDER BY length(rule_host || rule_path) DESC) AS place

@@ -32,8 +32,14 @@ def canonical(host: Column, path: Column) -> Column:
 
     It ends in ``?``, which no host or path contains, so it is never a rule's key.
     """
-    return F.concat(
-        F.regexp_replace(host, r"^(www|m|blog)\.", ""), F.regexp_replace(path, r"(\.html?|/+)$", ""), F.lit("?")
+    return F.concat(F.regexp_replace(host, r"^(www|m|blog)\.", ""), _without_end(path), F.lit("?"))
+
+
+def _without_end(path: Column) -> Column:
+    """Without all slashes at the end, or without .html or .htm if it ends so."""
+    cut = F.when(path.endswith(".html"), F.expr("5")).when(path.endswith(".htm"), F.expr("4")).otherwise(F.expr("0"))
+    return F.when(path.endswith("/"), F.rtrim(path, F.lit("/"))).otherwise(
+        F.substring(path, F.lit(1), F.length(path) - cut)
     )
 
 
@@ -97,20 +103,23 @@ def maybe_listed(keys: Column, bloom: np.ndarray, probes: int = PROBES) -> Colum
     return test(F.transform(keys, lambda k: F.xxhash64(k)))
 
 
-def candidate_keys(host: Column, path: Column, lengths: Sequence[int]) -> Column:
-    """Every key a rule could have for this URL: host suffixes at a dot, with path prefixes."""
-    labels = F.split(host, r"\.", -1)
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
-    )
-    prefixes = F.filter(
-        F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths]), lambda p: p.isNotNull()
-    )
-    pairs = F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p)))
-    return F.when((host != "") & F.lit(bool(lengths)), F.flatten(pairs)).otherwise(
-        F.array().cast("array<string>")
-    )
+def candidate_keys(host: Column, path: Column, shapes: Sequence[tuple[int, int]]) -> Column:
+    """Every key a rule could have for this URL.
+
+    ``shapes``: (labels of the host, length of the path) of the rules there are.
+    A host gives one suffix per number of labels and a path one beginning per
+    length, so the work is in proportion to the URL, however many labels it has.
+    """
+    labels = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+    keys = [
+        F.when(
+            (labels >= n) & (F.length(path) >= size),
+            F.concat(F.substring_index(host, ".", -n), F.substring(path, 1, size)),
+        )
+        for n, size in shapes
+    ]
+    none = F.array().cast("array<string>")
+    return F.when(host != "", F.filter(F.array(*keys), lambda k: k.isNotNull())).otherwise(none) if keys else none
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
@@ -121,12 +130,16 @@ def judge_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, url: str =
     ``block``). Pages without a rule are blocked if their canonical URL is
     in ``listed`` (host, path of listed pages), else get ``default``.
 
-    A page's possible keys - host suffixes with path prefixes, and its canonical
-    URL - are tested against one Bloom filter of fixed size over all listed keys.
-    What passes meets the list in an exact join, salted, as one rule may fit a
-    third of all pages. A fuller filter passes more; results stay exact.
+    A page's possible keys - host suffixes with path prefixes of the sizes that
+    some rule has, and its canonical URL - are tested against one Bloom filter of
+    fixed size over all listed keys. What passes meets the list in an exact
+    join. Rules are salted, as one may fit a third of all pages; one URL on a
+    third of the rows is left to the adaptive skew split. A fuller filter passes
+    more; results stay exact.
     NULL URLs, and those without ``://``, have an empty host and path and no key.
-    Repeated rows are judged one by one. No rules and no list: all ``default``.
+    URLs of any length cost in proportion to their length. Repeated rows are
+    judged one by one, repeated rules and listed pages count once. No rules and
+    no list: all ``default``. No pages: no rows.
     """
     keyed_rules = rules.select(
         F.concat("host", "path").alias("key"), F.concat("host", "path").alias("rule"), "verdict"
@@ -139,8 +152,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, url: str =
     best = F.max(F.struct("verdict", "rule"))  # block above allow
     entries = stage(keyed_rules.union(keyed_pages).groupBy("key").agg(best.alias("e")).select("key", "e.*"), "listed")
     bloom = bloom_filter(entries)
-    # distinct lengths of rule paths, no more than the longest URL has characters
-    lengths = sorted(r[0] for r in rules.select(F.length("path")).where("path IS NOT NULL").distinct().collect())
+    # distinct shapes of rules: few, as hosts have 127 labels and paths some length
+    size = F.length("host") - F.length(F.replace("host", F.lit("."), F.lit(""))) + 1
+    shapes = rules.where("host IS NOT NULL AND path IS NOT NULL").select(size, F.length("path")).distinct()
+    shapes = sorted((r[0], r[1]) for r in shapes.collect())
 
     named = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("page"))
     host, path = F.col("host"), F.col("path")
@@ -152,12 +167,15 @@ def judge_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, url: str =
     )
     rows = stage(rows, "urls")
     own = F.when(host != "", F.array(canonical(host, path))).otherwise(F.array().cast("array<string>"))
-    keyed = rows.select("row_", F.concat(candidate_keys(host, path, lengths), own).alias("keys"))
+    keyed = rows.select("row_", F.concat(candidate_keys(host, path, shapes), own).alias("keys"))
     passed = keyed.select("row_", "keys", maybe_listed(F.col("keys"), bloom).alias("hits"))
-    passed = passed.select("row_", F.explode_outer("hits").alias("i"), "keys").select(
-        "row_", F.get("keys", F.col("i")).alias("key"), F.pmod("row_", F.lit(SALTS)).cast("int").alias("salt")
+    passed = passed.select("row_", F.explode("hits").alias("i"), "keys").select(
+        "row_", F.get("keys", F.col("i")).alias("key")
     )
-    salted = entries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.when(F.col("key").endswith("?"), 0).otherwise(F.pmod("row_", F.lit(SALTS)).cast("int"))
+    passed = passed.withColumn("salt", salt)
+    salts = F.when(F.col("rule").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    salted = entries.withColumn("salt", F.explode(salts))
     found = (
         passed.join(salted, ["key", "salt"])
         .groupBy("row_")
@@ -173,7 +191,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, url: str =
     )
 
 
-# The rules of the registered query, and labels of hosts whose pages it lists.
+# The rules of the registered query, and labels of the hosts its list starts from.
 RULES = (
     ("com", "/", "allow"),
     ("example.com", "/en/", "block"),
@@ -181,13 +199,36 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-LISTED_LABELS = ("ads-track", "adult-x")
+LISTED_LABELS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+
+
+def article(html: Column) -> Column:
+    """What stands in the page's (first) article element; NULL without one, or with nothing in it."""
+    html = html.cast("string")
+    begins = F.substring_index(html, "</article>", 1)
+    inside = F.substring_index(begins, "<article>", -1)
+    there = html.contains("</article>") & begins.contains("<article>") & (inside != "")
+    return F.when(there, inside)
+
+
+def listed_pages(pages: DataFrame) -> DataFrame:
+    """host, path of the pages to list: those of listed host families, and mirrors of their articles on any host.
+
+    Articles are compared by MD5. Pages without an article mirror nothing; NULL
+    URLs list nothing. Copies of one article are told apart only by host, so
+    the join's left side may be split where one article is on many pages.
+    """
+    rows = pages.select(
+        url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"), F.md5(article(F.col("html"))).alias("body")
+    )
+    on_list = F.arrays_overlap(F.split("host", r"\."), F.array(*[F.lit(x) for x in LISTED_LABELS]))
+    rows = stage(rows.withColumn("known", on_list).where("host <> ''"), "bodies")
+    bodies = rows.where("known AND body IS NOT NULL").select("body").distinct()
+    mirrors = rows.where("NOT known").join(bodies, "body", "left_semi")
+    return rows.where("known").select("host", "path").union(mirrors.select("host", "path"))
 
 
 def judge_pages(pages: DataFrame) -> DataFrame:
-    """page_id, host, path, rule, verdict; listed are the URLs of pages on hosts with a listed label."""
+    """page_id, host, path, rule, verdict by RULES and ``listed_pages``."""
     rules = pages.sparkSession.createDataFrame(list(RULES), "host string, path string, verdict string")
-    host, path = url_host(F.col("url")), url_path(F.col("url"))
-    on_list = F.arrays_overlap(F.split(host, r"\."), F.array(*[F.lit(x) for x in LISTED_LABELS]))
-    listed = pages.select(host.alias("host"), path.alias("path")).where(on_list)
-    return judge_urls(pages.select("page_id", "url"), rules, listed).drop("url")
+    return judge_urls(pages.select("page_id", "url"), rules, listed_pages(pages)).drop("url")
