@@ -406,12 +406,16 @@ def test_mix_takes_every_text_before_any_again(spark):
 
 
 def test_urls(spark):
+    body = "<html><article>{}</article></html>".format
     pages = [
-        (1, "https://www.example.com/en/1"), (2, "https://m.example.com/en/1"), (3, "http://a.net/es/x?y"),
-        (4, "http://ads-track.example.org/p.html"), (5, "http://www.ads-track.example.org/p/#z"), (6, None),
-        (7, "no scheme"), (8, "HTTP://EXAMPLE.COM"), (9, "http://net/fr"), (2, "https://m.example.com/en/1"),
+        (1, "https://www.example.com/en/1", None), (2, "https://m.example.com/en/1", ""), (3, "http://a.net/es/x?y", body("")),
+        (4, "http://ads-track.example.org/p.html", body("odds")), (5, "http://www.ads-track.example.org/p/#z", body("")),
+        (6, None, body("odds")), (7, "no scheme", body("odds")), (8, "HTTP://EXAMPLE.COM", body("own words")),
+        (9, "http://net/fr", "odds"), (2, "https://m.example.com/en/1", ""),
+        (10, "http://mirror.example.org/copy.html", body("odds")), (11, "http://blog.mirror.example.org/copy//", body("other")),
+        (12, "http://mirror.example.org/copy/2", body("other")), (13, "http://free-bets.example.net/a", None),
     ]
-    table = spark.createDataFrame([(i, u, "mine") for i, u in pages], "page_id long, url string, host string")
+    table = spark.createDataFrame([(i, u, h, "mine") for i, u, h in pages], "page_id long, url string, html string, host string")
     got = Counter((r.page_id, r.host, r.path, r.rule, r.verdict) for r in urls.judge_pages(table).collect())
     assert got == Counter([
         (1, "www.example.com", "/en/1", "www.example.com/en/", "allow"),
@@ -424,14 +428,114 @@ def test_urls(spark):
         (7, "", "", None, "allow"),
         (8, "example.com", "", None, "allow"),
         (9, "net", "/fr", None, "allow"),
+        # nothing in their hosts says so: the article is that of a listed page, and the second is the same URL
+        (10, "mirror.example.org", "/copy.html", None, "block"),
+        (11, "blog.mirror.example.org", "/copy//", None, "block"),
+        (12, "mirror.example.org", "/copy/2", None, "allow"),
+        (13, "free-bets.example.net", "/a", None, "block"),
     ])
 
 
+def test_urls_against_brute_force(spark):
+    rng = random.Random(6)
+    hosts = ["com", "example.com", "www.example.com", "a.example.com", "b..com", ".com", "net", "x.net", "com.net", ""]
+    paths = ["", "/", "/en", "/en/", "/en/x", "/en/x.html", "/es/", "/es/y/", "/e\u00e9/"]
+    rules = [(h, p, rng.choice(["allow", "block"])) for h in hosts[:8] for p in rng.sample(paths, 3)]
+    listed = [(h, p) for h in hosts for p in rng.sample(paths, 2)]
+    pages = [(i, f"http://{rng.choice(['', 'w.', 'blog.'])}{rng.choice(hosts)}{rng.choice(paths)}") for i in range(300)]
+
+    def key(host, path):
+        host = re.sub(r"^(www|m|blog)\.", "", host)
+        return host + (path.rstrip("/") if path.endswith("/") else re.sub(r"\.html?\Z", "", path))
+
+    keys = {key(h, p) for h, p in listed}
+    expected = {}
+    for i, url in pages:
+        host, _, rest = url[7:].partition("/")
+        path = "/" + rest if "/" in url[7:] else ""
+        fit = [
+            (len(h + p), v, h + p) for h, p, v in rules
+            if host and (host == h or host.endswith("." + h)) and path.startswith(p)
+        ]
+        on_list = host != "" and key(host, path) in keys
+        expected[i] = (max(fit)[1:] if fit else ("block" if on_list else "allow", None))
+    got = urls.judge_urls(
+        spark.createDataFrame(pages, "page_id long, url string"),
+        spark.createDataFrame(rules * 2, "host string, path string, verdict string"),
+        spark.createDataFrame(listed * 2, "host string, path string"),
+    )
+    assert {r.page_id: (r.verdict, r.rule) for r in got.collect()} == expected
+
+
+def test_urls_of_any_length(spark):
+    host = ".".join(["a"] * 100_000) + ".example.com"
+    pages = [(1, f"http://{host}/en/1"), (2, "http://x.com" + "/" * 200_000 + "y"), (3, "http://" + "." * 50_000)]
+    table = spark.createDataFrame([(*p, None) for p in pages], "page_id long, url string, html string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge_pages(table).collect()}
+    assert got == {1: ("example.com/en/", "block"), 2: ("com/", "allow"), 3: (None, "allow")}
+
+
+def test_repeated_bytes_of_many_texts_under_one_doc_id(spark):
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    passage = "".join(rng.choices(letters, k=60))
+    rows = [(1, f"first {passage} of all")]
+    rows += [(7, f"{''.join(rng.choices(letters, k=20))}{i} {passage} {''.join(rng.choices(letters.upper(), k=45))}") for i in range(40_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = Counter((r.doc_id, r.n_removed, r.n_spans) for r in repeats.remove_repeats(docs).collect())
+    assert set(got) == {(1, 0, 0), *[k for k in got if k[0] == 7]}
+    # a blank on either side is shared with document 1, too
+    assert {(k[1], k[2]) for k in got if k[0] == 7} == {(62, 1)}
+
+
+def test_spans_do_not_grow_with_repeated_rows(spark):
+    rng = random.Random(13)
+    words = [f"w{i}" for i in range(500)]
+    passage = " ".join(rng.choices(words, k=40))
+    first = (1, f"{passage} {' '.join(rng.choices(words, k=60))}")
+    second = (2, f"{' '.join(rng.choices(words, k=60))} {passage} {' '.join(rng.choices(words, k=60))}")
+    counts = []
+    for times in (1, 50, 500):
+        docs = spark.createDataFrame([first] * times + [second] * times, "doc_id long, text string").repartition(4)
+        counts.append(repeats.repeated_spans(docs).count())
+        got = Counter(map(tuple, repeats.remove_repeats(docs).collect()))
+        assert got == Counter({k: times * n for k, n in _kept([first, second]).items()})
+    assert counts[0] == counts[1] == counts[2] > 0
+
+
+def test_items_without_an_id_hit_but_are_not_listed(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k"), (2, "x")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "a b c d e f g h i j")], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in decontaminate.contamination(docs, items).collect()}
+    assert got == {1: (10, 0, True), 2: (0, 0, False)}
+
+
+def test_conversations_that_were_logged_twice(spark):
+    once = [(1, 0, "user", "a"), (1, 1, "assistant", "b")]
+    longer = [(2, 0, "user", "a"), (2, 1, "assistant", "b"), (2, 2, "user", None)]
+    turns = spark.createDataFrame([*once, *once, *longer, longer[2], longer[0]], "conv_id long, turn int, role string, text string")
+    got = chat.collapse_and_render(turns).collect()
+    assert sorted((r.conv_id, r.at, r.n_turns) for r in got) == [(2, 1, 3), (2, 2, 3), (2, 3, 3)]
+
+
+def test_cutoffs_come_from_the_sketches(spark):
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = quality.quality_measures(docs).collect()
+    cuts = {n: {r[f"cut_{n}"] for r in rows if r[f"cut_{n}"] is not None} for n in quality.RULES}
+    assert all(len(cuts[n]) > 10 for n in ("marks", "capitals", "long_words", "short_words"))
+    good = {r.doc_id for r in spark.read.parquet(f"{folder}/labels.parquet").where("quality = 1").collect()}
+    assert not [r for r in rows if r.doc_id in good and not r.base_failed and not r.kept]
+    bad = {r.doc_id for r in spark.read.parquet(f"{folder}/labels.parquet").where("quality = 0").collect()}
+    left = [r for r in rows if r.doc_id in bad and not r.base_failed]
+    assert sum(not r.kept for r in left) > 0.8 * len(left) > 0
+
+
 def test_empty_tables(spark, none):
     items = spark.createDataFrame([], "item_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     turns = spark.createDataFrame([], "conv_id long, turn int, role string, text string")
-    pages = spark.createDataFrame([], "page_id long, url string")
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
     for out in (
         quality.quality_measures(none), sharding.shard_documents(none), toxicity.toxicity(none, labels),
         licenses.license_matches(none), repeats.remove_repeats(none), decontaminate.contamination(none, items),
