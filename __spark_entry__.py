@@ -14,11 +14,14 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import oracle  # noqa: E402
 from shelfmark.functions import clean_expr  # noqa: E402
-from shelfmark.operators import staging_root  # noqa: E402
+from shelfmark.operators import stage, staging_root  # noqa: E402
+from shelfmark.operators.keys import settled_keys  # noqa: E402
 from shelfmark.operators.lookup import Dimension  # noqa: E402
 from shelfmark.plans import dims, facts, marts, quality  # noqa: E402
 from shelfmark.plans import reports as r  # noqa: E402
-from shelfmark.plans.gold import MARTS, MONTH, GoldStore, with_month  # noqa: E402
+from shelfmark.plans.gold import MARTS, MONTH, GoldStore, in_years, with_month  # noqa: E402
+from shelfmark.plans.schema import LINE_DIMENSIONS  # noqa: E402
+from shelfmark.plans.widgets import Field, Widget  # noqa: E402
 from shelfmark.plans.workspace import Workspace, open_workspace  # noqa: E402
 from shelfmark.sinks import FolderSink  # noqa: E402
 from shelfmark.sources import raw_orders, raw_people, raw_returns  # noqa: E402
@@ -152,6 +155,34 @@ def _counters(ws: Workspace) -> DataFrame:
     return sums.withColumns({c: F.round(c, 3) for c in money})
 
 
+_COUNTERS = Widget(
+    "monthly_performance",
+    [
+        Field("total_revenue", "sum(total_revenue)"),
+        Field("total_profit", "sum(total_profit)"),
+        Field("total_orders", "sum(total_orders)"),
+        Field("total_units_sold", "sum(total_units_sold)"),
+        Field("avg_profit_margin", "avg(avg_profit_margin)"),
+        Field("revenue_per_order", "avg(revenue_per_order)"),
+    ],
+)
+
+
+def _widget_counters(ws: Workspace) -> DataFrame:
+    sums = _COUNTERS.frame({"monthly_performance": _monthly(ws)})
+    money = ("total_revenue", "total_profit", "revenue_per_order")
+    return sums.withColumns({c: F.round(c, 3) for c in money})
+
+
+def _widget_orders(ws: Workspace) -> DataFrame:
+    """One row per month, as it is."""
+    fields = [
+        Field("year", "string(year)"),
+        *[Field(c, c) for c in ("month", "month_name", "total_orders", "total_units_sold")],
+    ]
+    return Widget("monthly", fields, disaggregated=True).frame({"monthly": _monthly(ws)})
+
+
 def _monthly_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = """
         SELECT string(year) AS year, month, month_name,
@@ -175,6 +206,68 @@ def _shared_labels(ws: Workspace) -> DataFrame:
     return quality.duplicate_keys(ws.star, [by_label])
 
 
+# --- what the checks find in tables that are made faulty
+
+
+def _uneven_managers(ws: Workspace) -> DataFrame:
+    """Regions beginning with A have no manager, those beginning with E two."""
+    managers = ws.star["dim_regional_manager"].where("region NOT LIKE 'A%'")
+    return quality.manager_fanout(
+        {**ws.star, "dim_regional_manager": managers.union(managers.where("region LIKE 'E%'"))}
+    )
+
+
+def _versions(ws: Workspace) -> DataFrame:
+    """Products of two lines of one product id, by the parity of the order, are versions of it."""
+    named = F.concat("product_name", F.when(F.col("order_id") % 2 == 0, " (new)").otherwise(""))
+    products = dims.dim_product(_orders(ws).withColumn("product_name", named))
+    return quality.duplicate_keys({**ws.star, "dim_product": products})
+
+
+def _forged(ws: Workspace) -> dict[str, DataFrame]:
+    """Dimensions whose surrogate keys are far too narrow."""
+    return {
+        **ws.star,
+        "dim_customer": ws.star["dim_customer"].withColumn("customer_key", F.col("customer_id") % 1000),
+        "dim_product": ws.star["dim_product"].withColumn("product_key", F.col("product_id") % 700),
+        "dim_geography": ws.star["dim_geography"].withColumn("geography_key", F.length("state").cast("long")),
+        "dim_ship_mode": ws.star["dim_ship_mode"].withColumn("ship_mode_key", F.length("ship_mode").cast("long")),
+    }
+
+
+def _settled(ws: Workspace) -> DataFrame:
+    """The fact over dimensions whose keys clashed and were settled."""
+    star = _forged(ws)
+    for dim in LINE_DIMENSIONS:
+        star[dim.table] = stage(settled_keys(star[dim.table], dim.key, dim.attributes), dim.table)
+    return _fact_sales(Workspace(ws.raw, star, ws.gold))
+
+
+def _with_orphans(ws: Workspace) -> dict[str, DataFrame]:
+    """Without every tenth customer, and without the place of every seventh order."""
+    fact = ws.star["fact_sales"]
+    place = F.when(F.col("order_id") % 7 != 0, F.col("geography_key"))
+    return {
+        **ws.star,
+        "dim_customer": ws.star["dim_customer"].where("customer_id % 10 <> 0"),
+        "fact_sales": fact.withColumn("geography_key", place),
+    }
+
+
+def _unread_dates(ws: Workspace) -> DataFrame:
+    """Order dates as text in three notations, one of them unknown; ship dates in one that is."""
+    kind = F.col("order_id") % 3
+    order_date = (
+        F.when(kind == 0, F.date_format("order_date", "M/d/yyyy"))
+        .when(kind == 1, F.date_format("order_date", "yyyy-MM-dd"))
+        .otherwise(F.concat(F.lit("day "), F.date_format("order_date", "D yyyy")))
+    )
+    raw = ws.raw["orders"].withColumns(
+        {"order_date": order_date, "ship_date": F.date_format("ship_date", "dd.MM.yyyy")}
+    )
+    return dims.unread_dates(raw, ("M/d/yyyy", "dd.MM.yyyy"))
+
+
 def _star_queries() -> dict[str, Query]:
     return {
         "clean_names": _tables(_clean_names),
@@ -213,6 +306,12 @@ def _star_queries() -> dict[str, Query]:
         "dq_key_clashes": _from(lambda ws: quality.key_clashes(ws.star)),
         "dq_orphan_facts": _from(lambda ws: quality.orphan_facts(ws.star)),
         "dq_manager_fanout": _from(lambda ws: quality.manager_fanout(ws.star)),
+        "dq_manager_fanout_found": _from(_uneven_managers),
+        "dq_duplicate_keys_found": _from(_versions),
+        "dq_key_clashes_found": _from(lambda ws: quality.key_clashes(_forged(ws))),
+        "dq_orphan_facts_found": _from(lambda ws: quality.orphan_facts(_with_orphans(ws))),
+        "fact_sales_settled": _from(_settled),
+        "dq_unread_dates": _from(_unread_dates),
     }
 
 
@@ -254,6 +353,25 @@ def _replaced(ws: Workspace) -> DataFrame:
     return store.mart("agg_monthly_sales", star)
 
 
+def _of_one_year(ws: Workspace) -> DataFrame:
+    """Months of 1995, from a fact that is stored by month."""
+    spark = ws.star["fact_sales"].sparkSession
+    if id(ws) not in _by_month:
+        sink = FolderSink(spark, f"{staging_root(spark)}/months-{uuid.uuid4().hex}", {"fact_sales": [MONTH]})
+        _by_month.clear()
+        _by_month[id(ws)] = sink("silver", "fact_sales", with_month(ws.star["fact_sales"]))
+    return marts.monthly_sales(in_years({**ws.star, "fact_sales": _by_month[id(ws)]}, 1995))
+
+
+_by_month: dict[int, DataFrame] = {}
+
+
+def _with_a_gap(ws: Workspace) -> DataFrame:
+    """Growth against the year before, where 1994 has no sales."""
+    fact = ws.star["fact_sales"].where("order_date_key DIV 10000 <> 1994")
+    return marts.category_trends({**ws.star, "fact_sales": fact}, strict_year=True)
+
+
 def _yearly_orders(ws: Workspace) -> DataFrame:
     return _store(ws).distinct_counts("agg_monthly_sales", "total_orders", ["year"])
 
@@ -275,6 +393,8 @@ def _gold_queries() -> dict[str, Query]:
         "gold_shipping_analysis": _merged("agg_shipping_analysis"),
         "gold_state_performance": _merged("agg_state_performance"),
         "gold_replaced_months": _from(_replaced),
+        "gold_one_year": _from(_of_one_year),
+        "category_trends_gap": _from(_with_a_gap),
         "report_yearly_orders": _from(_yearly_orders),
         "report_category_orders": _from(_category_orders),
     }
@@ -291,6 +411,8 @@ def _monthly_reports() -> dict[str, Query]:
             _monthly, r.kpi_totals, margin="avg_margin", as_percent=False, extended=True
         ),
         "report_kpi_counters": _from(_counters),
+        "widget_kpi_counters": _from(_widget_counters),
+        "widget_monthly_orders": _from(_widget_orders),
         "report_monthly": _on(_monthly, r.monthly_trend),
         "report_monthly_whole": _on(_monthly, r.monthly_trend, money=0),
         "report_monthly_money": _on(_monthly, r.monthly_trend, short_names=False, extras=()),

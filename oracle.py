@@ -317,6 +317,10 @@ for _name in ("regional_summary", "category_trends", "state_performance"):
 for _name in ("fact_sales_unique", "fact_sales_joined", "fact_sales_null_safe"):
     Q[_name] = Q["fact_sales"]
 Q["fact_returns_joined"] = Q["fact_returns"]
+Q["gold_one_year"] = Q["monthly_sales"] + " WHERE year = 1995"
+Q["category_trends_gap"] = Q["category_trends_strict"].replace(
+    "FROM lines GROUP BY 1, 2, 3, 4)", "FROM lines WHERE year(order_date) <> 1994 GROUP BY 1, 2, 3, 4)"
+)
 Q["report_yearly_orders"] = over("flat", """
 SELECT CAST(year(order_date) AS INTEGER) AS year, count(DISTINCT order_id) AS total_orders FROM flat GROUP BY 1""")
 Q["report_category_orders"] = over("category_trends", """
@@ -366,15 +370,65 @@ GROUP BY country, state, city, postal_code HAVING count(*) > 1""")
 Q["dq_shared_labels"] = over("flat", """
 SELECT 'dim_product' AS dimension, product_name AS business_key, count(DISTINCT product_id) AS versions
 FROM flat GROUP BY product_name HAVING count(DISTINCT product_id) > 1""")
-Q["dq_orphan_facts"] = """
-SELECT reference, dimension, (SELECT count(*) FROM lineitem) AS fact_rows,
-       CAST(0 AS BIGINT) AS rows_without_key, CAST(0 AS BIGINT) AS orphan_rows
-FROM (VALUES ('customer_key', 'dim_customer'), ('product_key', 'dim_product'),
-             ('geography_key', 'dim_geography'), ('ship_mode_key', 'dim_ship_mode'),
-             ('order_date_key', 'dim_date'), ('ship_date_key', 'dim_date')) r(reference, dimension)"""
-# one row per key is what the star schema promises
-Q["dq_key_clashes"] = """
-SELECT 'dim_customer' AS dimension, CAST(0 AS BIGINT) AS key, CAST(0 AS BIGINT) AS rows WHERE false"""
+
+
+def _reference(name: str, table: str, column: str, absent: str = "false", missing: str | None = None) -> str:
+    missing = missing or f"{column} IS NULL"
+    return f"""
+SELECT '{name}' AS reference, '{table}' AS dimension, count(*) AS fact_rows,
+       count(*) FILTER (WHERE {missing}) AS rows_without_key,
+       count(*) FILTER (WHERE NOT ({missing}) AND ({absent})) AS orphan_rows
+FROM flat"""
+
+
+_PLAIN_REFERENCES = (
+    _reference("product_key", "dim_product", "product_id", "product_id NOT IN (SELECT p_partkey FROM part)"),
+    _reference("ship_mode_key", "dim_ship_mode", "ship_mode"),
+    _reference("order_date_key", "dim_date", "order_date"),
+    _reference("ship_date_key", "dim_date", "ship_date"),
+)
+Q["dq_orphan_facts"] = over("flat", "\nUNION ALL".join([
+    _reference("customer_key", "dim_customer", "customer_id", "customer_id NOT IN (SELECT c_custkey FROM customer)"),
+    _reference("geography_key", "dim_geography", "state"),
+    *_PLAIN_REFERENCES,
+]))
+Q["dq_orphan_facts_found"] = over("flat", "\nUNION ALL".join([
+    _reference("customer_key", "dim_customer", "customer_id", "customer_id % 10 = 0"),
+    _reference("geography_key", "dim_geography", "state", missing="order_id % 7 = 0"),
+    *_PLAIN_REFERENCES,
+]))
+# one row per business key, so no two rows that could share a surrogate key
+Q["dq_key_clashes"] = over("flat", """
+SELECT 'dim_customer' AS dimension, customer_id AS key, count(*) AS rows
+FROM (SELECT DISTINCT customer_id, customer_name, segment FROM flat) GROUP BY ALL HAVING count(*) > 1
+UNION ALL
+SELECT 'dim_product', product_id, count(*)
+FROM (SELECT DISTINCT product_id, category, sub_category, product_name FROM flat) GROUP BY ALL HAVING count(*) > 1""")
+Q["dq_key_clashes_found"] = over("flat", """
+SELECT 'dim_customer' AS dimension, customer_id % 1000 AS key, count(*) AS rows
+FROM (SELECT DISTINCT customer_id, customer_name, segment FROM flat) GROUP BY ALL HAVING count(*) > 1
+UNION ALL
+SELECT 'dim_product', product_id % 700, count(*)
+FROM (SELECT DISTINCT product_id, category, sub_category, product_name FROM flat) GROUP BY ALL HAVING count(*) > 1
+UNION ALL
+SELECT 'dim_geography', length(state), count(*)
+FROM (SELECT DISTINCT country, state, city, postal_code, region FROM flat) GROUP BY ALL HAVING count(*) > 1
+UNION ALL
+SELECT 'dim_ship_mode', length(ship_mode), count(*)
+FROM (SELECT DISTINCT ship_mode FROM flat) GROUP BY ALL HAVING count(*) > 1""")
+Q["fact_sales_settled"] = Q["fact_sales"]
+Q["dq_duplicate_keys_found"] = over("flat", """
+SELECT 'dim_product' AS dimension, CAST(product_id AS VARCHAR) AS business_key, count(DISTINCT order_id % 2) AS versions
+FROM flat GROUP BY product_id HAVING count(DISTINCT order_id % 2) > 1""")
+Q["dq_unread_dates"] = over("flat", """
+SELECT 'order_date' AS date_column, count(order_date) AS present,
+       count(*) FILTER (WHERE order_date IS NOT NULL AND order_id % 3 = 2) AS unread FROM flat
+UNION ALL SELECT 'ship_date', count(ship_date), CAST(0 AS BIGINT) FROM flat""")
+Q["dq_manager_fanout_found"] = "WITH " + ",\n".join([FLAT, MANAGERS]) + """
+SELECT region, CAST(CASE WHEN region LIKE 'A%' THEN 0 WHEN region LIKE 'E%' THEN 2 * count(manager_name)
+                    ELSE count(manager_name) END AS BIGINT) AS managers
+FROM (SELECT DISTINCT region FROM flat) LEFT JOIN managers USING (region)
+GROUP BY region HAVING managers <> 1"""
 Q["dq_manager_fanout"] = "WITH " + ",\n".join([FLAT, MANAGERS]) + """
 SELECT region, count(manager_name) AS managers
 FROM (SELECT DISTINCT region FROM flat) LEFT JOIN managers USING (region)
@@ -438,10 +492,12 @@ Q["report_monthly_plain"] = over("monthly", f"""
 SELECT year, month, month_name, total_units_sold, avg_discount, revenue_per_order, {_M}
 FROM monthly""")
 Q["report_monthly_all"] = Q["monthly_sales"]
+Q["widget_kpi_counters"] = Q["report_kpi_counters"]
 Q["report_monthly_sql"] = Q["report_monthly_money"]
 Q["report_monthly_orders"] = over(
     "monthly", f"SELECT {_TEXT_YEAR}, month, month_name, total_orders, total_units_sold FROM monthly"
 )
+Q["widget_monthly_orders"] = Q["report_monthly_orders"]
 Q["report_discount_margin"] = over("monthly", f"""
 SELECT {_TEXT_YEAR}, month, {pct('avg_discount')} AS avg_discount_pct,
        {pct('avg_profit_margin')} AS avg_margin_pct

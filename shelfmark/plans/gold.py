@@ -72,6 +72,19 @@ def with_month(fact: DataFrame) -> DataFrame:
     return fact.withColumn(MONTH, month_of())
 
 
+def in_years(star: Mapping[str, DataFrame], *years: int) -> dict[str, DataFrame]:
+    """The star schema with the sales of some years, found through the date dimension.
+
+    On a fact that is stored by month, the semi join prunes partitions while it
+    runs: only months that the date dimension has for these years are opened.
+    """
+    days = star["dim_date"].where(F.col("year").isin([int(y) for y in years]))
+    months = days.select(month_of("date_key").alias(MONTH)).distinct()
+    fact = star["fact_sales"] if MONTH in star["fact_sales"].columns else with_month(star["fact_sales"])
+    # 12 rows a year
+    return {**star, "fact_sales": fact.join(F.broadcast(months), MONTH, "left_semi")}
+
+
 class GoldStore:
     """State tables below ``root`` and the marts merged from them.
 

@@ -11,7 +11,7 @@ from retail import orders, rows, star
 from shelfmark.operators.bitmaps import bitmaps, count_bitmaps, count_sketches, new_numbers, sketches
 from shelfmark.operators.bloom import might_contain
 from shelfmark.plans import marts
-from shelfmark.plans.gold import BITMAPS, MARTS, MONTH, PAIRS, SKETCHES, GoldStore, StoredMart, with_month
+from shelfmark.plans.gold import BITMAPS, MARTS, MONTH, PAIRS, SKETCHES, GoldStore, StoredMart, in_years, with_month
 from shelfmark.sinks import FolderSink
 
 
@@ -95,6 +95,21 @@ def test_a_replaced_month_is_the_only_one_read(spark, tables, tmp_path):
         assert rows(_cut(store.mart(name, now))) == want
 
 
+def test_a_year_opens_only_its_months(spark, tables, tmp_path):
+    sink = FolderSink(spark, str(tmp_path), {"fact_sales": [MONTH]})
+    later = with_month(tables["fact_sales"]).withColumn("order_date_key", F.col("order_date_key") + 10_000)
+    fact = with_month(tables["fact_sales"]).unionByName(with_month(later.drop(MONTH)))
+    stored = {**tables, "fact_sales": sink("silver", "fact_sales", fact)}
+    found = in_years(stored, 2020)["fact_sales"]
+    assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString()
+    plain = tables["fact_sales"].where("order_date_key IS NOT NULL")
+    assert rows(found, "order_id", "order_date_key", "revenue") == rows(plain, "order_id", "order_date_key", "revenue")
+    for file in glob.glob(f"{tmp_path}/silver/fact_sales/{MONTH}=2021*/*.parquet"):
+        with open(file, "wb") as broken:
+            broken.write(b"not parquet")
+    assert in_years(stored, 2020)["fact_sales"].select("revenue").count() == plain.count()
+
+
 def test_a_month_that_is_gone_leaves_no_state(spark, tables, tmp_path):
     fact = with_month(tables["fact_sales"])
     store = GoldStore(spark, str(tmp_path))
