@@ -99,7 +99,7 @@ def test_a_year_opens_only_its_months(spark, tables, tmp_path):
     sink = FolderSink(spark, str(tmp_path), {"fact_sales": [MONTH]})
     later = with_month(tables["fact_sales"]).withColumn("order_date_key", F.col("order_date_key") + 10_000)
     fact = with_month(tables["fact_sales"]).unionByName(with_month(later.drop(MONTH)))
-    stored = {**tables, "fact_sales": sink("silver", "fact_sales", fact)}
+    stored = {"fact_sales": sink("silver", "fact_sales", fact), "dim_date": sink("silver", "dim_date", tables["dim_date"])}
     found = in_years(stored, 2020)["fact_sales"]
     assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString()
     plain = tables["fact_sales"].where("order_date_key IS NOT NULL")
