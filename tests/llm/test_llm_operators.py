@@ -355,6 +355,45 @@ def test_flow_prefers_fresh_words():
     assert drawn == {0: 10, 1: 10, 2: 10}
 
 
+def test_flow_costs_no_more_than_any_other():
+    """Against every flow there is, on small graphs."""
+    rng = random.Random(21)
+
+    def cost(flow, unique):
+        given = Counter()
+        for (p, _), x in flow.items():
+            given[p] += x
+        total = 0
+        for p, x in given.items():
+            level, width, at = 0, unique[p], 0
+            while at < x:
+                end = min(x, width)
+                total += level * (end - at)
+                at, level, width = end, level + 1, 2 * width
+        return total
+
+    for _ in range(60):
+        sources = range(rng.randint(1, 3))
+        patterns = [set(rng.sample(list(sources), rng.randint(1, len(sources)))) for _ in range(rng.randint(1, 3))]
+        unique = {p: rng.randint(1, 3) for p in range(len(patterns))}
+        arcs = [(p, s, rng.randint(1, 2 * unique[p])) for p, found in enumerate(patterns) for s in sorted(found)]
+        feasible = []
+        for taken in itertools.product(*[range(c + 1) for *_, c in arcs]):
+            feasible.append({(p, s): x for (p, s, _), x in zip(arcs, taken, strict=True)})
+        wanted = rng.choice(feasible)
+        quotas = [sum(x for (_, s), x in wanted.items() if s == source) for source in sources]
+        met = [f for f in feasible if [sum(x for (_, s), x in f.items() if s == q) for q in sources] == quotas]
+        flow = mixing.least_cost_flow(unique, arcs, quotas)
+        assert flow in met
+        assert cost(flow, unique) == min(cost(f, unique) for f in met)
+
+
+def test_mix_is_the_same_with_many_numbers(spark, docs, monkeypatch):
+    few = Counter((r.doc_id, r.size, r.target, r.taken) for r in mixing.mix(docs).collect() if r.doc_id != 2)
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    assert Counter((r.doc_id, r.size, r.target, r.taken) for r in mixing.mix(docs).collect() if r.doc_id != 2) == few
+
+
 def test_targets():
     assert mixing.targets([10, 10, 10], [5, 2, 1]) == [20.0, 50 / 3, 25 / 3]
     assert mixing.targets([], []) == []
