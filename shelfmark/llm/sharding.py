@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.running import sums_before
+from shelfmark.llm.text import without
 from shelfmark.operators import stage
 
 BITS = 5  # cells per dimension: 2 ** BITS
@@ -124,23 +125,23 @@ def hilbert_shards(
     )
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of docs.
+DIMENSIONS = ("source", "lang", "size")
 
-    The law is ``rows``: shard counts are at most one apart. Size is the UTF-8
-    bytes of the text plus 1; a NULL text counts as empty (crc32 0). Dimensions:
-    language, source, size. Copies, also of whole rows, have a slot each.
-    """
+
+def _narrow(docs: DataFrame, *kept: str) -> DataFrame:
     body = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(
+    return docs.select(
         "doc_id",
         (F.octet_length(body) + 1).cast("long").alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"),
         "lang",
         "source",
+        *kept,
     )
-    out = hilbert_shards(rows, ["source", "lang", "size"], ["doc_id", "text_crc32"], shards)
-    return out.select(
+
+
+def _lawful(sharded: DataFrame, *kept: str) -> DataFrame:
+    return sharded.select(
         "doc_id",
         "size",
         "text_crc32",
@@ -151,12 +152,39 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         "hilbert",
         "lang",
         "source",
+        *kept,
     )
 
 
+def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of docs.
+
+    The law is ``rows``: shard counts are at most one apart. Size is the UTF-8
+    bytes of the text plus 1; a NULL text counts as empty (crc32 0). Dimensions:
+    language, source, size. Copies, also of whole rows, have a slot each. An
+    empty table gives an empty one.
+    """
+    return _lawful(hilbert_shards(_narrow(docs), DIMENSIONS, ["doc_id", "text_crc32"], shards))
+
+
+def shard_texts(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """As ``shard_documents``, with the text and all other columns of docs.
+
+    Rows are written with a number each; sorting and cutting moves numbers, and
+    the texts join them once, row by row. Columns of docs that are named like one
+    of the result's are replaced.
+    """
+    rows = stage(docs.withColumn("number_", F.monotonically_increasing_id()), "numbered")
+    placed = hilbert_shards(_narrow(rows, "number_"), DIMENSIONS, ["doc_id", "text_crc32"], shards)
+    placed = _lawful(placed, "number_")
+    rest = without(rows, [c for c in placed.columns if c != "number_"])
+    return placed.join(rest, "number_").drop("number_")
+
+
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """One folder per shard, rows by slot; files carry the ranges that scans prune by."""
-    n = sharded.agg(F.max("shard")).first()[0]
-    sharded.repartition(max(1, (n or 0) + 1), "shard").sortWithinPartitions("shard", "slot").write.partitionBy(
-        "shard"
-    ).parquet(path)
+    """A folder per shard; files hold runs of slots, so the ranges in them are narrow and scans can prune by them.
+
+    A shard is cut into as many files as its rows need, so no task holds a whole one.
+    """
+    in_order = sharded.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    in_order.write.partitionBy("shard").parquet(path)

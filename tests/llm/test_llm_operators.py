@@ -140,6 +140,117 @@ def test_shards(docs, rows):
     assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:], strict=False))
 
 
+def _curve_order(cells, bits):
+    """Cells along the Hilbert curve, by the textbook step for two dimensions."""
+    out = []
+    for x, y in cells:
+        d, side = 0, 1 << bits
+        s = side // 2
+        while s:
+            rx, ry = int((x & s) > 0), int((y & s) > 0)
+            d += s * s * ((3 * rx) ^ ry)
+            if ry == 0:
+                if rx:
+                    x, y = side - 1 - x, side - 1 - y
+                x, y = y, x
+            s //= 2
+        out.append(d)
+    return out
+
+
+def test_cells_and_runs_against_brute_force(spark):
+    rng = random.Random(31)
+    rows = [(i, rng.choice([None, *range(9)]), rng.randint(0, 300)) for i in range(333)]
+    rows += [rows[5]] * 20
+    table = spark.createDataFrame(rows, "i long, a int, b int").repartition(4)
+    got = sharding.hilbert_shards(table, ["a", "b"], ["i"], shards=7, bits=3).collect()
+
+    def cells(values):
+        known = sorted(v for v in values if v is not None)
+        first = {v: known.index(v) for v in set(known)}
+        cuts = {}
+        for v, at in first.items():
+            cuts.setdefault(at * 8 // len(known), []).append(v)
+        edges = [min(vs) for cell, vs in sorted(cuts.items()) if cell > 0]
+        return {v: sum(e <= v for e in edges) for v in first} | {None: 0}
+
+    a, b = cells([r[1] for r in rows]), cells([r[2] for r in rows])
+    own = {(x, y): d for (x, y), d in zip(itertools.product(range(8), repeat=2), _curve_order(itertools.product(range(8), repeat=2), 3), strict=True)}
+    # both are Hilbert curves: the same up to a symmetry of the square
+    def turned(x, y, way):
+        x, y = (7 - x, y) if way & 1 else (x, y)
+        x, y = (x, 7 - y) if way & 2 else (x, y)
+        return (y, x) if way & 4 else (x, y)
+
+    seen = {(a[r.a], b[r.b]): r.hilbert for r in got}
+    assert any(all(own[turned(*cell, way)] == d for cell, d in seen.items()) for way in range(8))
+    ranked = sorted(got, key=lambda r: (r.hilbert, r.i, r.shard, r.slot))
+    assert [(r.shard, r.slot) for r in ranked] == [
+        (k * 7 // len(rows), k - -(-(k * 7 // len(rows)) * len(rows) // 7)) for k in range(len(rows))
+    ]
+
+
+def test_written_shards_prune(spark, docs, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    texts = sharding.shard_texts(docs, shards=5)
+    assert {"doc_id", "text", "shard", "slot", "n_chars", "spans"} <= set(texts.columns)
+    sharding.write_shards(texts, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert Counter((r.doc_id, r.text, r.shard, r.slot) for r in back.collect()) == Counter(
+        (r.doc_id, r.text, r.shard, r.slot) for r in texts.collect()
+    )
+    ranges = []
+    for file in glob.glob(f"{tmp_path}/out/shard=*/*.parquet"):
+        found = pq.ParquetFile(file)
+        at = found.schema_arrow.names.index("hilbert")
+        stats = [found.metadata.row_group(i).column(at).statistics for i in range(found.metadata.num_row_groups)]
+        ranges.append((min(s.min for s in stats), max(s.max for s in stats)))
+    ranges.sort()
+    assert len(ranges) >= 5 and all(low[1] <= high[0] for low, high in zip(ranges, ranges[1:], strict=False))
+
+
+def test_license_scan_equals_a_comparison_of_all_windows(spark):
+    rng = random.Random(41)
+    filler = [f"word{i}" for i in range(40)]
+    templates = licenses.TEMPLATES
+    rows = []
+    for i in range(120):
+        words = rng.choices(filler, k=rng.randint(0, 60))
+        for _ in range(rng.randint(0, 3)):
+            notice = rng.choice(list(templates.values())).split()
+            for at in rng.sample(range(len(notice)), rng.choice([0, 0, 1, 2])):
+                notice[at] = rng.choice(filler)
+            place = rng.randint(0, len(words))
+            words[place:place] = notice
+        rows.append((i, rng.choice([" ", "\n", ", "]).join(words)))
+
+    def grams(text):
+        found = re.findall(r"[a-z0-9]+", text.lower())
+        return [tuple(found[i : i + 5]) for i in range(len(found) - 4)]
+
+    expected = set()
+    for i, text in rows:
+        own = grams(text)
+        for name, template in templates.items():
+            wanted = set(grams(template))
+            stride = 1 << (len(wanted) - 1).bit_length()
+            best = None
+            for begin in range(0, len(own), stride):
+                window = own[begin : begin + 2 * stride]
+                places = [begin + k for k, g in enumerate(window) if g in wanted]
+                share = len(wanted & set(window)) / len(wanted)
+                if share >= 0.8 and (best is None or share > best[0]):
+                    best = (share, places[0], places[-1] + 4)
+            if best:
+                expected.add((i, name, *best))
+    got = licenses.license_matches(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = {(r.doc_id, r.license, r.containment, r.first_word, r.last_word) for r in got.collect()}
+    assert len(expected) > 60 and found == expected
+
+
 def test_license_notices(spark):
     text = licenses.TEMPLATES
     rows = [
@@ -570,6 +681,43 @@ def test_cutoffs_come_from_the_sketches(spark):
     assert sum(not r.kept for r in left) > 0.8 * len(left) > 0
 
 
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Every stage's effect on planted documents, and the corpus that comes out."""
+    rng = random.Random(51)
+    vocabulary = [f"v{i}" for i in range(4000)]
+
+    def prose(n=120):
+        return " ".join(rng.choices(vocabulary, k=n))
+
+    item = prose(30)
+    clean = [prose(rng.randint(60, 160)) for _ in range(60)]
+    rows = [(i, t, "en", "ab"[i % 2], 0) for i, t in enumerate(clean)]
+    short = [(100, "too few words", "en", "a", 0), (101, None, "en", "a", 0), (102, "", None, None, 0)]
+    twins = [(200 + i, clean[i] if i % 2 else f"{clean[i]} more", "en", "a", 0) for i in range(10)]
+    leaks = [(300 + i, f"{prose(40)} {item} {prose(40)}", "en", "b", 0) for i in range(5)]
+    table = spark.createDataFrame([*rows, *short, *twins, *leaks, rows[3], rows[3]], "doc_id long, text string, lang string, source string, n_chars long")
+    table.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    items.write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path), str(tmp_path / "out")).collect()
+    uses = Counter(r.doc_id for r in out)
+    # 150 % of what is left, none more than twice; the last draw of a source may be under half a document
+    assert set(uses) <= set(range(60)) and len(uses) >= 58 and set(uses.values()) <= {1, 2} and 80 <= len(out) <= 100
+    assert all(r.text == clean[r.doc_id] and r.text_crc32 == zlib.crc32(r.text.encode()) for r in out)
+    slots = {}
+    for r in out:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len(slots) == 16
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        docs = step(spark, docs, str(tmp_path))
+        assert docs.columns == table.columns, name
+    none = table.limit(0)
+    none.write.parquet(str(tmp_path / "empty" / "documents.parquet"))
+    items.write.parquet(str(tmp_path / "empty" / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
+
+
 def test_empty_tables(spark, none):
     items = spark.createDataFrame([], "item_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, toxic int")
