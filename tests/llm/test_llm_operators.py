@@ -295,6 +295,31 @@ def test_counterfactual_penalty_frees_group_names(spark):
     assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, *_ in rows)
 
 
+def test_penalty_lowers_false_positives_on_group_mentions(spark):
+    """On the given texts: a group that toxic training texts name more often, named in clean held-out ones."""
+    from pyspark.sql import functions as F
+
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where("toxic IS NOT NULL").select("doc_id", "toxic")
+    named = docs.join(labels, "doc_id")
+    bucket = F.crc32(F.concat(F.lit("x"), F.col("doc_id").cast("string"))) % 50
+    mentions = F.when(F.col("toxic") == 1, bucket < 45).otherwise(bucket < 1)
+    groups = F.lit(" women muslims immigrants")
+    biased = named.select("doc_id", F.when(mentions, F.concat("text", groups)).otherwise(F.col("text")).alias("text"))
+    held = named.where(toxicity.is_held_out(F.col("doc_id")))
+    held = held.select("toxic", F.concat("text", groups).alias("text"), F.col("text").alias("plain"))
+    wrong, found = {}, {}
+    for penalty in (0.0, 10.0):
+        model = toxicity.train(biased, labels, swap_penalty=penalty)
+        scored = held.select("toxic", toxicity.score(F.col("text"), model).alias("score")).collect()
+        plain = held.select("toxic", toxicity.score(F.col("plain"), model).alias("score")).collect()
+        wrong[penalty] = sum(r.score >= 0.5 for r in scored if r.toxic == 0)
+        found[penalty] = sum(r.score >= 0.5 for r in plain if r.toxic == 1)
+    assert wrong[10.0] < wrong[0.0]
+    assert found[10.0] >= found[0.0] - 1
+
+
 def test_toxicity_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.predicted for r in toxicity.toxicity(docs, none).collect()} == {0}
