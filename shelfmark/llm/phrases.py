@@ -280,7 +280,7 @@ def collocations(docs: DataFrame, best: int = BEST, least: int = LEAST, longest:
         ranked = scored(phrases(known), limits, longest).withColumn("rank", F.row_number().over(order).cast("long"))
         ranked = stage(ranked.where(F.col("rank") <= best), "ranked")
         last = ranked.where(F.col("rank") == best).select("lang", F.col("score").alias("last"))
-        bound = F.floor(F.lit(1000) * F.col("total") / (F.col("upto") + 1))
+        bound = F.expr("1000 * total div (upto + 1)")
         settled = (F.col("upto") >= F.col("top")) | F.coalesce(F.col("last") > bound, F.lit(False))
         waiting = stage(limits.join(last, "lang", "left").where(~settled).select("lang"), "waiting")
         if waiting.isEmpty():
