@@ -317,18 +317,26 @@ def _star_queries() -> dict[str, Query]:
 
 # --- marts merged from stored state
 
-_stores: dict[int, GoldStore] = {}
+_built: dict[str, tuple[Workspace, object]] = {}
+
+
+def _once(name: str, ws: Workspace, build: Callable[[], object]):
+    """What was built over the workspace, for the last workspace that was asked for."""
+    if name not in _built or _built[name][0] is not ws:
+        _built[name] = (ws, build())
+    return _built[name][1]
 
 
 def _store(ws: Workspace) -> GoldStore:
     """State of all marts over the workspace's star schema, written once."""
-    if id(ws) not in _stores:
+
+    def build() -> GoldStore:
         spark = ws.star["fact_sales"].sparkSession
         store = GoldStore(spark, f"{staging_root(spark)}/gold-{uuid.uuid4().hex}")
         store.refresh(ws.star)
-        _stores.clear()
-        _stores[id(ws)] = store
-    return _stores[id(ws)]
+        return store
+
+    return _once("store", ws, build)
 
 
 def _merged(name: str, **options) -> Query:
@@ -355,15 +363,13 @@ def _replaced(ws: Workspace) -> DataFrame:
 
 def _of_one_year(ws: Workspace) -> DataFrame:
     """Months of 1995, from a fact that is stored by month."""
-    spark = ws.star["fact_sales"].sparkSession
-    if id(ws) not in _by_month:
-        sink = FolderSink(spark, f"{staging_root(spark)}/months-{uuid.uuid4().hex}", {"fact_sales": [MONTH]})
-        _by_month.clear()
-        _by_month[id(ws)] = sink("silver", "fact_sales", with_month(ws.star["fact_sales"]))
-    return marts.monthly_sales(in_years({**ws.star, "fact_sales": _by_month[id(ws)]}, 1995))
 
+    def build() -> DataFrame:
+        fact = with_month(ws.star["fact_sales"])
+        root = f"{staging_root(fact.sparkSession)}/months-{uuid.uuid4().hex}"
+        return FolderSink(fact.sparkSession, root, {"fact_sales": [MONTH]})("silver", "fact_sales", fact)
 
-_by_month: dict[int, DataFrame] = {}
+    return marts.monthly_sales(in_years({**ws.star, "fact_sales": _once("months", ws, build)}, 1995))
 
 
 def _with_a_gap(ws: Workspace) -> DataFrame:
