@@ -25,7 +25,7 @@ NO_LANGUAGE = "und"
 FRONTIER = (1 / 4, 1)
 PHRASES = "lang string, phrase string, n long, k int"
 LOG_BITS = 23  # filters of 1 MB, whatever is in them
-AT_ONCE = 1 << 21  # bytes of text whose phrases a task counts at once
+AT_ONCE = 1 << 18  # bytes of text whose phrases a task counts at once: arrays that stay in the processor's cache
 _MUL = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 
 
@@ -48,13 +48,14 @@ class Words:
         kinds = _kinds()
         kind = kinds[data]
         kept = (kind != 1) | (np.append(1, kind[:-1]) != 1)
-        text_of = np.repeat(np.arange(len(encoded)), [len(t) + 1 for t in encoded])[kept]
+        sizes = np.array([len(t) + 1 for t in encoded])
+        ends = np.cumsum(np.add.reduceat(kept, np.cumsum(sizes) - sizes, dtype=np.int64))  # of the texts, in what is kept
         kind = kind[kept]
         self.data = np.where(kind == 1, np.uint8(32), data[kept])
         edges = np.flatnonzero(np.diff(np.append(True, kind != 0).view(np.int8)))
         self.starts, self.ends = edges[::2], edges[1::2]
-        self.piece = np.cumsum(kind == 2)[self.starts]
-        self.text = text_of[self.starts]
+        self.piece = np.cumsum(kind == 2, dtype=np.int32)[self.starts]
+        self.text = np.searchsorted(ends, self.starts, side="right")
         self.langs = langs
         of = {lang: span_hashes(*_bytes([lang])) for lang in set(langs)}
         by_text = np.concatenate([of[lang] for lang in langs])
