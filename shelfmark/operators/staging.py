@@ -25,7 +25,7 @@ def staging_root(spark: SparkSession, folder: str | None = None) -> str:
     return f"{shared.rstrip('/')}/shelfmark-{spark.sparkContext.applicationId}"
 
 
-def stage(df: DataFrame, label: str, measured: bool = False) -> DataFrame:
+def stage(df: DataFrame, label: str, measured: bool = False, **options: str) -> DataFrame:
     """Write df once and return the written copy; ``measured`` counts its bytes on the way."""
     path = f"{staging_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     if measured:
@@ -33,7 +33,7 @@ def stage(df: DataFrame, label: str, measured: bool = False) -> DataFrame:
         counted.write.parquet(path)
         remember(path, seen)
     else:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     # the schema is known: no footer is read to infer it
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
