@@ -229,9 +229,11 @@ def quality_measures(docs: DataFrame) -> DataFrame:
 def quality_filter(docs: DataFrame) -> DataFrame:
     """The rows of docs that pass all rules, with their columns; edge cases as in ``quality_measures``.
 
-    The measures are written beside the rows, so that texts are measured once.
+    The measures are written beside the rows that pass the base rules, so that
+    texts are measured once.
     """
     named = ("doc", F.col("doc.lang").alias("lang"), F.col("doc.source").alias("source"))
-    rows = stage(measured(docs).select(*named, *BASE, "n_capitals", "n_marks"), "measured")
+    rows = measured(docs).where("NOT base_failed").select(*named, *BASE, "n_capitals", "n_marks")
+    rows = stage(rows, "measured", compression="zstd")
     sketch = sketches(rows.drop("doc"))
     return judged(rows, cutoffs(sketch)).where("kept").select("doc.*")

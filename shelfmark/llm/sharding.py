@@ -174,7 +174,7 @@ def shard_texts(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     the texts join them once, row by row. Columns of docs that are named like one
     of the result's are replaced.
     """
-    rows = stage(docs.withColumn("number_", F.monotonically_increasing_id()), "numbered")
+    rows = stage(docs.withColumn("number_", F.monotonically_increasing_id()), "numbered", compression="zstd")
     placed = hilbert_shards(_narrow(rows, "number_"), DIMENSIONS, ["doc_id", "text_crc32"], shards)
     placed = _lawful(placed, "number_")
     rest = without(rows, [c for c in placed.columns if c != "number_"])
