@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions import date_key, ratio
 from shelfmark.operators import attach_key, surrogate_key
 from shelfmark.operators.bloom import might_contain
+from shelfmark.operators.statistics import known_bytes
 from shelfmark.plans.schema import (
     CUSTOMER,
     LINE_DIMENSIONS,
@@ -18,6 +19,8 @@ from shelfmark.plans.schema import (
     SALES_COLUMNS,
 )
 
+SLICE = 192 * 1024 * 1024  # of the rows of orders, unpacked, whose returns one task looks up
+
 
 def fact_sales(
     orders: DataFrame,
@@ -69,16 +72,22 @@ def fact_returns(
     into the shuffle. These meet the returns by order id, and their distinct
     lines are taken where they then are; a return says how often it was made, so
     repeated ones do not multiply lines before. Returns that met none are found
-    against the same rows. Inner and anti join leave the line side to the
-    adaptive skew split; an outer join could not split the order with many lines.
+    against the same rows. Lines are dealt over as many tasks as their table has
+    slices of SLICE bytes, so what a task sorts and holds does not grow with it.
     """
-    returned = returns.where(F.col("returned") == "Yes").groupBy("order_id").agg(F.count(F.lit(1)).alias("_times"))
+    size = known_bytes(orders)
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows if size is None or size <= SLICE else rows.repartition(size // SLICE + 1, "order_id")
+
+    returned = returns.where(F.col("returned") == "Yes")
+    returned = dealt(returned.select("order_id")).groupBy("order_id").agg(F.count(F.lit(1)).alias("_times"))
 
     own = {dim.key: f"_{dim.key}" for dim in (CUSTOMER, PRODUCT)}
     may = orders.where(might_contain(returns.where(F.col("returned") == "Yes"), "order_id", F.col("order_id")))
     columns = ("order_id", "customer_id", "product_id", "order_date", "region")
     lines = may.select(*columns, *[surrogate_key(dim.attributes).alias(own[dim.key]) for dim in (CUSTOMER, PRODUCT)])
-    met = lines.join(returned, "order_id")
+    met = dealt(lines).join(returned, "order_id")
     found = met.groupBy(*columns, "_times").agg(*[F.min(k).alias(k) for k in own.values()])
     for dim in (CUSTOMER, PRODUCT):
         found = attach_key(

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 from retail import orders, returns, rows, star
 
+from shelfmark.operators import stage
+from shelfmark.operators.statistics import known_bytes
 from shelfmark.plans import dims, facts, pipeline, quality
 from shelfmark.plans.schema import RETURN_COLUMNS, SALES_COLUMNS
 
@@ -165,6 +167,22 @@ def test_returns_meet_every_version_of_a_customer(spark):
         assert fact.count() == 2 and fact.select("customer_key").distinct().count() == 2
 
 
+@pytest.mark.parametrize("method", ["inline", "join"])
+def test_returns_are_looked_up_in_tasks_of_bounded_size(spark, monkeypatch, method):
+    lines = [{"order_id": f"o{i % 40}", "product_id": f"p{i % 7}"} for i in range(200)]
+    raw = stage(orders(spark, *lines), "orders", measured=True)
+    gone = returns(spark, *[("Yes", f"o{i}") for i in range(0, 60, 3)], ("Yes", "o3"), ("Yes", None))
+    dimensions = star(spark, raw)
+    columns = [c for c in RETURN_COLUMNS if c != "return_key"]
+    whole = rows(facts.fact_returns(raw, gone, dimensions, method=method), *columns)
+    size = known_bytes(raw)
+    monkeypatch.setattr(facts, "SLICE", size // 17 + 1)
+    dealt = facts.fact_returns(raw, gone, dimensions, method=method)
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(order_id" in plan and ", 17), REPARTITION_BY_NUM" in plan
+    assert sorted(map(str, rows(dealt, *columns))) == sorted(map(str, whole)) and len(whole) > 20
+
+
 def test_repeated_return_counts_twice(spark):
     fact = star(spark, orders(spark, {}), (("Yes", "o1"), ("Yes", "o1")))["fact_returns"]
     assert fact.count() == 2
