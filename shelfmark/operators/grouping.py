@@ -68,62 +68,46 @@ def aggregate(
     results share the partitioning of the group columns, so putting them
     together moves nothing.
 
-    Keys may be attributes of lookup dimensions. A dimension measured to be
-    small is broadcast as (key, group name): fact rows are grouped by two
-    numbers, and the attributes join the finished groups. For a larger one the
-    measures are first aggregated by the lookup key and only these partial
-    results are shuffled to the dimension; the distinct counts shuffle narrow
-    rows to it, where AQE splits a skewed key.
+    Keys may be attributes of lookup dimensions. Fact rows meet a dimension as
+    (key, group name) and are grouped by two numbers; the attributes join the
+    finished groups. A dimension measured to be small is broadcast. To a larger
+    one the rows move once, with the columns they need, and AQE splits a skewed
+    key: aggregating by its key first would move wide partial sums twice, and
+    with about as many keys and groups as rows they are no fewer.
 
     ``counted`` gives the rows for the distinct counts, if ``rows`` has joins
     that only the measures need.
     """
     counted = rows if counted is None else counted
-    small, large = [], []
-    for lookup in lookups:
-        fits = fits_broadcast(lookup.dim, max_broadcast_bytes)
-        (small if fits else large).append(lookup)
-
     labels: dict[tuple[str, str], DataFrame] = {}
-    for i, lookup in enumerate(small):
+    for i, lookup in enumerate(lookups):
         name = (f"_group{i}", f"_check{i}")
         named = _named(lookup, name)
-        rows = _with_group(rows, named, lookup.on, name)
-        counted = _with_group(counted, named, lookup.on, name)
-        labels[name] = named.select(*name, *lookup.attributes).distinct()
-
-    names = [c for name in labels for c in name]
-    plain = [k for k in keys if not any(k in lookup.attributes for lookup in small)]
-    if large:
-        found = {k for lookup in large for k in lookup.attributes}
-        before = [*names, *[lookup.on for lookup in large], *[k for k in plain if k not in found]]
-        parts = {f"_{n}_{i}": p for n, m in measures.items() for i, p in enumerate(m.parts)}
-        reduced = rows.groupBy(*before).agg(*[p.alias(n) for n, p in parts.items()])
-        results = {
-            n: m.merge(*[F.col(f"_{n}_{i}") for i in range(len(m.parts))])
-            for n, m in measures.items()
-        }
-        measured, stand_ins = _with_stand_ins(_joined(reduced, large), plain)
-        counted = _joined(counted, large)
-    else:
-        results = {n: m.whole for n, m in measures.items()}
-        measured, stand_ins = _with_stand_ins(rows, plain)
+        # no larger than the dimension, either of the two
+        sent = F.broadcast if fits_broadcast(lookup.dim, max_broadcast_bytes) else (lambda df: df)
+        met = sent(named.select(lookup.on, *name))
+        rows = _with_group(rows, met, lookup.on, name)
+        counted = _with_group(counted, met, lookup.on, name)
+        labels[name] = sent(named.select(*name, *lookup.attributes).distinct())
+
+    plain = [k for k in keys if not any(k in lookup.attributes for lookup in lookups)]
+    measured, stand_ins = _with_stand_ins(rows, plain)
     counted, _ = _with_stand_ins(counted, plain)
 
-    groups = [*names, *stand_ins]
-    out = measured.groupBy(*groups).agg(*[c.alias(n) for n, c in results.items()])
+    groups = [*[c for name in labels for c in name], *stand_ins]
+    out = measured.groupBy(*groups).agg(*[m.whole.alias(n) for n, m in measures.items()])
     for name, column in distinct.items():
         counts = counted.groupBy(*groups).agg(F.count_distinct(column).alias(name))
         out = out.join(counts, groups)  # both sides hold every group once
     for name, attributes in labels.items():
-        out = out.join(F.broadcast(attributes), list(name), "left")  # no larger than the dimension
+        out = out.join(attributes, list(name), "left")
     for i, key in enumerate(plain):
         out = out.withColumn(key, F.when(~F.col(f"_null{i}"), F.col(f"_key{i}")))
     return out.select(*keys, *measures, *distinct)
 
 
 def _named(lookup: Lookup, name: tuple[str, str]) -> DataFrame:
-    """A small dimension with 128 bits that stand for the combination of its attributes.
+    """A dimension with 128 bits that stand for the combination of its attributes.
 
     Computed row by row: nothing is sorted or gathered to give out numbers. All
     attributes NULL is (0, 0), where rows without a match belong too.
@@ -138,16 +122,10 @@ def _named(lookup: Lookup, name: tuple[str, str]) -> DataFrame:
 
 
 def _with_group(rows: DataFrame, named: DataFrame, on: str, name: tuple[str, str]) -> DataFrame:
-    joined = rows.join(F.broadcast(named.select(on, *name)), on, "left")
+    joined = rows.join(named, on, "left")
     return joined.withColumns({n: F.coalesce(n, F.lit(0).cast("long")) for n in name})
 
 
-def _joined(rows: DataFrame, lookups: Sequence[Lookup]) -> DataFrame:
-    for lookup in lookups:
-        rows = rows.join(lookup.dim, lookup.on, "left")
-    return rows
-
-
 def _with_stand_ins(rows: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """Per key a never-NULL value and a NULL flag: groups that plain equality can join."""
     added: dict[str, Column] = {}

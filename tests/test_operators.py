@@ -268,6 +268,15 @@ def test_aggregate_over_lookups_both_ways(spark, limit):
         assert figures == pytest.approx(expected[key])
 
 
+def test_rows_move_once_to_a_large_lookup(spark):
+    _, df = _sales(spark)
+    places = spark.createDataFrame([("a", "west"), ("hot", "east")], "place string, region string")
+    got = aggregate(df, ["region"], _measures(), {}, [Lookup("place", places)], max_broadcast_bytes=0)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    by_place = [line for line in plan.splitlines() if "Aggregate [" in line and "place" in line.split("],")[0]]
+    assert not by_place  # partial sums per place would move wide
+
+
 def test_small_lookup_groups_by_number(spark):
     _, df = _sales(spark)
     places = spark.createDataFrame([("a", "west"), ("hot", "east")], "place string, region string")
