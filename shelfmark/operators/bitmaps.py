@@ -10,24 +10,39 @@ from pyspark.sql import functions as F
 from shelfmark.operators.keys import add_dense_key
 
 
-def new_numbers(values: DataFrame, known: DataFrame | None) -> DataFrame:
+def new_numbers(values: DataFrame, known: DataFrame | None, by: Sequence[str] = ()) -> DataFrame:
     """(value, number) of values that ``known`` does not have, numbered on from its highest.
 
-    ``values`` has one column, ``value``; NULL gets no number. Numbers are dense,
-    so bitmaps over them stay full whatever the values look like.
+    ``values`` has a column ``value``; NULL gets no number. Numbers are dense,
+    so bitmaps over them stay full whatever the values look like. Values are
+    numbered in the order of the smallest ``by`` they occur with: bitmaps per
+    ``by`` then take few buckets, where numbers without order would leave
+    some bits of all buckets to each.
     """
-    fresh = values.where("value IS NOT NULL").distinct()
+    fresh = values.where("value IS NOT NULL")
+    if by:
+        fresh = fresh.groupBy("value").agg(F.min(F.struct(*by)).alias("first")).select("value", "first.*")
+    else:
+        fresh = fresh.select("value").distinct()
+    order = [*by, "value"]
     if known is None:
-        return add_dense_key(fresh, "number", ["value"]).select("value", "number")
+        return add_dense_key(fresh, "number", order).select("value", "number")
     fresh = fresh.join(known, "value", "left_anti")
     highest = F.coalesce(known.agg(F.max("number")).scalar(), F.lit(0))
-    return add_dense_key(fresh, "place", ["value"]).select("value", (F.col("place") + highest).alias("number"))
+    return add_dense_key(fresh, "place", order).select("value", (F.col("place") + highest).alias("number"))
 
 
 def bitmaps(rows: DataFrame, keys: Sequence[str], number: str = "number") -> DataFrame:
-    """keys, bucket, bits: which numbers occur per group, in bitmaps of 32,768 numbers (4 KB)."""
-    bucket = F.bitmap_bucket_number(number).alias("bucket")
-    return rows.groupBy(*keys, bucket).agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits"))
+    """keys, bucket, bits: which numbers occur per group, in bitmaps of 32,768 numbers (4 KB).
+
+    Numbers move to their bitmap, and not bitmaps that every task has begun: of
+    these, 4 KB each, there may be as many as rows.
+    """
+    placed = rows.select(
+        *keys, F.bitmap_bucket_number(number).alias("bucket"), F.bitmap_bit_position(number).alias("position")
+    )
+    placed = placed.repartition(*keys, "bucket")
+    return placed.groupBy(*keys, "bucket").agg(F.bitmap_construct_agg("position").alias("bits"))
 
 
 def count_bitmaps(maps: DataFrame, keys: Sequence[str], name: str) -> DataFrame:

@@ -8,6 +8,7 @@ state and never read the fact.
 
 from __future__ import annotations
 
+from collections import ChainMap
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -72,7 +73,12 @@ def with_month(fact: DataFrame) -> DataFrame:
     return fact.withColumn(MONTH, month_of())
 
 
-def in_years(star: Mapping[str, DataFrame], *years: int) -> dict[str, DataFrame]:
+def with_fact(star: Mapping[str, DataFrame], fact: DataFrame) -> Mapping[str, DataFrame]:
+    """The star schema with other sales; no other table is taken from it before it is read."""
+    return ChainMap({"fact_sales": fact}, star)
+
+
+def in_years(star: Mapping[str, DataFrame], *years: int) -> Mapping[str, DataFrame]:
     """The star schema with the sales of some years, found through the date dimension.
 
     On a fact that is stored by month, the semi join prunes partitions while it
@@ -82,7 +88,7 @@ def in_years(star: Mapping[str, DataFrame], *years: int) -> dict[str, DataFrame]
     months = days.select(month_of("date_key").alias(MONTH)).distinct()
     fact = star["fact_sales"] if MONTH in star["fact_sales"].columns else with_month(star["fact_sales"])
     # 12 rows a year
-    return {**star, "fact_sales": fact.join(F.broadcast(months), MONTH, "left_semi")}
+    return with_fact(star, fact.join(F.broadcast(months), MONTH, "left_semi"))
 
 
 class GoldStore:
@@ -108,7 +114,7 @@ class GoldStore:
             fact = with_month(fact)
         if months is not None:
             fact = fact.where(F.col(MONTH).isin([int(m) for m in months]))
-        part = {**star, "fact_sales": fact}
+        part = with_fact(star, fact)
         numbered = {
             column for spec in self.specs.values() if spec.distinct == BITMAPS
             for column in spec.groups(part).distinct.values()
@@ -136,17 +142,18 @@ class GoldStore:
         keys = [MONTH, *groups.keys]
         if kind == SKETCHES:
             return sketches(rows, keys, column)
-        pairs = rows.where(F.col(column).isNotNull()).select(*keys, F.col(column).alias("value")).distinct()
+        pairs = rows.where(F.col(column).isNotNull()).select(*keys, F.col(column).alias("value"))
         if kind == PAIRS:
-            return pairs
-        return bitmaps(pairs.join(self._numbers(column), "value"), keys)
+            return pairs.distinct()
+        # rows that met by value are distinct where they are
+        return bitmaps(pairs.join(self._numbers(column), "value").distinct(), keys)
 
     def _number(self, fact: DataFrame, column: str) -> None:
-        """Give numbers to values that have none; numbers that were given stay."""
+        """Give numbers to values that have none, month by month; numbers that were given stay."""
         path = f"{self.root}/numbers/{column}"
-        values = fact.select(F.col(column).alias("value"))
+        values = fact.select(F.col(column).alias("value"), MONTH)
         known = self.spark.read.parquet(path) if self._exists(path) else None
-        new_numbers(values, known).write.mode("append").parquet(path)
+        new_numbers(values, known, [MONTH]).write.mode("append").parquet(path)
 
     def _numbers(self, column: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/numbers/{column}")

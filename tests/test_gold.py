@@ -146,6 +146,35 @@ def test_bitmaps_cross_the_borders_of_their_buckets(spark):
     assert rows(count_bitmaps(maps, [], "n")) == [(100_000,)]
 
 
+def test_numbers_follow_the_months_so_their_bitmaps_are_few(spark):
+    # months alternate from value to value
+    values = spark.range(80_000).select(F.col("id").alias("value"), (F.col("id") % 8).alias("m"))
+    numbers = new_numbers(values.union(values.withColumn("m", F.col("m") + 8)), None, ["m"])
+    assert rows(numbers.agg(F.min("number"), F.max("number"), F.count_distinct("number"))) == [(1, 80_000, 80_000)]
+    maps = bitmaps(values.join(numbers, "value"), ["m"])
+    assert rows(count_bitmaps(maps, ["m"], "n")) == [(m, 10_000) for m in range(8)]
+    assert maps.count() <= 8 + 2  # 3 buckets, of which a month meets one, or two where it crosses a border
+
+
+def test_bitmaps_are_made_in_one_place(spark):
+    numbered = spark.range(1, 1001).select(F.col("id").alias("number"), (F.col("id") % 3).alias("g"))
+    plan = bitmaps(numbered, ["g"])._jdf.queryExecution().executedPlan().toString()
+    moved = plan[plan.index("Exchange hashpartitioning"):]
+    assert "bitmap_construct_agg" not in moved  # numbers move, no bitmaps of 4 KB
+
+
+def test_refresh_reads_no_table_that_its_marts_do_not(spark, tables, tmp_path):
+    class Lazy(dict):
+        def __getitem__(self, name):
+            assert name != "fact_returns"
+            return super().__getitem__(name)
+
+    store = GoldStore(spark, str(tmp_path), {"agg_monthly_sales": MARTS["agg_monthly_sales"]})
+    store.refresh(Lazy(tables))
+    found = store.mart("agg_monthly_sales", tables)
+    assert rows(_cut(found)) == rows(_cut(marts.monthly_sales(tables)))
+
+
 def test_sketches_are_within_their_error(spark, tables, tmp_path):
     values = spark.range(60_000).select((F.col("id") % 4).alias("m"), (F.col("id") % 20_000).alias("v"))
     found = sketches(values, ["m"], "v")
