@@ -24,7 +24,7 @@ class StagedTables(Mapping[str, DataFrame]):
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self.written:
-            self.written[name] = stage(self.plans[name](), name, measured=True)
+            self.written[name] = stage(self.plans[name](), name, measured=True, compression="zstd")
         return self.written[name]
 
     def __iter__(self) -> Iterator[str]:
