@@ -1,4 +1,4 @@
-from shelfmark.operators.grouping import Grouping, Lookup, aggregate
+from shelfmark.operators.grouping import Grouping, Lookup, aggregate, aggregate_by_key
 from shelfmark.operators.keys import add_dense_key, surrogate_key, unique_rows
 from shelfmark.operators.lookup import attach_key, fits_broadcast
 from shelfmark.operators.ranking import amount_before, global_rank
@@ -11,6 +11,7 @@ __all__ = [
     "Lookup",
     "add_dense_key",
     "aggregate",
+    "aggregate_by_key",
     "amount_before",
     "attach_key",
     "drop_staged",

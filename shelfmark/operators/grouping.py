@@ -106,6 +106,38 @@ def aggregate(
     return out.select(*keys, *measures, *distinct)
 
 
+CUTS = 64  # a key that fills the space between two of so many cut points of the rows is frequent
+DEALT = 64  # tasks for the rows of such a key
+
+
+def aggregate_by_key(
+    rows: DataFrame, key: str, measures: Mapping[str, Measure], name: str, distinct: str
+) -> DataFrame:
+    """Group rows by a key of which a task sees few rows each: measures, and distinct values as ``name``.
+
+    Partial sums of such a key are about as many as its rows and wider, so the
+    rows themselves move, once, with the columns they need; sums and distinct
+    values are taken where they then are. Rows of frequent keys are dealt by
+    their distinct value over DEALT tasks, and the parts merged.
+    """
+    mark = F.shiftrightunsigned(F.xxhash64(key), 12)  # as exact as a double; NULL has one, too
+    points = [i / CUTS for i in range(CUTS + 1)]
+    cuts = rows.agg(F.percentile_approx(mark, points, 1000)).first()[0] or []  # a number per cut
+    frequent = sorted({a for a, b in zip(cuts, cuts[1:], strict=False) if a == b})
+    if not frequent:
+        moved = rows.repartition(F.col(key))
+        whole = [m.whole.alias(n) for n, m in measures.items()]
+        return moved.groupBy(key).agg(*whole, F.count_distinct(distinct).alias(name))
+
+    place = F.when(mark.isin(frequent), F.pmod(F.xxhash64(distinct), F.lit(DEALT))).otherwise(0)
+    moved = rows.withColumn("_place", place).repartition(F.col(key), F.col("_place"))
+    parts = [p.alias(f"{n}__{i}") for n, m in measures.items() for i, p in enumerate(m.parts)]
+    # equal distinct values are in one place
+    placed = moved.groupBy(key, "_place").agg(*parts, F.count_distinct(distinct).alias(name))
+    merged = [m.merge(*[F.col(f"{n}__{i}") for i in range(len(m.parts))]).alias(n) for n, m in measures.items()]
+    return placed.groupBy(key).agg(*merged, F.sum(name).alias(name))
+
+
 def _named(lookup: Lookup, name: tuple[str, str]) -> DataFrame:
     """A dimension with 128 bits that stand for the combination of its attributes.
 

@@ -25,6 +25,7 @@ from shelfmark.functions.measures import (
 from shelfmark.operators import (
     Grouping,
     Lookup,
+    aggregate_by_key,
     global_rank,
     previous_year,
     share_of_total,
@@ -153,7 +154,10 @@ def products(t: Tables) -> Grouping:
 
 def product_sales(t: Tables, sold: DataFrame | None = None) -> DataFrame:
     """Measures and returns per product row, without the ranks."""
-    sold = products(t).aggregated() if sold is None else sold
+    if sold is None:
+        # lines are stored by order: a task sees few lines of a product
+        sold = products(t)
+        sold = aggregate_by_key(sold.rows, "product_key", sold.measures, "total_orders", sold.distinct["total_orders"])
     # return rows, not orders
     returned = t["fact_returns"].groupBy("product_key").agg(
         F.count("return_key").alias("_returns")

@@ -24,7 +24,7 @@ from shelfmark.operators import (
     surrogate_key,
     unique_rows,
 )
-from shelfmark.operators import staging
+from shelfmark.operators import grouping, staging
 from shelfmark.operators.lookup import Dimension, unpacked_bytes
 
 DIM = Dimension("dim", "dim_key", ("id",), ("id", "label"))
@@ -292,3 +292,23 @@ def test_stage_writes_below_the_named_folder(spark):
     staged = stage(spark.range(3), "numbers")
     assert rows(staged) == [(0,), (1,), (2,)]
     assert all(root in f for f in staged.inputFiles())
+
+
+@pytest.mark.parametrize("cuts", [1, 64])  # no key fills the space between all rows; all of these are frequent
+def test_aggregate_by_key_moves_rows_once(spark, monkeypatch, cuts):
+    monkeypatch.setattr(grouping, "CUTS", cuts)
+    data, df = _sales(spark)
+    got = grouping.aggregate_by_key(stage(df, "sales"), "place", _measures(), "orders", "order_id")
+    expected = {k: v[:-1] for k, v in _expected(data, lambda r: [(r[0],)]).items()}
+    found = {(r["place"],): tuple(r[f] for f in ("total", "units", "mean", "low", "high", "orders")) for r in got.collect()}
+    assert found.keys() == expected.keys()
+    for key, figures in found.items():
+        assert figures == pytest.approx(expected[key])
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    # the rows, and with frequent keys the parts
+    assert plan.count("Exchange hashpartitioning") == (1 if cuts == 1 else 2)
+
+
+def test_aggregate_by_key_of_nothing(spark):
+    _, df = _sales(spark)
+    assert grouping.aggregate_by_key(df.where("false"), "place", _measures(), "orders", "order_id").isEmpty()
