@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,44 +23,51 @@ BLANKS = " \t"
 NO_LANGUAGE = "und"
 # Words of a language join the frontier by rising frequency, up to these shares of all its words.
 FRONTIER = (1 / 4, 1)
-PHRASES = "lang string, phrase string, n long, k int"
+COUNTS = "lang string, phrase string, n long"
+PHRASES = f"{COUNTS}, k int"
 LOG_BITS = 23  # filters of 1 MB, whatever is in them
-AT_ONCE = 1 << 18  # bytes of text whose phrases a task counts at once: arrays that stay in the processor's cache
+AT_ONCE = 1 << 18  # bytes of text that a task parts into words at once: arrays that stay in the processor's cache
+TOGETHER = 1 << 22  # bytes of text whose phrases a task counts before it hands them on
 _MUL = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
+# The texts as the operator reads them: A-Z lower-cased, blanks and breaks one byte each. No text keeps a _BETWEEN.
+_BLANK, _BREAK, _BETWEEN = b" \n\r"
+_READ = bytes.maketrans(
+    bytes(range(65, 91)) + BLANKS.encode() + BREAKS.encode(),
+    bytes(range(97, 123)) + bytes([_BLANK] * len(BLANKS) + [_BREAK] * len(BREAKS)),
+)
 
 
-def _kinds() -> np.ndarray:
-    out = np.zeros(256, dtype=np.uint8)  # 0: part of a word
-    out[list(BLANKS.encode())] = 1
-    out[list(BREAKS.encode())] = 2
-    return out
+def _plain(text: bytes) -> bytes:
+    text = text.translate(_READ)
+    while b"  " in text:
+        text = text.replace(b"  ", b" ")
+    return text
 
 
 class Words:
-    """The words of some texts, end to end, each with one blank behind it.
+    """The words of some texts, end to end; those of a piece are one blank apart.
 
     ``h`` is a hash of word and language, ``piece`` rises from piece to piece.
     """
 
-    def __init__(self, langs: Sequence[str], texts: Sequence[str]):
-        langs, encoded = langs or [""], [t.encode("utf-8") for t in texts or [""]]
-        data = np.frombuffer(b"\n".join(encoded).lower() + b"\n", dtype=np.uint8)  # bytes: ASCII alone
-        kinds = _kinds()
-        kind = kinds[data]
-        kept = (kind != 1) | (np.append(1, kind[:-1]) != 1)
-        sizes = np.array([len(t) + 1 for t in encoded])
-        ends = np.cumsum(np.add.reduceat(kept, np.cumsum(sizes) - sizes, dtype=np.int64))  # of the texts, in what is kept
-        kind = kind[kept]
-        self.data = np.where(kind == 1, np.uint8(32), data[kept])
-        edges = np.flatnonzero(np.diff(np.append(True, kind != 0).view(np.int8)))
-        self.starts, self.ends = edges[::2], edges[1::2]
-        self.piece = np.cumsum(kind == 2, dtype=np.int32)[self.starts]
-        self.text = np.searchsorted(ends, self.starts, side="right")
-        self.langs = langs
-        of = {lang: span_hashes(*_bytes([lang])) for lang in set(langs)}
-        by_text = np.concatenate([of[lang] for lang in langs])
-        own = span_hashes(self.data, self.starts, self.ends - self.starts)
-        self.h = mixed(own ^ by_text[self.text] * _MUL[0])
+    def __init__(self, langs: Sequence[str], texts: Sequence[bytes]):
+        plain = [_plain(t) for t in texts]
+        between = bytes([_BETWEEN])
+        self.data = between + between.join(plain) + between
+        data = np.frombuffer(self.data, dtype=np.uint8)
+        parted = (data == _BLANK) | (data == _BREAK) | (data == _BETWEEN)
+        edges = np.flatnonzero(parted[1:] != parted[:-1]) + 1
+        self.starts, self.ends = edges[::2].copy(), edges[1::2].copy()
+        # between two words: a gap longer than a byte has a break in it
+        broken = (self.starts[1:] - self.ends[:-1] > 1) | (data[self.ends[:-1]] != _BLANK)
+        self.piece = np.cumsum(np.append(True, broken)[: len(self.starts)], dtype=np.int32)
+        upto = np.searchsorted(self.starts, np.cumsum([len(t) + 1 for t in plain], dtype=np.int64))
+        self.text = np.repeat(np.arange(len(plain), dtype=np.int32), np.diff(upto, prepend=0))
+        self.langs = list(dict.fromkeys(langs))
+        code = {lang: i for i, lang in enumerate(self.langs)}
+        self.lang = np.array([code[lang] for lang in langs], dtype=np.int32)[self.text]  # place in ``langs``, by word
+        of = span_hashes(*_bytes(self.langs)) * _MUL[0]
+        self.h = mixed(span_hashes(data, self.starts, self.ends - self.starts) ^ of[self.lang])
 
     def phrases(self, k: int) -> np.ndarray:
         """Hash of the k words from each word on, wherever they end."""
@@ -70,28 +77,26 @@ class Words:
             out = mixed(out * _MUL[0] ^ self.h[i : i + n])
         return out
 
-    def counted(self, k: int, at: np.ndarray) -> pa.RecordBatch:
-        """lang, phrase, n: the k words from the places ``at`` on, each phrase once."""
-        _, first, n = np.unique(self.phrases(k)[at], return_index=True, return_counts=True)
-        at = at[first]
-        begins, ends = self.starts[at].tolist(), self.ends[at + k - 1].tolist()
-        data = self.data.tobytes()
-        found = [data[b:e].decode("utf-8") for b, e in zip(begins, ends, strict=True)]
-        langs = [self.langs[t] for t in self.text[at].tolist()]
-        columns = [pa.array(langs, pa.string()), pa.array(found, pa.string()), pa.array(n, pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "n"])
-
 
 def _bytes(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     encoded = [t.encode("utf-8") for t in texts]
-    ends = np.cumsum([len(t) for t in encoded])
-    sizes = np.array([len(t) for t in encoded])
-    return np.frombuffer(b"".join(encoded), dtype=np.uint8), ends - sizes, sizes
+    sizes = np.array([len(t) for t in encoded], dtype=np.int64)
+    return np.frombuffer(b"".join(encoded), dtype=np.uint8), np.cumsum(sizes) - sizes, sizes
 
 
-def _words(batch: pa.RecordBatch) -> Words:
+def _words(batch: pa.RecordBatch, text: str = "text") -> Words:
     langs = [NO_LANGUAGE if x is None else x for x in batch.column("lang").to_pylist()]
-    return Words(langs, [t or "" for t in batch.column("text").to_pylist()])
+    return Words(langs, [t or b"" for t in batch.column(text).cast(pa.binary()).to_pylist()])
+
+
+def _spans(data: bytes, begins: np.ndarray, ends: np.ndarray, k: int) -> pa.Array:
+    """The spans as strings. They come in k equal shares, and in each they rise without touching."""
+    whole, out = pa.py_buffer(data), []
+    for share in np.array_split(np.stack([begins, ends], axis=1).astype(np.int32), k):
+        # every other string is what lies between two spans
+        both = pa.StringArray.from_buffers(max(share.size - 1, 0), pa.py_buffer(share.ravel()), whole)
+        out.append(both.take(pa.array(np.arange(0, len(both), 2))))
+    return pa.concat_arrays(out)
 
 
 @dataclass(frozen=True)
@@ -108,10 +113,9 @@ def _phrase_filter(spark: SparkSession, phrases: DataFrame) -> np.ndarray:
 
     def run(batches):
         for batch in batches:
-            langs, found = batch.column("lang").to_pylist(), batch.column("phrase").to_pylist()
             out = []
-            words = Words(langs, found)
-            sizes = np.bincount(words.text, minlength=len(found))
+            words = _words(batch, "phrase")
+            sizes = np.bincount(words.text, minlength=batch.num_rows)
             firsts = np.cumsum(sizes) - sizes
             for k in np.unique(sizes).tolist():
                 out.append(words.phrases(k)[firsts[sizes == k]])
@@ -121,15 +125,51 @@ def _phrase_filter(spark: SparkSession, phrases: DataFrame) -> np.ndarray:
     return bit_filter(phrases.select("lang", "phrase").mapInArrow(run, "h long"), LOG_BITS)
 
 
+def _counted(parts: Sequence[tuple[Words, np.ndarray]], k: int) -> pa.RecordBatch:
+    """lang, phrase, n: the k words from each part's places on, each phrase once."""
+    sizes = [len(words.data) for words, _ in parts]
+    moved = list(zip(parts, np.cumsum(sizes) - sizes, strict=True))
+    langs = list(dict.fromkeys(lang for words, _ in parts for lang in words.langs))
+    code = {lang: i for i, lang in enumerate(langs)}
+    h = np.concatenate([words.phrases(k)[at] for words, at in parts])
+    order = np.argsort(h)
+    first = np.flatnonzero(np.append(True, np.diff(h[order]) != 0)[: len(h)])
+    n = np.diff(np.append(first, len(h)))
+    one = order[first]  # any of equal ones
+    by_place = np.argsort(one)
+    by_place = np.concatenate([by_place[i::k] for i in range(k)])  # k words on, the next phrase has begun behind this one
+    one, n = one[by_place], n[by_place]
+    begins = np.concatenate([words.starts[at] + start for (words, at), start in moved])[one]
+    ends = np.concatenate([words.ends[at + k - 1] + start for (words, at), start in moved])[one]
+    lang = np.concatenate([np.array([code[x] for x in words.langs], dtype=np.int32)[words.lang[at]] for words, at in parts])[one]
+    found = _spans(b"".join(words.data for words, _ in parts), begins, ends, k)
+    columns = [pa.array(langs, pa.string()).take(pa.array(lang)), found, pa.array(n, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "n"])
+
+
+def _counts(batches: Iterable[pa.RecordBatch], k: int, places: Callable[[Words], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """lang, phrase, n: the k words from ``places`` on, each phrase once in TOGETHER bytes of text."""
+    parts, size = [], 0
+    for batch in slices(batches, AT_ONCE):
+        words = _words(batch)
+        at = places(words)
+        if len(at):
+            parts.append((words, at))
+            size += len(words.data)
+        if size >= TOGETHER:
+            yield _counted(parts, k)
+            parts, size = [], 0
+    if parts:
+        yield _counted(parts, k)
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """lang, phrase, n of all single words."""
 
     def run(batches):
-        for batch in slices(batches, AT_ONCE):
-            words = _words(batch)
-            yield words.counted(1, np.arange(len(words.h)))
+        yield from _counts(batches, 1, lambda words: np.arange(len(words.h)))
 
-    each = docs.select("lang", "text").mapInArrow(run, "lang string, phrase string, n long")
+    each = docs.select("lang", "text").mapInArrow(run, COUNTS)
     return each.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
@@ -145,29 +185,28 @@ def grown(docs: DataFrame, k: int, band: Band, shorter: np.ndarray | None, least
     # plain arrays: tasks need no copy of this package to read them
     sent = docs.sparkSession.sparkContext.broadcast((band.frequent, band.new, band.before, shorter))
 
-    def run(batches):
+    def places(words: Words) -> np.ndarray:
         frequent_, new_, before_, shorter_ = sent.value
-        for batch in slices(batches, AT_ONCE):
-            words = _words(batch)
-            n = len(words.h) - k + 1
-            if n <= 0:
-                continue
-            last = slice(k - 1, k - 1 + n)
-            ok = words.piece[:n] == words.piece[last]
-            frequent = in_filter(words.h, frequent_)
-            for i in range(k):
-                ok &= frequent[i : i + n]
-            new = in_filter(words.h, new_)
-            ok &= new[:n] | new[last]
-            if before_ is not None:
-                old = in_filter(words.h, before_)
-                ok &= ~(old[:n] | old[last])
-            if shorter_ is not None:
-                known = in_filter(words.phrases(k - 1), shorter_)
-                ok &= (known[:n] | ~new[:n]) & (known[1:] | ~new[last])
-            yield words.counted(k, np.flatnonzero(ok))
-
-    each = docs.select("lang", "text").mapInArrow(run, "lang string, phrase string, n long")
+        n = max(len(words.h) - k + 1, 0)
+        last = slice(k - 1, k - 1 + n)
+        ok = words.piece[:n] == words.piece[last]
+        frequent = in_filter(words.h, frequent_)
+        for i in range(k):
+            ok &= frequent[i : i + n]
+        new = in_filter(words.h, new_)
+        ok &= new[:n] | new[last]
+        if before_ is not None:
+            old = in_filter(words.h, before_)
+            ok &= ~(old[:n] | old[last])
+        if shorter_ is not None:
+            known = in_filter(words.phrases(k - 1), shorter_)
+            ok &= (known[:n] | ~new[:n]) & (known[1 : 1 + n] | ~new[last])
+        return np.flatnonzero(ok)
+
+    def run(batches):
+        yield from _counts(batches, k, places)
+
+    each = docs.select("lang", "text").mapInArrow(run, COUNTS)
     counts = each.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
     return counts.where(F.col("n") >= least).withColumn("k", F.lit(k))
 

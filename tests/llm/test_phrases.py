@@ -5,7 +5,10 @@ from __future__ import annotations
 import random
 import re
 from collections import Counter
+from unittest.mock import MagicMock
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from shelfmark.llm import phrases
@@ -81,3 +84,47 @@ def test_no_rows_and_nothing_frequent(spark):
     docs = spark.createDataFrame([("en", "a b")], "lang string, text string")
     assert phrases.collocations(docs).count() == 0
     assert phrases.collocations(docs.limit(0)).count() == 0
+
+
+def _handed_on(batches, *, k=1):
+    """What a task hands on of all phrases of k words, for batches of (lang, text) rows."""
+    docs = MagicMock()
+    if k == 1:
+        phrases.word_counts(docs)
+    else:
+        every = np.full(1 << (phrases.LOG_BITS - 6), 2**64 - 1, dtype=np.uint64)
+        docs.sparkSession.sparkContext.broadcast = lambda value: MagicMock(value=value)
+        phrases.grown(docs, k, phrases.Band(every, every, None), None, 1)
+    run = docs.select.return_value.mapInArrow.call_args.args[0]
+    found = pa.Table.from_batches(run(pa.RecordBatch.from_pylist(b, pa.schema({"lang": "string", "text": "string"})) for b in batches))
+    found.validate(full=True)
+    return found.to_pylist()
+
+
+def test_a_task_hands_a_phrase_on_once_for_megabytes_of_text(spark):
+    batches = [[{"lang": lang, "text": f"lorem ipsum{i} " * 1_000} for i in range(20) for lang in ("en", "la")] for _ in range(5)]
+    assert sum(len(r["text"]) for b in batches for r in b) > 2 * phrases.AT_ONCE
+    assert len(_handed_on(batches)) == 2 * 21
+    assert len(_handed_on(batches, k=2)) == 2 * 40
+
+
+def test_counts_of_odd_texts(spark, monkeypatch):
+    rng = random.Random(7)
+    bits = ["a", "B", "Ab", "a word of more than", "eighteen-letters-long", "é", "日本語", "\x85", "\x00", "\x0e\x1f", " ", "\ufeff"]
+    bits += [" ", "\t", "  ", " \t ", " " * 40, ".", " .", ". ", " . ", "..", "\r\n", "\x0b", "?!"]
+    rows = [(rng.choice(["en", "", None, "und", "日"]), "".join(rng.choices(bits, k=rng.randint(0, 60)))) for _ in range(400)]
+    rows += [("en", None), ("en", ""), ("en", " "), ("en", "."), ("en", "a"), ("xx", " b"), ("xx", "c ")]
+    batches = [[{"lang": lang, "text": text} for lang, text in rows[i : i + 37]] for i in range(0, len(rows), 37)]
+    monkeypatch.setattr(phrases, "AT_ONCE", 2_000)
+    for together in (1, 5_000, 1 << 22):
+        monkeypatch.setattr(phrases, "TOGETHER", together)
+        for k in (1, 2, 3, 5):
+            expected, got = Counter(), Counter()
+            for lang, text in rows:
+                lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+                for piece in re.split(r"[.,;:!?\x0a-\x0d]", lowered):
+                    w = re.findall(r"[^\x20\x09]+", piece)
+                    expected.update(("und" if lang is None else lang, " ".join(w[i : i + k])) for i in range(len(w) - k + 1))
+            for r in _handed_on(batches, k=k):
+                got[r["lang"], r["phrase"]] += r["n"]
+            assert got == expected
