@@ -9,8 +9,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.components import components
-from shelfmark.llm.text import bit_filter, in_filter, long_lists, release, run_hashes, slices, small_batches, word_hashes
+from shelfmark.llm.text import (
+    bit_filter,
+    drop_tables,
+    in_filter,
+    long_lists,
+    release,
+    run_hashes,
+    slices,
+    small_batches,
+    word_hashes,
+)
 from shelfmark.operators import stage
+from shelfmark.operators.bloom import might_contain
 
 N_GRAM = 3
 PERCENT = 90  # of the union
@@ -69,9 +80,10 @@ class Order:
         return hashes[at], kind[at]
 
     def fragment(self, hashes: np.ndarray, kind: np.ndarray) -> np.ndarray:
-        """Cuts of the order into shares of about equal weight; the counted n-grams are in the first."""
+        """Cuts of the order: the counted n-grams are the first, the others have shares of about equal weight."""
         place = self.before[kind] + self.mass[kind] * (hashes.astype(np.float64) / 2.0**64)
-        return np.minimum(place * self.fragments / self.total, self.fragments - 1).astype(np.int64)
+        cut = np.minimum(1 + place * (self.fragments - 1) / self.total, self.fragments - 1).astype(np.int64)
+        return np.where(kind <= len(self.frequent), 0, cut)
 
 
 def summaries(docs: DataFrame, n: int) -> DataFrame:
@@ -128,6 +140,7 @@ def global_order(summary: DataFrame, docs: DataFrame, n: int, fragments: int = F
     frequent = [
         bit_filter(several.where(F.col("times") >= step), LOG_BITS[min(i, 1)]) for i, step in enumerate(STEPS)
     ]
+    drop_tables(docs.sparkSession, [several])
     magnitude = np.floor(np.log2(np.maximum(counters, 1))).astype(np.uint8)
     shared = magnitude + np.uint8(len(frequent) + 1)  # classes, below 128
     return shared, np.bincount(shared, counters, 128), frequent, fragments
@@ -185,17 +198,42 @@ def segments(docs: DataFrame, wanted: Broadcast, order: Broadcast, n: int) -> Da
 
 
 def linked(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, na, nb) that link: common n-grams counted per fragment, summed per pair."""
-    of_a = parts.select(F.col("class_id").alias("a"), "fragment", F.col("part").alias("part_a"))
-    of_b = parts.select(F.col("class_id").alias("b"), "fragment", F.col("part").alias("part_b"))
+    """Pairs (a, b) that link: common n-grams counted per fragment, summed per pair.
+
+    Counted first are those of the first fragment, a part of every set by hash.
+    A pair that would not link if all its other n-grams were common goes; the
+    other fragments move only for classes of pairs that are left.
+    """
+    may = stage(_open_pairs(pairs, parts.where("fragment = 0").drop("fragment"), percent), "open_pairs")
+    named = may.select(F.explode(F.array("a", "b")).alias("class_id"))
+    rest = parts.where("fragment > 0").where(might_contain(named, "class_id", F.col("class_id")))
+    of_a = rest.select(F.col("class_id").alias("a"), "fragment", F.col("part").alias("part_a"))
+    of_b = rest.select(F.col("class_id").alias("b"), "fragment", F.col("part").alias("part_b"))
     counts = (
-        pairs.join(of_a, "a")
+        may.drop("common")
+        .join(of_a, "a")
         .join(of_b, ["b", "fragment"])
         .select("a", "b", "na", "nb", F.size(F.array_intersect("part_a", "part_b")).alias("common"))
-        .groupBy("a", "b", "na", "nb")
-        .agg(F.sum("common").alias("common"))
     )
-    return counts.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
+    counts = may.unionByName(counts).groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
+    return counts.where(_enough(F.col("common"), percent)).select("a", "b")
+
+
+def _open_pairs(pairs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
+    """Pairs with what they have in common in the first fragment, but those that the others cannot make link."""
+    none = F.array().cast("array<long>")
+    of_a = firsts.select(F.col("class_id").alias("a"), F.col("part").alias("part_a"))
+    of_b = firsts.select(F.col("class_id").alias("b"), F.col("part").alias("part_b"))
+    met = pairs.join(of_a, "a", "left").join(of_b, "b", "left")
+    met = met.withColumns({c: F.coalesce(c, none) for c in ("part_a", "part_b")})
+    common = F.size(F.array_intersect("part_a", "part_b"))
+    others = F.least(F.col("na") - F.size("part_a"), F.col("nb") - F.size("part_b"))
+    met = met.select("a", "b", "na", "nb", common.alias("common"), others.alias("others"))
+    return met.where(_enough(F.col("common") + F.col("others"), percent)).drop("others")
+
+
+def _enough(common: Column, percent: int) -> Column:
+    return 100 * common >= percent * (F.col("na") + F.col("nb") - common)
 
 
 def _bucketed(tokens: DataFrame, percent: int) -> DataFrame:
@@ -250,7 +288,7 @@ def near_duplicate_classes(docs: DataFrame, n: int = N_GRAM, percent: int = PERC
        in small buckets, and families - classes that large buckets connect - block
        by block inside tasks, which give back no more links than classes.
     4. The global order is cut into fragments; a pair's common shingles are
-       counted in each apart and summed.
+       counted in each apart and summed. The first fragment rules out most pairs.
 
     Sets are compared by 64-bit hashes of shingles, classes by 128 bits.
 
@@ -294,12 +332,14 @@ def _near_classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, Dat
     leaders = stage(leaders, "leaders")
     members = buckets.drop("first").join(leaders.select("token", "band"), ["token", "band"], "left_semi")
     members = stage(members, "members")
+    drop_tables(docs.sparkSession, [firsts])
 
     involved = classes.join(members.select("class_id").distinct(), "class_id", "left_semi")
     involved = stage(involved.select("class_id", "digest", "text_no"), "involved")
     wanted = context.broadcast(bit_filter(involved.select(F.col("text_no").alias("h")), LOG_BITS[0]))
     parts = segments(docs, wanted, order, n).groupBy("digest", "fragment").agg(F.first("part").alias("part"))
     parts = stage(parts.join(involved, "digest").select("class_id", "fragment", "part"), "segments")
+    drop_tables(docs.sparkSession, [involved])
     for sent in (order, wanted):  # what follows reads written tables
         sent.destroy()
     del order, wanted
@@ -309,9 +349,16 @@ def _near_classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, Dat
     links = stage(linked(_pairs_with(members, leaders, percent), parts, percent), "links")
     labels = components(links)
     left, second = _open_buckets(members, labels)
+    drop_tables(docs.sparkSession, [members, leaders])
+    release(docs.sparkSession)
+
     links = stage(links.union(linked(_pairs_with(left, second, percent), parts, percent)), "links")
     labels = components(links)
-    left, _ = _open_buckets(left.drop("label"), labels)
+    before = [left, second]
+    left, second = _open_buckets(left.drop("label"), labels)
+    drop_tables(docs.sparkSession, [*before, second])
+    release(docs.sparkSession)
+
     sizes = left.groupBy("token", "band").agg(F.count(F.lit(1)).alias("members"), F.min("class_id").alias("least"))
     sizes = stage(sizes, "sizes")
     heavy = left.join(sizes.where(F.col("members") >= HEAVY), ["token", "band"])
@@ -319,6 +366,8 @@ def _near_classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, Dat
     light = left.join(sizes.where(F.col("members") < HEAVY).select("token", "band"), ["token", "band"], "left_semi")
     found = linked(_cross_pairs(light, percent), parts, percent)
     links = stage(links.union(found).union(_family_links(left, families, parts, percent)), "links")
+    drop_tables(docs.sparkSession, [left, sizes, parts])
+    release(docs.sparkSession)
     return rows, classes, components(links)
 
 
@@ -466,6 +515,8 @@ def keep_one_of_each(docs: DataFrame, n: int = N_GRAM, percent: int = PERCENT) -
     # what a key's rows come to: none stays, or one of several
     keys = times.join(chosen, same, "left").where("text_no_ IS NULL OR times > 1")
     keys = stage(keys.select("doc_id", "text_no", F.col("text_no_").isNotNull().alias("stays")), "keys")
+    drop_tables(docs.sparkSession, [rows, classes])
+    release(docs.sparkSession)
 
     others = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
     named = docs.select(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import os
 import random
 import re
 import zlib
@@ -25,6 +26,7 @@ from shelfmark.llm import (
     toxicity,
     urls,
 )
+from shelfmark.operators.staging import staging_root
 
 SCHEMA = (
     "doc_id long, text string, lang string, source string, n_chars long, n_words long, digest string, row_ long, "
@@ -482,6 +484,47 @@ def test_pipeline_keeps_one_row_of_each_group(spark):
     assert got == {(1, a): 1, (3, c): 1, (4, d): 1, (5, e): 1, (6, ""): 2, (None, None): 1}
 
 
+def test_first_fragment_rules_out_pairs(spark):
+    """Links as by brute force; pairs that cannot link do not reach the other fragments."""
+    rng = random.Random(12)
+    order = jaccard.Order(np.full(1 << jaccard.COUNTERS, 5, dtype=np.uint8), np.bincount([5], [1], 128), [], 4)
+    sets = []
+    for _ in range(6):
+        base = [rng.getrandbits(64) for _ in range(80)]
+        for changed in (0, 3, 8, 12, 40):
+            sets.append({*base[changed:], *(rng.getrandbits(64) for _ in range(changed))})
+    sets += [{x | 1 for x in sets[0]}, {x | 1 for x in sets[1]}]  # nothing in the first fragment
+    parts = []
+    for i, grams in enumerate(sets):
+        hashes = np.array(sorted(grams), dtype=np.uint64)
+        counted = (hashes & np.uint64((1 << jaccard.SAMPLED) - 1)) == 0
+        cut = order.fragment(hashes, np.where(counted, 0, 5))
+        assert np.array_equal(cut == 0, counted)
+        parts += [(i, int(f), hashes[cut == f].view(np.int64).tolist()) for f in np.unique(cut)]
+    pairs = [(a, b, len(sets[a]), len(sets[b])) for a, b in itertools.combinations(range(len(sets)), 2)]
+    expected = set()
+    for a, b, n, m in pairs:
+        common = len(sets[a] & sets[b])
+        if 100 * common >= 80 * (n + m - common):
+            expected.add((a, b))
+    pairs = spark.createDataFrame(pairs, "a long, b long, na int, nb int")
+    parts = spark.createDataFrame(parts, "class_id long, fragment int, part array<long>")
+    assert {tuple(r) for r in jaccard.linked(pairs, parts, 80).collect()} == expected
+    firsts = parts.where("fragment = 0").drop("fragment")
+    may = {(r.a, r.b) for r in jaccard._open_pairs(pairs, firsts, 80).collect()}
+    assert expected <= may and len(may) <= 3 * len(expected) < pairs.count() / 2
+
+
+def test_ngram_join_keeps_no_large_tables(spark, docs):
+    root = staging_root(spark).removeprefix("file:")
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    left = jaccard.keep_one_of_each(docs)
+    kept = {x.rsplit("-", 1)[0] for x in set(os.listdir(root)) - before}
+    assert "keys" in kept
+    assert not kept & {"summaries", "classes", "frequent", "prefixes", "leaders", "members", "involved", "segments", "open", "sizes"}
+    assert left.count() == len(left.collect()) > 0
+
+
 def test_flow_prefers_fresh_words():
     # pattern 0 is in both sources, 1 and 2 in one each
     flow = mixing.least_cost_flow({0: 10, 1: 10, 2: 10}, [(0, 0, 20), (0, 1, 20), (1, 0, 20), (2, 1, 20)], [15, 15])
