@@ -26,13 +26,14 @@ from shelfmark.operators.bloom import might_contain
 N_GRAM = 3
 PERCENT = 90  # of the union
 COUNTERS = 18  # log2 of the counters that tell rare n-grams from frequent ones
-SAMPLED = 2  # log2: of so many n-grams one is counted exactly
+SAMPLED = 2  # log2: of so many n-grams one is counted exactly, or more of them (see ``counted_share``)
 STEPS = (2, 16, 128, 1024)  # classes of exact counts
 FRAGMENTS = 4  # cuts of the global order
-LOG_BITS = (26, 23)  # of filters: 8 MB and 1 MB, whatever is in them
+LOG_BITS = (23, 28)  # of filters: 1 MB to 32 MB, by what is in them
 WIDTH = 4  # size bands span so many steps of the smallest ratio of sizes that can link
 HEAVY = 32  # members of a bucket from which on its classes are compared in blocks
 BLOCK = 256  # classes of a block
+SLACK = 1.01  # size bands of a family are so much wider than sets that link can be apart, so rounding does not matter
 COLUMNS = 4096  # n-grams of a partial overlap count in a block
 SALTS = 16
 CHUNK = 4096
@@ -47,6 +48,21 @@ def gram_sets(texts: pa.Array, n: int) -> tuple[list[np.ndarray], list[str]]:
     return found, [xxhash.xxh3_128_hexdigest(x.tobytes()) for x in found]
 
 
+def counted_share(percent: int) -> int:
+    """log2: of so many n-grams one is counted exactly.
+
+    At least twice the share of a set that is in its prefix. Then a set has
+    frequent n-grams in its prefix only if half its n-grams or more are in
+    other documents, too.
+    """
+    return max(s for s in range(SAMPLED + 1) if s == 0 or 50 >= (100 - percent) << s)
+
+
+def _log_bits(rows: int) -> int:
+    """log2 of the bits of a filter: 8 to 16 a row, within LOG_BITS."""
+    return min(max((8 * rows).bit_length(), LOG_BITS[0]), LOG_BITS[1])
+
+
 class Order:
     """The global n-gram order: by class of rarity, then by hash; and its cuts.
 
@@ -57,15 +73,17 @@ class Order:
     document has, wherever there are some.
     """
 
-    def __init__(self, shared: np.ndarray, mass: np.ndarray, frequent: list[np.ndarray], fragments: int):
-        self.shared, self.frequent, self.fragments = shared, frequent, fragments
+    def __init__(
+        self, shared: np.ndarray, mass: np.ndarray, frequent: list[np.ndarray], fragments: int, sampled: int = SAMPLED
+    ):
+        self.shared, self.frequent, self.fragments, self.sampled = shared, frequent, fragments, sampled
         self.before, self.mass = np.cumsum(mass) - mass, mass
         self.total = max(mass.sum(), 1)
 
     def classes(self, hashes: np.ndarray) -> np.ndarray:
         """0: in one document for sure."""
         out = self.shared[(hashes >> np.uint64(64 - COUNTERS)).astype(np.int64)].astype(np.int64)
-        counted = np.flatnonzero((hashes & np.uint64((1 << SAMPLED) - 1)) == 0)
+        counted = np.flatnonzero(_one_of(hashes, self.sampled))
         exact = hashes[counted]
         kind = np.zeros(len(counted), dtype=np.int64)
         for i, bits in enumerate(self.frequent):
@@ -80,10 +98,16 @@ class Order:
         return hashes[at], kind[at]
 
     def fragment(self, hashes: np.ndarray, kind: np.ndarray) -> np.ndarray:
-        """Cuts of the order: the counted n-grams are the first, the others have shares of about equal weight."""
-        place = self.before[kind] + self.mass[kind] * (hashes.astype(np.float64) / 2.0**64)
-        cut = np.minimum(1 + place * (self.fragments - 1) / self.total, self.fragments - 1).astype(np.int64)
-        return np.where(kind <= len(self.frequent), 0, cut)
+        """Cuts of the order: counted n-grams are the first, one in 2 ** SAMPLED of all; the others have about equal shares."""
+        counted, part = kind <= len(self.frequent), hashes.astype(np.float64) / 2.0**64
+        place = np.where(counted, part, (self.before[kind] + self.mass[kind] * part) / self.total)
+        cut = np.minimum(1 + place * (self.fragments - 1), self.fragments - 1).astype(np.int64)
+        return np.where(counted & _one_of(hashes, SAMPLED), 0, cut)
+
+
+def _one_of(hashes: np.ndarray, log: int) -> np.ndarray:
+    """Marks of one in 2 ** log n-grams; those of a larger log are among them."""
+    return (hashes & np.uint64((1 << log) - 1)) == 0
 
 
 def summaries(docs: DataFrame, n: int) -> DataFrame:
@@ -116,34 +140,37 @@ def summaries(docs: DataFrame, n: int) -> DataFrame:
     )
 
 
-def counted_grams(docs: DataFrame, n: int) -> DataFrame:
+def counted_grams(docs: DataFrame, n: int, sampled: int = SAMPLED) -> DataFrame:
     """h, times: documents that hold each of the n-grams that are counted exactly."""
 
     def run(batches):
         for batch in slices(batches):
             found, _ = gram_sets(batch.column("text"), n)
             every = np.concatenate([*found, np.empty(0, dtype=np.uint64)])
-            h, times = np.unique(every[(every & np.uint64((1 << SAMPLED) - 1)) == 0], return_counts=True)
+            h, times = np.unique(every[_one_of(every, sampled)], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(times)], ["h", "times"])
 
     each = docs.select("text").mapInArrow(run, "h long, times long")
     return each.groupBy("h").agg(F.sum("times").alias("times")).where(F.col("times") >= STEPS[0])
 
 
-def global_order(summary: DataFrame, docs: DataFrame, n: int, fragments: int = FRAGMENTS) -> tuple:
-    """What makes an ``Order``: adds up the counters, and marks frequent n-grams in filters, all of fixed size."""
+def global_order(
+    summary: DataFrame, docs: DataFrame, n: int, fragments: int = FRAGMENTS, sampled: int = SAMPLED
+) -> tuple:
+    """What makes an ``Order``: adds up the counters, and marks frequent n-grams in filters of bounded size."""
     each = summary.where("chunk IS NOT NULL").select("chunk", F.posexplode("counts").alias("at", "n"))
     totals = each.groupBy((F.col("chunk") * CHUNK + F.col("at")).alias("i")).agg(F.sum("n").alias("n")).toArrow()
     counters = np.zeros(1 << COUNTERS)
     counters[totals.column("i").to_numpy()] = totals.column("n").to_numpy()
-    several = stage(counted_grams(docs, n), "frequent")
+    several = stage(counted_grams(docs, n, sampled), "frequent")
+    rows = several.agg(*[F.count_if(F.col("times") >= step) for step in STEPS]).first()
     frequent = [
-        bit_filter(several.where(F.col("times") >= step), LOG_BITS[min(i, 1)]) for i, step in enumerate(STEPS)
+        bit_filter(several.where(F.col("times") >= step), _log_bits(m)) for step, m in zip(STEPS, rows, strict=True)
     ]
     drop_tables(docs.sparkSession, [several])
     magnitude = np.floor(np.log2(np.maximum(counters, 1))).astype(np.uint8)
     shared = magnitude + np.uint8(len(frequent) + 1)  # classes, below 128
-    return shared, np.bincount(shared, counters, 128), frequent, fragments
+    return shared, np.bincount(shared, counters, 128), frequent, fragments, sampled
 
 
 def prefixes(docs: DataFrame, order: Broadcast, n: int, percent: int) -> DataFrame:
@@ -312,9 +339,9 @@ def _near_classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, Dat
         F.count(F.lit(1)).alias("members"),
     )
     classes = stage(classes.withColumn("class_id", F.monotonically_increasing_id()), "classes")
-    # sent once for both passes over the texts; the filters in it are of fixed size
+    # sent once for both passes over the texts; the filters in it are of bounded size
     context = docs.sparkSession.sparkContext
-    order = context.broadcast(global_order(summary, docs, n))
+    order = context.broadcast(global_order(summary, docs, n, sampled=counted_share(percent)))
 
     release(docs.sparkSession)
 
@@ -336,7 +363,7 @@ def _near_classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, Dat
 
     involved = classes.join(members.select("class_id").distinct(), "class_id", "left_semi")
     involved = stage(involved.select("class_id", "digest", "text_no"), "involved")
-    wanted = context.broadcast(bit_filter(involved.select(F.col("text_no").alias("h")), LOG_BITS[0]))
+    wanted = context.broadcast(bit_filter(involved.select(F.col("text_no").alias("h")), _log_bits(involved.count())))
     parts = segments(docs, wanted, order, n).groupBy("digest", "fragment").agg(F.first("part").alias("part"))
     parts = stage(parts.join(involved, "digest").select("class_id", "fragment", "part"), "segments")
     drop_tables(docs.sparkSession, [involved])
@@ -449,34 +476,57 @@ def _block_links(percent: int):
 def _family_links(members: DataFrame, families: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """Links between classes of a family: blocks of classes, compared two by two.
 
-    A family of m classes makes about (m / BLOCK) ** 2 / 2 tasks' work. Common
-    n-grams are counted per cut of the order of n-grams, and summed.
+    The blocks of a large family are cut by size bands, and meet those of their
+    own band and of the two next to it, as sets of other bands cannot link. A
+    band of m classes makes about (m / BLOCK) ** 2 / 2 tasks' work, and twice
+    that with a next one as large. Common n-grams are counted per cut of the
+    order of n-grams, and summed.
     """
+    band = F.floor(F.log("n") / F.lit(SLACK * float(np.log(100 / percent)))).cast("long")
     sizes = families.groupBy("label").agg(F.count(F.lit(1)).alias("m"))
-    block = F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")
-    placed = (
+    known = members.groupBy("class_id").agg(F.first("n").alias("n"), F.first("label").alias("label"))
+    banded = (
         families.join(sizes.withColumnRenamed("label", "family"), F.col("label") == F.col("family"))
-        .select(F.col("id").alias("class_id"), "family", F.ceil(F.col("m") / BLOCK).alias("blocks"))
-        .withColumn("block", block)
+        .select(F.col("id").alias("class_id"), "family", "m")
+        .join(known, "class_id")
+        .withColumn("band", F.when(F.col("m") > BLOCK, band).otherwise(F.lit(0).cast("long")))
     )
-    known = members.groupBy("class_id").agg(F.first("n").alias("n"), F.first("label").alias("label"))
+    blocks = banded.groupBy("family", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    around = F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])).alias("near")
+    near = blocks.select("family", "band", "blocks", around)
+    own = F.when(F.col("near") == F.col("band"), F.col("blocks"))
+    near = near.groupBy("family", F.col("near").alias("band")).agg(
+        F.max(own).alias("blocks"), F.collect_list(F.struct(F.col("band").alias("of"), "blocks")).alias("met")
+    )
+    placed = banded.join(near, ["family", "band"]).withColumn(
+        "own", _block(F.col("band"), F.pmod(F.xxhash64("class_id"), F.col("blocks")))
+    )
+
+    def numbers(x: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0).cast("long"), x["blocks"] - 1), lambda i: _block(x["of"], i))
+
+    every = F.flatten(F.transform("met", numbers))
     grams = parts.join(families.select(F.col("id").alias("class_id")), "class_id", "left_semi")
     grams = grams.groupBy("class_id").agg(F.flatten(F.collect_list("part")).alias("grams"))
-    rows = placed.join(known, "class_id").join(grams, "class_id")
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = placed.join(grams, "class_id").withColumn("other", F.explode(every))
     rows = rows.select(
         "family",
-        F.least("block", "other").alias("low"),
-        F.greatest("block", "other").alias("high"),
+        F.least("own", "other").alias("low"),
+        F.greatest("own", "other").alias("high"),
         "class_id",
         "n",
         "label",
-        "block",
+        F.col("own").alias("block"),
         "grams",
     )
     return rows.groupBy("family", "low", "high").applyInArrow(_block_links(percent), "a long, b long")
 
 
+def _block(band: Column, number: Column) -> Column:
+    """A block's number in its family."""
+    return F.shiftleft(band, 32) + number
+
+
 def _labelled(classes: DataFrame, labels: DataFrame) -> DataFrame:
     """classes with their label, the smallest class_id of the component."""
     return classes.join(labels, F.col("class_id") == F.col("id"), "left").withColumn(

@@ -11,6 +11,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -515,6 +516,69 @@ def test_first_fragment_rules_out_pairs(spark):
     assert expected <= may and len(may) <= 3 * len(expected) < pairs.count() / 2
 
 
+def test_family_blocks_meet_sets_of_near_sizes(spark, monkeypatch):
+    """Links as by brute force, from blocks of sets whose sizes are a band or two apart at most."""
+    monkeypatch.setattr(jaccard, "BLOCK", 5)
+    rng = random.Random(14)
+    common, sets = list(range(20)), []
+    for i, size in enumerate(range(20, 260, 4)):
+        grams = [*common, *(1000 * i + x for x in range(size - 20))]
+        sets += [grams, grams[: size - rng.randint(0, size // 4)], grams[: max(size // 2, 20)]]
+    family = [*range(len(sets) - 4), None, None, None, None]  # the last four are a family of their own
+    label = [0 if f is not None else len(sets) - 4 for f in family]
+    expected = _linked_groups(sets, [(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if label[a] == label[b]])
+    members = spark.createDataFrame([(i, len(x), i) for i, x in enumerate(sets)], "class_id long, n long, label long")
+    families = spark.createDataFrame(list(enumerate(label)), "id long, label long")
+    parts = [(i, f, part) for i, x in enumerate(sets) for f in range(2) if (part := [g for g in x if g % 2 == f])]
+    parts = spark.createDataFrame(parts, "class_id long, fragment int, part array<long>")
+    links = [tuple(r) for r in jaccard._family_links(members, families, parts, 80).collect()]
+    assert _linked_groups(sets, links) == expected
+
+    def sizes(percent):
+        def run(table):
+            n = table.column("n").to_pylist()
+            return pa.table({"a": pa.array([min(n)], pa.int64()), "b": pa.array([max(n)], pa.int64())})
+
+        return run
+
+    monkeypatch.setattr(jaccard, "_block_links", sizes)
+    met = [tuple(r) for r in jaccard._family_links(members.where("class_id < 170"), families, parts, 80).collect()]
+    assert met and all(b <= 1.25 ** (2 * jaccard.SLACK) * a for a, b in met)
+
+
+def _linked_groups(sets, pairs):
+    """The smallest index reachable over those pairs that link, for every set."""
+    group = list(range(len(sets)))
+    for a, b in pairs:
+        common = len({*sets[a]} & {*sets[b]})
+        if 100 * common >= 80 * (len(sets[a]) + len(sets[b]) - common):
+            low, high = sorted((group[a], group[b]))
+            group = [low if g == high else g for g in group]
+    return group
+
+
+def test_texts_with_a_common_passage_are_no_family(spark, monkeypatch):
+    """Three fifths of their own words: not compared with all others that hold the passage."""
+    rng = random.Random(15)
+    passage = " ".join(f"p{x}" for x in range(240))
+    texts = [f"{' '.join(f'w{rng.getrandbits(40)}' for _ in range(360))} {passage}" for _ in range(jaccard.HEAVY + 8)]
+    seen, links = [], jaccard._family_links
+
+    def spied(members, families, parts, percent):
+        seen.append(families.count())
+        return links(members, families, parts, percent)
+
+    monkeypatch.setattr(jaccard, "_family_links", spied)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    assert corpus_pipeline.ngram_join(spark, docs, "").count() == len(texts)
+    assert seen == [0]
+
+
+def test_filters_grow_with_what_is_in_them():
+    assert [jaccard._log_bits(m) for m in (0, 1 << 20, 1 << 23, 6_000_000, 1 << 40)] == [23, 24, 27, 26, 28]
+    assert [jaccard.counted_share(p) for p in (90, 80, 50)] == [2, 1, 0]
+
+
 def test_ngram_join_keeps_no_large_tables(spark, docs):
     root = staging_root(spark).removeprefix("file:")
     before = set(os.listdir(root)) if os.path.isdir(root) else set()
