@@ -237,7 +237,7 @@ def linked(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     of_a = rest.select(F.col("class_id").alias("a"), "fragment", F.col("part").alias("part_a"))
     of_b = rest.select(F.col("class_id").alias("b"), "fragment", F.col("part").alias("part_b"))
     counts = (
-        may.drop("common")
+        _shuffled(may.drop("common"))
         .join(of_a, "a")
         .join(of_b, ["b", "fragment"])
         .select("a", "b", "na", "nb", F.size(F.array_intersect("part_a", "part_b")).alias("common"))
@@ -274,9 +274,18 @@ def _bucketed(tokens: DataFrame, percent: int) -> DataFrame:
     return tokens.withColumn("band", F.explode(F.array_distinct(F.array(own, below))))
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """For joins with a table that grows with the input: df is not broadcast.
+
+    Spark takes a table for as large as its files, which hold ids in a fraction
+    of their bytes in memory, and for no larger after an explode.
+    """
+    return df.hint("merge")
+
+
 def _pairs_with(members: DataFrame, leaders: DataFrame, percent: int) -> DataFrame:
     """Each member with its bucket's leader; salts spread a large bucket."""
-    salted = leaders.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = _shuffled(leaders.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
     met = members.withColumn("salt", F.pmod(F.xxhash64("class_id"), F.lit(SALTS)).cast("int")).join(
         salted, ["token", "band", "salt"]
     )
@@ -346,7 +355,8 @@ def _near_classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, Dat
     release(docs.sparkSession)
 
     firsts = prefixes(docs, order, n, percent).dropDuplicates(["digest"])
-    firsts = stage(firsts.join(classes, "digest").select("class_id", "first", "n", "places", "prefix"), "prefixes")
+    firsts = firsts.join(_shuffled(classes), "digest").select("class_id", "first", "n", "places", "prefix")
+    firsts = stage(firsts, "prefixes")
     zipped = F.explode(F.arrays_zip("places", "prefix")).alias("x")
     tokens = firsts.select("class_id", "first", "n", zipped).select(
         "class_id", "first", "n", F.col("x.places").alias("place"), F.col("x.prefix").alias("token")
@@ -357,15 +367,15 @@ def _near_classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, Dat
     leaders = buckets.groupBy("token", "band").agg(least, F.count(F.lit(1)).alias("members")).where("members > 1")
     leaders = leaders.select("token", "band", F.col("least.class_id").alias("leader"), F.col("least.n").alias("leader_n"))
     leaders = stage(leaders, "leaders")
-    members = buckets.drop("first").join(leaders.select("token", "band"), ["token", "band"], "left_semi")
+    members = buckets.drop("first").join(_shuffled(leaders.select("token", "band")), ["token", "band"], "left_semi")
     members = stage(members, "members")
     drop_tables(docs.sparkSession, [firsts])
 
-    involved = classes.join(members.select("class_id").distinct(), "class_id", "left_semi")
+    involved = classes.join(_shuffled(members.select("class_id").distinct()), "class_id", "left_semi")
     involved = stage(involved.select("class_id", "digest", "text_no"), "involved")
     wanted = context.broadcast(bit_filter(involved.select(F.col("text_no").alias("h")), _log_bits(involved.count())))
     parts = segments(docs, wanted, order, n).groupBy("digest", "fragment").agg(F.first("part").alias("part"))
-    parts = stage(parts.join(involved, "digest").select("class_id", "fragment", "part"), "segments")
+    parts = stage(parts.join(_shuffled(involved), "digest").select("class_id", "fragment", "part"), "segments")
     drop_tables(docs.sparkSession, [involved])
     for sent in (order, wanted):  # what follows reads written tables
         sent.destroy()
@@ -390,7 +400,8 @@ def _near_classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, Dat
     sizes = stage(sizes, "sizes")
     heavy = left.join(sizes.where(F.col("members") >= HEAVY), ["token", "band"])
     families = components(heavy.select(F.col("class_id").alias("a"), F.col("least").alias("b")).distinct())
-    light = left.join(sizes.where(F.col("members") < HEAVY).select("token", "band"), ["token", "band"], "left_semi")
+    light = _shuffled(sizes.where(F.col("members") < HEAVY).select("token", "band"))
+    light = left.join(light, ["token", "band"], "left_semi")
     found = linked(_cross_pairs(light, percent), parts, percent)
     links = stage(links.union(found).union(_family_links(left, families, parts, percent)), "links")
     drop_tables(docs.sparkSession, [left, sizes, parts])
@@ -410,7 +421,8 @@ def _open_buckets(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, Dat
         .select("token", "band", F.col("first.class_id").alias("leader"), F.col("first.n").alias("leader_n"))
     )
     several = stage(several, "open")
-    return stage(labelled.join(several.select("token", "band"), ["token", "band"], "left_semi"), "open"), several
+    left = labelled.join(_shuffled(several.select("token", "band")), ["token", "band"], "left_semi")
+    return stage(left, "open"), several
 
 
 def _cross_pairs(members: DataFrame, percent: int) -> DataFrame:
@@ -421,7 +433,7 @@ def _cross_pairs(members: DataFrame, percent: int) -> DataFrame:
     most = F.least("place_x", "place_y") + F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
     needed = F.ceil(percent * (F.col("n_x") + F.col("n_y")) / F.lit(100 + percent))
     fit = 100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")
-    met = x.join(y, ["token", "band"]).where(
+    met = x.join(_shuffled(y), ["token", "band"]).where(
         (F.col("class_id_x") < F.col("class_id_y")) & (F.col("label_x") != F.col("label_y")) & (most >= needed) & fit
     )
     return met.select(
@@ -544,7 +556,7 @@ def _with_components(rows: DataFrame, classes: DataFrame, labels: DataFrame) ->
     salted = labelled.join(smallest, "label").select(
         "digest", "component", F.explode(F.when(F.col("members") > 1, every).otherwise(one)).alias("salt")
     )
-    met = rows.withColumn("salt", salt).join(salted, ["digest", "salt"], "left")
+    met = rows.withColumn("salt", salt).join(_shuffled(salted), ["digest", "salt"], "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
     return met.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
@@ -575,11 +587,11 @@ def keep_one_of_each(docs: DataFrame, n: int = N_GRAM, percent: int = PERCENT) -
         F.xxhash64(*others).alias("rest"),
         F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt_"),
     )
-    salted = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = _shuffled(keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
     met = F.col("doc.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("text_no_") == F.col("text_no"))
     met = met & (F.col("salt_") == F.col("salt"))
     left = named.join(salted, met, "left_anti").select("doc")
-    repeated = salted.where("stays")
+    repeated = _shuffled(salted.where("stays"))
     if repeated.isEmpty():
         return left.select("doc.*")
     several = named.join(repeated, met, "left_semi")

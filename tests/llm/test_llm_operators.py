@@ -579,6 +579,29 @@ def test_filters_grow_with_what_is_in_them():
     assert [jaccard.counted_share(p) for p in (90, 80, 50)] == [2, 1, 0]
 
 
+def test_salted_tables_are_not_broadcast(spark, docs):
+    """Spark sizes them as before their explode, so a table that it takes for small may not fit the driver."""
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    members = spark.createDataFrame([(1, 7, 0, 2, 9), (2, 7, 0, 2, 9)], "class_id long, token long, band int, place long, n long")
+    leaders = spark.createDataFrame([(7, 0, 1, 9)], "token long, band int, leader long, leader_n long")
+    members, leaders = jaccard.stage(members, "members"), jaccard.stage(leaders, "leaders")
+    pairs = jaccard._pairs_with(members, leaders, 90)
+    assert "Broadcast" not in plan(pairs)
+    assert [tuple(r) for r in pairs.collect()] == [(1, 2, 9, 9)]
+    left = jaccard.keep_one_of_each(docs)
+    assert "SortMergeJoin" in plan(left) and "Broadcast" not in plan(left)
+    rows = spark.createDataFrame([(1, 9, "x", 5), (2, 9, "x", 5)], "doc_id long, n long, digest string, text_no long")
+    classes = spark.createDataFrame([(9, "x", 1, 2, 0)], "n long, digest string, first long, members long, class_id long")
+    labels = spark.createDataFrame([], "id long, label long")
+    rows, classes, labels = (jaccard.stage(x, "small") for x in (rows, classes, labels))
+    labelled = jaccard._with_components(rows, classes, labels)
+    assert not re.search(r"BroadcastHashJoin \[digest", plan(labelled))
+    assert Counter(map(tuple, labelled.collect())) == Counter([(1, 9, 1), (2, 9, 1)])
+
+
 def test_ngram_join_keeps_no_large_tables(spark, docs):
     root = staging_root(spark).removeprefix("file:")
     before = set(os.listdir(root)) if os.path.isdir(root) else set()
